@@ -1,11 +1,14 @@
 """Registered queries of the corpus operators and the SQL that some of them equal."""
 
 from .line_quality import OP7_SQL, op7_line_quality
+from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op4_url_filter": op4_url_filter,
     "op7_line_quality": op7_line_quality,
 }
 
 ORACLE = {
+    "op4_url_filter": OP4_SQL,
     "op7_line_quality": OP7_SQL,
 }
