@@ -1,9 +1,11 @@
 """Registered queries of the corpus operators and the SQL that some of them equal."""
 
+from .language_id import op1_language_id
 from .line_quality import OP7_SQL, op7_line_quality
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_url_filter": op4_url_filter,
     "op7_line_quality": op7_line_quality,
 }
