@@ -2,10 +2,12 @@
 
 from .language_id import op1_language_id
 from .line_quality import OP7_SQL, op7_line_quality
+from .toxicity import op3_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op7_line_quality": op7_line_quality,
 }
