@@ -1,5 +1,6 @@
 """Registered queries of the corpus operators and the SQL that some of them equal."""
 
+from .bpe import op6_byte_bpe
 from .language_id import op1_language_id
 from .line_quality import OP7_SQL, op7_line_quality
 from .toxicity import op3_toxicity
@@ -9,6 +10,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_line_quality": op7_line_quality,
 }
 
