@@ -3,6 +3,7 @@
 from .bpe import op6_byte_bpe
 from .language_id import op1_language_id
 from .line_quality import OP7_SQL, op7_line_quality
+from .packing import op9_packing
 from .toxicity import op3_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_line_quality": op7_line_quality,
+    "op9_packing": op9_packing,
 }
 
 ORACLE = {
