@@ -74,16 +74,30 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+_SEGMENT = 4 << 20
+
+
 def word_hashes(raw: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, its start, its end) without a loop over words."""
+    """(64-bit hash of each word, its start, its end) without a loop over words.
+
+    Long inputs go segment by segment, cut at white space, so temporary arrays stay small.
+    """
     starts, ends = word_bounds(raw)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends
-    values = _BYTE[_LOWER[raw] if lower else raw]
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(values * _powers(_BASE, len(raw), "up"), out=total[1:])
-    own = (total[ends] - total[starts]) * _powers(_INV, len(raw) + 1, "down")[starts]
-    return mix(own ^ (ends - starts).astype(np.uint64)), starts, ends
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = int(np.searchsorted(ends, starts[a] + _SEGMENT, "right"))
+        b = max(b, a + 1)
+        lo, hi = int(starts[a]), int(ends[b - 1])
+        part = raw[lo:hi]
+        values = _BYTE[_LOWER[part] if lower else part]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(values * _powers(_BASE, len(part), "up"), out=total[1:])
+        s, e = starts[a:b] - lo, ends[a:b] - lo
+        own = (total[e] - total[s]) * _powers(_INV, len(part) + 1, "down")[s]
+        out[a:b] = mix(own ^ (e - s).astype(np.uint64))
+        a = b
+    return out, starts, ends
 
 
 _STEP = _SEED.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

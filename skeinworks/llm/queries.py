@@ -4,6 +4,7 @@ from .bpe import op6_byte_bpe
 from .language_id import op1_language_id
 from .line_quality import OP7_SQL, op7_line_quality
 from .packing import op9_packing
+from .repeats import OP5_SQL, op5_repeats
 from .toxicity import op3_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
+    "op5_repeats": op5_repeats,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_line_quality": op7_line_quality,
     "op9_packing": op9_packing,
@@ -18,5 +20,6 @@ QUERIES = {
 
 ORACLE = {
     "op4_url_filter": OP4_SQL,
+    "op5_repeats": OP5_SQL,
     "op7_line_quality": OP7_SQL,
 }
