@@ -29,34 +29,31 @@ BOILERPLATE = [
     "terms of service",
     "terms of use",
 ]
-#: A line of this kind ends a sentence.
-ENDS = "[.!?…。！？:;\"'”’»)\\]]$"
+#: Characters that may stand last in a line that ends a sentence.
+ENDS = ".!?…。！？:;\"'”’»)]"
 #: A sentence end inside a long line, for texts without line breaks that were cut at their end.
 INNER_END = "[.!?…。！？][\"'”’»)]? "
 LONG_LINE_CHARS = 300
-#: Bars, arrows and bullets between entries of a menu.
-MENU = "[|»›·•>]"
+#: Bars, arrows and bullets between entries of a menu: this many make a line a menu.
+MENU = "|»›·•>"
 MENU_MARKS = 3
+MENU_LINE = f"(?:[{MENU}][^{MENU}]*){{{MENU_MARKS}}}"
 MAX_LOST = 0.5
 
 
-def _spaces(text: Column) -> Column:
-    return F.translate(text, SPACES, " " * len(SPACES))
-
-
 def _words(text: Column) -> Column:
-    flat = F.trim(_spaces(text))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " +"))
+    return F.array_remove(F.split(text, SPACE_CLASS + "+"), "")
 
 
 def line_fails(line: Column) -> Column:
     """True if any of the three rules removes the line; a blank line never fails."""
-    bare = F.trim(_spaces(line))
-    low = F.lower(bare)
-    unfinished = ~bare.rlike(ENDS) & ~((F.length(bare) >= LONG_LINE_CHARS) & bare.rlike(INNER_END))
-    menu = (F.length(bare) - F.length(F.translate(bare, "|»›·•>", ""))) >= MENU_MARKS
-    furniture = low.rlike("|".join(BOILERPLATE))
-    return (bare != "") & (unfinished | menu | furniture)
+    end = F.rtrim(line, F.lit(SPACES))
+    unfinished = ~F.contains(F.lit(ENDS), F.right(end, F.lit(1))) & ~((F.length(F.ltrim(end, F.lit(SPACES))) >= LONG_LINE_CHARS) & end.rlike(INNER_END))
+    low = F.lower(line)
+    furniture = F.lit(False)
+    for phrase in BOILERPLATE:
+        furniture = furniture | low.contains(phrase)
+    return (end != "") & (unfinished | end.rlike(MENU_LINE) | furniture)
 
 
 def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
@@ -66,10 +63,11 @@ def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     two = one.withColumns(
         {
             "n_words": F.size("words").cast("long"),
-            "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+            "word_chars": F.length(F.array_join("words", "")).cast("long"),
+            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long"),
             "full_lines": F.filter("lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
             "good_lines": F.filter("lines", lambda x: ~line_fails(x)),
+            "bad_lines": F.filter("lines", line_fails),
             "windows": F.expr("transform(sequence(0, greatest(size(words) - 3, 0)), i -> xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)))"),
         }
     )
@@ -86,18 +84,18 @@ def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
         "n_repeat_words",
         F.expr("cast(if(size(at) = 0, 0, 3 + aggregate(zip_with(slice(at, 2, size(at)), slice(at, 1, size(at) - 1), (a, b) -> least(3, a - b)), 0, (s, x) -> s + x)) as bigint)"),
     )
-    lost = F.length(F.translate(F.array_join(F.col("good_lines"), "\n"), SPACES, ""))
+    lost = F.length(F.regexp_replace(F.array_join("bad_lines", "\n"), SPACE_CLASS + "+", ""))
     return (
         five.withColumns(
             {
                 "clean_text": F.array_join("good_lines", "\n"),
-                "n_removed_lines": (F.size("lines") - F.size("good_lines")).cast("long"),
-                "lost_share": F.when(F.col("word_chars") > 0, 1 - lost / F.col("word_chars")).otherwise(F.lit(0.0)),
+                "n_removed_lines": F.size("bad_lines").cast("long"),
+                "lost_share": F.when(F.size("bad_lines") > 0, lost / F.col("word_chars")).otherwise(F.lit(0.0)),
                 "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
             }
         )
         .withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_lost))
-        .drop("words", "lines", "full_lines", "good_lines", "windows", "ranked", "at")
+        .drop("words", "lines", "full_lines", "good_lines", "bad_lines", "windows", "ranked", "at")
     )
 
 
@@ -106,10 +104,11 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines")
 
 
+_Q = ENDS.replace("'", "''")
 _FAILS = f"""(b <> '' and (
-  (not regexp_matches(b, '{ENDS.replace("'", "''")}') and not (length(b) >= {LONG_LINE_CHARS} and regexp_matches(b, '{INNER_END.replace("'", "''")}')))
-  or length(b) - length(translate(b, '|»›·•>', '')) >= {MENU_MARKS}
-  or regexp_matches(lower(b), '{"|".join(BOILERPLATE)}')))"""
+  (not contains('{_Q}', right(b, 1)) and not (length(b) >= {LONG_LINE_CHARS} and regexp_matches(b, '{INNER_END.replace("'", "''")}')))
+  or regexp_matches(b, '{MENU_LINE}')
+  or {" or ".join(f"contains(lower(l), '{x}')" for x in BOILERPLATE)}))"""
 
 OP7_SQL = f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
@@ -119,7 +118,7 @@ tri as (select rid, i, words[i] as a, words[i + 1] as b, words[i + 2] as c from
 hit as (select rid, i from (select rid, i, count(*) over (partition by rid, a, b, c) as n from tri) where n > 1),
 cov as (select rid, count(distinct i + o) as n from hit, (values (0), (1), (2)) as t(o) group by rid),
 ln as (select rid, unnest(lines) as l, generate_subscripts(lines, 1) as k from w),
-lb as (select rid, l, k, trim(translate(l, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')) as b from ln),
+lb as (select rid, l, k, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as b from ln),
 lf as (select rid, count(*) filter (b <> '') - count(distinct l) filter (b <> '') as n_dup, count(*) filter ({_FAILS}) as n_bad,
   coalesce(sum(length(translate(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))) filter ({_FAILS}), 0) as bad_chars from lb group by rid),
 m as (select w.doc_id, len(words)::bigint as n_words, length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::bigint as word_chars,
