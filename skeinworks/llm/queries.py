@@ -3,6 +3,7 @@
 from .bpe import op6_byte_bpe
 from .language_id import op1_language_id
 from .line_quality import OP7_SQL, op7_line_quality
+from .neardup import OP8_SQL, op8_minmax_neardup
 from .packing import op9_packing
 from .repeats import OP5_SQL, op5_repeats
 from .toxicity import op3_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_repeats": op5_repeats,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_line_quality": op7_line_quality,
+    "op8_minmax_neardup": op8_minmax_neardup,
     "op9_packing": op9_packing,
 }
 
@@ -22,4 +24,5 @@ ORACLE = {
     "op4_url_filter": OP4_SQL,
     "op5_repeats": OP5_SQL,
     "op7_line_quality": OP7_SQL,
+    "op8_minmax_neardup": OP8_SQL,
 }
