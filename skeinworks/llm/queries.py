@@ -1,6 +1,7 @@
 """Registered queries of the corpus operators and the SQL that some of them equal."""
 
 from .bpe import op6_byte_bpe
+from .ctph import op2_fingerprint
 from .language_id import op1_language_id
 from .line_quality import OP7_SQL, op7_line_quality
 from .neardup import OP8_SQL, op8_minmax_neardup
@@ -11,6 +12,7 @@ from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_fingerprint": op2_fingerprint,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_repeats": op5_repeats,
