@@ -6,6 +6,7 @@ from .language_id import op1_language_id
 from .line_quality import OP7_SQL, op7_line_quality
 from .neardup import OP8_SQL, op8_minmax_neardup
 from .packing import op9_packing
+from .pages import op10_main_text
 from .repeats import OP5_SQL, op5_repeats
 from .toxicity import op3_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_line_quality": op7_line_quality,
     "op8_minmax_neardup": op8_minmax_neardup,
     "op9_packing": op9_packing,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE = {
