@@ -7,7 +7,7 @@ them has not seen the row. The supplied labels name two categories, low quality
 takes them in that order, and any further 0/1 columns can be named.
 
 Learning takes a bounded sample: at most `per_class` labelled documents with and as many without the last
-category, chosen by a hash of their id; the driver holds their distinct words only. Prediction reads
+category, chosen by a hash of their id; the driver holds the numbers of their distinct words only. Prediction reads
 every document once, holds nothing but the model, and shuffles nothing.
 
 Defined cases: a null or wordless text has the intercepts' probabilities; null or missing labels count as
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-PER_CLASS = 3000
+PER_CLASS = 2500
 FOLDS = 3
 MIN_DOCUMENTS = 3
 THRESHOLD = 0.4
@@ -41,8 +41,20 @@ _WORD = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (5, 6, 7)
 
 
-def word_features(word: str) -> list[str]:
-    return [word, *("^" + word[:k] for k in _BEGINNINGS if len(word) > k)]
+_SPACE = (1 << 24) - 1
+
+
+def word_features(word: str) -> list[int]:
+    """Numbers of the word and of its beginnings, hashed into 2**24."""
+    return [zlib.crc32(f.encode()) & _SPACE for f in (word, *("^" + word[:k] for k in _BEGINNINGS if len(word) > k))]
+
+
+def text_features(text: str | None) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for word, n in text_words(text).items():
+        for f in word_features(word):
+            out[f] = out.get(f, 0) + n
+    return out
 
 
 def text_words(text: str | None) -> Counter:
@@ -54,7 +66,7 @@ class Link:
     """One linear model: weights by feature, weights of earlier probabilities, intercept."""
 
     name: str
-    weights: dict[str, float]
+    weights: dict[int, float]
     earlier: list[float]
     intercept: float
 
@@ -73,7 +85,7 @@ class Chain:
 
     def probabilities(self, text: str | None) -> list[float]:
         words = text_words(text)
-        seen: dict[tuple[int, str], list] = {}
+        seen: dict[tuple[int, int], list] = {}
         known = self._by_word
         for word, n in words.items():
             hits = known.get(word)
@@ -95,7 +107,7 @@ class Chain:
 
 
 def value(n: float) -> float:
-    """A feature's value: present, a little more when repeated."""
+    """A feature's value: present, a little more when repeated (as in train_chain)."""
     return min(1.0 + 0.25 * (n - 1), 2.0)
 
 
@@ -143,26 +155,17 @@ def fit_sparse(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, d:
     return full, v[:k], float(v[k])
 
 
-def train_chain(words: list[dict[str, int]], ids: list[int], labels: dict[str, np.ndarray], weight: np.ndarray, l1: float = 0.0005) -> Chain:
-    """The chain over documents given as word counts; labels by category in chain order."""
-    n = len(words)
+def train_chain(found: list[bytes], ids: list[int], labels: dict[str, np.ndarray], weight: np.ndarray, l1: float = 0.0005) -> Chain:
+    """The chain over documents given as packed features (see pack); labels by category in chain order."""
+    n = len(found)
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids])
-    seen: Counter = Counter()
-    feats: list[Counter] = []
-    for ws in words:
-        own: Counter = Counter()
-        for w, c in ws.items():
-            for f in word_features(w):
-                own[f] += c
-        feats.append(own)
-        seen.update(own.keys())
-    names = sorted(f for f, c in seen.items() if c >= MIN_DOCUMENTS)
-    index = {f: i for i, f in enumerate(names)}
-    parts = [[(index[f], value(c)) for f, c in own.items() if f in index] for own in feats]
-    rows = np.repeat(np.arange(n), [len(x) for x in parts]).astype(np.int64)
-    cols = np.array([i for x in parts for i, _ in x], np.int64)
-    vals = np.array([v for x in parts for _, v in x], np.float64)
-    del feats, parts
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(x) // 8 for x in found])
+    both = np.frombuffer(b"".join(found), np.int32).reshape(-1, 2)
+    names, cols, seen = np.unique(both[:, 0], return_inverse=True, return_counts=True)
+    often = (seen >= MIN_DOCUMENTS)[cols]
+    rows, vals = rows[often], np.minimum(1.0 + 0.25 * (both[often, 1] - 1), 2.0)
+    cols = (np.cumsum(seen >= MIN_DOCUMENTS) - 1)[cols[often]]
+    names = names[seen >= MIN_DOCUMENTS].tolist()
     links, earlier = [], np.zeros((n, 0))
     for name, y in labels.items():
         y = y.astype(float)
@@ -186,8 +189,13 @@ def train_chain(words: list[dict[str, int]], ids: list[int], labels: dict[str, n
     return Chain(links)
 
 
+def pack(features: dict[int, int]) -> bytes:
+    """Feature numbers and counts as pairs of 32-bit integers."""
+    return np.array(sorted(features.items()), np.int32).tobytes()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> pd.DataFrame:
-    """Word counts and labels of the sampled documents; at most 2 * per_class rows reach the driver."""
+    """Features and labels of the sampled documents; at most 2 * per_class rows reach the driver."""
     order = F.xxhash64(F.col("doc_id"), F.lit(3))
     named = labels.where(F.col("doc_id").isNotNull() & F.col(CHAIN[-1]).isin(0, 1)).select("doc_id", *CHAIN)
     sides = [named.where(F.col(CHAIN[-1]) == v).orderBy(order, "doc_id").limit(per_class) for v in (0, 1)]
@@ -195,10 +203,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> pd.Da
 
     def counted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in it:
-            part["words"] = [" ".join(f"{w} {c}" for w, c in text_words(t).items()) for t in part["text"]]
-            yield part[["doc_id", *CHAIN, "words"]]
+            part["features"] = [pack(text_features(t)) for t in part["text"]]
+            yield part[["doc_id", *CHAIN, "features"]]
 
-    schema = "doc_id long, " + ", ".join(f"{c} int" for c in CHAIN) + ", words string"
+    schema = "doc_id long, " + ", ".join(f"{c} int" for c in CHAIN) + ", features binary"
     joined = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", *CHAIN)
     return joined.mapInPandas(counted, schema).toPandas()
 
@@ -210,15 +218,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Cha
     got = labelled_sample(docs, named, per_class).sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     if not len(got):
         return Chain([Link(c, {}, [0.0] * i, -5.0) for i, c in enumerate(CHAIN)])
-    words = []
-    for s in got["words"]:
-        flat = s.split(" ") if s else []
-        words.append(dict(zip(flat[::2], map(int, flat[1::2]), strict=True)))
     y = got["toxic"].to_numpy()
     taken = {v: max(int((y == v).sum()), 1) for v in (0, 1)}
     # The sample holds the classes in other shares than the labels; weights put that right.
     weight = np.array([totals.get(v, 0) / taken[v] for v in y], float)
-    return train_chain(words, got["doc_id"].tolist(), {c: got[c].to_numpy() for c in CHAIN}, weight / weight.mean())
+    return train_chain(got["features"].tolist(), got["doc_id"].tolist(), {c: got[c].to_numpy() for c in CHAIN}, weight / weight.mean())
 
 
 def score_chain(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
