@@ -123,9 +123,10 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     of its language. Each text counts alike, whatever its length.
     """
     fold = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = fold.groupBy("lang").count()
+    # One row per language, as many as prototypes reach the driver anyway.
+    sizes = F.create_map(*[F.lit(x) for r in fold.groupBy("lang").count().collect() for x in (r["lang"], float(per_language) / r["count"])] or [F.lit(""), F.lit(0.0)])
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    sample = fold.join(sizes, "lang").where(share < F.lit(float(per_language)) / F.col("count")).select("lang", "text")
+    sample = fold.where(share < sizes[F.col("lang")]).select("lang", "text")
 
     def bundle(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
