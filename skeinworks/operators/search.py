@@ -38,7 +38,11 @@ def keyword_scores(rows: DataFrame, ident: str, text: str, query: str) -> DataFr
         return rows.select(ident, F.lit(0.0).alias("keyword")).limit(0)
     found = F.filter(terms(F.col(text)), lambda t: t.isin(wanted))
     hits = rows.select(ident, found.alias("_t")).where(F.size("_t") > 0)
-    score = sum((F.log1p(F.size(F.filter("_t", lambda t, w=w: t == w)).cast("double")) for w in wanted), F.lit(0.0))
+
+    def times(word: str) -> Column:
+        return F.size(F.filter("_t", lambda t: t == word)).cast("double")
+
+    score = sum((F.log1p(times(w)) for w in wanted), F.lit(0.0))
     return hits.select(ident, score.alias("keyword"))
 
 
