@@ -8,18 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_DEPTH = 10
-#: Principals go into the plan as literals up to this many; more are joined.
-INLINE_PRINCIPALS = 1000
 
 
 def visible(principals: Sequence[str] | None) -> Column:
-    """Public rows and those a principal may view; None: no restriction, empty: public rows only."""
+    """Public rows and those a principal may view; None: no restriction, empty: public rows only.
+
+    Null where neither is known, which a filter drops.
+    """
     if principals is None:
         return F.lit(True)
-    public = F.coalesce(F.col("access_is_public"), F.lit(False))
+    public = F.col("access_is_public")
     if not principals:
         return public
-    return public | F.coalesce(F.arrays_overlap("access_viewers", F.array(*map(F.lit, principals))), F.lit(False))
+    return public | F.arrays_overlap("access_viewers", F.array(*map(F.lit, principals)))
 
 
 def visible_in_memory(principals: Sequence[str]) -> Column:

@@ -1,7 +1,8 @@
 """Filter algebra: conditions are validated when the plan is built and become native Columns.
 
 A group is a conjunction, a list of groups a disjunction. Comparisons are null-safe: a null field passes
-`not_equals` and `not_in`, and fails every other condition. Fields inside `breadcrumbs` match if any element does.
+`not_equals` and `not_in`, and fails every other condition. Plain comparisons stay plain (null, which a
+filter drops like false), so that they reach the scan; only what is denied is made null-safe. Fields inside `breadcrumbs` match if any element does.
 """
 
 from __future__ import annotations
@@ -97,16 +98,15 @@ def _literal(kind: str, value: Any) -> Any:
 def _test(column: Column, kind: str, operator: str, value: Any) -> Column:
     if operator in ("in", "not_in"):
         hit = column.isin([_literal(kind, v) for v in value]) if value else F.lit(False)
-        hit = F.coalesce(hit, F.lit(False))
-        return ~hit if operator == "not_in" else hit
+        return ~F.coalesce(hit, F.lit(False)) if operator == "not_in" else hit
     literal = F.lit(_literal(kind, value))
     if operator == "equals":
         return column.eqNullSafe(literal)
     if operator == "not_equals":
         return ~column.eqNullSafe(literal)
     if operator == "contains":
-        return F.coalesce(F.lower(column).contains(F.lower(literal)), F.lit(False))
-    return F.coalesce(getattr(column, ORDERING[operator])(literal), F.lit(False))
+        return F.lower(column).contains(F.lower(literal))
+    return getattr(column, ORDERING[operator])(literal)
 
 
 def condition(c: Condition) -> Column:
@@ -145,7 +145,7 @@ def merged(user: Sequence[Group], plan: Sequence[Group], merge: str = "flat") ->
 
 
 def name_contains(text: str) -> Column:
-    return F.coalesce(F.lower("name").contains(text.lower()), F.lit(False))
+    return F.lower("name").contains(text.lower())
 
 
 def tenant(collection_id: str) -> Column:

@@ -1,7 +1,7 @@
 """The older filter grammar: nested dicts of must, should and must_not.
 
 must is a conjunction, should a disjunction, both joined by and; must_not denies the conjunction of its
-clauses. A clause that is not understood raises, where a lenient reader would drop it and widen the result.
+clauses, null counting as false there. A clause that is not understood raises, where a lenient reader would drop it and widen the result.
 """
 
 from __future__ import annotations
@@ -37,22 +37,21 @@ def _bounds(column: Column, bounds: dict, is_date: bool) -> Column:
         if k not in _RANGE:
             raise ValueError(f"unknown bound {k}")
         tests.append(getattr(column, _RANGE[k])(F.lit(epoch_seconds(v) if is_date and isinstance(v, str) else v)))
-    return F.coalesce(all_of(tests), F.lit(False))
+    return all_of(tests)
 
 
 def _match(key: str, rule: dict) -> Column:
     column, many = F.col(key), key in LISTS
     if "value" in rule:
         hit = F.array_contains(column, rule["value"]) if many else column == F.lit(rule["value"])
-        return F.coalesce(hit, F.lit(False))
+        return hit
     for name in ("any", "except"):
         if name in rule:
             values = rule[name]
             if not values:
                 return F.lit(name == "except")
             hit = F.arrays_overlap(column, F.array(*map(F.lit, values))) if many else column.isin(values)
-            hit = F.coalesce(hit, F.lit(False))
-            return hit if name == "any" else ~hit
+            return hit if name == "any" else ~F.coalesce(hit, F.lit(False))
     raise ValueError(f"unknown match {sorted(rule)}")
 
 
@@ -112,7 +111,7 @@ def translate(found: dict | None) -> Column:
         least = found.get("minimum_should_match", 1)
         parts.append(any_of(should) if least == 1 else sum((F.when(x, 1).otherwise(0) for x in should), F.lit(0)) >= least)
     if denied:
-        parts.append(~all_of(denied))
+        parts.append(~F.coalesce(all_of(denied), F.lit(False)))
     return all_of(parts)
 
 
