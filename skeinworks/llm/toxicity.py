@@ -33,7 +33,7 @@ from .common import read
 PER_CLASS = 2500
 FOLDS = 3
 MIN_DOCUMENTS = 3
-THRESHOLD = 0.4
+THRESHOLD = 0.3
 #: Least score-test statistic of a feature.
 LEAST_Z = 3.5
 CHAIN = ["low_quality", "toxic"]
@@ -155,7 +155,7 @@ def fit_sparse(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, d:
     return full, v[:k], float(v[k])
 
 
-def train_chain(found: list[bytes], ids: list[int], labels: dict[str, np.ndarray], weight: np.ndarray, l1: float = 0.0005) -> Chain:
+def train_chain(found: list[bytes], ids: list[int], labels: dict[str, np.ndarray], weight: np.ndarray, l1: float = 0.0002) -> Chain:
     """The chain over documents given as packed features (see pack); labels by category in chain order."""
     n = len(found)
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids])
