@@ -26,6 +26,12 @@ def _(spark, sf_dir):
     return spark.read.format("skein_stub").option("seed", 42).option("count", 1000).load()
 
 
+@reg("s02_stub_memberships", "select case when i between 1 and 9 then 'group-' || i else 'user-' || i end as member_id, case when i between 1 and 9 then 'group-' || (i - 1) else 'group-' || (i % 10) end as group_id from range(50) t(i)")
+def _(spark, sf_dir):
+    stores.register(spark)
+    return spark.read.format("skein_stub").option("table", "memberships").option("count", 50).load().select("member_id", "group_id")
+
+
 @reg("s09_incremental", "select o_orderkey from orders where o_orderkey > 1000")
 def _(spark, sf_dir):
     return stores.since(table(spark, sf_dir, "orders"), "o_orderkey", 1000).select("o_orderkey")

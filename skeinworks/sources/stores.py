@@ -87,7 +87,8 @@ class _Part(InputPartition):
 
 
 class StubSource(DataSource):
-    """Generated entities: options `seed`, `count`, `after` (a cursor) and `partitions`.
+    """Generated entities: options `seed`, `count`, `after` (a cursor), `partitions`, and `table`: entities or
+    memberships (each user in one of ten groups, each group in the one before it).
 
     A row depends on the seed and its number only, so any slice can be made anywhere and again.
     """
@@ -97,6 +98,8 @@ class StubSource(DataSource):
         return "skein_stub"
 
     def schema(self) -> str:
+        if self.options.get("table") == "memberships":
+            return "member_id string, member_type string, group_id string"
         return "entity_id string, name string, kind string, content string, sequence_number int, created_at timestamp"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
@@ -108,6 +111,7 @@ class _StubReader(DataSourceReader):
 
     def __init__(self, options):
         self.seed, self.count = int(options.get("seed", "42")), int(options.get("count", "20"))
+        self.table = options.get("table", "entities")
         self.after, self.parts = int(options.get("after", "-1")), int(options.get("partitions", "4"))
 
     def partitions(self) -> list[InputPartition]:
@@ -120,6 +124,9 @@ class _StubReader(DataSourceReader):
         import hashlib
 
         for i in range(partition.start, partition.stop):
+            if self.table == "memberships":
+                yield (f"group-{i}", "group", f"group-{i - 1}") if 0 < i < 10 else (f"user-{i}", "user", f"group-{i % 10}")
+                continue
             h = hashlib.sha256(f"{self.seed}:{i}".encode()).digest()
             share, kind = int.from_bytes(h[:4], "big") / 2**32, None
             for kind, p in self.KINDS:  # noqa: B007
