@@ -8,17 +8,21 @@ compared by signature and then confirmed on full sets.
 Work per group stays linear where groups are tight:
 
 1. Documents with equal sets collapse to the smallest id; only these go on.
-2. In each bucket every member meets the bucket's smallest id (a star, not all pairs).
-3. Confirmed links give components. Only buckets that then still hold several components are looked at
-   again: members of different components meet. There the exact distances to the bucket's smallest id
-   rule pairs out (Jaccard distance obeys the triangle inequality), as do set sizes and signatures.
+2. In each bucket every member meets one hub (a star, not all pairs): the member that shares most buckets
+   with others, which is the text that the copies of a group were made from, if it is there.
+3. Confirmed links give components. Only members of buckets that then still hold several components are
+   looked at again, by prefixes: two sets that overlap enough share one of the rarest shingles of both.
+   Shingles that one document alone has come first in that order and cannot be shared, so texts that differ
+   from a common source by edits of their own have short prefixes, or none. Pairs of different components
+   that meet in a prefix, and whose places in it leave room for enough others, are confirmed.
 
 So no link between two texts that share a bucket is lost; with 32 bands of four values a pair at the
 threshold of 0.8 shares no bucket with probability (1 - 0.8**4)**32 = 5e-8.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; a text of
 fewer words than a shingle is one shingle; a row with a null id is a component of its own with a null
-component_id; rows that share an id share its component; an empty table gives an empty result; further
+component_id; rows that share an id share its component; with further columns, a null id
+has no `n_shingles` and an id's repeated rows get its largest; an empty table gives an empty result; further
 columns of the input are kept by `near_duplicates`, clashing names replaced.
 """
 
@@ -30,10 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_array, gram_hashes, mix, read, stored, utf8, word_hashes
+from .url_filter import BlockedBloom
 
 PERMUTATIONS = 64
 BANDS = 32
@@ -123,16 +128,26 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(agree("sa", "sb") >= LEAST_AGREEING).select("a", "b")
 
 
-def _measured(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Pairs with the sizes of intersection and union of their full sets."""
+def _sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, items): the full sets of these documents. A Bloom filter of the ids keeps the texts of all others
+    from being moved; the exact join follows."""
+    bloom = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(ids.select(F.col("id").alias("key"))).words)
+
+    @F.pandas_udf("boolean")
+    def possible(h: pd.Series) -> pd.Series:
+        return pd.Series(BlockedBloom(bloom.value).passes(h.to_numpy()))
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             found = [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.binary())], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(found, pa.binary())], names=["id", "items"])
+
+    some = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
+    return stored(some.where(possible(F.xxhash64("id"))).join(ids, "id", "left_semi").mapInArrow(sets, "id long, items binary"))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, items binary"))
+
+def _measured(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs with the sizes of intersection and union of their full sets."""
 
     @F.pandas_udf("shared long, total long")
     def compare(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -152,6 +167,41 @@ def _measured(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return stored(out.groupBy("a", "b").agg(F.max(F.struct(F.col("_c.shared") / F.col("_c.total"), F.col("_c.shared").alias("shared"), F.col("_c.total").alias("total"))).alias("_m")).select("a", "b", "_m.shared", "_m.total"))
 
 
+def _met_in_prefix(held: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can still overlap enough.
+
+    held: rep, n, component, size (of its component), least (size of the smallest document that it shares
+    a bucket with). An overlap must reach percent * (n + m) / (100 + percent).
+    """
+
+    def items(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [np.frombuffer(x, np.int64) for x in batch.column("items").to_pylist()]
+            rep = np.repeat(np.array(batch.column("id").to_pylist(), np.int64), [len(x) for x in found])
+            h = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(h, pa.int64())], names=["rep", "h"])
+
+    def needed(n: Column, m: Column) -> Column:
+        return F.ceil(percent * (n + m) / (100 + percent) - 1e-9)
+
+    rows = own.join(held.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(items, "rep long, h long").distinct()
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    each = Window.partitionBy("rep")
+    placed = rows.join(often, "h").withColumns({"place": F.row_number().over(each.orderBy("df", "h")), "s": F.count(F.lit(1)).over(each)})
+    floor = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    prefix = placed.join(held, "rep").where(F.col("place") <= F.col("s") - needed(F.col("n"), floor) + 1)
+    prefix = stored(prefix.select("h", "rep", "n", "s", "place", "component", "size"))
+    # One side of a pair lies outside the shingle's largest component: only such rows look for partners.
+    main = prefix.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max_by("component", F.struct("size", "component")).alias("main"))
+    left = prefix.join(main.where("c1 < c2").select("h", "main"), "h").where("component <> main")
+    right = prefix.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("place").alias("at"), F.col("component").alias("other"))
+    apart = (F.col("component") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("rep") < F.col("b")))
+    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    room = F.least(F.col("s") - F.col("place"), F.col("t") - F.col("at")) + 1 >= needed(F.col("n"), F.col("m"))
+    met = left.join(right, "h").where(apart & fits & room)
+    return met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs with `n_shingles`, `component_id` and `kept` (the document is the smallest of its component)."""
     docs = docs.drop("n_shingles", "component_id", "kept")
@@ -161,24 +211,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = stored(firsts.select("rep", "n_shingles", "bands", "sig"))
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     members = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stored(members.join(buckets, "key").select("key", "rep", "n", F.col("first.rep").alias("pivot"), F.col("first.n").alias("m")))
-    star = shared.where((F.col("rep") > F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    first = _measured(stored(_agreeing(star, reps)), docs, shingle)
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stored(members.join(sizes, "key"))
+    weights = shared.groupBy("rep").agg(F.sum("size").alias("w"))
+    hubs = shared.join(weights, "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"), "n")).alias("_h"))
+    shared = stored(shared.drop("size").join(hubs.select("key", (-F.col("_h.r")).alias("pivot"), F.col("_h.n").alias("m")), "key"))
+    star = shared.where((F.col("rep") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    own = _sets(shared.select(F.col("rep").alias("id")).distinct(), docs, shingle)
+    first = _measured(stored(_agreeing(star, reps)), own)
     linked = (100 * F.col("shared") >= percent * F.col("total")) & (F.col("total") > 0)
     links = first.where(linked).select("a", "b")
     label = components(links)
 
-    # Buckets that hold several components after the stars: members of different components meet there.
     placed = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    far = first.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("total")).alias("d"))
-    open_ = placed.join(several, "key", "left_semi").where("rep <> pivot").join(far, ["pivot", "rep"], "left")
-    open_ = stored(open_.select("key", "rep", "n", "component", "d"))
-    other = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"), F.col("d").alias("e"))
-    near = F.coalesce(F.abs(F.col("d") - F.col("e")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    cross = open_.withColumnRenamed("rep", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("cb")) & fits & near)
-    second = _measured(stored(_agreeing(cross.select("a", "b").distinct(), reps)), docs, shingle)
+    several = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("n").alias("least")).where("c1 < c2")
+    held = placed.join(several.select("key", "least"), "key").groupBy("rep", "n", "component").agg(F.min("least").alias("least"))
+    size = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    held = stored(held.join(size, "component", "left").fillna(1, ["size"]))
+    second = _measured(stored(_agreeing(_met_in_prefix(held, own, percent), reps)), own)
     more = second.where(linked).select("a", "b")
     if more.limit(1).count():
         label = components(links.unionByName(more))
@@ -188,9 +238,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     result = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))
     result = result.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     result = result.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
-    if set(docs.columns) <= {"doc_id", "text"} and "text" in docs.columns:
+    if set(docs.columns) == {"doc_id", "text"}:
         return result
-    return docs.join(result.dropDuplicates(["doc_id"]), "doc_id", "left")
+    one = result.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.bool_and("kept").alias("kept"))
+    return docs.join(one, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
 
 
 def op8_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,9 @@ from .common import read, stored
 CAPACITY = 4096
 TOLERANCE = 0.02
 END_ID = 2
-KEPT_WORDS = 900_000
+KEPT_WORDS = 1_500_000
+#: Texts whose new words are encoded in one call.
+TOGETHER = 200
 BLOCK_PIECES = 20_000
 #: White space as the vocabulary's normaliser sees it.
 _WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -58,17 +60,30 @@ class WordTokens:
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         known = self.known
-        for t in texts:
-            words = _WORDS.findall(t or "")
-            new = set(words).difference(known)
+        for a in range(0, len(texts), TOGETHER):
+            words = [_WORDS.findall(t or "") for t in texts[a : a + TOGETHER]]
+            new = set().union(*words).difference(known)
             if new:
                 if len(known) + len(new) > KEPT_WORDS:
                     known.clear()
-                    new = set(words)
-                batch = list(new)
-                for w, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join([known[w] for w in words])
+                    new = set().union(*words)
+                self._learn(new)
+            for w in words:
+                yield b"".join([known[x] for x in w])
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new words. A full stop or comma after an ASCII letter or digit is a token of its own, so such
+        a word's ids are those of its stem and of the mark."""
+        known = self.known
+        marked = [w for w in new if w[-1] in ",." and len(w) > 1 and w[-2].isascii() and w[-2].isalnum()]
+        stems = new.difference(marked)
+        stems.update(w[:-1] for w in marked)
+        stems.update(w[-1] for w in marked)
+        batch = [w for w in stems if w not in known]
+        for w, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1]]
 
 
 @cache

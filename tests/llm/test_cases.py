@@ -317,6 +317,7 @@ def brute_components(rows, k, percent):
 def test_near_duplicate_cases(spark, docs, wide, empty):
     out = neardup.near_duplicates(wide, 4)
     assert counted(out) == EXPECTED and out.columns.count("kept") == 1
+    assert all(r.kept == (r.doc_id is None or r.component_id == r.doc_id) for r in out.collect())
     assert neardup.near_duplicates(empty, 4).count() == 0
     want = brute_components(ROWS, 4, 80)
     for r in neardup.near_duplicates(docs, 4).collect():
