@@ -38,7 +38,7 @@ THRESHOLD = 0.3
 LEAST_Z = 3.5
 CHAIN = ["low_quality", "toxic"]
 _WORD = re.compile(r"[^\W\d_]+")
-_BEGINNINGS = (5, 6, 7)
+_BEGINNINGS = (4, 5, 6)
 
 
 _SPACE = (1 << 24) - 1
