@@ -111,15 +111,16 @@ def listed(entries: DataFrame) -> DataFrame:
     )
 
 
-def candidates(host: str = "host", path: str = "path") -> Column:
-    """Every suffix of the host at a dot, with every prefix of the path that ends in a slash."""
+def candidates(labels: int, levels: int, host: str = "host", path: str = "path") -> Column:
+    """Every suffix of the host at a dot, with every prefix of the path that ends in a slash, up to the most
+    labels and slashes that a key of the list has: longer ones equal no key."""
+    names, parts = f"split({host}, '[.]', -1)", f"split({path}, '/', -1)"
     return F.expr(
         f"""flatten(transform(
-            sequence(1, size(split({host}, '[.]', -1))),
+            sequence(greatest(size({names}) - {labels} + 1, 1), size({names})),
             i -> transform(
-                filter(sequence(1, greatest(size(split({path}, '/', -1)) - 1, 1)), j -> instr({path}, '/') > 0),
-                j -> concat(array_join(slice(split({host}, '[.]', -1), i, 1000000), '.'),
-                            array_join(slice(split({path}, '/', -1), 1, j), '/'), '/'))))"""
+                filter(sequence(1, greatest(least(size({parts}) - 1, {levels}), 1)), j -> instr({path}, '/') > 0),
+                j -> concat(array_join(slice({names}, i, {labels}), '.'), array_join(slice({parts}, 1, j), '/'), '/'))))"""
     )
 
 
@@ -137,7 +138,8 @@ def judge(pages: DataFrame, entries: DataFrame, max_bytes: int = 64 << 20) -> Da
 
     host, path = host_and_path(F.col("url"))
     base = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    keyed = base.withColumn("_keys", candidates()).withColumn("_hit", possible(F.transform("_keys", _key_hash)))
+    most = rules.agg(F.max(F.size(F.split("rule_host", "[.]", -1))), F.max(F.size(F.split("key", "/", -1)) - 1)).first()
+    keyed = base.withColumn("_keys", candidates(most[0] or 1, most[1] or 1)).withColumn("_hit", possible(F.transform("_keys", _key_hash)))
     # Rows keep their identity through the join by their place in the scan, which a rerun of the task repeats.
     marked = keyed.withColumn("_row", F.monotonically_increasing_id()).withColumn("_keys", F.expr("filter(_keys, (x, i) -> _hit[i])")).drop("_hit")
     exact = F.col("path").startswith(F.col("rule_path"))
