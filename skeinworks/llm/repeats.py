@@ -164,12 +164,16 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BY
 
     Kept words keep the white space between them; parts that come together are joined by one space.
     """
-    docs = docs.drop("n_words", "n_removed", "_fp", "_block")
+    every = docs.drop("n_words", "n_removed", "_fp", "_block")
+    # Rows without an id are not compared; they stay where they are, however many they be.
+    docs, aside = every.where(F.col("doc_id").isNotNull()), every.where(F.col("doc_id").isNull())
+    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE_CLASS + "+"), "")).cast("long")
+    aside = aside.withColumns({"n_words": n_words, "n_removed": F.lit(0).cast("long")})
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     fp, block = F.md5(F.col("text").cast("binary")), F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
     texts = docs.withColumns({"_fp": fp, "_block": block})
-    marks = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", fp.alias("_fp"), block.alias("_block"))
+    marks = docs.where(F.octet_length("text") > 0).select("doc_id", fp.alias("_fp"), block.alias("_block"))
     least = marks.groupBy("_fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     copies = stored(marks.join(least, "_fp").where("doc_id > least").select("_block", "doc_id", "_fp", F.lit(None).cast("long").alias("h")))
 
@@ -217,7 +221,7 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BY
     seen = against(control(twice), windows, found)
     later = seen.withColumn("least", F.min("lo").over(same)).where("least < hi")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return against(control(later), clean, schema)
+    return against(control(later), clean, schema).unionByName(aside)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
