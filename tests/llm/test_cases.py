@@ -222,6 +222,13 @@ def test_url_paths_inside_a_directory(spark):
     assert {r.page_id: r.rule for r in url_filter.judge(rows, entries).collect()} == {1: "a.com/de", 2: "a.com", 3: "a.com/de"}
 
 
+def test_deep_urls_and_deep_entries(spark):
+    deep, wide = "http://a.com" + "/x" * 5000, "http://" + "s." * 3000 + "b.a.com/x/y/z"
+    rows = spark.createDataFrame([(1, deep), (2, wide), (3, "http://a.com/x/y"), (4, "http://com/x/y/z")], "page_id long, url string")
+    entries = spark.createDataFrame([("com/x/", "block"), ("b.a.com/x/y/", "allow"), ("a.com/x/x/x/", "allow")], "rule string, verdict string")
+    assert {r.page_id: r.rule for r in url_filter.judge(rows, entries).collect()} == {1: "a.com/x/x/x/", 2: "b.a.com/x/y/", 3: "com/x/", 4: "com/x/"}
+
+
 # 5: repeated passages
 def flat(text):
     return b" ".join((text or "").encode().split()).decode()
@@ -261,6 +268,13 @@ def test_repeats_cases(spark, docs, wide, empty, block):
         assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_leave_rows_without_an_id(spark):
+    text = prose(30, 70)
+    rows = [(1, text), (2, text), *[(None, text)] * 20]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 13, 200).collect()
+    assert sorted(((r.doc_id or 0, r.n_words, r.n_removed, r.text) for r in got)) == [*[(0, 30, 0, text)] * 20, (1, 30, 0, text), (2, 30, 30, "")]
+
+
 # 6: byte pairs
 def test_bpe_cases(spark, docs, wide, empty):
     c, pattern = bpe.codec(BPE), bpe.compiled(public_tokenizers.PATTERN)
