@@ -1,6 +1,6 @@
 """Line-first quality rules (operator 7), in DataFrame functions only.
 
-Each line of a text is judged by punctuation, navigation and boilerplate rules; failing lines are
+Each line of a text is judged by punctuation (an end, few symbols), navigation and boilerplate rules; failing lines are
 removed; a document that loses too large a share of its characters is rejected, as is one that fails
 the base rules. Nothing is shuffled: every measure is a function of one row.
 
@@ -38,6 +38,9 @@ LONG_LINE_CHARS = 300
 MENU = "|»›·•>"
 MENU_MARKS = 3
 MENU_LINE = f"(?:[{MENU}][^{MENU}]*){{{MENU_MARKS}}}"
+#: Characters that the measure n_symbols counts; a line with more than one in SYMBOL_PART is debris of mark-up.
+SYMBOLS = "#*$%&|<>"
+SYMBOL_PART = 5
 MAX_LOST = 0.5
 
 
@@ -46,14 +49,17 @@ def _words(text: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """True if any of the three rules removes the line; a blank line never fails."""
+    """True if any of the rules removes the line; a blank line never fails."""
     end = F.rtrim(line, F.lit(SPACES))
-    unfinished = ~F.contains(F.lit(ENDS), F.right(end, F.lit(1))) & ~((F.length(F.ltrim(end, F.lit(SPACES))) >= LONG_LINE_CHARS) & end.rlike(INNER_END))
+    length = F.length(F.ltrim(end, F.lit(SPACES)))
+    unfinished = ~F.contains(F.lit(ENDS), F.right(end, F.lit(1))) & ~((length >= LONG_LINE_CHARS) & end.rlike(INNER_END))
+    # Most lines have no symbol, and only the first test is made for them.
+    debris = end.rlike(f"[{SYMBOLS}]") & (SYMBOL_PART * (F.length(end) - F.length(F.regexp_replace(end, f"[{SYMBOLS}]+", ""))) > length)
     low = F.lower(line)
     furniture = F.lit(False)
     for phrase in BOILERPLATE:
         furniture = furniture | low.contains(phrase)
-    return (end != "") & (unfinished | end.rlike(MENU_LINE) | furniture)
+    return (end != "") & (unfinished | debris | end.rlike(MENU_LINE) | furniture)
 
 
 def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
@@ -64,7 +70,7 @@ def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
         {
             "n_words": F.size("words").cast("long"),
             "word_chars": F.length(F.array_join("words", "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long"),
+            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long"),
             "full_lines": F.filter("lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
             "good_lines": F.filter("lines", lambda x: ~line_fails(x)),
             "bad_lines": F.filter("lines", line_fails),
@@ -107,6 +113,7 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _Q = ENDS.replace("'", "''")
 _FAILS = f"""(b <> '' and (
   (not contains('{_Q}', right(b, 1)) and not (length(b) >= {LONG_LINE_CHARS} and regexp_matches(b, '{INNER_END.replace("'", "''")}')))
+  or {SYMBOL_PART} * (length(b) - length(translate(b, '{SYMBOLS}', ''))) > length(b)
   or regexp_matches(b, '{MENU_LINE}')
   or {" or ".join(f"contains(lower(l), '{x}')" for x in BOILERPLATE)}))"""
 
@@ -122,7 +129,7 @@ lb as (select rid, l, k, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12)
 lf as (select rid, count(*) filter (b <> '') - count(distinct l) filter (b <> '') as n_dup, count(*) filter ({_FAILS}) as n_bad,
   coalesce(sum(length(translate(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))) filter ({_FAILS}), 0) as bad_chars from lb group by rid),
 m as (select w.doc_id, len(words)::bigint as n_words, length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::bigint as word_chars,
-  (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols, coalesce(n_dup, 0)::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words,
+  (length(text) - length(translate(text, '{SYMBOLS}', '')))::bigint as n_symbols, coalesce(n_dup, 0)::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words,
   coalesce(n_bad, 0)::bigint as n_removed_lines, coalesce(bad_chars, 0) as bad_chars
   from w left join cov using (rid) left join lf using (rid))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,

@@ -298,10 +298,10 @@ def test_line_cases(spark, docs, wide, empty):
     assert all(r.base_failed and not r.kept for r in out.collect() if not (r.text or "").split())
     assert line_quality.clean_lines(empty).count() == 0
     good = "\n".join(" ".join(f"w{i}x{k}" for k in range(12)) + "." for i in range(6))
-    rows = [(1, good), (2, good + "\nHome | News | Sport | Contact"), (3, "\n".join(f"no end of line {i} " + prose(9, i) for i in range(9))), (4, good + "\nall rights reserved. Privacy Policy.")]
+    rows = [(1, good), (2, good + "\nHome | News | Sport | Contact"), (3, "\n".join(f"no end of line {i} " + prose(9, i) for i in range(9))), (4, good + "\nall rights reserved. Privacy Policy."), (5, "\n".join(" ".join(w + "###" for w in prose(12, i).split()) + "." for i in range(6)))]
     got = {r.doc_id: r for r in line_quality.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[i].kept for i in (1, 2, 3, 4)] == [True, True, False, True]
-    assert [got[i].n_removed_lines for i in (1, 2, 3, 4)] == [0, 1, 9, 1] and got[2].clean_text == good
+    assert [got[i].kept for i in (1, 2, 3, 4, 5)] == [True, True, False, True, False]
+    assert [got[i].n_removed_lines for i in (1, 2, 3, 4, 5)] == [0, 1, 9, 1, 6] and got[2].clean_text == good
 
 
 # 8: near duplicates
