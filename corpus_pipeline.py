@@ -14,6 +14,8 @@ from skeinworks.llm import language_id, neardup, packing, repeats, toxicity
 from skeinworks.llm.common import read, stored
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: Ids that a packing worker keeps: less than by default, as workers also hold what the other stages left in memory.
+KEPT_WORDS = 400_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
-    return packing.packed(docs, VOCABULARY)
+    return packing.packed(docs, VOCABULARY, KEPT_WORDS)
 
 
 STAGES = [

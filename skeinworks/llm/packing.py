@@ -33,6 +33,7 @@ from .common import read, stored
 CAPACITY = 4096
 TOLERANCE = 0.02
 END_ID = 2
+#: Words whose ids a worker keeps, at about 150 bytes each: fewer cost seconds, not results.
 KEPT_WORDS = 1_500_000
 #: Texts whose new words are encoded in one call.
 TOGETHER = 200
@@ -53,8 +54,9 @@ def _tokenizer(path: str):
 class WordTokens:
     """Ids of texts for a vocabulary that drops white space: a text's ids are those of its words in turn."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
         self.tokenizer = _tokenizer(path)
+        self.kept_words = kept_words
         self.known: dict[str, bytes] = {}
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -64,7 +66,7 @@ class WordTokens:
             words = [_WORDS.findall(t or "") for t in texts[a : a + TOGETHER]]
             new = set().union(*words).difference(known)
             if new:
-                if len(known) + len(new) > KEPT_WORDS:
+                if len(known) + len(new) > self.kept_words:
                     known.clear()
                     new = set().union(*words)
                 self._learn(new)
@@ -87,8 +89,8 @@ class WordTokens:
 
 
 @cache
-def _words(path: str) -> WordTokens:
-    return WordTokens(path)
+def _words(path: str, kept_words: int) -> WordTokens:
+    return WordTokens(path, kept_words)
 
 
 def cuts(n: int, capacity: int = CAPACITY, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -107,14 +109,14 @@ def cuts(n: int, capacity: int = CAPACITY, tolerance: float = TOLERANCE) -> list
     return out
 
 
-def pieces(docs: DataFrame, path: str, end_id: int | None = END_ID, capacity: int = CAPACITY, tolerance: float = TOLERANCE) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int | None = END_ID, capacity: int = CAPACITY, tolerance: float = TOLERANCE, kept_words: int = KEPT_WORDS) -> DataFrame:
     """One row per piece of each document's ids."""
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in it:
             rows = []
-            for i, key, ids in zip(part["doc_id"].tolist(), part["block_key"].tolist(), _words(path).texts(part["text"].tolist()), strict=True):
+            for i, key, ids in zip(part["doc_id"].tolist(), part["block_key"].tolist(), _words(path, kept_words).texts(part["text"].tolist()), strict=True):
                 ids += end
                 at, n = 0, len(ids) // 4
                 for size, k in cuts(n, capacity, tolerance):
@@ -179,8 +181,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return kept.select(*[F.col(c).cast("long") for c in names]).unionByName(rest)
 
 
-def packed(docs: DataFrame, path: str) -> DataFrame:
-    return pack(stored(pieces(docs, path)))
+def packed(docs: DataFrame, path: str, kept_words: int = KEPT_WORDS) -> DataFrame:
+    return pack(stored(pieces(docs, path, kept_words=kept_words)))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
