@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 RRF_K = 60
 RERANK_WINDOW = 100
+BUDGET_RANGES = 200
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -68,6 +69,27 @@ def within_budget(rows: DataFrame, size: str, order: Sequence[str], budget: int,
     return out.where((F.col("_sum") <= budget) | (F.col("_n") <= at_least)).drop("_sum", "_n")
 
 
+def within_budget_by_ranges(rows: DataFrame, size: str, key: str, budget: int, ranges: int = BUDGET_RANGES) -> DataFrame:
+    """Rows by ascending key, null keys last, until the summed size would pass the budget; for tables of any size.
+
+    Sizes are at least 0. Sums by range of the key come first, one row a range; the window then runs inside the
+    ranges that the budget reaches, on top of what the earlier ones hold. Rows of one key stay or go together.
+    """
+    cuts = rows.select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("c")).first()["c"] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    rows = rows.withColumn("_part", F.when(F.col(key).isNull(), F.lit(ranges)).otherwise(part))
+    before, total = [], None
+    for r in sorted(rows.groupBy("_part").agg(F.sum(size).alias("n")).collect()):
+        if (total or 0) <= budget:
+            before.append((r["_part"], total))
+        total = total if r["n"] is None else (total or 0) + r["n"]
+    reached = rows.where(F.col("_part").isin([p for p, _ in before]))
+    w = Window.partitionBy("_part").orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    offset = F.create_map(*[x for p, n in before for x in (F.lit(p), F.lit(n).cast("long"))])[F.col("_part")] if before else F.lit(None).cast("long")
+    own = F.sum(size).over(w)
+    return reached.withColumn("_sum", F.coalesce(own + offset, offset, own)).where(F.col("_sum") <= budget).drop("_sum", "_part")
+
+
 def permuted(rows: DataFrame, order: Sequence[int], top: int, place: str = "place") -> DataFrame:
     """Rows in the order of a reranker's indices: repeated ones count once, missing ones follow in their old order."""
     seen = list(dict.fromkeys(int(i) for i in order))

@@ -129,13 +129,31 @@ def _(spark, sf_dir):
 
 @reg("c07_files_decoded", "select doc_id, text from documents where doc_id < 100 and length(trim(text)) > 0")
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id < 100").select("doc_id", F.lit("a.txt").alias("path"), F.col("text").cast("binary").alias("content"))
+    return _decoded(table(spark, sf_dir, "documents").where("doc_id < 100"))
+
+
+@reg("c07_files_decoded_all", "select doc_id, text from documents where length(trim(text)) > 0")
+def _(spark, sf_dir):
+    return _decoded(table(spark, sf_dir, "documents"))
+
+
+def _decoded(d):
+    d = d.select("doc_id", F.lit("a.txt").alias("path"), F.col("text").cast("binary").alias("content"))
     return convert.convert_files(d).select("doc_id", "text")
 
 
 @reg("c08_json_fenced", "select event_id, '```json' || chr(10) || '{' || chr(10) || '  \"k\": ' || (props->>'$.k') || chr(10) || '}' || chr(10) || '```' as text from events where event_id < 500")
 def _(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 500").select("event_id", F.lit("a.json").alias("path"), F.col("props").cast("binary").alias("content"))
+    return _fenced(table(spark, sf_dir, "events").where("event_id < 500"))
+
+
+@reg("c08_json_fenced_all", "select event_id, '```json' || chr(10) || '{' || chr(10) || '  \"k\": ' || (props->>'$.k') || chr(10) || '}' || chr(10) || '```' as text from events where props is not null")
+def _(spark, sf_dir):
+    return _fenced(table(spark, sf_dir, "events"))
+
+
+def _fenced(e):
+    e = e.select("event_id", F.lit("a.json").alias("path"), F.col("props").cast("binary").alias("content"))
     return convert.convert_files(e).select("event_id", "text")
 
 

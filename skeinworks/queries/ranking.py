@@ -108,9 +108,9 @@ def _(spark, sf_dir):
 
 @reg("w08_budget_prefix", "with r as (select doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as n from documents order by doc_id limit 200), s as (select doc_id, sum(n) over (order by doc_id) as t from r) select doc_id from s where t <= 20000")
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").orderBy("doc_id").limit(200)
+    d = table(spark, sf_dir, "documents")
     sized = d.select("doc_id", F.size(F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")).alias("n"))
-    return scoring.within_budget(sized, "n", ["doc_id"], 20000).select("doc_id")
+    return scoring.within_budget_by_ranges(sized, "n", "doc_id", 20000).select("doc_id")
 
 
 @reg("a14_best_by_id", "select l_partkey as id, round(max(l_extendedprice), 4) as score from lineitem group by l_partkey")

@@ -51,8 +51,17 @@ def _(spark, sf_dir):
 
 @reg("s06_raw_round_trip", "select doc_id::varchar as entity_id, case when doc_id % 2 = 0 then 'job2' else 'job1' end as sync_job_id, text from documents where doc_id < 300")
 def _(spark, sf_dir):
+    return _round_trip(spark, table(spark, sf_dir, "documents").where("doc_id < 300"))
+
+
+@reg("s06_raw_round_trip_all", "select doc_id::varchar as entity_id, case when doc_id % 2 = 0 then 'job2' else 'job1' end as sync_job_id, text from documents")
+def _(spark, sf_dir):
+    return _round_trip(spark, table(spark, sf_dir, "documents"))
+
+
+def _round_trip(spark, docs):
     root = _folder(spark)
-    d = table(spark, sf_dir, "documents").where("doc_id < 300").selectExpr("cast(doc_id as string) as entity_id", "text", "doc_id")
+    d = docs.selectExpr("cast(doc_id as string) as entity_id", "text", "doc_id")
     stores.write_raw(d.drop("doc_id"), root, "s1", "job1")
     stores.write_raw(d.where("doc_id % 2 = 0").drop("doc_id"), root, "s1", "job2")
     return stores.read_raw(spark, root, "s1", stores.raw_schema(d.drop("doc_id").schema)).select("entity_id", "sync_job_id", "text")
