@@ -11,7 +11,8 @@ adverts, forms, sidebars, comments, footers, and articles in various mark-up. No
 used. The model is small and goes out with the tasks; extraction is a function of one row, without shuffle.
 
 Defined cases: a null or empty page, or one without main text, gives an empty text; broken or cut mark-up is
-read as far as it goes; mark-up inside scripts, styles and comments is no text; repeated rows are read
+read as far as it goes; a head without its end tag ends where its content ends, an unclosed button, select,
+object or svg at the next block; mark-up inside scripts, styles and comments is no text; repeated rows are read
 alike; an empty table gives an empty result; further columns are kept by `extract`, clashing names
 replaced.
 """
@@ -49,6 +50,11 @@ _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data",
 _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+#: Start tags that may stand in a head; any other, or text, ends it where its end tag is left out.
+_IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
+#: Elements that hide what is in them and that, where their end tag is missing, end at the next block.
+_LEFT_OPEN = {"button", "select", "object", "svg"}
+_ENDS_LEFT_OPEN = _ENDS_P | {"body", "dd", "dt", "li", "td", "th", "tr"}
 #: Groups of tags that the trees see as yes or no.
 _GROUPS = [{"nav", "menu"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "input", "button", "select", "label", "textarea"}, {"article"}, {"main"}, {"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"}, {"table", "tbody", "tr", "td", "th"}, {"div", "section"}, {"blockquote", "pre", "figure", "figcaption"}, {"a"}, {"b", "i", "em", "strong", "span", "u", "small", "code"}, {"body", "html"}]
 
@@ -74,11 +80,18 @@ def _attribute_tokens(text: str) -> tuple[str, ...]:
 
 
 def parse(source: str | None) -> Page:
+    page, left_open = _parsed(source or "", frozenset())
+    return _parsed(source or "", left_open)[0] if left_open else page
+
+
+def _parsed(source: str, left_open: frozenset[int]) -> tuple[Page, frozenset[int]]:
+    """The page, and where in the source the elements of `_LEFT_OPEN` without an end tag begin; given ones end at a block."""
     tags, parents, tokens, ends = ["#page"], [-1], [()], [0]
     runs: list[tuple[int, str]] = []
     breaks: list[int] = []
     stack, block, at = [0], 0, 0
-    source = source or ""
+    begun: dict[int, int] = {}
+    waiting: list[tuple[int, int]] = []
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -86,6 +99,8 @@ def parse(source: str | None) -> Page:
 
     def text(a: int, b: int) -> None:
         if b > a:
+            if tags[stack[-1]] == "head" and not source[a:b].isspace():
+                close(len(stack) - 1)
             runs.append((stack[-1], source[a:b]))
             breaks.append(block)
 
@@ -101,11 +116,20 @@ def parse(source: str | None) -> Page:
                 block += 1
             for d in range(len(stack) - 1, 0, -1):
                 if tags[stack[d]] == tag:
+                    begun.pop(stack[d], None)
                     close(d)
                     break
             continue
+        if tags[stack[-1]] == "head" and tag not in _IN_HEAD:
+            close(len(stack) - 1)
         if tag not in _INLINE:
             block += 1
+        if left_open and tag in _ENDS_LEFT_OPEN:
+            for d, node in waiting:
+                if d < len(stack) and stack[d] == node:
+                    close(d)
+                    break
+            waiting.clear()
         if tag in _ENDS_P:
             for d in range(len(stack) - 1, 0, -1):
                 if tags[stack[d]] == "p":
@@ -131,12 +155,16 @@ def parse(source: str | None) -> Page:
         if tag in _VOID or attributes.endswith("/"):
             continue
         stack.append(len(tags) - 1)
+        if tag in _LEFT_OPEN:
+            begun[stack[-1]] = m.start()
+            if m.start() in left_open:
+                waiting.append((len(stack) - 1, stack[-1]))
         if tag in _RAW:
             low = re.compile(f"</{tag}", re.I).search(source, at)
             at = low.start() if low else len(source)
     text(at, len(source))
     close(0)
-    return Page(tags, parents, tokens, ends, runs, breaks)
+    return Page(tags, parents, tokens, ends, runs, breaks), frozenset(begun.values())
 
 
 @cache

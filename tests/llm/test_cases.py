@@ -428,3 +428,28 @@ def test_pages_held_out():
         wrong += own[keep & ~main].sum()
         missed += own[main & ~keep].sum()
     assert right / (right + wrong) > 0.99 and right / (right + missed) > 0.98
+
+
+ARTICLE = "<article><h1>A title</h1><p>First paragraph of text, with some words, long enough to be read.</p><p>Second one, also with some length to it, and a full stop.</p></article>"
+
+
+def test_pages_with_end_tags_left_out():
+    model = pages.learn(150)
+
+    def main(source):
+        page = pages.parse(source)
+        x, own = pages.features(page)
+        keep = pages.chosen(page, own, model.odds(x))
+        return {run.strip() for node, run in page.runs if keep[node] and run.strip()}
+
+    want = main(f"<html><head><title>T</title></head><body>{ARTICLE}</body></html>")
+    assert len(want) == 3
+    for start in ("<body>", "", "<div>", "</title><body>"):
+        assert main(f"<html><head><title>T</title><meta charset=utf-8><script>x='<p>'</script>{start}{ARTICLE}") == want
+    for hidden in ("<button>Menu", "<select><option>One<option>Two", "<svg><path d='M0'>", "<object data=x>", "<button>A<button>B</button>", "<object><object></object>"):
+        assert main(f"<html><head></head><body>{hidden}{ARTICLE}</body></html>") == want, hidden
+    # An element with its end tag hides all of its content, blocks too.
+    page = pages.parse("<body><button><div>Hidden</div></button><object><p>Also</p></object><p>Seen</p>")
+    assert {run for node, run in page.runs if pages.features(page)[1][node] > 0} == {"Seen"}
+    page = pages.parse("<head><title>T</title>Bare text")
+    assert {run for node, run in page.runs if pages.features(page)[1][node] > 0} == {"Bare text"}
