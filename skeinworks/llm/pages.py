@@ -23,7 +23,7 @@ import html as html_lib
 import re
 import zlib
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,9 @@ TREES = 40
 DEPTH = 4
 RATE = 0.3
 BUCKETS = 96
+#: Attribute values, tags and rows of them that a worker keeps, and the longest values kept; others are read anew.
+KEPT_VALUES = 10_000
+KEPT_VALUE_CHARS = 500
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[/a-zA-Z!?][^<>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -71,12 +74,17 @@ class Page:
     breaks: list[int]  # how many blocks begin or end before each run
 
 
-@cache
 def _attribute_tokens(text: str) -> tuple[str, ...]:
-    found = set()
-    for m in _ATTRIBUTE.finditer(text):
-        found.update(t.lower() for t in _TOKEN.findall(m[2] or m[3] or m[4] or ""))
-    return tuple(sorted(found))
+    """Words of the class, id and role values among a tag's attributes, however long these be."""
+    values = tuple(m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text))
+    if not values:
+        return ()
+    return _value_tokens(values) if sum(map(len, values)) <= KEPT_VALUE_CHARS else _value_tokens.__wrapped__(values)
+
+
+@lru_cache(maxsize=KEPT_VALUES)
+def _value_tokens(values: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(sorted({t.lower() for v in values for t in _TOKEN.findall(v)}))
 
 
 def parse(source: str | None) -> Page:
@@ -147,7 +155,7 @@ def _parsed(source: str, left_open: frozenset[int]) -> tuple[Page, frozenset[int
         tags.append(tag)
         parents.append(stack[-1])
         attributes = m[3]
-        tokens.append(_attribute_tokens(attributes) if "=" in attributes and len(attributes) < 500 else ())
+        tokens.append(_attribute_tokens(attributes) if "=" in attributes else ())
         ends.append(len(tags))
         if tag == "br":
             runs.append((stack[-1], " "))
@@ -167,12 +175,12 @@ def _parsed(source: str, left_open: frozenset[int]) -> tuple[Page, frozenset[int
     return Page(tags, parents, tokens, ends, runs, breaks), frozenset(begun.values())
 
 
-@cache
+@lru_cache(maxsize=KEPT_VALUES)
 def _tag_row(tag: str) -> np.ndarray:
     return np.array([tag in g for g in _GROUPS], np.float32)
 
 
-@cache
+@lru_cache(maxsize=KEPT_VALUES)
 def _token_row(tokens: tuple[str, ...]) -> np.ndarray:
     out = np.zeros(BUCKETS, np.float32)
     for t in tokens:

@@ -453,3 +453,14 @@ def test_pages_with_end_tags_left_out():
     assert {run for node, run in page.runs if pages.features(page)[1][node] > 0} == {"Seen"}
     page = pages.parse("<head><title>T</title>Bare text")
     assert {run for node, run in page.runs if pages.features(page)[1][node] > 0} == {"Bare text"}
+
+
+def test_pages_read_classes_among_long_attributes():
+    long = " ".join(f'data-x{i}="{"v" * 50}"' for i in range(40))
+    for tag in (f'<div {long} class="ad box" id=side>', f'<div class="ad box" {long} id=side>', '<div class="ad box" id=side>'):
+        assert pages.parse(tag + "text</div>").tokens[1] == ("ad", "box", "side")
+    many = " ".join(f"c{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    assert len(pages.parse(f"<div class='{many}'>").tokens[1]) == 600
+    for i in range(2 * pages.KEPT_VALUES):
+        pages.parse(f'<div data-n="{i}" class="c{i}">')
+    assert pages._value_tokens.cache_info().currsize <= pages.KEPT_VALUES
