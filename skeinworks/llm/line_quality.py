@@ -38,6 +38,12 @@ LONG_LINE_CHARS = 300
 MENU = "|»›·•>"
 MENU_MARKS = 3
 MENU_LINE = f"(?:[{MENU}][^{MENU}]*){{{MENU_MARKS}}}"
+#: Guillemets around a quotation are no marks of a menu, in either direction; what they enclose is judged.
+QUOTED = "«([^«»]*)»|»([^«»]*)«|‹([^‹›]*)›|›([^‹›]*)‹"
+#: Lines of LONG_LINE_CHARS or more, which may be whole texts, are judged by share: a menu has a mark for so many
+#: characters at least, and in furniture the phrases are more than one character in so many.
+MENU_ENTRY_CHARS = 30
+FURNITURE_PART = 10
 #: Characters that the measure n_symbols counts; a line with more than one in SYMBOL_PART is debris of mark-up.
 SYMBOLS = "#*$%&|<>"
 SYMBOL_PART = 5
@@ -55,11 +61,16 @@ def line_fails(line: Column) -> Column:
     unfinished = ~F.contains(F.lit(ENDS), F.right(end, F.lit(1))) & ~((length >= LONG_LINE_CHARS) & end.rlike(INNER_END))
     # Most lines have no symbol, and only the first test is made for them.
     debris = end.rlike(f"[{SYMBOLS}]") & (SYMBOL_PART * (F.length(end) - F.length(F.regexp_replace(end, f"[{SYMBOLS}]+", ""))) > length)
+    long = length >= LONG_LINE_CHARS
+    bare = F.regexp_replace(end, QUOTED, "$1$2$3$4")
+    # Most lines have no three marks, and only the first test is made for them.
+    menu = end.rlike(MENU_LINE) & bare.rlike(MENU_LINE) & (~long | (MENU_ENTRY_CHARS * (F.length(bare) - F.length(F.regexp_replace(bare, f"[{MENU}]+", ""))) > length))
     low = F.lower(line)
     furniture = F.lit(False)
     for phrase in BOILERPLATE:
         furniture = furniture | low.contains(phrase)
-    return (end != "") & (unfinished | debris | end.rlike(MENU_LINE) | furniture)
+    furniture = furniture & (~long | (FURNITURE_PART * (F.length(low) - F.length(F.regexp_replace(low, "|".join(BOILERPLATE), ""))) > length))
+    return (end != "") & (unfinished | debris | menu | furniture)
 
 
 def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:

@@ -304,6 +304,28 @@ def test_line_cases(spark, docs, wide, empty):
     assert [got[i].n_removed_lines for i in (1, 2, 3, 4, 5)] == [0, 1, 9, 1, 6] and got[2].clean_text == good
 
 
+def test_long_lines_are_judged_by_share(spark):
+    body, tail = prose(150, 400) + ".", " " + prose(150, 401) + "."
+    menu = " | ".join(f"Entry{i} of menu" for i in range(60)) + "."
+    furniture = "Read our privacy policy, cookie policy, terms of use and terms of service. " * 8
+    cases = {
+        body + " «Oui», dit-elle, «non» ou «peut-être»." + tail: True,
+        body + " »Ja«, »nein« und »vielleicht«.": True,
+        body + " See our privacy policy." + tail: True,
+        body + " Home | News | Sport | Contact." + tail: True,
+        menu: False,
+        furniture: False,
+        "«Oui», dit-elle, «non» ou «peut-être», et puis «merci».": True,
+        "« Back | One | Two | Three | Next ».": False,
+        "Home » News » Sport » Contact.": False,
+        "See our privacy policy.": False,
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    got = {r.text: r for r in line_quality.clean_lines(rows).collect()}
+    assert {t: r.n_removed_lines == 0 for t, r in got.items()} == cases
+    assert all(r.kept for t, r in got.items() if cases[t] and t.startswith(body))
+
+
 # 8: near duplicates
 def brute_components(rows, k, percent):
     sets = {}
