@@ -19,10 +19,10 @@ KEPT_WORDS = 400_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labels name; those without a letter, or unlike all of them, go."""
+    """Documents in a language that the labels name; those without a letter, or no nearer to any than noise is, go."""
     model = language_id.learn(docs.select("doc_id", "text", "lang"))
     found = language_id.identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") > language_id.NOISE)).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ empty table gives an empty result; further columns of the input are kept by `ide
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from .common import read
 DIMENSIONS = 1024
 GRAM = 3
 PER_LANGUAGE = 3000
+#: A text that shares no n-gram with a prototype has a cosine about 0 of deviation 1 / sqrt(DIMENSIONS): three are the margin.
+NOISE = 3 / DIMENSIONS**0.5
 _LETTERS = 4096
 _KEPT_GRAMS = 60_000
 
@@ -38,10 +41,10 @@ _gram_table = np.zeros((0, DIMENSIONS), np.int8)
 
 
 def _codes() -> np.ndarray:
-    """Letter number of each code point of the first two planes: 0 for what is no letter, case folded."""
+    """Letter number of each code point of all planes: 0 for what is no letter, case folded."""
     if not _codes_cache:
-        table = np.zeros(0x20000, np.uint16)
-        for c in range(0x20000):
+        table = np.zeros(sys.maxunicode + 1, np.uint16)
+        for c in range(sys.maxunicode + 1):
             ch = chr(c)
             if ch.isalpha():
                 low = ch.lower()
@@ -90,7 +93,7 @@ def _rows_of(grams: np.ndarray) -> np.ndarray:
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of the whole text, runs of non-letters read as one gap, with their counts."""
     points = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
-    codes = _codes()[np.minimum(points, 0x1FFFF)].astype(np.int64)
+    codes = _codes()[points].astype(np.int64)
     gap = codes == 0
     if gap.all():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

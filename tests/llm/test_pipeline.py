@@ -44,3 +44,21 @@ def test_stages_take_nulls_and_empty_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             at = stage(spark, at, SF)
         at.collect()
+
+
+def test_unlearned_scripts_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    r = random.Random(3)
+    words = lambda lo, hi: " ".join("".join(chr(r.randint(lo, hi)) for _ in range(6)) for _ in range(60))
+    scripts = [(0x430, 0x44F), (0x627, 0x63A), (0x4E00, 0x9FFF), (0x20000, 0x2A6D0)]
+    rows = [(10**6 + 100 * k + i, words(*s), None, "x", 1) for k, s in enumerate(scripts) for i in range(50)]
+    out = corpus_pipeline.language_stage(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF)
+    kept = {x.doc_id for x in out.select("doc_id").collect()}
+    assert sum(i >= 10**6 for i in kept) <= 4
+    clean = {x.doc_id for x in docs.where(F.length("text") >= 200).join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0"), "doc_id").collect()}
+    assert clean and clean <= kept
+
+
+def test_letters_of_all_planes():
+    assert len(corpus_pipeline.language_id.gram_counts("\U00020001\U0002a000")[0]) > 0
+    assert len(corpus_pipeline.language_id.gram_counts("\U0001f600\U0010ffff")[0]) == 0
