@@ -9,7 +9,8 @@ smaller id. The work goes by blocks of documents, so that what is frequent is co
 3. Windows with such an anchor are confirmed in the same way: each distinct window of a block meets the
    others by its hash, and comes back with the smallest document that has it.
 4. Each block compiles its confirmed passages (runs of confirmed windows) into an Aho-Corasick automaton,
-   one shard per block, and streams its documents through it to find every occurrence.
+   one shard per block (more where its words outnumber the code points), and streams its documents through
+   it to find every occurrence.
 
 One exchange of the texts serves all three readings. No group is larger than the number of blocks.
 
@@ -21,6 +22,8 @@ and `n_removed` are replaced if present.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -105,57 +108,85 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.nd
     return sorted_values[at] == x, at
 
 
-def _passages(block: Block, wh: np.ndarray, first: np.ndarray) -> tuple[ahocorasick.Automaton | None, list[str]]:
-    """The automaton of the block's confirmed passages and its documents as strings, one code point per word."""
+def _groups(begins: list[int], ends: list[int], numbers: np.ndarray, n: int, distinct: int) -> Iterator[list[tuple[int, int]]]:
+    """Passages, as runs of windows, in groups of at most `_MOST_CODES` distinct words; one longer than that is cut between windows."""
+    if distinct <= _MOST_CODES:
+        yield list(zip(begins, ends, strict=True))
+        return
+    most = _MOST_CODES - n + 1
+    seen, group, have = np.zeros(distinct, bool), [], 0
+    for begin, end in zip(begins, ends, strict=True):
+        for a in range(begin, end, most):
+            b = min(a + most, end)
+            words = np.unique(numbers[a : b + n - 1])
+            new = int((~seen[words]).sum())
+            if have + new > _MOST_CODES:
+                yield group
+                seen[:], group, have = False, [], 0
+                new = len(words)
+            seen[words] = True
+            group.append((a, b))
+            have += new
+    yield group
+
+
+def _passages(block: Block, wh: np.ndarray, first: np.ndarray) -> Iterator[tuple[ahocorasick.Automaton, list[str]]]:
+    """Automata of the block's confirmed passages, each with the documents as strings of one code point per word.
+
+    One automaton nearly always; several where the passages have more distinct words than there are code points.
+    """
     same, at = _member(wh, block.windows())
     hit = same & block.inside
     hit[hit] = first[at[hit]] < block.doc[hit]
     if not hit.any():
-        return None, []
-    # One code point per distinct word of the block; words outside confirmed windows need none of their own.
+        return
+    # One code point per distinct word of the group; words outside its windows need none of their own.
     need = np.zeros(len(block.words), bool)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
     cut = np.flatnonzero(np.isin(np.arange(1, len(hit)), block.first) & hit[1:] & hit[:-1]) + 1
     begins, ends = np.sort(np.concatenate([edge[::2], cut])), np.sort(np.concatenate([edge[1::2], cut]))
     for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
         need[a : b + block.n - 1] = True
-    distinct, inverse = np.unique(block.words[need], return_inverse=True)
-    if len(distinct) > _MOST_CODES:
-        raise ValueError("more distinct words in the repeated passages of one block than there are code points")
-    codes = np.full(len(block.words), 1, np.uint32)
-    codes[need] = inverse + _FIRST_CODE
-    known, place = _member(distinct, block.words)
-    codes[known] = place[known] + _FIRST_CODE
-    codes[codes >= 0xD800] += 0x800
-    text = codes.tobytes().decode("utf-32-le")
-    automaton = ahocorasick.Automaton()
-    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-        size = b - a + block.n - 1
-        automaton.add_word(text[a : a + size], (size, int(first[at[a:b]].max())))
-    automaton.make_automaton()
-    return automaton, [text[a:b] for a, b in zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)]
+    distinct = np.unique(block.words[need])
+    known, numbers = _member(distinct, block.words)
+    for group in _groups(begins.tolist(), ends.tolist(), numbers, block.n, len(distinct)):
+        if len(distinct) <= _MOST_CODES:
+            mine, place = known, numbers
+        else:
+            own = np.unique(np.concatenate([block.words[a : b + block.n - 1] for a, b in group]))
+            mine, place = _member(own, block.words)
+        codes = np.full(len(block.words), 1, np.uint32)
+        codes[mine] = place[mine] + _FIRST_CODE
+        codes[codes >= 0xD800] += 0x800
+        text = codes.tobytes().decode("utf-32-le")
+        automaton = ahocorasick.Automaton()
+        for a, b in group:
+            size = b - a + block.n - 1
+            automaton.add_word(text[a : a + size], (size, int(first[at[a:b]].max())))
+        automaton.make_automaton()
+        yield automaton, [text[a:b] for a, b in zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)]
 
 
 def _removed(block: Block, wh: np.ndarray, first: np.ndarray) -> list[np.ndarray | None]:
     """For each document a mask of removed words, or None."""
-    automaton, strings = _passages(block, wh, first)
+    sizes = np.diff(block.first).tolist()
+    marks: dict[int, np.ndarray] = {}
+    for automaton, strings in _passages(block, wh, first):
+        for k, i in enumerate(block.ids):
+            if not block.used[k] or sizes[k] < block.n:
+                continue
+            for end, (length, least) in automaton.iter(strings[k]):
+                if least < i:
+                    if k not in marks:
+                        marks[k] = np.zeros(sizes[k] + 1, np.int32)
+                    marks[k][end + 1 - length] += 1
+                    marks[k][end + 1] -= 1
     out: list[np.ndarray | None] = []
-    for k, i in enumerate(block.ids):
-        size = int(block.first[k + 1] - block.first[k])
+    for k, size in enumerate(sizes):
         if block.copy[k]:
             out.append(np.ones(size, bool) if size >= block.n else None)
-            continue
-        mask = None
-        if automaton is not None and block.used[k] and size >= block.n:
-            for end, (length, least) in automaton.iter(strings[k]):
-                if least < i:
-                    if mask is None:
-                        mask = np.zeros(size + 1, np.int32)
-                    mask[end + 1 - length] += 1
-                    mask[end + 1] -= 1
-            if mask is not None:
-                mask = np.cumsum(mask[:-1]) > 0
-        out.append(mask)
+        else:
+            out.append(np.cumsum(marks[k][:-1]) > 0 if k in marks else None)
     return out
 
 

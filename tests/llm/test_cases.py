@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -275,6 +276,23 @@ def test_repeats_leave_rows_without_an_id(spark):
     assert sorted(((r.doc_id or 0, r.n_words, r.n_removed, r.text) for r in got)) == [*[(0, 30, 0, text)] * 20, (1, 30, 0, text), (2, 30, 30, "")]
 
 
+@pytest.mark.parametrize("codes", [13, 14, 20, 90])
+def test_repeats_with_more_words_than_codes(codes, monkeypatch):
+    """A block by itself, where _MOST_CODES is small: masks as by brute force."""
+    monkeypatch.setattr(repeats, "_MOST_CODES", codes)
+    shared = [prose(60, 500 + i) for i in range(4)]
+    rows = [(i, " ".join([prose(9, 600 + i), shared[i % 4], prose(5, 700 + i), shared[i // 2 % 4]])) for i in range(9)]
+    table = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "_fp": [str(i) for i, _ in rows]})
+    block = repeats.Block(table, set(), 13)
+    h = block.windows()[block.inside]
+    wh, at = np.unique(h, return_inverse=True)
+    first = np.full(len(wh), 10**9)
+    np.minimum.at(first, at, block.doc[block.inside])
+    got = [(len(t.split()), 0 if m is None else int(m.sum())) for (_, t), m in zip(rows, repeats._removed(block, wh, first), strict=True)]
+    want = {i: (n, gone) for i, n, gone, _ in brute_repeats(rows, 13)}
+    assert got == [want[i] for i, _ in rows] and sum(g for _, g in got) > 400
+
+
 # 6: byte pairs
 def test_bpe_cases(spark, docs, wide, empty):
     c, pattern = bpe.codec(BPE), bpe.compiled(public_tokenizers.PATTERN)
