@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# Python workers outlive a stage. What an operator keeps in one goes as soon as another operator works there.
+_CLEARS: dict[str, Callable[[], None]] = {}
+_AT_WORK = [""]
+
+
+def on_leave(operator: str, clear: Callable[[], None]) -> None:
+    """clear() lets go of all that the operator keeps in a worker."""
+    _CLEARS[operator] = clear
+
+
+def enter(operator: str) -> None:
+    """The operator begins, or goes on, to work in this worker."""
+    if _AT_WORK[0] == operator:
+        return
+    for other, clear in _CLEARS.items():
+        if other != operator:
+            clear()
+    _AT_WORK[0] = operator
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the machine, where the allocator can."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 _SEED = np.random.default_rng(20240613)
 #: One odd 64-bit value per byte and powers of an odd base: a polynomial hash of bytes modulo 2**64.
 _BYTE = _SEED.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,14 +71,14 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(base: int, n: int, key: str) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the worker's life and grown by doubling."""
+    """base**0 .. base**(n-1) modulo 2**64, grown by doubling; as many as a segment needs are kept."""
     have = _POWERS.get(key)
     if have is None:
         have = np.ones(1, np.uint64)
     while len(have) < n:
         step = np.uint64(pow(base, len(have), 2**64))
         have = np.concatenate([have, have * step])
-    _POWERS[key] = have
+    _POWERS[key] = have if len(have) <= 2 * _SEGMENT else have[: 2 * _SEGMENT].copy()
     return have[:n]
 
 
@@ -74,7 +105,8 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_SEGMENT = 4 << 20
+#: Bytes of text hashed at once.
+_SEGMENT = 1 << 18
 
 
 def word_hashes(raw: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,5 +161,11 @@ def batches(it: Iterator, columns: list[str]) -> Iterator[list[list]]:
         yield [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
 
 
+def slices(texts: pa.Array, size: int = 256) -> Iterator[list]:
+    """The values of a batch as Python objects, a few at a time."""
+    for a in range(0, len(texts), size):
+        yield texts.slice(a, size).to_pylist()
+
+
 def row_count(df: DataFrame) -> int:
     return df.select(F.count(F.lit(1))).first()[0]

@@ -276,21 +276,34 @@ def test_repeats_leave_rows_without_an_id(spark):
     assert sorted(((r.doc_id or 0, r.n_words, r.n_removed, r.text) for r in got)) == [*[(0, 30, 0, text)] * 20, (1, 30, 0, text), (2, 30, 30, "")]
 
 
-@pytest.mark.parametrize("codes", [13, 14, 20, 90])
-def test_repeats_with_more_words_than_codes(codes, monkeypatch):
-    """A block by itself, where _MOST_CODES is small: masks as by brute force."""
-    monkeypatch.setattr(repeats, "_MOST_CODES", codes)
+@pytest.mark.parametrize("most", [1, 20, 90, 10**6])
+def test_repeats_located_by_several_automata(most):
+    """Documents by themselves past small shards: masks as by brute force; without passages nothing is found."""
     shared = [prose(60, 500 + i) for i in range(4)]
     rows = [(i, " ".join([prose(9, 600 + i), shared[i % 4], prose(5, 700 + i), shared[i // 2 % 4]])) for i in range(9)]
     table = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "_fp": [str(i) for i, _ in rows]})
     block = repeats.Block(table, set(), 13)
-    h = block.windows()[block.inside]
-    wh, at = np.unique(h, return_inverse=True)
-    first = np.full(len(wh), 10**9)
+    h, at = np.unique(block.windows()[block.inside], return_inverse=True)
+    first = np.full(len(h), 10**9)
     np.minimum.at(first, at, block.doc[block.inside])
-    got = [(len(t.split()), 0 if m is None else int(m.sum())) for (_, t), m in zip(rows, repeats._removed(block, wh, first), strict=True)]
-    want = {i: (n, gone) for i, n, gone, _ in brute_repeats(rows, 13)}
-    assert got == [want[i] for i, _ in rows] and sum(g for _, g in got) > 400
+    passages = [(owner, words) for owner, words, _ in block.passages(h, first)]
+    docs = [(i, t.encode()) for i, t in rows]
+    masks = repeats.located(docs, passages, 13, most)
+    want = {i: gone for i, _, gone, _ in brute_repeats(rows, 13)}
+    assert [int(masks[k].sum()) if k in masks else 0 for k in range(len(rows))] == [want[i] for i, _ in rows] and sum(want.values()) > 400
+    assert repeats.located(docs, [], 13, most) == {}
+    assert max(len(x.automaton) for x in repeats.shards(passages, 13, most)) <= max(most, repeats.PASSAGE_WINDOWS)
+
+
+def test_repeats_long_passages_in_pieces(monkeypatch):
+    """Passages cut between windows still hold every window once."""
+    monkeypatch.setattr(repeats, "PASSAGE_WINDOWS", 7)
+    table = pa.table({"doc_id": [1], "text": [prose(90, 3)], "_fp": ["a"]})
+    block = repeats.Block(table, set(), 13)
+    h = np.unique(block.windows())
+    found = list(block.passages(h, np.ones(len(h), np.int64)))
+    assert sorted(x for _, _, w in found for x in w) == sorted(block.windows().view(np.int64).tolist())
+    assert all(len(words.split()) == len(w) + 12 for _, words, w in found)
 
 
 # 6: byte pairs
