@@ -3,8 +3,8 @@
 A listed entry is `host/path`. Its key is the host with the directory part of its path (up to the last
 slash); a url's candidates are all suffixes of its host with all directory prefixes of its path, so an
 entry can fit only where its key is a candidate. Candidates are hashed in the JVM, probed against the
-filter in Arrow batches, and the few that pass meet the list in an exact join, which also compares
-whole paths. The longest entry that fits wins (ties: the smaller string).
+filter in Arrow batches, and the few urls that pass meet the list in an exact join, each host and path once; the
+join also compares whole paths. Pages without a hit take no part in it. The longest entry that fits wins (ties: the smaller string).
 
 The filter is one array of 256-bit blocks, built by a distributed bit-or and bounded by `max_bytes`;
 a longer list only raises the share of false passes, which the join removes.
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import enter, read
 
 #: The rules of the registered query, as (entry, verdict).
 RULES = [
@@ -41,8 +41,7 @@ PROBES = 6
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path by the first `://`."""
     cut = F.instr(url, "://")
-    rest = F.when(cut > 0, F.expr("substring({u}, instr({u}, '://') + 3)".format(u="url"))).otherwise("")
-    rest = F.coalesce(rest, F.lit(""))
+    rest = F.coalesce(F.when(cut > 0, url.substr(cut + 3, F.length(url))), F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,6 +107,8 @@ def listed(entries: DataFrame) -> DataFrame:
         .withColumn("rule_host", F.lower(F.regexp_extract(rule, r"^([^/]*)", 1)))
         .withColumn("rule_path", F.when(F.instr(rule, "/") > 0, F.regexp_extract(rule, r"^[^/]*(.*)$", 1)).otherwise("/"))
         .withColumn("key", F.concat("rule_host", F.regexp_extract("rule_path", r"^(.*/)", 1)))
+        # For ties: of equally long entries the smaller string, by its negated code points.
+        .withColumn("rule_order", F.expr("transform(split(rule, ''), c -> -ascii(c))"))
     )
 
 
@@ -129,27 +130,31 @@ def judge(pages: DataFrame, entries: DataFrame, max_bytes: int = 64 << 20) -> Da
     rules = listed(entries)
     bloom = pages.sparkSession.sparkContext.broadcast(BlockedBloom.build(rules.select("key"), max_bytes).words)
 
-    @F.pandas_udf("array<boolean>")
+    @F.pandas_udf("array<int>")
     def possible(hashes: pd.Series) -> pd.Series:
+        """Places of the candidates that pass the filter."""
+        enter("urls")
         sizes = hashes.str.len().fillna(0).astype(int).to_numpy()
         flat = np.concatenate([np.asarray(x, np.int64) for x in hashes if x is not None and len(x)]) if sizes.sum() else np.zeros(0, np.int64)
-        hit = BlockedBloom(bloom.value).passes(flat)
-        return pd.Series(np.split(hit, np.cumsum(sizes)[:-1]) if len(sizes) else [], dtype=object)
+        hit = np.split(BlockedBloom(bloom.value).passes(flat), np.cumsum(sizes)[:-1]) if len(sizes) else []
+        return pd.Series([np.flatnonzero(x) for x in hit], dtype=object)
 
+    # Marked as not repeatable, so that the optimizer neither copies it into later expressions nor moves them below it.
+    possible = possible.asNondeterministic()
     host, path = host_and_path(F.col("url"))
     base = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     most = rules.agg(F.max(F.size(F.split("rule_host", "[.]", -1))), F.max(F.size(F.split("key", "/", -1)) - 1)).first()
     keyed = base.withColumn("_keys", candidates(most[0] or 1, most[1] or 1)).withColumn("_hit", possible(F.transform("_keys", _key_hash)))
-    # Rows keep their identity through the join by their place in the scan, which a rerun of the task repeats.
-    marked = keyed.withColumn("_row", F.monotonically_increasing_id()).withColumn("_keys", F.expr("filter(_keys, (x, i) -> _hit[i])")).drop("_hit")
-    exact = F.col("path").startswith(F.col("rule_path"))
-    found = marked.withColumn("key", F.explode_outer(F.array_distinct("_keys"))).join(rules, "key", "left")
-    best = F.max_by(F.when(exact, F.struct("rule", "rule_verdict")), F.when(exact, F.struct(F.length("rule"), F.col("_order"))))
-    # The order for ties: of equally long rules the smaller string, by its negated code points.
-    found = found.withColumn("_order", F.expr("transform(split(rule, ''), c -> -ascii(c))"))
+    keyed = keyed.withColumn("_keys", F.expr("array_distinct(transform(_hit, i -> _keys[i]))")).drop("_hit")
+    # Only urls with a hit meet the list, each host and path once; all other rows stay where they are.
+    hits, rest = keyed.where(F.size("_keys") > 0), keyed.where(F.size("_keys") <= 0)
+    urls = hits.select("host", "path", "_keys").dropDuplicates(["host", "path"])
+    found = urls.select("host", "path", F.explode("_keys").alias("key")).join(rules, "key").where(F.col("path").startswith(F.col("rule_path")))
+    best = F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), F.col("rule_order")))
+    verdicts = found.groupBy("host", "path").agg(best.alias("_best"))
     names = base.columns
-    merged = found.groupBy("_row").agg(*[F.first(c).alias(c) for c in names], best.alias("_best"))
-    return merged.select(*names, F.col("_best.rule").alias("rule"), F.coalesce("_best.rule_verdict", F.lit("allow")).alias("verdict"))
+    judged = hits.join(verdicts, ["host", "path"], "left").select(*names, F.col("_best.rule").alias("rule"), F.coalesce("_best.rule_verdict", F.lit("allow")).alias("verdict"))
+    return judged.unionByName(rest.select(*names, F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict")))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
