@@ -11,7 +11,8 @@ adverts, forms, sidebars, comments, footers, and articles in various mark-up. No
 used. The model is small and goes out with the tasks; extraction is a function of one row, without shuffle.
 
 Defined cases: a null or empty page, or one without main text, gives an empty text; broken or cut mark-up is
-read as far as it goes; a head without its end tag ends where its content ends, an unclosed button, select,
+read as far as it goes; a tag with an unclosed quote ends at its next `>`, one that the page breaks off in is no text; long
+mark-up of any kind is read in linear time; a head without its end tag ends where its content ends, an unclosed button, select,
 object or svg at the next block; mark-up inside scripts, styles and comments is no text; repeated rows are read
 alike; an empty table gives an empty result; further columns are kept by `extract`, clashing names
 replaced.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import enter, on_leave, read
 
 LEARN_PAGES = 400
 TREES = 40
@@ -41,7 +43,11 @@ BUCKETS = 96
 KEPT_VALUES = 10_000
 KEPT_VALUE_CHARS = 500
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[/a-zA-Z!?][^<>]*\Z""", re.S)
+#: A tag whose quotes all close as values do, or what else begins with a bracket; never goes back over what it has read.
+_OPEN = re.compile(r"""<(/?[a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"(?=[ \t\n\r\f/>])|'[^']*+'(?=[ \t\n\r\f/>]))*+)>|<(?=[!?]|/?[a-zA-Z])""")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_END_OR_QUOTE = re.compile("[>\"']")
+_AFTER_VALUE = frozenset(" \t\n\r\x0c/>")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
@@ -87,6 +93,53 @@ def _value_tokens(values: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(sorted({t.lower() for v in values for t in _TOKEN.findall(v)}))
 
 
+class _Tags:
+    """Reads tags one after another, each part of the source a bounded number of times."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last_end = source.rfind(">")
+        self.last = {q: source.rfind(q) for q in "\"'"}
+
+    def end_of(self, at: int) -> int:
+        """Where the `>` of the tag stands whose name ends at `at`; -1 if it has none.
+
+        A quote counts where its twin follows and ends a value; else the tag ends at the next `>`, as if it were not there.
+        """
+        source = self.source
+        while at <= self.last_end:
+            m = _END_OR_QUOTE.search(source, at)
+            if m is None or m[0] == ">":
+                return -1 if m is None else m.start()
+            twin = source.find(m[0], m.end()) if m.end() <= self.last[m[0]] else -1
+            if twin < 0 or source[twin + 1 : twin + 2] not in _AFTER_VALUE:
+                return source.find(">", m.end())
+            at = twin + 1
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str] | None:
+        """(start, end, name, attributes) of the next tag, comment or declaration; the name of an end tag begins with a
+        slash, those of comments and declarations and of a tag that the page breaks off in are empty."""
+        source = self.source
+        m = _OPEN.search(source, at)
+        if m is None:
+            return None
+        if m[1] is not None:
+            return m.start(), m.end(), m[1].lower(), m[2]
+        begin = m.start()
+        if source.startswith("<!--", begin):
+            end = source.find("-->", begin + 4)
+            return begin, end + 3 if end >= 0 else len(source), "", ""
+        name = _NAME.match(source, begin + 1)
+        if name is None:
+            end = source.find(">", begin) if begin < self.last_end else -1
+            return begin, end + 1 if end >= 0 else len(source), "", ""
+        end = self.end_of(name.end())
+        if end < 0:
+            return begin, len(source), "", ""
+        return begin, end + 1, name[0].lower(), source[name.end() : end]
+
+
 def parse(source: str | None) -> Page:
     page, left_open = _parsed(source or "", frozenset())
     return _parsed(source or "", left_open)[0] if left_open else page
@@ -98,12 +151,15 @@ def _parsed(source: str, left_open: frozenset[int]) -> tuple[Page, frozenset[int
     runs: list[tuple[int, str]] = []
     breaks: list[int] = []
     stack, block, at = [0], 0, 0
+    open_now: defaultdict[str, int] = defaultdict(int)
     begun: dict[int, int] = {}
     waiting: list[tuple[int, int]] = []
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            ends[stack.pop()] = len(tags)
+            node = stack.pop()
+            ends[node] = len(tags)
+            open_now[tags[node]] -= 1
 
     def text(a: int, b: int) -> None:
         if b > a:
@@ -112,21 +168,23 @@ def _parsed(source: str, left_open: frozenset[int]) -> tuple[Page, frozenset[int
             runs.append((stack[-1], source[a:b]))
             breaks.append(block)
 
-    search = _TAG.search
-    while (m := search(source, at)) is not None:
-        text(at, m.start())
-        at = m.end()
-        if m[2] is None:
+    reader = _Tags(source)
+    while (found := reader.next(at)) is not None:
+        begin, after, tag, attributes = found
+        text(at, begin)
+        at = after
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag not in _INLINE:
                 block += 1
-            for d in range(len(stack) - 1, 0, -1):
-                if tags[stack[d]] == tag:
-                    begun.pop(stack[d], None)
-                    close(d)
-                    break
+            if open_now[tag]:
+                for d in range(len(stack) - 1, 0, -1):
+                    if tags[stack[d]] == tag:
+                        begun.pop(stack[d], None)
+                        close(d)
+                        break
             continue
         if tags[stack[-1]] == "head" and tag not in _IN_HEAD:
             close(len(stack) - 1)
@@ -138,14 +196,14 @@ def _parsed(source: str, left_open: frozenset[int]) -> tuple[Page, frozenset[int
                     close(d)
                     break
             waiting.clear()
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and open_now["p"]:
             for d in range(len(stack) - 1, 0, -1):
                 if tags[stack[d]] == "p":
                     close(d)
                     break
                 if tags[stack[d]] not in _INLINE:
                     break
-        if tag in _SAME:
+        if tag in _SAME and any(open_now[t] for t in _SAME[tag]):
             for d in range(len(stack) - 1, 0, -1):
                 if tags[stack[d]] in _STOPS[tag]:
                     break
@@ -154,7 +212,6 @@ def _parsed(source: str, left_open: frozenset[int]) -> tuple[Page, frozenset[int
                     break
         tags.append(tag)
         parents.append(stack[-1])
-        attributes = m[3]
         tokens.append(_attribute_tokens(attributes) if "=" in attributes else ())
         ends.append(len(tags))
         if tag == "br":
@@ -163,12 +220,13 @@ def _parsed(source: str, left_open: frozenset[int]) -> tuple[Page, frozenset[int
         if tag in _VOID or attributes.endswith("/"):
             continue
         stack.append(len(tags) - 1)
+        open_now[tag] += 1
         if tag in _LEFT_OPEN:
-            begun[stack[-1]] = m.start()
-            if m.start() in left_open:
+            begun[stack[-1]] = begin
+            if begin in left_open:
                 waiting.append((len(stack) - 1, stack[-1]))
         if tag in _RAW:
-            low = re.compile(f"</{tag}", re.I).search(source, at)
+            low = re.compile(f"</{re.escape(tag)}", re.I).search(source, at)
             at = low.start() if low else len(source)
     text(at, len(source))
     close(0)
@@ -188,6 +246,14 @@ def _token_row(tokens: tuple[str, ...]) -> np.ndarray:
     return out
 
 
+def _forget() -> None:
+    for kept in (_value_tokens, _tag_row, _token_row):
+        kept.cache_clear()
+
+
+on_leave("pages", _forget)
+
+
 def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     """(a row per node, characters of each node's own text)."""
     n = len(page.tags)
@@ -322,7 +388,8 @@ class _Maker:
         if self.r.random() > p:
             return ""
         name = self.pick(names) + self.pick(["", "-" + self.pick(self.PLAIN), " " + self.pick(self.PLAIN)])
-        return f' {self.pick(["class", "id"])}="{name}"'
+        both = f' id="{self.pick(names)}"' if self.r.random() < 0.1 else ""
+        return f'{both} {"class" if both else self.pick(["class", "id"])}="{name}"'
 
     def links(self, n: int) -> str:
         return "".join(f'<li><a href="/{i}">{self.words(1, 3)}</a></li>' for i in range(n))
@@ -378,9 +445,12 @@ class _Maker:
         kind = self.r.random()
         tag = "article" if kind < 0.55 else "main" if kind < 0.7 else "section" if kind < 0.8 else "div"
         art = f"<{tag}{self.named(self.ON, 0.3 if tag in ('article', 'main') else 1)}>{head}{''.join(body)}</{tag}>"
-        for _ in range(int(self.r.integers(0, 3))):
+        if kind >= 0.93:
+            art = head + "".join(body)
+        for _ in range(int(self.r.integers(0, 3)) if kind < 0.97 else 0):
             t = self.pick(["div", "main", "section"])
-            art = f"<{t}{self.named(self.PLAIN + self.ON, 0.6)}>{art}</{t}>"
+            beside = self.off() if self.r.random() < 0.2 else ""
+            art = f"<{t}{self.named(self.PLAIN + self.ON, 0.6)}>{art}{beside}</{t}>"
         before = "".join(self.off() for _ in range(int(self.r.integers(0, 4))))
         after = "".join(self.off() for _ in range(int(self.r.integers(0, 4))))
         out = f"<html><head><title>{self.words(2, 8)}</title><script>var a='<p>';</script></head><body>{before}{art}{after}</body></html>"
@@ -440,6 +510,7 @@ def extract(pages: DataFrame, model: Trees) -> DataFrame:
 
     @F.pandas_udf("string")
     def run(sources: pd.Series) -> pd.Series:
+        enter("pages")
         trees, out = Trees(*held.value), []
         for a in range(0, len(sources), 64):
             read_ = [parse(s) for s in sources.iloc[a : a + 64]]
