@@ -1,17 +1,18 @@
 """Toxicity by a classifier chain (operator 3).
 
-The categories of `labels` are predicted one after another: each link is a sparse linear model over the
-words of the whole text (and word beginnings), and gets the probabilities of the earlier links as
-features. While learning, those come out of fold, as they will be at prediction: the model that makes
-them has not seen the row. The supplied labels name two categories, low quality and toxic; the chain
-takes them in that order, and any further 0/1 columns can be named.
+The categories of a label table, any number of 0/1 columns in the order given, are predicted one after another: each
+link is a sparse linear model over the words of the whole text (and word beginnings), and gets the probabilities of the
+earlier links as features. While learning, those come out of fold, as they will be at prediction: the model that makes
+them has not seen the row. The supplied labels hold one toxicity category; the registered query puts low quality, which
+goes along with it, before it.
 
 Learning takes a bounded sample: at most `per_class` labelled documents with and as many without the last
 category, chosen by a hash of their id; the driver holds the numbers of their distinct words only. Prediction reads
 every document once, holds nothing but the model, and shuffles nothing.
 
-Defined cases: a null or wordless text has the intercepts' probabilities; null or missing labels count as
-unlabelled; with only one class in the labels, its share is predicted; repeated rows are judged alike;
+Defined cases: a null or wordless text has the intercepts' probabilities; a document without a label of a category is
+left out of that link's learning, and one without a label of the last category out of the sample; of contradictory labels
+the larger counts; with only one class in the labels, its share is predicted; repeated rows are judged alike;
 an empty table gives an empty result; further columns of the input are kept by `score_chain`.
 """
 
@@ -20,15 +21,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import enter, read, slices
 
 PER_CLASS = 2500
 FOLDS = 3
@@ -37,6 +39,8 @@ THRESHOLD = 0.3
 #: Least score-test statistic of a feature.
 LEAST_Z = 3.5
 CHAIN = ["low_quality", "toxic"]
+#: Words whose weights a task keeps.
+KEPT_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (4, 5, 6)
 
@@ -78,7 +82,7 @@ class Chain:
 
     def _hits(self, word: str) -> tuple:
         got = tuple((i, f, link.weights[f]) for i, link in enumerate(self.links) for f in word_features(word) if f in link.weights)
-        if len(self._by_word) > 1_000_000:
+        if len(self._by_word) >= KEPT_WORDS:
             self._by_word.clear()
         self._by_word[word] = got
         return got
@@ -125,7 +129,7 @@ def fit_sparse(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, d:
 
     Features whose score test against the constant model is weak stay out.
     """
-    total, k = weight.sum(), dense.shape[1]
+    total, k = max(weight.sum(), 1e-9), dense.shape[1]
     share = min(max(float(weight @ y) / total, 0.5 / n), 1 - 0.5 / n)
     gain = np.bincount(cols, vals * (weight * (y - share))[rows], d)
     spread = np.sqrt(np.bincount(cols, vals**2 * (weight**2)[rows], d) * share * (1 - share))
@@ -167,8 +171,11 @@ def train_chain(found: list[bytes], ids: list[int], labels: dict[str, np.ndarray
     cols = (np.cumsum(seen >= MIN_DOCUMENTS) - 1)[cols[often]]
     names = names[seen >= MIN_DOCUMENTS].tolist()
     links, earlier = [], np.zeros((n, 0))
+    everyone = weight
     for name, y in labels.items():
-        y = y.astype(float)
+        # Documents without a label of this category have no say in it, but a probability for the next links.
+        weight = np.where(np.isnan(y), 0.0, everyone)
+        y = np.where(np.isnan(y), 0.0, y)
         w, v, b = fit_sparse(rows, cols, vals, n, len(names), earlier, y, weight, l1)
         links.append(Link(name, {names[i]: float(w[i]) for i in np.flatnonzero(w)}, [float(x) for x in v], float(b)))
         if len(links) < len(labels):
@@ -177,7 +184,7 @@ def train_chain(found: list[bytes], ids: list[int], labels: dict[str, np.ndarray
                 learn, use = fold != k, fold == k
                 if not use.any():
                     continue
-                if not learn.any():
+                if not weight[learn].any():
                     learn = ~learn
                 pick = learn[rows]
                 renumber = np.cumsum(learn) - 1
@@ -194,44 +201,59 @@ def pack(features: dict[int, int]) -> bytes:
     return np.array(sorted(features.items()), np.int32).tobytes()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> pd.DataFrame:
-    """Features and labels of the sampled documents; at most 2 * per_class rows reach the driver."""
+def quality_and_toxicity(labels: DataFrame) -> DataFrame:
+    """The supplied labels as 0/1 categories in the order of `CHAIN`; a null stays null."""
+    return labels.select("doc_id", (1 - F.col("quality")).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, chain: Sequence[str], per_class: int) -> pd.DataFrame:
+    """Features and labels of the sampled documents, one row an id; at most 2 * per_class rows reach the driver."""
     order = F.xxhash64(F.col("doc_id"), F.lit(3))
-    named = labels.where(F.col("doc_id").isNotNull() & F.col(CHAIN[-1]).isin(0, 1)).select("doc_id", *CHAIN)
-    sides = [named.where(F.col(CHAIN[-1]) == v).orderBy(order, "doc_id").limit(per_class) for v in (0, 1)]
+    sides = [labels.where(F.col(chain[-1]) == v).orderBy(order, "doc_id").limit(per_class) for v in (0, 1)]
     picked = F.broadcast(sides[0].unionByName(sides[1]))
 
     def counted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("toxicity")
         for part in it:
             part["features"] = [pack(text_features(t)) for t in part["text"]]
-            yield part[["doc_id", *CHAIN, "features"]]
+            yield part[["doc_id", *chain, "features"]]
 
-    schema = "doc_id long, " + ", ".join(f"{c} int" for c in CHAIN) + ", features binary"
-    joined = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", *CHAIN)
-    return joined.mapInPandas(counted, schema).toPandas()
+    schema = "doc_id long, " + ", ".join(f"{c} double" for c in chain) + ", features binary"
+    joined = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", *[F.col(c).cast("double").alias(c) for c in chain])
+    # Rows that share an id count once, by the least of their features.
+    one = joined.mapInPandas(counted, schema).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in chain], F.min("features").alias("features"))
+    return one.toPandas()
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Chain:
-    """A chain from documents and labels (doc_id, quality, toxic)."""
-    named = labels.select("doc_id", (1 - F.coalesce("quality", F.lit(1))).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
-    totals = {r["toxic"]: r["count"] for r in named.groupBy("toxic").count().collect()}
-    got = labelled_sample(docs, named, per_class).sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+def learn(docs: DataFrame, labels: DataFrame, chain: Sequence[str] | None = None, per_class: int = PER_CLASS) -> Chain:
+    """A chain from documents and labels: doc_id and a 0/1 column for each category, the last of which is sampled by class.
+
+    Without names, labels is the supplied table (doc_id, quality, toxic) and the chain `CHAIN`. Where a document has several labels of a category, the larger counts.
+    """
+    if chain is None:
+        labels, chain = quality_and_toxicity(labels), CHAIN
+    known = labels.where(F.col("doc_id").isNotNull()).select("doc_id", *[F.when(F.col(c).isin(0, 1), F.col(c)).alias(c) for c in chain])
+    known = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in chain]).where(F.col(chain[-1]).isNotNull())
+    totals = {r[0]: r["count"] for r in known.groupBy(chain[-1]).count().collect()}
+    got = labelled_sample(docs, known, chain, per_class).sort_values("doc_id", kind="stable")
     if not len(got):
-        return Chain([Link(c, {}, [0.0] * i, -5.0) for i, c in enumerate(CHAIN)])
-    y = got["toxic"].to_numpy()
+        return Chain([Link(c, {}, [0.0] * i, -5.0) for i, c in enumerate(chain)])
+    y = got[chain[-1]].to_numpy()
     taken = {v: max(int((y == v).sum()), 1) for v in (0, 1)}
     # The sample holds the classes in other shares than the labels; weights put that right.
     weight = np.array([totals.get(v, 0) / taken[v] for v in y], float)
-    return train_chain(got["features"].tolist(), got["doc_id"].tolist(), {c: got[c].to_numpy() for c in CHAIN}, weight / weight.mean())
+    return train_chain(got["features"].tolist(), got["doc_id"].tolist(), {c: got[c].to_numpy(float) for c in chain}, weight / weight.mean())
 
 
 def score_chain(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """docs with `p_<category>` for each link and `is_toxic` by the last one."""
     names = [f"p_{x.name}" for x in chain.links]
 
-    @F.pandas_udf(", ".join(f"{n} double" for n in names))
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([chain.probabilities(t) for t in texts], columns=names).round(6)
+    @F.arrow_udf(", ".join(f"{n} double" for n in names))
+    def predict(texts: pa.Array) -> pa.Array:
+        enter("toxicity")
+        rows = np.array([chain.probabilities(t) for part in slices(texts) for t in part]).reshape(-1, len(names)).round(6)
+        return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(names))], names)
 
     out = docs.drop(*names, "is_toxic").withColumn("_p", predict("text"))
     return out.select("*", *[F.col(f"_p.{n}") for n in names]).drop("_p").withColumn("is_toxic", F.col(names[-1]) >= threshold)
