@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -169,6 +170,44 @@ def test_toxicity_cases(spark, docs, wide, empty):
     assert not any(r.is_toxic for r in toxicity.score_chain(docs, alone).collect())
 
 
+def test_toxicity_ties_nulls_and_further_categories(spark):
+    r = random.Random(9)
+    texts = [(i, " ".join(["vile"] * (i % 2) + ["rude"] * (i % 3 == 0) + [r.choice(VOCABULARY) for _ in range(20)])) for i in range(300)]
+    docs = spark.createDataFrame([*texts, (0, "again " + texts[0][1])], "doc_id long, text string")
+    marks = [(i, int(i % 3 == 0) if i % 5 else None, i % 2, i % 2) for i, _ in texts]
+    table = spark.createDataFrame([*marks, (1, 0, 0, 0), (3, None, None, 7)], "doc_id long, rude int, loud int, vile int")
+    chain = toxicity.learn(docs, table, ["rude", "loud", "vile"])
+    assert [x.name for x in chain.links] == ["rude", "loud", "vile"] and [len(x.earlier) for x in chain.links] == [0, 1, 2]
+    again = toxicity.learn(docs.repartition(5), table.repartition(3), ["rude", "loud", "vile"])
+    assert [(x.weights, x.intercept) for x in chain.links] == [(x.weights, x.intercept) for x in again.links]
+    fresh = spark.createDataFrame([(1, "vile things"), (2, "rude things"), (3, "plain things")], "doc_id long, text string")
+    got = {x.doc_id: x for x in toxicity.score_chain(fresh, chain).collect()}
+    assert got[1].p_vile > 0.5 > got[3].p_vile and got[2].p_rude > 0.5 > got[3].p_rude
+
+
+def test_toxicity_chain_equals_a_plain_one():
+    """The sparse learner against plain gradient descent on the same features, and the chain's order of links."""
+    r = np.random.default_rng(4)
+    n, d = 400, 12
+    x = (r.random((n, d)) < 0.4).astype(float)
+    y1 = (x[:, 0] + x[:, 1] > 1).astype(float)
+    y2 = ((y1 > 0) | (x[:, 2] * x[:, 3] > 0)).astype(float)
+    found = [toxicity.pack({k: 1 for k in range(d) if row[k]}) for row in x]
+    chain = toxicity.train_chain(found, list(range(n)), {"a": y1, "b": y2}, np.ones(n), l1=0.0)
+    link = chain.links[0]
+    w, b = np.zeros(d), 0.0
+    kept = np.array([k in link.weights for k in range(d)])
+    for _ in range(20000):
+        p = 1 / (1 + np.exp(-(x[:, kept] @ w[kept] + b)))
+        w[kept] -= 0.5 * x[:, kept].T @ (p - y1) / n
+        b -= 0.5 * float((p - y1).mean())
+    plain = 1 / (1 + np.exp(-(x[:, kept] @ w[kept] + b)))
+    own = 1 / (1 + np.exp(-(x @ np.array([link.weights.get(k, 0.0) for k in range(d)]) + link.intercept)))
+    assert ((plain > 0.5) == (own > 0.5)).mean() > 0.99
+    # The second link uses the first: out-of-fold log-odds at learning, its probability at prediction.
+    assert chain.links[1].earlier[0] > 0
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     marks = spark.read.parquet(f"{sf}/labels.parquet")
@@ -230,6 +269,26 @@ def test_deep_urls_and_deep_entries(spark):
     assert {r.page_id: r.rule for r in url_filter.judge(rows, entries).collect()} == {1: "a.com/x/x/x/", 2: "b.a.com/x/y/", 3: "com/x/", 4: "com/x/"}
 
 
+def test_long_list_without_broadcasts(spark):
+    """100,000 entries joined by shuffle; only urls that pass the filter reach the join."""
+    entries = spark.range(100_000).select(F.concat(F.lit("h"), "id", F.lit(".org/d/")).alias("rule"), F.lit("block").alias("verdict"))
+    rows = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://w.h"), F.col("id") * 67, F.lit(".org/"), F.when(F.col("id") % 2 == 0, "d/x").otherwise("e/x")).alias("url"))
+    rows = rows.unionByName(spark.range(2000).select((F.col("id") + 3000).alias("page_id"), F.lit("http://h5.org/d/hot").alias("url")))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(rows, entries).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = {i: (f"h{i * 67}.org/d/", "block") if i % 2 == 0 and i * 67 < 100_000 else (None, "allow") for i in range(3000)}
+    assert got == want | {3000 + i: ("h5.org/d/", "block") for i in range(2000)}
+
+
+def test_host_and_path_of_any_column(spark):
+    row = spark.createDataFrame([("https://A.b/c?d",)], "link string").select(*url_filter.host_and_path(F.col("link"))).first()
+    assert tuple(row) == ("a.b", "/c")
+
+
 # 5: repeated passages
 def flat(text):
     return b" ".join((text or "").encode().split()).decode()
@@ -517,3 +576,34 @@ def test_pages_read_classes_among_long_attributes():
     for i in range(2 * pages.KEPT_VALUES):
         pages.parse(f'<div data-n="{i}" class="c{i}">')
     assert pages._value_tokens.cache_info().currsize <= pages.KEPT_VALUES
+
+
+def main_text(model, source):
+    page = pages.parse(source)
+    x, own = pages.features(page)
+    return pages.render(page, pages.chosen(page, own, model.odds(x)))
+
+
+def test_pages_marked_by_hand():
+    """Whole pages in the manner of several generators, each with the text that a reader would take from it."""
+    model = pages.learn()
+    one = "Rivers carry sand and stones for many miles, and where they slow down they leave them behind."
+    two = "Over centuries such places grow into wide plains, on which most of the old towns were built."
+    blog = f'<!DOCTYPE html><html lang=en><head><meta charset=utf-8><title>Rivers</title><style>p{{color:red}}</style></head><body class="home"><header class="site-header"><a href="/">Site</a><nav class="menu"><ul><li><a href="/a">About</a></li><li><a href="/b">Blog</a></li></ul></nav></header><main id="content"><article class="post"><h1>Rivers</h1><p>{one}</p><p>{two}</p></article><section id="comments" class="comments"><h3>2 comments</h3><div class="comment"><b>Ann</b><p>Nice post, thanks for writing it.</p></div></section></main><aside class="sidebar"><h3>Recent</h3><ul><li><a href="/1">One</a></li></ul></aside><footer>&copy; 2020 Site</footer></body></html>'
+    plain = f"<html><body><h1>Rivers</h1><p>{one}<p>{two}</body></html>"
+    divs = f'<html><head><title>x</title></head><body><div id="nav"><a href="/">Home</a> <a href="/n">News</a></div><div class="wrapper"><div class="article-body"><h1>Rivers</h1><p>{one}</p><div class="advert">Cheap boats, buy now!</div><p>{two}</p></div></div><div class="cookie-notice">We use cookies. <button>OK</button></div></body></html>'
+    quoted = divs.replace('<p>', '<p title="unclosed>', 1)
+    want = f"Rivers\n\n{one}\n\n{two}"
+    for source in (blog, plain, divs, quoted):
+        assert main_text(model, source) == want
+
+
+@pytest.mark.parametrize("piece", ['<a href="x', "<a ", '<a "', "<a '>", "<", "</b>", "<b>", '<a href="x">', "<hr><b>", "<li>", '<p title="unclosed>text', "<!--", "&amp;", "<script>", "</", "<p class='a\">"])
+def test_pages_of_one_repeated_piece_are_read_in_linear_time(piece):
+    sizes, took = [1 << 16, 1 << 19], []
+    for n in sizes:
+        source = piece * (n // len(piece))
+        at = time.process_time()
+        pages.parse(source)
+        took.append(time.process_time() - at)
+    assert took[1] < 4 * 8 * max(took[0], 0.02)
