@@ -4,11 +4,12 @@ A piece of r tokens belongs to class k, where k pieces of its size fit a sequenc
 bin of class k takes exactly k pieces, so workers fill bins knowing only how many pieces come before
 theirs in the class. A piece that would waste more than `tolerance` of its size in its class is cut at
 the largest floor(capacity / k) it reaches, and its rest is classed again; whole capacities are cut off
-first. At the end each class leaves fewer than k pieces over: as many as classes and capacity allow, however
-large the table, so one task packs them by best fit, largest first.
+first. At the end each class leaves fewer than k pieces over, less than a bin. In runs of an eighth of a bin at most, or of
+one piece, these are packed by best fit: only the sizes of the runs, eight a class at most (`PARTS`), come together.
 
 Tokens are made once, in the worker that cuts and digests them; what moves is one narrow row per piece.
-Numbering within a class goes by blocks of documents, so a class with most of the rows is still dealt out.
+Numbering within a class goes by blocks of documents, and by groups of blocks, so a class with most of the rows is still
+dealt out, and so are rows of one id with different texts.
 
 Defined cases: a null or empty text has only the end id; repeated rows are packed each for themselves;
 rows with equal ids are told apart by content only, and may swap places when equal; an empty table gives
@@ -20,15 +21,16 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import enter, on_leave, read, stored
 
 CAPACITY = 4096
 TOLERANCE = 0.02
@@ -38,6 +40,10 @@ KEPT_WORDS = 1_500_000
 #: Texts whose new words are encoded in one call.
 TOGETHER = 200
 BLOCK_PIECES = 20_000
+#: Blocks whose counts are summed together.
+GROUP_BLOCKS = 1024
+#: Runs into which what a class leaves over is cut, but for classes of larger pieces.
+PARTS = 8
 #: White space as the vocabulary's normaliser sees it.
 _WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, block_key long"
@@ -93,6 +99,14 @@ def _words(path: str, kept_words: int) -> WordTokens:
     return WordTokens(path, kept_words)
 
 
+def _forget() -> None:
+    _words.cache_clear()
+    _tokenizer.cache_clear()
+
+
+on_leave("packing", _forget)
+
+
 def cuts(n: int, capacity: int = CAPACITY, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """(length, class) of the pieces of n tokens, in order."""
     out = [(capacity, 1)] * (n // capacity)
@@ -112,73 +126,75 @@ def cuts(n: int, capacity: int = CAPACITY, tolerance: float = TOLERANCE) -> list
 def pieces(docs: DataFrame, path: str, end_id: int | None = END_ID, capacity: int = CAPACITY, tolerance: float = TOLERANCE, kept_words: int = KEPT_WORDS) -> DataFrame:
     """One row per piece of each document's ids."""
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-
-    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in it:
-            rows = []
-            for i, key, ids in zip(part["doc_id"].tolist(), part["block_key"].tolist(), _words(path, kept_words).texts(part["text"].tolist()), strict=True):
-                ids += end
-                at, n = 0, len(ids) // 4
-                for size, k in cuts(n, capacity, tolerance):
-                    rows.append((i, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n, k, key))
-                    at += size
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "block_key"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("block_key"))
-    return keyed.mapInPandas(cut, _PIECES)
-
-
-def _best_fit(part: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Bins for what the classes left over; the row count is bounded by the capacity."""
-    part = part.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-    room: list[int] = []
-    bins, offsets = [], []
-    for n in part["length"].tolist():
-        best = min((r, i) for i, r in enumerate(room) if r >= n)[1] if any(r >= n for r in room) else -1
-        if best < 0:
-            room.append(capacity)
-            best = len(room) - 1
-        bins.append(best)
-        offsets.append(capacity - room[best])
-        room[best] -= n
-    return part.assign(bin=bins, offset=offsets)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = [x.split()[0] for x in _PIECES.split(", ")]
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("packing")
+        for batch in it:
+            for a in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(a, TOGETHER)
+                doc_ids, keys, texts = (part.column(c).to_pylist() for c in ("doc_id", "block_key", "text"))
+                rows = []
+                for i, key, ids in zip(doc_ids, keys, _words(path, kept_words).texts(texts), strict=True):
+                    ids += end
+                    at, n = 0, len(ids) // 4
+                    for size, k in cuts(n, capacity, tolerance):
+                        rows.append((i, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n, k, key))
+                        at += size
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("block_key"))
+    return keyed.mapInArrow(cut, _PIECES)
+
+
+def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
+    """(bin, offset) of each size: the largest first, each to the fullest bin that still takes it."""
+    rooms: list[tuple[int, int]] = []  # (room, bin), ascending
+    out: list[tuple[int, int]] = [(0, 0)] * len(sizes)
+    bins = 0
+    for at in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        k = bisect_left(rooms, (sizes[at], -1))
+        room, own = rooms.pop(k) if k < len(rooms) else (capacity, bins)
+        bins = max(bins, own + 1)
+        out[at] = own, capacity - room
+        insort(rooms, (room - sizes[at], own))
+    return out
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with `sequence_id` and `offset`; cut is a stored table of pieces."""
+    spark = cut.sparkSession
     n = cut.select(F.count(F.lit(1))).first()[0]
     blocks = max(1, n // BLOCK_PIECES)
     dealt = cut.withColumn("block", F.pmod("block_key", F.lit(blocks)))
-    # How many pieces of the class come before each block: one row per class and block.
-    counts = dealt.groupBy("class", "block").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("class").orderBy("block")
-    before = counts.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("class"))).drop("n")
+    # How many pieces of the class come before each block: one row per class and block, summed by groups of blocks first.
+    counts = dealt.groupBy("class", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.floor(F.col("block") / GROUP_BLOCKS))
+    upper = counts.groupBy("class", "above").agg(F.sum("n").alias("m"))
+    upper = upper.withColumn("earlier", F.sum("m").over(Window.partitionBy("class").orderBy("above")) - F.col("m")).drop("m")
+    inside = F.sum("n").over(Window.partitionBy("class", "above").orderBy("block")) - F.col("n")
+    before = counts.withColumn("inside", inside).join(upper, ["class", "above"]).select("class", "block", (F.col("earlier") + F.col("inside")).alias("before"))
+    # Classes are at most as many as the capacity. Sequence numbers of a class follow those of the one before.
+    totals = sorted((r["class"], r["n"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect())
+    bins = [n // k for k, n in totals]
+    first = np.concatenate([[0], np.cumsum(bins)]).astype(int).tolist()
+    classes = spark.createDataFrame([(k, n - n % k, a) for (k, n), a in zip(totals, first, strict=False)], "class int, full long, first long")
     own = Window.partitionBy("class", "block").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    numbered = dealt.withColumn("own", F.row_number().over(own) - 1).join(before, ["class", "block"]).withColumn("place", F.col("own") + F.col("before"))
-    numbered = numbered.withColumn("full", F.col("total") - F.col("total") % F.col("class"))
-    # Sequence numbers of classes follow each other; classes are at most as many as the capacity.
-    totals = counts.groupBy("class").agg(F.sum("n").alias("n")).withColumn("bins", F.floor(F.col("n") / F.col("class")))
-    first, start = {}, 0
-    for r in totals.orderBy("class").collect():
-        first[r["class"]] = start
-        start += r["bins"]
-    base = F.create_map(*[F.lit(x) for pair in first.items() for x in pair] or [F.lit(0), F.lit(0)])
-    kept = numbered.where(F.col("place") < F.col("full")).withColumn("sequence_id", base[F.col("class")] + F.floor(F.col("place") / F.col("class")))
-    inside = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = dealt.withColumn("own", F.row_number().over(own) - 1).join(before, ["class", "block"]).join(F.broadcast(classes), "class")
+    numbered = numbered.withColumn("place", F.col("own") + F.col("before"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    kept = kept.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(*names)
-    left = numbered.where(F.col("place") >= F.col("full")).select(*names[:5])
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        out = _best_fit(part, capacity)
-        out["sequence_id"] = out["bin"] + start
-        return out[names]
-
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    rest = left.groupBy(F.lit(0).alias("one")).applyInPandas(fit, schema)
-    return kept.select(*[F.col(c).cast("long") for c in names]).unionByName(rest)
+    kept = numbered.where(F.col("place") < F.col("full")).withColumn("sequence_id", F.col("first") + F.floor(F.col("place") / F.col("class")))
+    up_to = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.withColumn("offset", F.coalesce(F.sum("length").over(up_to), F.lit(0))).select(*names)
+    # A class leaves less than a bin over. In runs of at most 1/PARTS of a bin, or of one piece, it is packed by the runs' sizes alone.
+    left = numbered.where(F.col("place") >= F.col("full")).withColumn("run", F.floor((F.col("place") - F.col("full")) / F.greatest(F.floor(F.col("class") / PARTS), F.lit(1))))
+    runs = sorted(tuple(r) for r in left.groupBy("class", "run").agg(F.sum("length").alias("size")).collect())
+    placed = [(k, r, first[-1] + b, at) for (k, r, _), (b, at) in zip(runs, best_fit([size for _, _, size in runs], capacity), strict=True)]
+    where = spark.createDataFrame(placed, "class int, run long, sequence_id long, begin long")
+    in_run = Window.partitionBy("class", "run").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rest = left.withColumn("inside", F.coalesce(F.sum("length").over(in_run), F.lit(0))).join(F.broadcast(where), ["class", "run"])
+    rest = rest.withColumn("offset", F.col("begin") + F.col("inside"))
+    return kept.unionByName(rest.select(*names)).select(*[F.col(c).cast("long") for c in names])
 
 
 def packed(docs: DataFrame, path: str, kept_words: int = KEPT_WORDS) -> DataFrame:
