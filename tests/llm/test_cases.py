@@ -506,6 +506,30 @@ def test_full_bins_waste_little(spark):
     assert r.pad < 0.01 * r.n
 
 
+def test_best_fit_and_rows_of_one_id(spark, monkeypatch):
+    r = random.Random(2)
+    sizes = [r.randint(1, 100) for _ in range(500)]
+    bins = {}
+    for (b, at), n in zip(packing.best_fit(sizes, 100), sizes, strict=True):
+        bins.setdefault(b, []).append((at, n))
+    assert sum(map(len, bins.values())) == 500 and len(bins) <= 1.1 * sum(sizes) / 100
+    for rows in bins.values():
+        rows.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:])) and rows[0][0] == 0 and sum(rows[-1]) <= 100
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 20)
+    monkeypatch.setattr(packing, "GROUP_BLOCKS", 3)
+    rows = [(7 if i % 3 else None, prose(r.randint(1, 300), i)) for i in range(400)]
+    out = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), WORDS).collect()
+    bins = {}
+    for x in out:
+        bins.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for rows in bins.values():
+        rows.sort()
+        assert rows[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:])) and sum(rows[-1]) <= packing.CAPACITY
+    total = sum(x.length for x in out)
+    assert total > 50_000 and len(bins) * packing.CAPACITY < 1.06 * total + packing.CAPACITY
+
+
 # 10: pages
 def test_page_cases(spark):
     model = pages.learn(150)
