@@ -11,28 +11,43 @@ through by `clean_lines`, and names that clash with its outputs are replaced.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, SPACES, read
 
-#: Phrases of page furniture, matched in lower case anywhere in a line.
+#: Phrases of page furniture, matched in lower case anywhere in a line; `clean_lines` takes any others.
 BOILERPLATE = [
     "all rights reserved",
+    "alle rechte vorbehalten",
+    "aviso legal",
     "click here",
+    "cliquez ici",
     "cookie policy",
+    "datenschutzerklärung",
     "enable javascript",
+    "haga clic aquí",
+    "hier klicken",
     "lorem ipsum",
+    "mentions légales",
+    "politique de confidentialité",
+    "política de privacidad",
     "privacy policy",
     "sign up for",
     "subscribe to",
     "terms of service",
     "terms of use",
+    "todos los derechos reservados",
+    "tous droits réservés",
 ]
-#: Characters that may stand last in a line that ends a sentence.
-ENDS = ".!?…。！？:;\"'”’»)]"
+#: Characters that may stand last in a line that ends a sentence: full stops, question and exclamation marks of
+#: Latin, Armenian, Arabic, Indic, Ethiopic, Burmese, Khmer, Thai and East Asian writing, colons, quotation marks and brackets.
+ENDS = ".!?…‼⁇⁈⁉։؟۔।॥။።፧៕๚。！？｡:;؛\"'”’»」』)]）］》〉"
 #: A sentence end inside a long line, for texts without line breaks that were cut at their end.
-INNER_END = "[.!?…。！？][\"'”’»)]? "
+INNER_END = "(?:[.!?…‼⁇⁈⁉։؟۔।॥။።፧][\"'”’»)]? |[。！？｡៕])"
 LONG_LINE_CHARS = 300
 #: Bars, arrows and bullets between entries of a menu: this many make a line a menu.
 MENU = "|»›·•>"
@@ -54,8 +69,8 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_CLASS + "+"), "")
 
 
-def line_fails(line: Column) -> Column:
-    """True if any of the rules removes the line; a blank line never fails."""
+def line_fails(line: Column, phrases: Sequence[str] = BOILERPLATE) -> Column:
+    """True if any of the rules removes the line; a blank line never fails. phrases: of furniture, in lower case."""
     end = F.rtrim(line, F.lit(SPACES))
     length = F.length(F.ltrim(end, F.lit(SPACES)))
     unfinished = ~F.contains(F.lit(ENDS), F.right(end, F.lit(1))) & ~((length >= LONG_LINE_CHARS) & end.rlike(INNER_END))
@@ -67,13 +82,14 @@ def line_fails(line: Column) -> Column:
     menu = end.rlike(MENU_LINE) & bare.rlike(MENU_LINE) & (~long | (MENU_ENTRY_CHARS * (F.length(bare) - F.length(F.regexp_replace(bare, f"[{MENU}]+", ""))) > length))
     low = F.lower(line)
     furniture = F.lit(False)
-    for phrase in BOILERPLATE:
+    for phrase in phrases:
         furniture = furniture | low.contains(phrase)
-    furniture = furniture & (~long | (FURNITURE_PART * (F.length(low) - F.length(F.regexp_replace(low, "|".join(BOILERPLATE), ""))) > length))
+    if phrases:
+        furniture = furniture & (~long | (FURNITURE_PART * (F.length(low) - F.length(F.regexp_replace(low, "|".join(map(re.escape, phrases)), ""))) > length))
     return (end != "") & (unfinished | debris | menu | furniture)
 
 
-def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
+def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST, phrases: Sequence[str] = BOILERPLATE) -> DataFrame:
     """docs with the base measures, `clean_text`, `n_removed_lines`, `lost_share`, `base_failed` and `kept`."""
     text = F.coalesce(F.col("text"), F.lit(""))
     one = docs.withColumns({"words": _words(text), "lines": F.split(text, "\n", -1)})
@@ -83,12 +99,12 @@ def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
             "word_chars": F.length(F.array_join("words", "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long"),
             "full_lines": F.filter("lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
-            "good_lines": F.filter("lines", lambda x: ~line_fails(x)),
-            "bad_lines": F.filter("lines", line_fails),
+            "judged": F.transform("lines", lambda x: F.struct(x.alias("line"), line_fails(x, phrases).alias("fails"))),
             "windows": F.expr("transform(sequence(0, greatest(size(words) - 3, 0)), i -> xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)))"),
         }
     )
     # A window found twice: its hash stands beside an equal one once sorted. Texts without any skip the sort by position.
+    two = two.withColumns({k: F.transform(F.filter("judged", rule), lambda x: x["line"]) for k, rule in (("good_lines", lambda x: ~x["fails"]), ("bad_lines", lambda x: x["fails"]))})
     three = two.withColumn("n_dup_lines", (F.size("full_lines") - F.size(F.array_distinct("full_lines"))).cast("long")).withColumn(
         "ranked",
         F.expr("if(size(words) < 3 or size(array_distinct(windows)) = size(windows), cast(array() as array<struct<h:bigint,i:int>>), sort_array(transform(windows, (h, i) -> named_struct('h', h, 'i', i))))"),
@@ -112,7 +128,7 @@ def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
             }
         )
         .withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_lost))
-        .drop("words", "lines", "full_lines", "good_lines", "bad_lines", "windows", "ranked", "at")
+        .drop("words", "lines", "judged", "full_lines", "good_lines", "bad_lines", "windows", "ranked", "at")
     )
 
 
@@ -121,12 +137,14 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines")
 
 
-_Q = ENDS.replace("'", "''")
+_Q, _INNER = ENDS.replace("'", "''"), INNER_END.replace("'", "''")
+_BARE = f"regexp_replace(b, '{QUOTED}', '\\1\\2\\3\\4', 'g')"
 _FAILS = f"""(b <> '' and (
-  (not contains('{_Q}', right(b, 1)) and not (length(b) >= {LONG_LINE_CHARS} and regexp_matches(b, '{INNER_END.replace("'", "''")}')))
+  (not contains('{_Q}', right(b, 1)) and not (length(b) >= {LONG_LINE_CHARS} and regexp_matches(b, '{_INNER}')))
   or {SYMBOL_PART} * (length(b) - length(translate(b, '{SYMBOLS}', ''))) > length(b)
-  or regexp_matches(b, '{MENU_LINE}')
-  or {" or ".join(f"contains(lower(l), '{x}')" for x in BOILERPLATE)}))"""
+  or (regexp_matches({_BARE}, '{MENU_LINE}') and (length(b) < {LONG_LINE_CHARS} or {MENU_ENTRY_CHARS} * (length({_BARE}) - length(translate({_BARE}, '{MENU}', ''))) > length(b)))
+  or (({" or ".join(f"contains(lower(l), '{x}')" for x in BOILERPLATE)})
+    and (length(b) < {LONG_LINE_CHARS} or {FURNITURE_PART} * (length(lower(l)) - length(regexp_replace(lower(l), '{"|".join(BOILERPLATE)}', '', 'g'))) > length(b)))))"""
 
 OP7_SQL = f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
