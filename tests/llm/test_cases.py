@@ -416,6 +416,32 @@ def test_long_lines_are_judged_by_share(spark):
     assert all(r.kept for t, r in got.items() if cases[t] and t.startswith(body))
 
 
+SCRIPTS = ["यह एक वाक्य है।", "هل هذا سؤال؟", "یہ ایک جملہ ہے۔", "这是一个句子。", "これは文です」", "Սա նախադասություն է։", "ይህ ዓረፍተ ነገር ነው።", "นี่คือประโยค"]
+
+
+def test_lines_of_many_scripts_and_own_phrases(spark):
+    rows = spark.createDataFrame(list(enumerate(SCRIPTS)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed_lines for r in line_quality.clean_lines(rows).collect()}
+    assert [got[i] for i in range(len(SCRIPTS))] == [0] * 7 + [1]
+    own = spark.createDataFrame([(1, "Buy a+b now."), (2, "See our privacy policy.")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed_lines for r in line_quality.clean_lines(own, phrases=["a+b"]).collect()} == {1: 1, 2: 0}
+    assert {r.n_removed_lines for r in line_quality.clean_lines(own, phrases=[]).collect()} == {0}
+
+
+def test_lines_equal_sql_on_hard_lines(spark):
+    import duckdb
+
+    r, parts = random.Random(8), [*SCRIPTS, "«a» b »c« ‹d› | e", "Home » News » Sport.", "all rights reserved", "Datenschutzerklärung hier.", prose(70, 5) + ".", prose(70, 6), "# * $ x", "| " * 30, " \t", "Privacy Policy. " * 30, "entry | " * 60 + "."]
+    rows = [(i, r.choice([" ", "\n", "\n"]).join(r.choice(parts) for _ in range(r.randint(1, 12)))) for i in range(400)]
+    own = line_quality.clean_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    c = duckdb.connect()
+    c.execute("create table documents(doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", rows)
+    found = c.execute(line_quality.OP7_SQL)
+    names = [d[0] for d in found.description]
+    assert sorted(map(tuple, own.select(*names).collect())) == sorted(found.fetchall())
+
+
 # 8: near duplicates
 def brute_components(rows, k, percent):
     sets = {}
