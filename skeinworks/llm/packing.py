@@ -162,6 +162,11 @@ def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
+def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
+    """A few rows of the driver; as an Arrow table they reach Spark without Python workers."""
+    return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds.items())})
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with `sequence_id` and `offset`; cut is a stored table of pieces."""
     spark = cut.sparkSession
@@ -178,7 +183,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     totals = sorted((r["class"], r["n"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect())
     bins = [n // k for k, n in totals]
     first = np.concatenate([[0], np.cumsum(bins)]).astype(int).tolist()
-    classes = spark.createDataFrame([(k, n - n % k, a) for (k, n), a in zip(totals, first, strict=False)], "class int, full long, first long")
+    classes = [(k, n - n % k, a) for (k, n), a in zip(totals, first, strict=False)]
+    classes = spark.createDataFrame(_table(classes, {"class": pa.int32(), "full": pa.int64(), "first": pa.int64()}))
     own = Window.partitionBy("class", "block").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     numbered = dealt.withColumn("own", F.row_number().over(own) - 1).join(before, ["class", "block"]).join(F.broadcast(classes), "class")
     numbered = numbered.withColumn("place", F.col("own") + F.col("before"))
@@ -190,7 +196,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     left = numbered.where(F.col("place") >= F.col("full")).withColumn("run", F.floor((F.col("place") - F.col("full")) / F.greatest(F.floor(F.col("class") / PARTS), F.lit(1))))
     runs = sorted(tuple(r) for r in left.groupBy("class", "run").agg(F.sum("length").alias("size")).collect())
     placed = [(k, r, first[-1] + b, at) for (k, r, _), (b, at) in zip(runs, best_fit([size for _, _, size in runs], capacity), strict=True)]
-    where = spark.createDataFrame(placed, "class int, run long, sequence_id long, begin long")
+    where = spark.createDataFrame(_table(placed, {"class": pa.int32(), "run": pa.int64(), "sequence_id": pa.int64(), "begin": pa.int64()}))
     in_run = Window.partitionBy("class", "run").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     rest = left.withColumn("inside", F.coalesce(F.sum("length").over(in_run), F.lit(0))).join(F.broadcast(where), ["class", "run"])
     rest = rest.withColumn("offset", F.col("begin") + F.col("inside"))
