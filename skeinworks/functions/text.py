@@ -1,9 +1,14 @@
-"""Text expressions: rendering, cleaning, names, chunks. All are native Columns."""
+"""Text expressions: rendering, cleaning, names, chunks. All but `sentence_chunks` are native Columns."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REPLACEMENT = "�"
 MOST_REPLACEMENTS = 5000
@@ -12,9 +17,30 @@ CHUNK_TOKENS = 4096
 HARD_TOKENS = 8192
 
 
+#: Control characters but tab and line ends, and the code points of all planes that are no characters.
+_UNWANTED = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FDD0}-\\x{FDEF}" + "".join(f"\\x{{{plane:X}FFFE}}\\x{{{plane:X}FFFF}}" for plane in range(17)).replace("\\x{0FFF", "\\x{FFF") + "]"
+
+
 def sanitized(text: Column) -> Column:
     """Without control characters (but tab and line ends) and code points that are no characters."""
-    return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F﷐-﷯￾￿]", "")
+    return F.regexp_replace(text, _UNWANTED, "")
+
+
+def sanitized_value(value: Column, kind: T.DataType) -> Column:
+    """A value of any type with all strings in it sanitized, at any depth; keys of maps stay."""
+    if isinstance(kind, T.StringType):
+        return sanitized(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: sanitized_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, v: sanitized_value(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[sanitized_value(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def sanitized_rows(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f.name: sanitized_value(F.col(f.name), f.dataType) for f in rows.schema.fields})
 
 
 def readable(text: Column) -> Column:
@@ -70,35 +96,71 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
 
 
-def sentence_chunks(text: Column, target: int = CHUNK_TOKENS) -> Column:
-    """Sentences (delimiters stay with them) gathered in order until the next would pass `target` tokens."""
-    sentences = F.filter(F.split(text, r"(?<=[.!?\n])"), lambda s: F.length(F.trim(s)) > 0)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
+_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]|[^.!?\n]+")
+_WORD = re.compile("[^\x20\x09-\x0D]+")
+
+
+def gathered(text: str | None, target: int = CHUNK_TOKENS, most: int = HARD_TOKENS) -> list[str] | None:
+    """Sentences (delimiters stay with them) gathered in order until the next would pass `target` tokens; a sentence of more
+    than `most` tokens is cut at token borders. Each character is read a fixed number of times."""
+    if text is None:
+        return None
+    out: list[str] = []
+    now: list[str] = []
+    n = 0
+    for sentence in _SENTENCE.findall(text):
+        if not sentence.strip(" "):
+            continue
+        own = sum(1 for _ in _WORD.finditer(sentence))
+        if n > 0 and n + own > target:
+            out.append("".join(now))
+            now, n = [], 0
+        if own > most:
+            words = _WORD.findall("".join(now) + sentence)
+            out += [" ".join(words[i : i + most]) for i in range(0, len(words), most)]
+            now, n = [], 0
+            continue
+        now.append(sentence)
+        n += own
+    if n > 0:
+        out.append("".join(now))
+    return out
 
-    def add(acc: Column, s: Column) -> Column:
-        n = F.size(tokens(s))
-        full = (acc["n"] > 0) & (acc["n"] + n > target)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, s).otherwise(F.concat(acc["now"], s)).alias("now"),
-            F.when(full, n).otherwise(acc["n"] + n).alias("n"),
-        )
 
-    return F.aggregate(sentences, start, add, lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+def sentence_chunks(text: Column, target: int = CHUNK_TOKENS, most: int = HARD_TOKENS) -> Column:
+    """Chunks of whole sentences, none over `most` tokens, in Arrow batches: where one ends depends on all before it, which
+    built-in functions can only say by copying what they have gathered at each sentence."""
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([gathered(t.as_py(), target, most) for t in texts], pa.list_(pa.string()))
+
+    return run(text)
+
+
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with the value worked out once, however often fn names it."""
+    return F.transform(F.array(value), fn)[0]
 
 
 def token_slices(text: Column, most: int = HARD_TOKENS) -> Column:
     """A text cut into runs of at most `most` tokens, without overlap."""
-    words = tokens(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / most).cast("int") - 1, F.lit(0)))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i * most + 1, most), " ")))
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / most).cast("int") - 1, F.lit(0)))
+        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i * most + 1, most), " ")))
+
+    return bound(tokens(text), cut)
 
 
 def line_chunks(code: Column, lines: int = 100) -> Column:
     """Code in runs of whole lines."""
-    found = F.split(code, "\n", -1)
-    starts = F.sequence(F.lit(0), F.ceil(F.size(found) / lines).cast("int") - 1)
-    return F.transform(starts, lambda i: F.array_join(F.slice(found, i * lines + 1, lines), "\n"))
+
+    def cut(found: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.ceil(F.size(found) / lines).cast("int") - 1)
+        return F.transform(starts, lambda i: F.array_join(F.slice(found, i * lines + 1, lines), "\n"))
+
+    return bound(F.split(code, "\n", -1), cut)
 
 
 def exploded_chunks(rows: DataFrame, chunks: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_DEPTH = 10
+from ..sources.scratch import stored
 
 
 def visible(principals: Sequence[str] | None) -> Column:
@@ -46,19 +46,21 @@ def default_access(supports_acl: Column) -> Column:
     return F.when(F.col("access_is_public").isNotNull(), F.col("access_is_public")).otherwise(~supports_acl)
 
 
-def expanded(memberships: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+def expanded(memberships: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(member_id, group_id, depth): groups of each user, over groups that are members of groups.
 
-    memberships: member_id, member_type (user or group), group_id. Cycles end at what was seen; each step
-    is one join on the group, as many as the deepest nesting has levels.
+    memberships: member_id, member_type (user or group), group_id. Cycles end at what was seen. Each level is one join of what
+    the level before found, and is stored, so the work grows with the levels and not with their combinations. All levels
+    are followed unless most_depth limits them.
     """
     edges = memberships.where("member_id is not null and group_id is not null").select("member_id", "member_type", "group_id").distinct()
-    nested = edges.where("member_type = 'group'").select(F.col("member_id").alias("group_id"), F.col("group_id").alias("parent"))
-    reached = edges.where("member_type = 'user'").select("member_id", "group_id", F.lit(1).alias("depth"))
-    front = reached
-    for depth in range(2, most_depth + 1):
+    nested = stored(edges.where("member_type = 'group'").select(F.col("member_id").alias("group_id"), F.col("group_id").alias("parent")))
+    front = stored(edges.where("member_type = 'user'").select("member_id", "group_id", F.lit(1).alias("depth")))
+    reached, depth = front, 1
+    while most_depth is None or depth < most_depth:
+        depth += 1
         step = front.join(nested, "group_id").select("member_id", F.col("parent").alias("group_id")).distinct()
-        front = step.join(reached.select("member_id", "group_id"), ["member_id", "group_id"], "left_anti").withColumn("depth", F.lit(depth))
+        front = stored(step.join(reached.select("member_id", "group_id"), ["member_id", "group_id"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         reached = reached.unionByName(front)

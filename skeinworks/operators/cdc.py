@@ -43,9 +43,15 @@ def split_deletions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def classified(new: DataFrame, state: DataFrame, keys: Sequence[str] = KEYS, force: bool = False) -> DataFrame:
-    """new with `action`: DELETE, INSERT, UPDATE or KEEP; one left join on the keys."""
+    """new with `action`: DELETE, INSERT, UPDATE or KEEP; one left join on the keys.
+
+    A row that its source reports as removed is a DELETE; with force, so is one with any other deletion status, and all else
+    an INSERT.
+    """
     old = state.select(*keys, F.col("hash").alias("_old"), F.lit(True).alias("_known"))
-    gone = F.coalesce(F.col("deletion_status") == "removed", F.lit(False)) if "deletion_status" in new.columns else F.lit(False)
+    gone = F.lit(False)
+    if "deletion_status" in new.columns:
+        gone = F.col("deletion_status").isNotNull() if force else F.coalesce(F.col("deletion_status") == "removed", F.lit(False))
     action = (
         F.when(gone, "DELETE")
         .when(F.lit(force) | F.col("_known").isNull(), "INSERT")

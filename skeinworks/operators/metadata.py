@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACTIVE = ["pending", "running", "cancelling"]
+#: States that do not count among a sync's last jobs; one that is being cancelled does.
+UNFINISHED = ["pending", "running"]
 #: Ways to sort the organisation list.
 SORTS = {"name": "name", "created_at": "created_at", "user_count": "n_users", "entity_count": "n_entities", "last_active": "last_active"}
 
@@ -23,8 +25,8 @@ def newest(jobs: DataFrame, n: int, key: str = "sync_id") -> DataFrame:
 
 
 def ghosts(jobs: DataFrame, n: int) -> DataFrame:
-    """Syncs whose newest n finished jobs all failed."""
-    done = newest(jobs.where(~F.col("status").isin(ACTIVE)), n)
+    """Syncs whose newest n jobs, but for pending and running ones, all failed."""
+    done = newest(jobs.where(~F.col("status").isin(UNFINISHED)), n)
     counted = done.groupBy("sync_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "failed").alias("failed"))
     return counted.where((F.col("n") >= n) & (F.col("n") == F.col("failed"))).select("sync_id", F.col("n").alias("n_failed"))
 
@@ -37,21 +39,28 @@ def jobs_of(jobs: DataFrame, sync_id, statuses: list[str] | None = None, limit:
 
 
 def stuck(jobs: DataFrame, activity: DataFrame, now: Column) -> DataFrame:
-    """Jobs cancelling or pending over 3 minutes, or running over 15 without newer activity."""
+    """Jobs cancelling or pending over 3 minutes, or running over 15 without newer activity; jobs that only fill the raw
+    store (`raw_only`, if there is such a column) may run as long as they like."""
     last = activity.groupBy("job_id").agg(F.max("created_at").alias("last_at"))
     old = jobs.join(last, "job_id", "left")
     minutes = lambda t: (F.unix_timestamp(now) - F.unix_timestamp(t)) / 60
     waiting = F.col("status").isin("cancelling", "pending") & (minutes(F.col("created_at")) > 3)
     idle = (F.col("status") == "running") & (minutes(F.coalesce("last_at", "created_at")) > 15)
+    if "raw_only" in jobs.columns:
+        idle = idle & ~F.coalesce("raw_only", F.lit(False))
     return old.where(waiting | idle)
 
 
-def health(deliveries: DataFrame, threshold: int = 3) -> DataFrame:
-    """Status per endpoint from its deliveries, newest first: failing, healthy or degraded."""
+def health(deliveries: DataFrame, threshold: int = 3, endpoints: DataFrame | None = None) -> DataFrame:
+    """Status per endpoint from its deliveries, newest first: failing, healthy or degraded; unknown for one of `endpoints`
+    without deliveries."""
     w = Window.partitionBy("endpoint").orderBy(F.desc("at"), F.desc("delivery_id")).rowsBetween(Window.unboundedPreceding, 0)
     run = deliveries.withColumn("ok", F.col("code").between(200, 299)).withColumn("_ok", F.sum(F.col("ok").cast("int")).over(w))
     found = run.groupBy("endpoint").agg(F.count_if(F.col("_ok") == 0).alias("n_leading"), F.every("ok").alias("all_ok"))
-    return found.select("endpoint", "n_leading", F.when(F.col("n_leading") >= threshold, "failing").when(F.col("all_ok"), "healthy").otherwise("degraded").alias("health"))
+    if endpoints is not None:
+        found = endpoints.select("endpoint").distinct().join(found, "endpoint", "left").fillna(0, ["n_leading"])
+    state = F.when(F.col("all_ok").isNull(), "unknown").when(F.col("n_leading") >= threshold, "failing").when(F.col("all_ok"), "healthy").otherwise("degraded")
+    return found.select("endpoint", "n_leading", state.alias("health"))
 
 
 def connection_status(listed: bool = False) -> Column:
@@ -125,11 +134,11 @@ def tags(jobs: DataFrame) -> DataFrame:
     return jobs.select("sync_id", F.explode("tags").alias("tag")).groupBy("sync_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
 
 
+#: The states that may follow a job's state; from the others no step leads on.
 TRANSITIONS = {
-    "created": ["pending", "running", "cancelled"],
-    "pending": ["running", "cancelling", "cancelled", "failed"],
-    "running": ["completed", "failed", "cancelling", "cancelled"],
-    "cancelling": ["cancelled", "failed", "completed"],
+    "pending": ["running", "cancelled", "failed"],
+    "running": ["completed", "failed", "cancelling"],
+    "cancelling": ["cancelled"],
 }
 
 

@@ -22,13 +22,14 @@ class SyncResult:
 def run(new: DataFrame, state: DataFrame, index: DataFrame, chunk_tokens: int = text.CHUNK_TOKENS, incremental: bool = False, force: bool = False) -> SyncResult:
     """Plans of one run over `new` (sync_id, entity_id, entity_type, name, text, seq, ...).
 
-    Updated and deleted parents lose all their chunks before new ones are added; an incremental run sees only
-    part of the source, so it has no orphans.
+    Updated and deleted parents lose all their chunks before new ones are added. A row whose text cannot be read is no
+    change, but it was seen, so what is stored of it stays. An incremental run sees only part of the source, so it has no
+    orphans. No chunk has more than `text.HARD_TOKENS` tokens.
     """
-    one = cdc.hashed(cdc.keep_first(new, ["entity_type", "entity_id"], ["seq"]))
-    one = one.where(text.readable(F.coalesce("text", F.lit(""))))
+    seen = cdc.keep_first(new, ["entity_type", "entity_id"], ["seq"])
+    one = cdc.hashed(seen).where(text.readable(F.coalesce("text", F.lit(""))))
     changes = cdc.classified(one, state, force=force)
-    gone = cdc.orphans(state, one) if not incremental else state.limit(0)
+    gone = cdc.orphans(state, seen) if not incremental else state.limit(0)
     stale = changes.where("action in ('UPDATE', 'DELETE')").select("entity_id").unionByName(gone.select("entity_id")).distinct()
     fresh = changes.where("action in ('INSERT', 'UPDATE')")
     chunks = text.exploded_chunks(fresh.select("sync_id", "entity_id", "entity_type", "name", "text"), text.sentence_chunks(F.coalesce("text", F.lit("")), chunk_tokens))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import access
+from ..operators import access, lookups
 from .base import IDX, Register, index, table
 
 reg = Register()
@@ -43,9 +43,11 @@ def _(spark, sf_dir):
 
 @reg("j05_memberships_of_collection", "select c_custkey as member_id from customer join nation on c_nationkey = n_nationkey where n_regionkey = 2")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation").where("n_regionkey = 2"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("member_id"))
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("member_id"), F.col("c_nationkey").alias("connection_id"))
+    links = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("connection_id"), F.col("n_regionkey").alias("collection_id"))
+    return lookups.memberships_of(own, links, 2).select("member_id")
 
 
 @reg("j06_has_controlled_sources", f"with {IDX} select collection_id, bool_or(access_is_public is not null) as controlled from idx group by all")
 def _(spark, sf_dir):
-    return index(spark, sf_dir).groupBy("collection_id").agg(F.bool_or(F.col("access_is_public").isNotNull()).alias("controlled"))
+    return lookups.has_controlled_sources(index(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cdc
+from ..operators import cdc, lookups
 from ..plans import sync
 from .base import Register, index, table
 
@@ -141,12 +141,12 @@ def _(spark, sf_dir):
 @reg("j04_membership_orphans", "select c_custkey as member_id from customer where c_custkey % 4 = 0")
 def _(spark, sf_dir):
     c = table(spark, sf_dir, "customer").selectExpr("c_custkey as member_id", "'user' as member_type", "c_nationkey as group_id")
-    return c.join(c.where("member_id % 4 <> 0"), ["member_id", "member_type", "group_id"], "left_anti").select("member_id")
+    return lookups.stale(c, c.where("member_id % 4 <> 0"), ["member_id", "member_type", "group_id"]).select("member_id")
 
 
 @reg("a16_membership_dedup", "select distinct o_custkey as member_id, o_orderstatus as group_id from orders")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "orders").selectExpr("o_custkey as member_id", "o_orderstatus as group_id").dropDuplicates(["member_id", "group_id"])
+    return lookups.distinct_pairs(table(spark, sf_dir, "orders").selectExpr("o_custkey as member_id", "o_orderstatus as group_id"), "member_id", "group_id")
 
 
 @reg("sync_run", f"with {BOTH}, k as (select entity_id from old where entity_id not in (select entity_id from new)) select * from (select entity_id, action from chg union all select entity_id, 'ORPHAN' from k)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import rows as projections
 from .. import model
 from .base import IDX, Register, index, table
 
@@ -39,8 +40,7 @@ def _(spark, sf_dir):
 
 @reg("c13_empty_dropped", "select doc_id from documents where length(trim(regexp_replace(text, '[^a-z ]', '', 'g'))) > 20")
 def _(spark, sf_dir):
-    kept = F.trim(F.regexp_replace("text", "[^a-z ]", ""))
-    return table(spark, sf_dir, "documents").where(F.length(kept) > 20).select("doc_id")
+    return projections.with_content(table(spark, sf_dir, "documents"), F.regexp_replace("text", "[^a-z ]", ""), 21).select("doc_id")
 
 
 @reg("c15_token_slices", """with w as (select doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w from documents),
@@ -51,7 +51,12 @@ def _(spark, sf_dir):
     return d.select("doc_id", F.posexplode("c").alias("chunk_index", "chunk"))
 
 
-@reg("c14_sentence_chunks")
+@reg("c14_sentence_chunks", """with recursive s0 as (select doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+')) as s, generate_subscripts(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+'), 1) as k from documents),
+  s1 as (select doc_id, s, len(regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+')) as n, row_number() over (partition by doc_id order by k) as k from s0 where length(trim(s)) > 0),
+  g as (select doc_id, k, n as acc, 0 as grp from s1 where k = 1
+    union all select s1.doc_id, s1.k, case when g.acc > 0 and g.acc + s1.n > 120 then s1.n else g.acc + s1.n end, case when g.acc > 0 and g.acc + s1.n > 120 then g.grp + 1 else g.grp end from g join s1 on s1.doc_id = g.doc_id and s1.k = g.k + 1),
+  c as (select doc_id, grp, string_agg(s, '' order by k) as chunk, sum(n) as n from s1 join g using (doc_id, k) group by all)
+  select doc_id || '__chunk_' || grp as entity_id, doc_id::varchar as original_entity_id, grp::int as chunk_index, chunk from c where n > 0 and length(trim(chunk)) > 0""")
 def _(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("entity_id"), "text")
     return text.exploded_chunks(d, text.sentence_chunks(F.col("text"), 120)).select("entity_id", "original_entity_id", "chunk_index", "chunk")
@@ -89,7 +94,7 @@ def _(spark, sf_dir):
 
 @reg("p01_epochs", "select o_orderkey, epoch(o_orderdate)::bigint as at from orders")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_timestamp("o_orderdate").alias("at"))
+    return projections.epochs(table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderdate as at"), ["at"])
 
 
 @reg("p02_metadata_defaults", f"with {IDX} select entity_id, coalesce(nullif(case when doc_id % 3 = 0 then '' else entity_type end, ''), 'Unknown') as entity_type, coalesce(case when doc_id % 2 = 0 then null else original_entity_id end, entity_id) as original_entity_id from idx")
@@ -97,7 +102,7 @@ def _(spark, sf_dir):
     rows = index(spark, sf_dir)
     kind = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("entity_type"))
     parent = F.when(F.col("doc_id") % 2 != 0, F.col("original_entity_id"))
-    return rows.select("entity_id", F.coalesce(F.nullif(kind, F.lit("")), F.lit("Unknown")).alias("entity_type"), F.coalesce(parent, F.col("entity_id")).alias("original_entity_id"))
+    return projections.with_defaults(rows.select("entity_id", kind.alias("entity_type"), parent.alias("original_entity_id")))
 
 
 @reg("p04_payload", "select c_custkey, '{\"c_mktsegment\":\"' || c_mktsegment || '\",\"c_nationkey\":' || c_nationkey || '}' as payload from customer")
@@ -123,12 +128,12 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = index(spark, sf_dir)
     ident, name = F.when(F.col("doc_id") % 7 != 0, F.col("entity_id")), F.when(F.col("doc_id") % 5 != 0, F.col("name"))
-    return rows.select(ident.alias("entity_id"), F.coalesce(name, F.lit("")).alias("name")).where(F.col("entity_id").isNotNull())
+    return projections.results(rows.select(ident.alias("entity_id"), name.alias("name")))
 
 
 @reg("p08_federated_rows", "select item_id || '__chunk_0' as entity_id, 0::int as chunk_index, 0.0::double as score from benchmark")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit("__chunk_0")).alias("entity_id"), F.lit(0).alias("chunk_index"), F.lit(0.0).alias("score"))
+    return projections.federated(table(spark, sf_dir, "benchmark"), "item_id").select("entity_id", "chunk_index", "score")
 
 
 @reg("p09_snippets", "select doc_id, case when length(trim(text)) > 400 then substr(trim(text), 1, 397) || '...' else trim(text) end as snippet from documents")
@@ -138,8 +143,33 @@ def _(spark, sf_dir):
 
 @reg("p10_summaries", f"with {IDX} select entity_id, '### ' || name || chr(10) || '- id: ' || entity_id || chr(10) || '- source: ' || source_name as summary from idx")
 def _(spark, sf_dir):
-    lines = F.concat_ws("\n", F.concat(F.lit("### "), "name"), F.concat(F.lit("- id: "), "entity_id"), F.concat(F.lit("- source: "), "source_name"))
-    return index(spark, sf_dir).select("entity_id", lines.alias("summary"))
+    return index(spark, sf_dir).select("entity_id", projections.summary().alias("summary"))
+
+
+@reg("p10_full_renders", f"with {IDX} select entity_id, '### ' || name || chr(10) || '- id: ' || entity_id || chr(10) || '- source: ' || source_name || coalesce(chr(10) || textual_representation, '') || chr(10) || '```json' || chr(10) || '{{\"n\":' || doc_id || '}}' || chr(10) || '```' as summary from idx")
+def _(spark, sf_dir):
+    source = F.to_json(F.struct(F.col("doc_id").alias("n")))
+    return index(spark, sf_dir).select("entity_id", projections.summary(True, source).alias("summary"))
+
+
+@reg("p03_type_fields", "select page_id::varchar as entity_id, url as crawl_url, 'web_entity' as schema_name from pages")
+def _(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("entity_id"), F.col("url").alias("crawl_url"), F.lit(1).alias("extra"))
+    return projections.type_fields(pages)
+
+
+@reg("p03_file_fields", "select doc_id::varchar as entity_id, source as url, n_chars as size, 'text' as file_type, case when doc_id % 2 = 0 then 'text/plain' end as mime_type, 'file_entity' as schema_name from documents")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 2 == 0, "text/plain").otherwise("")
+    return projections.type_fields(d.select(F.col("doc_id").cast("string").alias("entity_id"), F.col("source").alias("url"), F.col("n_chars").alias("size"), F.lit("text").alias("file_type"), kind.alias("mime_type"), "lang"))
+
+
+@reg("p05_nested_values", "select doc_id, 'ab' as a, 'cd' as b, 'ef' as c from documents")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    dirty = d.select("doc_id", F.struct(F.lit("a\x00b").alias("x"), F.array(F.lit("c\U0010ffffd")).alias("y")).alias("s"), F.create_map(F.lit("k"), F.lit("e\ufdd0f")).alias("m"))
+    return text.sanitized_rows(dirty).select("doc_id", F.col("s.x").alias("a"), F.col("s.y")[0].alias("b"), F.col("m")["k"].alias("c"))
 
 
 @reg("u02_families", "select * from (select 'base_entity' as schema_name, count(*) as n, 0::bigint as urls from documents union all select 'web_entity', count(*), count(url) from pages)")

@@ -87,9 +87,9 @@ _where("l17_syncs_resolved", lambda: legacy_filters.syncs(["sync-1", "sync-4"]),
 _where("l17_no_sync_resolved", lambda: legacy_filters.syncs([]), "false")
 
 
-@reg("n12_browse", f"with {IDX} select entity_id, name, source_name from idx where source_name in ('src1', 'src2', 'src3') and chunk_index = 0 order by entity_id limit 10 offset 5")
+@reg("n12_browse", f"with {IDX} select entity_id, name, source_name from idx where source_name in ('src0', 'src1', 'src2', 'src3', 'src5') and chunk_index = 0 order by entity_id limit 10 offset 2")
 def _(spark, sf_dir):
-    plan = plans.SearchPlan("", groups=[[C("source_name", "in", ["src1", "src2", "src3"])]], limit=10, offset=5)
+    plan = plans.SearchPlan("", groups=[[C("source_name", "in", ["src0", "src1", "src2", "src3", "src5"])]], limit=10, offset=2)
     return plans.browse(plan, index(spark, sf_dir)).select("entity_id", "name", "source_name")
 
 

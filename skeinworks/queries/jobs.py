@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metadata
+from ..operators import lookups, metadata
+from ..operators import rows as projections
 from ..sources import stores
 from .base import IDX, JOBS, Register, index, jobs, table
 
@@ -24,7 +25,7 @@ def _(spark, sf_dir):
 
 @reg("w04_newest_jobs", f"with {JOBS} select sync_id, job_id, rn::int as rn from (select sync_id, job_id, row_number() over (partition by sync_id order by created_at desc, job_id desc) as rn from jobs where status in ('completed', 'failed')) where rn <= 3")
 def _(spark, sf_dir):
-    done = jobs(spark, sf_dir).where(~F.col("status").isin(metadata.ACTIVE))
+    done = jobs(spark, sf_dir).where(~F.col("status").isin(metadata.UNFINISHED))
     return metadata.newest(done, 3).select("sync_id", "job_id", "rn")
 
 
@@ -64,7 +65,7 @@ def _(spark, sf_dir):
 
 @reg("a04_connections_by_status", "select c_mktsegment as status, count(*) as n from customer group by all")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return lookups.counts(table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "status"), ["status"])
 
 
 @reg("a21_collection_status", "with c as (select n_nationkey as collection_id, c_custkey % 3 <> 0 and n_regionkey <> 1 as a, coalesce(n_regionkey = 2 or c_custkey % 2 = 0, false) as f from nation left join customer on c_nationkey = n_nationkey) select collection_id, case when count_if(a) = 0 then 'NEEDS SOURCE' when count_if(a) = count_if(a and f) then 'ERROR' else 'ACTIVE' end as status from c group by all")
@@ -94,31 +95,30 @@ def _(spark, sf_dir):
 
 @reg("j13_in_subquery", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")
 def _(spark, sf_dir):
-    big = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(big, "c_custkey", "left_semi").select("c_custkey")
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return lookups.having(table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey", F.col("o_totalprice") > 300000)
 
 
-@reg("j14_without_connection", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@reg("j14_without_connection", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 150000)")
 def _(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 150000").withColumnRenamed("o_custkey", "c_custkey")
+    return lookups.lacking(table(spark, sf_dir, "customer").select("c_custkey"), o, "c_custkey")
 
 
 @reg("j15_type_counts", "select n_name as entity_type, coalesce(n, 0)::bigint as n from nation left join (select s_nationkey, count(*) as n from supplier group by all) on s_nationkey = n_nationkey")
 def _(spark, sf_dir):
-    n = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, sf_dir, "nation").join(n, "n_nationkey", "left").select(F.col("n_name").alias("entity_type"), F.coalesce("n", F.lit(0)).alias("n"))
+    n = lookups.counts(table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), ["n_nationkey"])
+    return lookups.type_counts(table(spark, sf_dir, "nation"), n, "n_nationkey").select(F.col("n_name").alias("entity_type"), "n")
 
 
 @reg("a02_entities_per_sync", f"with {IDX} select sync_id, count(*) as n, max(created_at) as last_at from idx group by all")
 def _(spark, sf_dir):
-    return index(spark, sf_dir).groupBy("sync_id").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last_at"))
+    return lookups.counts(index(spark, sf_dir), ["sync_id"], "created_at")
 
 
 @reg("a03_counts_per_type", f"with {IDX} select sync_id, entity_type, count(*) as n, regexp_replace(entity_type, 'Entity$', '') as display_name from idx group by all")
 def _(spark, sf_dir):
-    c = index(spark, sf_dir).groupBy("sync_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("display_name", F.regexp_replace("entity_type", "Entity$", ""))
+    return lookups.counts_by_type(index(spark, sf_dir))
 
 
 @reg("a08_tags", "select user_id as sync_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') as tags from events group by all")
@@ -129,8 +129,7 @@ def _(spark, sf_dir):
 
 @reg("a19_usage", "select user_id, count(*) as n, round(sum(value), 4) as total, (count(*) // greatest(datediff('day', min(ts), max(ts)), 1))::bigint as per_day from events group by all")
 def _(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return e.select("user_id", "n", "total", F.floor(F.col("n") / F.greatest(F.datediff("b", "a"), F.lit(1))).alias("per_day"))
+    return lookups.usage(table(spark, sf_dir, "events"), "user_id", "ts", "value").withColumn("total", F.round("total", 4))
 
 
 @reg("a20_trend", "with m as (select date_trunc('month', o_orderdate) as m, count(*) as n from orders group by all), l as (select m, n, lag(n) over (order by m) as p from m), q as (select m, n, case when coalesce(p, 0) = 0 then case when n > 0 then 100.0 else 0.0 end else round((n - p) / p * 100, 1) end as percent from l) select strftime(m, '%Y-%m') as month, n, percent, case when percent > 5 then 'up' when percent < -5 then 'down' else 'stable' end as direction from q")
@@ -168,12 +167,12 @@ def _(spark, sf_dir):
 @reg("m07_search_history", "select event_id from events where user_id = (select min(user_id) from events) order by ts desc, event_id desc limit 10")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.where(F.col("user_id") == e.agg(F.min("user_id")).first()[0]).orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id")
+    return lookups.search_history(e, "user_id", e.agg(F.min("user_id")).first()[0], 10).select("event_id")
 
 
 @reg("m06_props_flattened", "select event_id, (props->>'$.k')::int as k from events")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return projections.flattened(table(spark, sf_dir, "events"), "props", {"k": "int"}).select("event_id", "k")
 
 
 @reg("k09_manifest", f"with {JOBS} select sync_id, string_agg(job_id, ',' order by created_at, job_id) as sync_jobs from jobs group by all")
@@ -189,9 +188,9 @@ def _(spark, sf_dir):
 
 @reg("a22_collections_like", f"with {IDX} select count(*) as n from (select distinct source_name from idx) where lower(source_name) like '%rc1%'")
 def _(spark, sf_dir):
-    return index(spark, sf_dir).select("source_name").distinct().where(F.lower("source_name").like("%rc1%")).agg(F.count(F.lit(1)).alias("n"))
+    return lookups.matching_collections(index(spark, sf_dir), "source_name", "RC1")
 
 
 @reg("a23_syncs_per_collection", f"with {IDX} select distinct collection_id, sync_id from idx")
 def _(spark, sf_dir):
-    return index(spark, sf_dir).select("collection_id", "sync_id").distinct()
+    return lookups.distinct_pairs(index(spark, sf_dir), "collection_id", "sync_id")

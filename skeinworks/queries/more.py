@@ -5,72 +5,74 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import convert, scoring, text
-from ..operators import embed, metadata, search
+from ..operators import embed, lookups, metadata, search
+from ..operators import rows as projections
+from ..sources import stores
+from ..sources.scratch import new_folder
 from .base import IDX, JOBS, Register, index, jobs, table
-from .stores import _folder
+from .stores import tree
 
 reg = Register()
 
 
-@reg("s04_browse_children", "select n_nationkey as node_id from nation where n_regionkey = 1")
+@reg("s04_browse_children", "select 'n' || n_nationkey as node_id from nation where n_regionkey = 1")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("node_id"))
+    return stores.browse_children(tree(spark, sf_dir), "r1").select("node_id")
 
 
 @reg("s08_snapshot_source", "select doc_id, 'snapshot:' || source as source_name from documents")
 def _(spark, sf_dir):
-    root = _folder(spark)
+    root = new_folder(spark)
     table(spark, sf_dir, "documents").select("doc_id", "source").write.json(root)
-    return spark.read.schema("doc_id long, source string").json(root).select("doc_id", F.concat(F.lit("snapshot:"), "source").alias("source_name"))
+    return stores.snapshot(spark.read.schema("doc_id long, source string").json(root).withColumnRenamed("source", "source_name"))
 
 
 @reg("k12_selections_replaced", "select c_nationkey as part, c_custkey as node_id from customer where c_nationkey <> 3 union all select 3, -1")
 def _(spark, sf_dir):
-    root = _folder(spark)
-    table(spark, sf_dir, "customer").selectExpr("c_nationkey as part", "c_custkey as node_id").write.partitionBy("part").parquet(root)
-    new = spark.createDataFrame([(3, -1)], "part int, node_id long")
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(root)
-    return spark.read.parquet(root).selectExpr("cast(part as int) as part", "node_id")
+    root = new_folder(spark)
+    stores.replace_selections(table(spark, sf_dir, "customer").selectExpr("c_nationkey as connection_id", "c_custkey as node_id"), root)
+    stores.replace_selections(spark.createDataFrame([(3, -1)], "connection_id int, node_id long"), root)
+    return spark.read.parquet(root).selectExpr("cast(connection_id as int) as part", "node_id")
 
 
 @reg("k13_index_rows", f"with {IDX} select entity_type || '_' || entity_id as document_id, collection_id, 'base_entity' as schema_name, created_at from idx")
 def _(spark, sf_dir):
     rows = index(spark, sf_dir)
-    return rows.select(F.concat("entity_type", F.lit("_"), "entity_id").alias("document_id"), "collection_id", F.lit("base_entity").alias("schema_name"), "created_at")
+    return projections.index_ids(rows).select("document_id", "collection_id", "schema_name", "created_at")
 
 
 @reg("k05_delete_by_selection", f"with {IDX} select entity_id from idx where not coalesce(source_name = 'src2' and chunk_index > 1, false)")
 def _(spark, sf_dir):
-    return index(spark, sf_dir).where(~F.coalesce((F.col("source_name") == "src2") & (F.col("chunk_index") > 1), F.lit(False))).select("entity_id")
+    return lookups.deleted_by_selection(index(spark, sf_dir), (F.col("source_name") == "src2") & (F.col("chunk_index") > 1)).select("entity_id")
 
 
 @reg("j03_stale_paths", "select doc_id from documents where doc_id % 9 = 0")
 def _(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id")
-    return d.join(d.where("doc_id % 9 <> 0"), "doc_id", "left_anti")
+    return lookups.stale(d, d.where("doc_id % 9 <> 0"), ["doc_id"])
 
 
 @reg("j11_connections_with_collection", "select c_custkey, n_name as collection from customer left join (select * from nation where n_nationkey < 20) on n_nationkey = c_nationkey")
 def _(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 20")
-    return table(spark, sf_dir, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", F.col("n_name").alias("collection"))
+    n = table(spark, sf_dir, "nation").where("n_nationkey < 20").selectExpr("n_nationkey as collection_id", "n_name as name")
+    return lookups.with_collection(table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "collection_id"), n).select("c_custkey", "collection")
 
 
 @reg("j12_sync_connections", "select s_suppkey, n_name from supplier join nation on s_nationkey = n_nationkey")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    links = table(spark, sf_dir, "nation").selectExpr("n_nationkey as connection_id", "n_name as name")
+    return lookups.sync_connections(table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "connection_id"), links).select("s_suppkey", F.col("connection").alias("n_name"))
 
 
 @reg("a05_organisation_members", "select c_nationkey as org_id, count(*) as n_users, round(max(c_acctbal), 4) as last_active from customer group by all")
 def _(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("org_id"))
-    return c.agg(F.count(F.lit(1)).alias("n_users"), F.round(F.max("c_acctbal"), 4).alias("last_active"))
+    c = table(spark, sf_dir, "customer").selectExpr("c_nationkey as org_id", "c_acctbal as last_active")
+    return lookups.members(c).withColumn("last_active", F.round("last_active", 4))
 
 
 @reg("a24_operation_sums", "select user_id, (count_if(event_id % 7 < 3) + count_if(event_id % 7 = 5))::bigint as n from events group by all")
 def _(spark, sf_dir):
-    j = jobs(spark, sf_dir)
-    return j.groupBy(F.col("sync_id").alias("user_id")).agg((F.count_if(F.col("status") == "completed") + F.count_if(F.col("status") == "running")).alias("n"))
+    return lookups.operation_sum(jobs(spark, sf_dir), ["completed", "running"]).withColumnRenamed("sync_id", "user_id")
 
 
 @reg("w02_latest_with_error", f"with {JOBS}, l as (select *, row_number() over (partition by sync_id order by created_at desc, job_id desc) as rn from jobs) select sync_id, case when status = 'failed' then event_type end as error_category from l where rn = 1")
@@ -89,9 +91,7 @@ def _(spark, sf_dir):
 
 @reg("u05_common_principals", f"with {IDX} select entity_id, array_to_string(list_sort(list_intersect(access_viewers, ['user:u1', 'group:g1', 'group:g2'])), ',') as both from idx where list_has_any(access_viewers, ['user:u1', 'group:g1', 'group:g2'])")
 def _(spark, sf_dir):
-    wanted = F.array(*map(F.lit, ["user:u1", "group:g1", "group:g2"]))
-    rows = index(spark, sf_dir).where(F.arrays_overlap("access_viewers", wanted))
-    return rows.select("entity_id", F.array_join(F.sort_array(F.array_intersect("access_viewers", wanted)), ",").alias("both"))
+    return lookups.common_principals(index(spark, sf_dir), ["user:u1", "group:g1", "group:g2"]).select("entity_id", F.array_join("both", ",").alias("both"))
 
 
 @reg("r10_any_term", "select doc_id from documents where list_has_any(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ['theaou', 'reerhan', 'worthless'])")
@@ -127,9 +127,9 @@ def _(spark, sf_dir):
     return convert.html_to_markdown(table(spark, sf_dir, "pages")).select("page_id", "markdown")
 
 
-@reg("c07_files_decoded", "select doc_id, text from documents where doc_id < 100 and length(trim(text)) > 0")
+@reg("c07_files_decoded", "select doc_id, text from documents where length(trim(text)) > 0")
 def _(spark, sf_dir):
-    return _decoded(table(spark, sf_dir, "documents").where("doc_id < 100"))
+    return _decoded(table(spark, sf_dir, "documents"))
 
 
 @reg("c07_files_decoded_all", "select doc_id, text from documents where length(trim(text)) > 0")
@@ -142,9 +142,9 @@ def _decoded(d):
     return convert.convert_files(d).select("doc_id", "text")
 
 
-@reg("c08_json_fenced", "select event_id, '```json' || chr(10) || '{' || chr(10) || '  \"k\": ' || (props->>'$.k') || chr(10) || '}' || chr(10) || '```' as text from events where event_id < 500")
+@reg("c08_json_fenced", "select event_id, '```json' || chr(10) || '{' || chr(10) || '  \"k\": ' || (props->>'$.k') || chr(10) || '}' || chr(10) || '```' as text from events where props is not null")
 def _(spark, sf_dir):
-    return _fenced(table(spark, sf_dir, "events").where("event_id < 500"))
+    return _fenced(table(spark, sf_dir, "events"))
 
 
 @reg("c08_json_fenced_all", "select event_id, '```json' || chr(10) || '{' || chr(10) || '  \"k\": ' || (props->>'$.k') || chr(10) || '}' || chr(10) || '```' as text from events where props is not null")
@@ -166,37 +166,31 @@ def _(spark, sf_dir):
 
 @reg("c20_file_hash", "select page_id, sha256(html) as file_hash from pages")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("file_hash"))
+    return stores.hashed_files(table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"))).select("page_id", "file_hash")
 
 
 @reg("st15_usage_flushed", "select user_id, event_type, sum(event_id % 3)::bigint as used from events group by all having sum(event_id % 3) >= 10")
 def _(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sum(F.col("event_id") % 3).alias("used"))
-    return e.where("used >= 10")
+    return lookups.flushed(table(spark, sf_dir, "events"), ["user_id", "event_type"], F.col("event_id") % 3, lookups.FLUSH["queries"])
 
 
 @reg("st17_errors_split", "select event_id, (props->>'$.k')::int as k from events where event_id % 5 <> 0")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     broken = F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.col("props"))
-    return e.withColumn("p", broken).select("event_id", F.get_json_object("p", "$.k").try_cast("int").alias("k")).where(F.col("k").isNotNull())
-
-
-#: Limits of usage plans; null is no limit.
-PLANS = [("free", 50_000, 1), ("pro", 2_000_000, 5), ("team", 10_000_000, 50), ("enterprise", None, None)]
+    read, _ = projections.errors_split(projections.flattened(e.withColumn("p", broken), "p", {"k": "int"}), F.col("k"))
+    return read.select("event_id", "k")
 
 
 @reg("m03_plan_limits", "select c_custkey, case c_custkey % 4 when 0 then 50000 when 1 then 2000000 when 2 then 10000000 end::bigint as entities from customer")
 def _(spark, sf_dir):
-    plans = spark.createDataFrame([(i, *p) for i, p in enumerate(PLANS)], "k long, plan string, entities long, users long")
-    c = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey") % 4)
-    return c.join(F.broadcast(plans), "k").select("c_custkey", "entities")
+    names = F.array(*map(F.lit, lookups.PLANS))
+    return lookups.plan_limits(table(spark, sf_dir, "customer").select("c_custkey", names[(F.col("c_custkey") % 4).cast("int")].alias("plan"))).select("c_custkey", "entities")
 
 
 @reg("m10_definitions", f"with {IDX} select source_name, string_agg(distinct entity_type, ',' order by entity_type) as types from idx group by all")
 def _(spark, sf_dir):
-    rows = index(spark, sf_dir).groupBy("source_name").agg(F.sort_array(F.collect_set("entity_type")).alias("t"))
-    return rows.select("source_name", F.array_join("t", ",").alias("types"))
+    return lookups.definitions(index(spark, sf_dir)).select("source_name", F.array_join("types", ",").alias("types"))
 
 
 @reg("w09_numbered_with_gaps", "with l as (select doc_id, string_split(text, '. ') as l from documents), c as (select doc_id, generate_subscripts(l, 1) - 1 as i, unnest(l) as chunk from l) select doc_id::varchar as original_entity_id, max(i)::int as last_index, count(*) as n from c where length(trim(chunk)) > 0 group by all")

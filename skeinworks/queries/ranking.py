@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import hierarchy, search
+from ..operators import hierarchy, lookups, search
 from ..plans import search as plans
 from .base import CHUNKS, IDX, Register, chunks, index, table
 
@@ -99,14 +99,14 @@ def _(spark, sf_dir):
 
 @reg("t08_reranked", "select o_orderkey, n::bigint as n from (values (3, 0), (1, 1), (0, 2), (2, 3), (4, 4)) t(place, n) join (select o_orderkey, row_number() over (order by o_orderkey) - 1 as place from orders) using (place)")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").orderBy("o_orderkey").limit(10)
+    rows = table(spark, sf_dir, "orders")
     rows = scoring.ranked(rows.select("o_orderkey", (-F.col("o_orderkey")).alias("s")), "s", "o_orderkey", 10).withColumn("place", F.col("rank") - 1)
     out = scoring.permuted(rows, [3, 1, 3, 0], 5)
     order = F.create_map(*[F.lit(x) for p in ((3, 0), (1, 1), (0, 2), (2, 3), (4, 4)) for x in p])
     return out.select("o_orderkey", order[F.col("place").cast("int")].cast("bigint").alias("n"))
 
 
-@reg("w08_budget_prefix", "with r as (select doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as n from documents order by doc_id limit 200), s as (select doc_id, sum(n) over (order by doc_id) as t from r) select doc_id from s where t <= 20000")
+@reg("w08_budget_prefix", "with r as (select doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as n from documents), s as (select doc_id, sum(n) over (order by doc_id) as t from r) select doc_id from s where t <= 20000")
 def _(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     sized = d.select("doc_id", F.size(F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")).alias("n"))
@@ -115,13 +115,13 @@ def _(spark, sf_dir):
 
 @reg("a14_best_by_id", "select l_partkey as id, round(max(l_extendedprice), 4) as score from lineitem group by l_partkey")
 def _(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")
-    return l.groupBy(F.col("l_partkey").alias("id")).agg(F.round(F.max("l_extendedprice"), 4).alias("score"))
+    return lookups.best_by_id(table(spark, sf_dir, "lineitem"), "l_partkey", "l_extendedprice").withColumn("score", F.round("score", 4))
 
 
 @reg("a15_first_by_id", "select l_orderkey as id, min_by(l_partkey, (l_linenumber, l_partkey)) as part from lineitem group by l_orderkey")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("part"))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"))
+    return lookups.first_by_id(l, "l_orderkey", ["l_linenumber", "part"]).select("id", "part")
 
 
 @reg("q15_best_chunk_per_parent", f"with {CHUNKS} select original_entity_id, max_by(entity_id, (length(text), entity_id)) as entity_id from chunks group by original_entity_id")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder
 from ..streaming import pipelines
 from .base import Register, table
 
@@ -22,7 +20,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
     """The stream's whole output, written as Parquet and read back."""
     spark = stream.sparkSession
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/{uuid.uuid4().hex}"
+    root = new_folder(spark)
 
     def put(batch: DataFrame, number: int) -> None:
         # Complete output replaces that of the batch before; appended output keeps to its batch, so a replay replaces it.

@@ -2,33 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .scratch import exists, stored
+
+
+# Raw store: JSON rows under raw/<sync>/entities, a folder a job. Nothing is changed in place: a row written later replaces
+# earlier ones of its entity, and a deletion is a row of its own, until `compact_raw` writes the newest rows anew.
+def _now() -> Column:
+    """Microseconds since 1970: one time for all rows of a write."""
+    return F.unix_micros(F.current_timestamp())
+
 
-# Raw store: one JSON row per entity under raw/<sync>/entities, partitioned by the day of the job.
 def write_raw(rows: DataFrame, root: str, sync_id: str, job_id: str) -> None:
-    rows.withColumn("sync_job_id", F.lit(job_id)).write.mode("append").json(f"{root}/raw/{sync_id}/entities/job={job_id}")
+    """Rows become the newest versions of their entities."""
+    stamped = rows.withColumns({"sync_job_id": F.lit(job_id), "stored_at": _now(), "deleted": F.lit(False)})
+    stamped.write.mode("append").json(f"{root}/raw/{sync_id}/entities/job={job_id}")
+
+
+def delete_raw(ids: DataFrame, root: str, sync_id: str, job_id: str) -> None:
+    """The entities (entity_id) are gone from now on; a later write brings one back."""
+    stamped = ids.select("entity_id").distinct().withColumns({"sync_job_id": F.lit(job_id), "stored_at": _now(), "deleted": F.lit(True)})
+    stamped.write.mode("append").json(f"{root}/raw/{sync_id}/entities/job={job_id}")
 
 
 def read_raw(spark: SparkSession, root: str, sync_id: str, schema: T.StructType) -> DataFrame:
-    """Newest version of each stored entity."""
+    """Newest version of each stored entity that is not deleted; of versions of one moment, that of the larger job id."""
     rows = spark.read.schema(schema).json(f"{root}/raw/{sync_id}/entities")
     rest = [c for c in rows.columns if c != "entity_id"]
-    return rows.groupBy("entity_id").agg(F.max_by(F.struct(*rest), "job").alias("_r")).select("entity_id", "_r.*")
+    newest = rows.groupBy("entity_id").agg(F.max_by(F.struct(*rest), F.struct("stored_at", "deleted", "sync_job_id")).alias("_r"))
+    return newest.select("entity_id", "_r.*").where(~F.coalesce("deleted", F.lit(False))).drop("deleted")
 
 
 def raw_schema(schema: T.StructType) -> T.StructType:
-    """Schema of stored rows: the entity's, its job, and the folder column that orders versions."""
+    """Schema of stored rows: the entity's, its job, when it was stored, and whether the row is a deletion."""
     have = {f.name for f in schema.fields}
-    more = [T.StructField(n, T.StringType()) for n in ("sync_job_id", "job") if n not in have]
+    more = [T.StructField(n, kind) for n, kind in (("sync_job_id", T.StringType()), ("stored_at", T.LongType()), ("deleted", T.BooleanType())) if n not in have]
     return T.StructType([*schema.fields, *more])
 
 
+def compact_raw(spark: SparkSession, root: str, sync_id: str, schema: T.StructType, target: str) -> None:
+    """The raw store of a sync with the newest versions only, under another root."""
+    read_raw(spark, root, sync_id, schema).withColumn("deleted", F.lit(False)).write.json(f"{target}/raw/{sync_id}/entities/job=compacted")
+
+
+def raw_entity(spark: SparkSession, root: str, sync_id: str, schema: T.StructType, entity_id: str) -> DataFrame:
+    """One entity, or no row if it is not stored."""
+    return read_raw(spark, root, sync_id, schema).where(F.col("entity_id") == entity_id)
+
+
+def snapshot(rows: DataFrame, prefix: str = "snapshot:") -> DataFrame:
+    """Rows of a stored snapshot as a source of their own: the source's name says where they come from."""
+    return rows.withColumn("source_name", F.concat(F.lit(prefix), "source_name"))
+
+
 def manifest(jobs: DataFrame) -> DataFrame:
     """Jobs of each sync, each once, in order of first appearance."""
     first = jobs.groupBy("sync_id", "job_id").agg(F.min("created_at").alias("at"))
@@ -39,7 +72,12 @@ def read_files(spark: SparkSession, root: str, extensions: list[str]) -> DataFra
     """Files with an allowed extension: path, size, SHA-256 and content."""
     glob = "*.{" + ",".join(sorted(extensions)) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("file_hash"), "content")
+    return hashed_files(files.select("path", F.col("length").alias("size"), "content"))
+
+
+def hashed_files(files: DataFrame) -> DataFrame:
+    """files with `file_hash`, the SHA-256 of their content."""
+    return files.withColumn("file_hash", F.sha2("content", 256))
 
 
 def unprocessed(rows: DataFrame, done: DataFrame, key: str = "entity_id") -> DataFrame:
@@ -56,29 +94,77 @@ def selected(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
 
 
-# Index: Parquet by collection and schema.
-def write_index(rows: DataFrame, path: str) -> int:
-    """Rows appended by collection; raises if fewer arrive than were sent."""
-    sent = F.count(F.lit(1)).alias("n")
-    from pyspark.sql import Observation
+def browse_children(nodes: DataFrame, parent: str | None) -> DataFrame:
+    """Direct children (node_id, parent_id, title) of a node of a source's tree, or its roots, by title."""
+    below = F.col("parent_id").isNull() if parent is None else F.col("parent_id") == parent
+    return nodes.where(below).orderBy("title", "node_id")
 
-    seen = Observation()
-    rows.observe(seen, sent).write.mode("append").partitionBy("collection_id", "schema_name").parquet(path)
-    n = seen.get["n"]
-    blank = rows.where(F.col("entity_id").isNull()).limit(1).count()
-    if blank:
-        raise ValueError("rows without an entity id were written")
-    return n
 
+def parsed_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes (node_id such as `kind:key=value;key=value`) with `node_type` and `node_metadata`, a map."""
+    pairs = F.filter(F.split(F.substring_index("node_id", ":", -1), ";"), lambda x: x.contains("="))
+    entries = F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_extract(x, "^[^=]*=(.*)$", 1).alias("v")))
+    return nodes.withColumns({"node_type": F.substring_index("node_id", ":", 1), "node_metadata": F.map_from_entries(entries)})
 
-def read_index(spark: SparkSession, path: str, collection_id: str | None = None) -> DataFrame:
-    rows = spark.read.option("mergeSchema", "true").parquet(path)
-    return rows if collection_id is None else rows.where(F.col("collection_id") == collection_id)
 
+def replace_selections(rows: DataFrame, path: str) -> None:
+    """Chosen nodes (connection_id, node_id, ...) take the place of all earlier ones of their connections; others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("connection_id").parquet(path)
 
-def delete_from_index(spark: SparkSession, path: str, target: str, gone: DataFrame, keys: list[str]) -> None:
-    """A new version of the index without the given keys, written beside the old one."""
-    spark.read.parquet(path).join(gone.select(*keys).distinct(), keys, "left_anti").write.mode("overwrite").partitionBy("collection_id", "schema_name").parquet(target)
+
+def subtree(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen nodes and all below them, level by level."""
+    front = stored(chosen.select("node_id").distinct())
+    found, links = front, nodes.select("node_id", "parent_id")
+    while True:
+        step = links.join(front.select(F.col("node_id").alias("parent_id")), "parent_id").select("node_id").distinct()
+        front = stored(step.join(found, "node_id", "left_anti"))
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+
+
+# Index: Parquet by collection, schema and write. Deletions are rows of keys beside it, which readers subtract from what was
+# written before them, so a deletion costs as much as its keys; `compact_index` writes the rest anew.
+def write_index(rows: DataFrame, path: str) -> int:
+    """Rows appended by collection; raises before anything is written if one has no entity id, and after it unless as many
+    rows are read back as were sent."""
+    if rows.where(F.col("entity_id").isNull()).limit(1).count():
+        raise ValueError("rows without an entity id")
+    seen = Observation()
+    at = int(time.time() * 1e6)
+    stamped = rows.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("written_at", F.lit(at))
+    stamped.write.mode("append").partitionBy("collection_id", "schema_name", "written_at").parquet(f"{path}/rows")
+    sent = seen.get["n"]
+    came = rows.sparkSession.read.parquet(f"{path}/rows").where(F.col("written_at") == at).count()
+    if came != sent:
+        raise ValueError(f"{sent} rows were sent, {came} arrived")
+    return sent
+
+
+def delete_from_index(gone: DataFrame, path: str, keys: list[str]) -> None:
+    """Rows with these keys that were written until now are gone."""
+    at = int(time.time() * 1e6)
+    gone.select(*keys).distinct().withColumn("deleted_at", F.lit(at)).write.mode("append").parquet(f"{path}/deleted/{'+'.join(sorted(keys))}")
+
+
+def read_index(spark: SparkSession, path: str, collection_id: str | None = None, deleted_by: Sequence[Sequence[str]] = (("entity_id",), ("original_entity_id",), ("sync_id",))) -> DataFrame:
+    """Rows of the index without what was deleted after they were written, by any of the kinds of keys in `deleted_by`."""
+    rows = spark.read.parquet(f"{path}/rows")
+    if collection_id is not None:
+        rows = rows.where(F.col("collection_id") == collection_id)
+    for keys in deleted_by:
+        folder = f"{path}/deleted/{'+'.join(sorted(keys))}"
+        if not exists(spark, folder):
+            continue
+        gone = spark.read.parquet(folder).groupBy(*keys).agg(F.max("deleted_at").alias("_gone"))
+        rows = rows.join(gone, list(keys), "left").where(F.col("_gone").isNull() | (F.col("written_at") > F.col("_gone"))).drop("_gone")
+    return rows.drop("written_at")
+
+
+def compact_index(spark: SparkSession, path: str, target: str) -> int:
+    """The index without deletions, at another path."""
+    return write_index(read_index(spark, path), target)
 
 
 class _Part(InputPartition):
