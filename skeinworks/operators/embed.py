@@ -61,6 +61,17 @@ def with_model(rows: DataFrame, text: str, model: Callable[[list[str]], list[lis
     return rows.withColumn("dense_embedding", run(text)).where(F.col("dense_embedding").isNotNull())
 
 
+def embedded(rows: DataFrame, text: str, name: str = "hashing", model: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """rows with vectors of a model by name; all but `hashing` need the callable that gives them."""
+    if name not in MODELS:
+        raise ValueError(f"unknown model {name}")
+    if name == "hashing":
+        return hashing(rows, text, MODELS[name])
+    if model is None:
+        raise ValueError(f"{name} needs a callable")
+    return with_model(rows, text, model, MODELS[name])
+
+
 def checked(rows: DataFrame, column: str, dimensions: int) -> DataFrame:
     """rows, failing at run time on a vector of another length."""
     return rows.withColumn(column, F.when(F.assert_true(F.size(column) == dimensions).isNull(), F.col(column)))

@@ -129,6 +129,22 @@ def organisations(orgs: DataFrame, users: DataFrame, connections: DataFrame, usa
     return out.orderBy(column.desc_nulls_last() if descending else column.asc_nulls_last(), "org_id")
 
 
+#: States of a billing period in which its usage counts.
+OPEN_PERIODS = ["active", "trial", "grace"]
+
+
+def organisations_by_usage(orgs: DataFrame, periods: DataFrame, usage: DataFrame, at: Column) -> DataFrame:
+    """orgs with the usage of the billing period that holds the time, start <= at < end, in an open state; of several the
+    newest. Organisations without one have nulls. The most used come first.
+
+    periods: org_id, period_id, period_start, period_end, status; usage: period_id and counts.
+    """
+    held = periods.where((F.col("period_start") <= at) & (F.col("period_end") > at) & F.col("status").isin(OPEN_PERIODS))
+    one = held.groupBy("org_id").agg(F.max_by("period_id", F.struct("period_start", "period_id")).alias("period_id"))
+    out = orgs.join(one, "org_id", "left").join(usage, "period_id", "left")
+    return out.orderBy(F.col("entities").desc_nulls_last(), "org_id")
+
+
 def tags(jobs: DataFrame) -> DataFrame:
     """Sorted distinct tags of each sync."""
     return jobs.select("sync_id", F.explode("tags").alias("tag")).groupBy("sync_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))

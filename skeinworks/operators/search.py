@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scoring
+
 CANDIDATES = 5000
+#: Folders of a stored table of terms: part of its format.
+TERM_BUCKETS = 64
+#: Candidates that are fetched for each wanted result where a model ranks them anew.
+RERANK_FETCH = 2.0
 #: More query terms than this are joined by shuffle instead of going out to all tasks.
 BROADCAST_TERMS = 10_000
 _TERM = re.compile(r"[^\W_]+", re.UNICODE)
@@ -27,6 +33,27 @@ def term_table(rows: DataFrame, ident: str, text: str) -> DataFrame:
     return rows.select(ident, F.explode(terms(F.col(text))).alias("term")).groupBy(ident, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def write_terms(rows: DataFrame, ident: str, text: str, path: str) -> None:
+    """The inverted table as Parquet, in folders by a hash of the term and sorted by term inside files, so that a query reads
+    its terms' rows only. A bucket with a frequent term is written by several tasks."""
+    table = term_table(rows, ident, text).withColumn("bucket", _bucket(F.col("term")))
+    table.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def stored_scores(terms: DataFrame, ident: str, query: str) -> DataFrame:
+    """As `keyword_scores`, from a table that `write_terms` wrote: no text is read. Sums are rounded to nine places, so
+    that their order does not show."""
+    wanted = query_terms(query)
+    if not wanted:
+        return terms.select(ident, F.lit(0.0).alias("keyword")).limit(0)
+    found = terms.where(F.col("bucket").isin([_bucket(F.lit(w)) for w in wanted]) & F.col("term").isin(wanted))
+    return found.groupBy(ident).agg(F.round(F.sum(F.log1p(F.col("tf").cast("double"))), 9).alias("keyword"))
+
+
 def keyword_scores(rows: DataFrame, ident: str, text: str, query: str) -> DataFrame:
     """(ident, keyword): summed ln(1 + tf) of the query's terms; rows without any are left out.
 
@@ -68,6 +95,18 @@ def page(rows: DataFrame, order: Sequence[Column | str], offset: int, limit: int
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def reranked(rows: DataFrame, query: str, text: str, model: Callable[[str, list[str]], list[int]], offset: int, limit: int, most: int | None = None) -> DataFrame:
+    """A page of rows (with `score` and an id first) in the order of an outer model, which gets twice as many of the best as
+    the page needs, or `most` if that is less. Rows that it does not name follow in their old order."""
+    need = offset + limit
+    fetch = int(need * RERANK_FETCH)
+    ident = rows.columns[0]
+    top = scoring.ranked(rows, "score", ident, min(fetch, most) if most else fetch).withColumn("place", F.col("rank") - 1)
+    texts = [r[0] for r in top.orderBy("place").select(text).collect()]
+    order = model(query, texts)[:need] if texts else []
+    return scoring.permuted(top.drop("rank"), order, need).offset(offset).limit(limit)
+
+
 def best_per_parent(rows: DataFrame, score: str = "score") -> DataFrame:
     """The best chunk of each parent."""
     found = rows.groupBy("original_entity_id").agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(score), F.col("entity_id"))).alias("_r"))

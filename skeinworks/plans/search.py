@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -51,15 +52,19 @@ class SearchPlan:
         return max(scoring.RERANK_WINDOW, self.limit + self.offset)
 
 
-def candidates(plan: SearchPlan, index: DataFrame) -> DataFrame:
-    """(entity_id, keyword, semantic) of what either method finds among permitted rows."""
+def candidates(plan: SearchPlan, index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(entity_id, keyword, semantic) of what either method finds among permitted rows; with a stored table of terms no text
+    is read."""
     plan.check()
     kind = STRATEGIES[plan.strategy]
     rows = index.where(plan.predicate())
     nothing = rows.select("entity_id", F.lit(0.0).alias("keyword"), F.lit(0.0).alias("semantic")).limit(0)
     parts = []
     if kind in ("hybrid", "keyword"):
-        words = search.keyword_scores(rows, "entity_id", "textual_representation", plan.query)
+        if terms is None:
+            words = search.keyword_scores(rows, "entity_id", "textual_representation", plan.query)
+        else:
+            words = search.stored_scores(terms, "entity_id", plan.query).join(rows.select("entity_id"), "entity_id", "left_semi")
         parts.append(words.orderBy(F.desc("keyword"), "entity_id").limit(search.CANDIDATES).select("entity_id", "keyword", F.lit(None).cast("double").alias("semantic")))
     if kind in ("hybrid", "semantic") and plan.vectors:
         near = scoring.nearest(rows, "dense_embedding", plan.vectors, search.CANDIDATES, "entity_id")
@@ -72,23 +77,51 @@ def candidates(plan: SearchPlan, index: DataFrame) -> DataFrame:
     return out.groupBy("entity_id").agg(F.coalesce(F.max("keyword"), F.lit(0.0)).alias("keyword"), F.coalesce(F.max("semantic"), F.lit(0.0)).alias("semantic"))
 
 
-def ranked(plan: SearchPlan, index: DataFrame) -> DataFrame:
+def ranked(plan: SearchPlan, index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(entity_id, score) in the strategy's profile."""
-    found = candidates(plan, index)
+    found = candidates(plan, index, terms)
     kind = STRATEGIES[plan.strategy]
     if kind == "hybrid":
         return scoring.hybrid(found, "keyword", "semantic", "entity_id", plan.window).select("entity_id", "score")
     return found.select("entity_id", F.col(kind).alias("score"))
 
 
-def run(plan: SearchPlan, index: DataFrame, federated: Sequence[Callable[[str, int], DataFrame]] = ()) -> DataFrame:
+class SourceError(Exception):
+    """A query-time source that answered with an HTTP status."""
+
+    def __init__(self, status: int):
+        super().__init__(f"the source answered {status}")
+        self.status = status
+
+
+#: Answers after which a query-time source is asked again.
+RETRIED = (429, 500, 502, 503, 504)
+
+
+def retrying(fetch: Callable[[str, int], DataFrame], retries: int = 2, wait: float = 1.0) -> Callable[[str, int], DataFrame]:
+    """fetch, asked again after passing faults, each time after twice the wait; other faults end the query at once."""
+
+    def run(query: str, need: int) -> DataFrame:
+        for k in range(retries):
+            try:
+                return fetch(query, need)
+            except SourceError as e:
+                if e.status not in RETRIED:
+                    raise
+                time.sleep(wait * 2**k)
+        return fetch(query, need)
+
+    return run
+
+
+def run(plan: SearchPlan, index: DataFrame, federated: Sequence[Callable[[str, int], DataFrame]] = (), terms: DataFrame | None = None) -> DataFrame:
     """A page of results; rows of query-time sources (entity_id, access columns) are fused by reciprocal rank.
 
     With query-time sources all lists are read down to offset + limit before the page is cut; a failure of one
     fails the query.
     """
     need = plan.offset + plan.limit
-    own = ranked(plan, index)
+    own = ranked(plan, index, terms)
     if plan.dedupe_by_entity:
         parents = index.select("entity_id", "original_entity_id")
         own = search.best_per_parent(own.join(parents, "entity_id")).select("entity_id", "score")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cdc, lookups
 from ..plans import sync
+from ..sources.scratch import new_folder, stored
+from ..streaming import pipelines
 from .base import Register, index, table
 
 reg = Register()
@@ -149,6 +151,49 @@ def _(spark, sf_dir):
     return lookups.distinct_pairs(table(spark, sf_dir, "orders").selectExpr("o_custkey as member_id", "o_orderstatus as group_id"), "member_id", "group_id")
 
 
+def _applied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
+    """What a stream of the new rows, in batches, gives against the stored state, and the cursors that it saved."""
+    out, saved = new_folder(spark), []
+    state = stored(_hashed(old_rows(spark, sf_dir)).select(*cdc.KEYS, "hash"))
+    documents = table(spark, sf_dir, "documents")
+    stream = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir).where("doc_id % 11 <> 0")
+    rows = stream.selectExpr("'s1' as sync_id", "cast(doc_id as string) as entity_id", "source as entity_type", "concat('Doc ', doc_id) as name", "text", "doc_id as seq", "if(doc_id % 19 = 0, 'removed', null) as deletion_status")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select("entity_id", "action").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    pipelines.apply_changes(rows, lambda: state, write, new_folder(spark), cdc.KEYS, saved.append).awaitTermination()
+    return spark.read.schema("entity_id string, action string").parquet(f"{out}/*"), saved
+
+
+@reg("st07_stream_of_changes", f"with {BOTH} select entity_id, action from chg")
+def _(spark, sf_dir):
+    return _applied(spark, sf_dir)[0]
+
+
+@reg("st08_cursor", "select max(doc_id) as cursor from documents where doc_id % 11 <> 0")
+def _(spark, sf_dir):
+    return spark.range(1).select(F.lit(_applied(spark, sf_dir)[1][-1]).cast("long").alias("cursor"))
+
+
+@reg("sync_state_after", f"with {BOTH}, k as (select entity_id from old where entity_id not in (select entity_id from new)) select entity_id, entity_type, hash from new where not gone union all select entity_id, entity_type, hash from old where entity_id not in (select entity_id from new) and entity_id not in (select entity_id from k)")
+def _(spark, sf_dir):
+    return _synced(spark, sf_dir).state.select("entity_id", "entity_type", "hash")
+
+
+@reg("sync_index_after", f"with {BOTH} select entity_id as original_entity_id, case when action = 'KEEP' then 'old' else 'new' end as written from chg where action <> 'DELETE' and length(trim(text)) > 0 and len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) > 0")
+def _(spark, sf_dir):
+    """Parents in the index after a run: kept ones with their old chunk, new and updated ones with theirs."""
+    found = _synced(spark, sf_dir).index
+    return found.groupBy("original_entity_id").agg(F.max(F.when(F.col("textual_representation") == "old chunk", "old").otherwise("new")).alias("written"))
+
+
+def _synced(spark: SparkSession, sf_dir: str) -> sync.SyncResult:
+    old = _hashed(old_rows(spark, sf_dir)).drop("created_at")
+    before = old.select("sync_id", F.concat("entity_id", F.lit("__chunk_0")).alias("entity_id"), F.col("entity_id").alias("original_entity_id"), "entity_type", "name", F.lit(0).alias("chunk_index"), F.lit("old chunk").alias("textual_representation"))
+    return sync.run(new_rows(spark, sf_dir).drop("created_at"), old.select("sync_id", "entity_id", "entity_type", "hash"), before)
+
+
 @reg("sync_run", f"with {BOTH}, k as (select entity_id from old where entity_id not in (select entity_id from new)) select * from (select entity_id, action from chg union all select entity_id, 'ORPHAN' from k)")
 def _(spark, sf_dir):
     old = _hashed(old_rows(spark, sf_dir)).drop("created_at")

@@ -86,6 +86,20 @@ def _(spark, sf_dir):
     return metadata.organisations(orgs, people, links, used, "A", "entity_count").withColumn("last_active", F.round("last_active", 4))
 
 
+@reg("j09_organisations_billed", """with p as (select c_nationkey as org_id, o_orderkey as period_id, o_orderdate as s, case o_orderstatus when 'O' then 'active' when 'P' then 'trial' else 'ended' end as status from orders join customer on o_custkey = c_custkey),
+h as (select org_id, arg_max(period_id, (s, period_id)) as period_id from p where s <= timestamp '1997-06-01' and s + interval 40 day > timestamp '1997-06-01' and status in ('active', 'trial', 'grace') group by org_id),
+u as (select l_orderkey as period_id, sum(l_quantity)::bigint as entities from lineitem group by all)
+select n_nationkey as org_id, period_id, entities from nation left join h on org_id = n_nationkey left join u using (period_id)""")
+def _(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    status = F.expr("case o_orderstatus when 'O' then 'active' when 'P' then 'trial' else 'ended' end")
+    periods = orders.select(F.col("c_nationkey").alias("org_id"), F.col("o_orderkey").alias("period_id"), F.col("o_orderdate").alias("period_start"), F.expr("o_orderdate + interval 40 days").alias("period_end"), status.alias("status"))
+    used = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("period_id")).agg(F.sum("l_quantity").cast("long").alias("entities"))
+    at = F.lit("1997-06-01").cast(periods.schema["period_start"].dataType)
+    orgs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("org_id"))
+    return metadata.organisations_by_usage(orgs, periods, used, at).select("org_id", "period_id", "entities")
+
+
 @reg("j10c_period_at", "with p as (select o_custkey as k, o_orderkey as period_id, o_orderdate as s, o_orderdate + interval 200 day as e from orders), r as (select c_custkey as k, timestamp '1996-06-01' as t from customer) select k, period_id from (select k, period_id, row_number() over (partition by k order by s desc, period_id desc) as n from r join p using (k) where s <= t and e > t) where n = 1")
 def _(spark, sf_dir):
     periods = table(spark, sf_dir, "orders").selectExpr("o_custkey as k", "o_orderkey as period_id", "o_orderdate as period_start", "o_orderdate + interval 200 days as period_end")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import hierarchy, lookups, search
+from ..operators.filters import Condition
 from ..plans import search as plans
+from ..sources.scratch import new_folder
 from .base import CHUNKS, IDX, Register, chunks, index, table
 
 reg = Register()
@@ -141,13 +143,75 @@ def _(spark, sf_dir):
 tok as (select entity_id, unnest(regexp_extract_all(lower(textual_representation), '[\\p{{L}}\\p{{N}}]+')) as t from f), tf as (select entity_id, t, count(*) as n from tok where t in ('the', 'and', 'reerhan') group by all)
 select entity_id, round(sum(ln(1 + n)), 6) as score from tf group by entity_id order by round(sum(ln(1 + n)), 9) desc, entity_id limit 15 offset 5""")
 def _(spark, sf_dir):
-    from ..operators.filters import Condition
-
     plan = plans.SearchPlan(QUERY, strategy="keyword", limit=15, offset=5, collection_id="en", principals=["user:u3"], groups=[[Condition("chunk_index", "in", [1, 2, 3])]])
-    found = plans.ranked(plan, index(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    found = plans.ranked(plan, index(spark, sf_dir), terms(spark, sf_dir))
     return search.page(found, [F.desc("score"), F.col("entity_id")], 5, 15).select("entity_id", F.round("score", 6).alias("score"))
 
 
+_TERMS_AT: dict[tuple[str, str], str] = {}
+
+
+def terms(spark, sf_dir):
+    """The stored table of terms of `documents`, written once a session and folder, as an ingest run would."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _TERMS_AT:
+        path = new_folder(spark)
+        search.write_terms(index(spark, sf_dir), "entity_id", "textual_representation", path)
+        _TERMS_AT[at] = path
+    return spark.read.parquet(_TERMS_AT[at])
+
+
+@reg("search_index", f"with {_TOK} select doc_id || '__chunk_0' as entity_id, t as term, count(*) as tf from tok group by all")
+def _(spark, sf_dir):
+    return terms(spark, sf_dir).select("entity_id", "term", "tf")
+
+
+def vectors(spark, sf_dir):
+    """Index rows with the vectors that `embeddings` has for them."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dense_embedding"))
+    return index(spark, sf_dir).join(v, "doc_id", "left")
+
+
+_NEAR = f"""{IDX}, q as (select embedding as e from embeddings where vec_id in (0, 1)), f as (select idx.*, embedding from idx left join embeddings on vec_id = doc_id where source_name <> 'src1'),
+sem as (select entity_id, max(1 / (1 + acos({_COS.replace("x.embedding", "f.embedding")}))) as semantic from f, q where f.embedding is not null group by entity_id)"""
+_OTHERS = [[Condition("source_name", "not_equals", "src1")]]
+
+
+@reg("search_semantic_page", f"with {_NEAR} select entity_id, round(semantic, 5) as score from sem order by semantic desc, entity_id limit 10 offset 3")
+def _(spark, sf_dir):
+    plan = plans.SearchPlan("", vectors=[_vector(spark, sf_dir, 0), _vector(spark, sf_dir, 1)], strategy="neural", limit=10, offset=3, groups=_OTHERS)
+    return plans.run(plan, vectors(spark, sf_dir)).select("entity_id", F.round("score", 5).alias("score"))
+
+
+@reg("search_hybrid_page", f"""with {_NEAR}, tok as (select entity_id, unnest(regexp_extract_all(lower(textual_representation), '[\\p{{L}}\\p{{N}}]+')) as t from f), tf as (select entity_id, t, count(*) as n from tok where t in ('the', 'and', 'reerhan') group by all),
+kw as (select entity_id, round(sum(ln(1 + n)), 9) as keyword from tf group by entity_id), ka as (select * from kw order by keyword desc, entity_id limit 5000), sa as (select * from sem order by semantic desc, entity_id limit 5000),
+c as (select entity_id, coalesce(keyword, 0) as k, coalesce(semantic, 0) as s from ka full join sa using (entity_id)), t as (select * from c order by k + s desc, entity_id limit 100),
+n as (select entity_id, (k - min(k) over ()) / (max(k) over () - min(k) over ()) + (s - min(s) over ()) / (max(s) over () - min(s) over ()) as score from t)
+select entity_id, round(score, 4) as score from n order by score desc, entity_id limit 12 offset 2""")
+def _(spark, sf_dir):
+    plan = plans.SearchPlan(QUERY, vectors=[_vector(spark, sf_dir, 0), _vector(spark, sf_dir, 1)], limit=12, offset=2, groups=_OTHERS)
+    return plans.run(plan, vectors(spark, sf_dir), terms=terms(spark, sf_dir)).select("entity_id", F.round("score", 4).alias("score"))
+
+
+@reg("search_best_of_parents", f"""with {CHUNKS}, tok as (select entity_id, original_entity_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as t from chunks), tf as (select entity_id, original_entity_id, t, count(*) as n from tok where t in ('the', 'and', 'reerhan') group by all),
+kw as (select entity_id, original_entity_id, sum(ln(1 + n)) as keyword from tf group by all), b as (select original_entity_id, max(round(keyword, 9)) as score, max_by(entity_id, (round(keyword, 9), entity_id)) as entity_id from kw group by all)
+select entity_id, round(score, 6) as score from b order by score desc, entity_id limit 20""")
+def _(spark, sf_dir):
+    rows = chunks(spark, sf_dir).select("entity_id", "original_entity_id", F.col("text").alias("textual_representation"))
+    path = new_folder(spark)
+    search.write_terms(rows, "entity_id", "textual_representation", path)
+    plan = plans.SearchPlan(QUERY, strategy="keyword", limit=20, dedupe_by_entity=True)
+    return plans.run(plan, rows, terms=spark.read.parquet(path)).select("entity_id", F.round("score", 6).alias("score"))
+
+
+@reg("t09_reranked_by_model", f"with {KEYWORD}, c as (select doc_id, text from kw join documents using (doc_id) order by round(keyword, 9) desc, doc_id limit 30), r as (select doc_id, row_number() over (order by length(text), doc_id) as k from c) select doc_id from r order by k limit 10 offset 5")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = search.keyword_scores(docs, "doc_id", "text", QUERY).select("doc_id", F.round("keyword", 9).alias("score")).join(docs, "doc_id")
+    ids = lambda query, texts: sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    return search.reranked(found, QUERY, "text", ids, 5, 10).select("doc_id")
+
+
 @reg("n01_children", f"with {IDX} select entity_id from idx where breadcrumbs[-1].entity_id = 'src4' order by entity_id limit 20")
 def _(spark, sf_dir):
     return hierarchy.children(index(spark, sf_dir), "src4", 20).select("entity_id")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +20,21 @@ def first_of_run(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.dropDuplicates(keys)
 
 
-def apply_changes(rows: DataFrame, read_state: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, keys: list[str]) -> StreamingQuery:
+def apply_changes(rows: DataFrame, read_state: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, keys: list[str], save_cursor: Callable[[object], None] | None = None, every: str | None = None) -> StreamingQuery:
     """Micro-batches: deduplicate, hash, classify against state, hand on. `write` sees the batch number, so a
-    batch that is replayed can be told from a new one; the position is saved only after it returns."""
+    batch that is replayed can be told from a new one; the position is saved only after it returns, and so is the
+    source's cursor, the largest `seq` of the batch. `every`: the time between batches; None reads what is there and ends."""
 
     def each(batch: DataFrame, number: int) -> None:
         one = cdc.hashed(cdc.keep_first(batch, keys, ["seq"]))
         write(cdc.classified(one, read_state(), keys), number)
+        if save_cursor is not None:
+            last = batch.agg(F.max("seq")).first()[0]
+            if last is not None:
+                save_cursor(last)
 
-    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (stream.trigger(availableNow=True) if every is None else stream.trigger(processingTime=every)).start()
 
 
 def running_counts(changes: DataFrame) -> DataFrame:
@@ -53,18 +61,22 @@ class SlidingLimit(StatefulProcessor):
         self.log = handle.getValueState("log", "times array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        times = list(self.log.get()[0]) if self.log.exists() else []
-        calls = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        out = []
-        for event_id, at in zip(calls["event_id"], calls["at"], strict=True):
-            times = [t for t in times if t > at - self.seconds]
-            ok = len(times) < self.limit
-            wait = 0.0 if ok else max(times[0] + self.seconds - at, 0.1)
-            if ok:
-                times.append(float(at))
-            out.append((key[0], event_id, ok, wait))
-        self.log.update((times,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "retry_after"])
+        """A batch's calls in order of time. Two numbers a call are held; the source's `maxFilesPerTrigger` bounds a batch."""
+        times = deque(self.log.get()[0] if self.log.exists() else [])
+        parts = [(p["at"].to_numpy(float), p["event_id"].to_numpy()) for p in rows]
+        at, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.lexsort((ids, at))
+        for k in range(0, len(order), 10_000):
+            out = []
+            for event_id, t in zip(ids[order[k : k + 10_000]].tolist(), at[order[k : k + 10_000]].tolist(), strict=True):
+                while times and times[0] <= t - self.seconds:
+                    times.popleft()
+                ok = len(times) < self.limit
+                out.append((key[0], event_id, ok, 0.0 if ok else max(times[0] + self.seconds - t, 0.1)))
+                if ok:
+                    times.append(t)
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "retry_after"])
+        self.log.update((list(times),))
 
     def close(self) -> None:
         pass
