@@ -148,7 +148,7 @@ def token_slices(text: Column, most: int = HARD_TOKENS) -> Column:
 
     def cut(words: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / most).cast("int") - 1, F.lit(0)))
-        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i * most + 1, most), " ")))
+        return F.when(F.coalesce(F.size(words), F.lit(0)) <= 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i * most + 1, most), " ")))
 
     return bound(tokens(text), cut)
 
