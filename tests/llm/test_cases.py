@@ -124,6 +124,59 @@ def test_fingerprint_cases(spark, docs, empty, monkeypatch):
     assert ctph.compared_with_edit(one).first().near_next == 1.0
 
 
+def plain_fingerprint(raw):
+    """The same rule byte by byte, with Python integers."""
+    if not raw:
+        return ""
+    m32, m64 = 2**32 - 1, 2**64 - 1
+    marks = []
+    for i in range(len(raw)):
+        h = sum(int(ctph._BYTE32[raw[i - k]]) * int(ctph._ROLL[k]) for k in range(min(ctph.SPAN, i + 1))) & m32
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & m32
+        h = ((h ^ h >> 12) + 1) & m32
+        marks.append(None if h % 3 else 32 if h == 0 else (h & -h).bit_length() - 1)
+    level = next(k for k in range(33) if sum(x is not None and x >= k for x in marks) <= ctph.LETTERS - 1)
+    parts = [str(3 << level)]
+    for k in range(level, level + ctph.LEVELS):
+        ends = [i + 1 for i, x in enumerate(marks) if x is not None and x >= k]
+        if not ends or ends[-1] != len(raw):
+            ends.append(len(raw))
+        letters = []
+        for a, b in zip([0, *ends], ends):
+            own = sum(int(ctph._BYTE[c]) * pow(0x9E3779B97F4A7C15, j, 2**64) for j, c in enumerate(raw[a:b])) & m64 ^ (b - a)
+            letters.append(chr(ctph._ALPHABET[int(ctph.mix(np.array([own], np.uint64))[0]) >> 58]))
+        parts.append("".join(letters))
+    return ":".join(parts)
+
+
+def test_fingerprints_equal_a_plain_rule(spark, monkeypatch):
+    texts = [prose(n, n) for n in (1, 2, 5, 40, 300)] + ["", "x", "漢字 é" * 30, "a" * 500]
+    want = [plain_fingerprint(t.encode()) for t in texts]
+    assert [ctph.fingerprint(t.encode()) for t in texts] == want
+    for size in (7, 50, 333):
+        monkeypatch.setattr(ctph, "SEGMENT", size)
+        assert [ctph.fingerprint(t.encode()) for t in texts] == want
+    monkeypatch.undo()
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(99, None, "clash")], "doc_id long, text string, fingerprint string")
+    assert {r.doc_id: r.fingerprint for r in ctph.fingerprints(df).collect()} == dict(enumerate(want)) | {99: ""}
+
+
+def test_next_document_where_one_id_has_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(ctph, "RANGE_BYTES", 3000)
+    r = random.Random(3)
+    rows = [(r.choice([5, 5, 5, None, i]), prose(r.randint(0, 30), i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert df.count() == 300 and ctph.with_next(df).where("_guest = 0").groupBy("_range").count().agg(F.max("count")).first()[0] < 60
+    order = sorted([(i if i is not None else -(2**63), t) for i, t in rows], key=lambda x: (-x[0], x[1].encode()))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        want.append((i, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    got = [(x.doc_id if x.doc_id is not None else -(2**63), x.edited_sha256) for x in ctph.compared_with_edit(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_small_edits_keep_likeness():
     a = prose(800, 7)
     b = a[:2000] + "changed" + a[2010:]
