@@ -22,14 +22,15 @@ from functools import cache
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import enter, on_leave, read, slices
 
-KEPT_PIECES = 900_000
-KEPT_PAIRS = 2_000_000
+KEPT_PIECES = 400_000
+KEPT_PAIRS = 700_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -175,11 +176,15 @@ def compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
+on_leave("bpe", codec.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with `ids` (array of int) and `decoded` (binary) of each whole text."""
 
     @F.pandas_udf("ids array<int>, decoded binary")
     def run(texts: pd.Series) -> pd.DataFrame:
+        enter("bpe")
         c, p = codec(path), compiled(pattern)
         ids = [c.encode_text(t, p) for t in texts]
         return pd.DataFrame({"ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids], "decoded": [c.decode(x) for x in ids]})
@@ -190,14 +195,17 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with `n_tokens` and the SHA-256 of ids and of decoded bytes; the ids stay in the worker."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(texts: pa.Array) -> pa.Array:
+        enter("bpe")
         c, p = codec(path), compiled(pattern)
-        rows = []
-        for t in texts:
+        sizes, first, second = [], [], []
+        for t in (t for part in slices(texts) for t in part):
             ids = c.encode_text(t, p)
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            sizes.append(len(ids) // 4)
+            first.append(hashlib.sha256(ids).hexdigest())
+            second.append(hashlib.sha256(c.decode(ids)).hexdigest())
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.withColumn("_d", run("text")).select("*", "_d.*").drop("_d")
 

@@ -1,9 +1,8 @@
-"""What the corpus operators share: storage between jobs, sizing, vectorised word hashing."""
+"""What the corpus operators share: storage between jobs, what workers keep, vectorised word hashing."""
 
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,24 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored as stored
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a SQL literal and as a regular-expression class.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where the cluster names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/skeinworks-shared"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a written table: later jobs read files that outlive any executor instead of its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import enter, on_leave, read, slices
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -32,7 +33,7 @@ PER_LANGUAGE = 3000
 #: A text that shares no n-gram with a prototype has a cosine about 0 of deviation 1 / sqrt(DIMENSIONS): three are the margin.
 NOISE = 3 / DIMENSIONS**0.5
 _LETTERS = 4096
-_KEPT_GRAMS = 60_000
+_KEPT_GRAMS = 30_000
 
 _codes_cache: list[np.ndarray] = []
 _letter_cache: list[np.ndarray] = []
@@ -40,6 +41,17 @@ _gram_rows: dict[int, int] = {}
 _gram_table = np.zeros((0, DIMENSIONS), np.int8)
 
 
+def _forget() -> None:
+    global _gram_table
+    _codes_cache.clear()
+    _letter_cache.clear()
+    _gram_rows.clear()
+    _gram_table = np.zeros((0, DIMENSIONS), np.int8)
+
+
+on_leave("language", _forget)
+
+
 def _codes() -> np.ndarray:
     """Letter number of each code point of all planes: 0 for what is no letter, case folded."""
     if not _codes_cache:
@@ -100,7 +112,8 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     keep = ~gap
     keep[1:] |= ~gap[:-1]
     codes = codes[keep]
-    padded = np.concatenate([[0], codes, [0]]) if codes[0] else np.concatenate([codes, [0]])
+    # The first code is a letter's; the last may be the gap after one.
+    padded = np.concatenate([[0], codes, [0]] if codes[-1] else [[0], codes])
     grams = padded[:-2] + padded[1:-1] * _LETTERS + padded[2:] * _LETTERS**2
     return np.unique(grams, return_counts=True)
 
@@ -110,8 +123,8 @@ def text_vector(text: str | None) -> np.ndarray | None:
     if not len(grams):
         return None
     out = np.zeros(DIMENSIONS, np.float32)
-    for a in range(0, len(grams), 8192):
-        out += counts[a : a + 8192].astype(np.float32) @ _rows_of(grams[a : a + 8192]).astype(np.float32)
+    for a in range(0, len(grams), 2048):
+        out += counts[a : a + 2048].astype(np.float32) @ _rows_of(grams[a : a + 2048]).astype(np.float32)
     return out
 
 
@@ -132,6 +145,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     sample = fold.where(share < sizes[F.col("lang")]).select("lang", "text")
 
     def bundle(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("language")
         sums: dict[str, np.ndarray] = {}
         for part in it:
             for lang, text in zip(part["lang"], part["text"], strict=True):
@@ -153,10 +167,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """docs with `lang_pred` and `score`, the cosine with that language's prototype, at least 0."""
     langs, table = model
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        enter("language")
         names, scores = [], []
-        for text in texts:
+        for text in (t for part in slices(texts) for t in part):
             v = text_vector(text) if langs else None
             if v is None:
                 names.append("und")
@@ -166,7 +181,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 best = int(np.argmax(cos))
                 names.append(langs[best])
                 scores.append(round(float(min(max(cos[best], 0.0), 1.0)), 6))
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return docs.drop("lang_pred", "score").withColumn("_p", predict("text")).select("*", "_p.lang_pred", "_p.score").drop("_p")
 
