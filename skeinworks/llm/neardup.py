@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_array, gram_hashes, mix, read, stored, utf8, word_hashes
+from .common import as_array, enter, gram_hashes, mix, read, slices, stored, utf8, word_hashes
 from .url_filter import BlockedBloom
 
 PERMUTATIONS = 64
@@ -83,8 +83,9 @@ def _signed(text: str | None, shingle: int) -> tuple[int, int, int, list[int], b
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("neardup")
         for batch in it:
-            rows = [_signed(t, shingle) for t in batch.column("text").to_pylist()]
+            rows = [_signed(t, shingle) for part in slices(batch.column("text")) for t in part]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             arrays = [batch.column("doc_id").cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]]
@@ -138,8 +139,9 @@ def _sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
         return pd.Series(BlockedBloom(bloom.value).passes(h.to_numpy()))
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("neardup")
         for batch in it:
-            found = [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
+            found = [shingle_set(t, shingle).tobytes() for part in slices(batch.column("text")) for t in part]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(found, pa.binary())], names=["id", "items"])
 
     some = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
@@ -185,7 +187,8 @@ def _met_in_prefix(held: DataFrame, own: DataFrame, percent: int) -> DataFrame:
         return F.ceil(percent * (n + m) / (100 + percent) - 1e-9)
 
     rows = own.join(held.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(items, "rep long, h long").distinct()
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Stored, so that a frequent shingle's rows meet its count in a join that can be split.
+    often = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     each = Window.partitionBy("rep")
     placed = rows.join(often, "h").withColumns({"place": F.row_number().over(each.orderBy("df", "h")), "s": F.count(F.lit(1)).over(each)})
     floor = F.greatest("least", F.ceil(F.col("n") * percent / 100))
@@ -193,7 +196,8 @@ def _met_in_prefix(held: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     prefix = stored(prefix.select("h", "rep", "n", "s", "place", "component", "size"))
     # One side of a pair lies outside the shingle's largest component: only such rows look for partners.
     main = prefix.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max_by("component", F.struct("size", "component")).alias("main"))
-    left = prefix.join(main.where("c1 < c2").select("h", "main"), "h").where("component <> main")
+    main = stored(main.where("c1 < c2").select("h", "main"))
+    left = prefix.join(main, "h").where("component <> main")
     right = prefix.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("place").alias("at"), F.col("component").alias("other"))
     apart = (F.col("component") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("rep") < F.col("b")))
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
@@ -206,16 +210,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """docs with `n_shingles`, `component_id` and `kept` (the document is the smallest of its component)."""
     docs = docs.drop("n_shingles", "component_id", "kept")
     signed = stored(signatures(docs, shingle))
-    sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    sets = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")))
     firsts = signed.join(sets, ["f1", "f2"]).where("doc_id = rep").dropDuplicates(["f1", "f2"])
     reps = stored(firsts.select("rep", "n_shingles", "bands", "sig"))
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     members = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     shared = stored(members.join(sizes, "key"))
     weights = shared.groupBy("rep").agg(F.sum("size").alias("w"))
     hubs = shared.join(weights, "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"), "n")).alias("_h"))
-    shared = stored(shared.drop("size").join(hubs.select("key", (-F.col("_h.r")).alias("pivot"), F.col("_h.n").alias("m")), "key"))
+    hubs = stored(hubs.select("key", (-F.col("_h.r")).alias("pivot"), F.col("_h.n").alias("m")))
+    shared = stored(shared.drop("size").join(hubs, "key"))
     star = shared.where((F.col("rep") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     own = _sets(shared.select(F.col("rep").alias("id")).distinct(), docs, shingle)
     first = _measured(stored(_agreeing(star, reps)), own)
