@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import html as html_lib
+import io
 import json
 import re
+import zipfile
 from html.parser import HTMLParser
 from xml.dom import minidom
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,7 @@ ROUTES = {
     "text": ["txt", "md", "csv", "tsv", "log", "rst"],
     "json": ["json"],
     "xml": ["xml"],
+    "workbook": ["xlsx", "xlsm"],
     "code": ["py", "js", "ts", "tsx", "jsx", "java", "go", "rs", "c", "h", "cpp", "cs", "rb", "php", "swift", "kt", "scala", "sql", "sh"],
 }
 MOST_HTML_REPLACEMENTS = 100
@@ -38,6 +42,11 @@ def route(name: Column, crawl_url: Column | None = None) -> Column:
     return out
 
 
+def supported_code(files: DataFrame, name: str = "path") -> DataFrame:
+    """Code files in a language that can be chunked; those of others are left out."""
+    return files.where(extension(F.col(name)).isin(ROUTES["code"]))
+
+
 class _Markdown(HTMLParser):
     """Headings, lists, links, emphasis and paragraphs; scripts and styles are left out."""
 
@@ -100,6 +109,61 @@ def html_to_markdown(pages: DataFrame, column: str = "html") -> DataFrame:
     return pages.withColumn("markdown", run(column))
 
 
+_CELL = re.compile(r"([A-Z]+)(\d+)")
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _column(name: str) -> int:
+    out = 0
+    for c in name:
+        out = 26 * out + ord(c) - 64
+    return out
+
+
+def _sheet_rows(source: bytes, shared: list[str]) -> list[list[str]]:
+    """Cells of a sheet as text, all rows as long as the longest; a formula is shown as it is written."""
+    cells: dict[tuple[int, int], str] = {}
+    for cell in ElementTree.fromstring(source).iter(f"{_MAIN}c"):
+        place = _CELL.fullmatch(cell.get("r", ""))
+        formula, value = cell.findtext(f"{_MAIN}f"), cell.findtext(f"{_MAIN}v")
+        if cell.get("t") == "inlineStr":
+            value = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+        elif cell.get("t") == "s" and value is not None:
+            value = shared[int(value)]
+        elif cell.get("t") == "b" and value is not None:
+            value = "True" if value == "1" else "False"
+        if place is not None and (formula or value):
+            cells[int(place[2]), _column(place[1])] = f"={formula}" if formula else value
+    if not cells:
+        return []
+    height, width = max(r for r, _ in cells), max(c for _, c in cells)
+    return [[cells.get((r, c), "") for c in range(1, width + 1)] for r in range(1, height + 1)]
+
+
+def workbook_to_markdown(content: bytes) -> str | None:
+    """A heading and a table for each sheet of an .xlsx file, a list for a sheet of one row; null if there is nothing."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = set(book.namelist())
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in x.iter(f"{_MAIN}t")) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+        targets = {x.get("Id"): x.get("Target", "") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        out = []
+        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+            target = targets.get(sheet.get(_LINK), "").lstrip("/")
+            rows = _sheet_rows(book.read(target if target.startswith("xl/") else f"xl/{target}"), shared)
+            if not rows:
+                continue
+            out.append(f"## Sheet: {sheet.get('name')}\n")
+            if len(rows) == 1:
+                out += [f"- {v}" for v in rows[0] if v]
+            else:
+                out += [f"| {' | '.join(r)} |" for r in (rows[0], ["---"] * len(rows[0]), *rows[1:])]
+            out.append("")
+    return "\n".join(out) or None
+
+
 def decode(content: bytes | None) -> str | None:
     """UTF-8, else a single-byte reading if it leaves few control characters, else with replacements; unreadable: null."""
     if content is None:
@@ -120,6 +184,11 @@ def convert(kind: str | None, content: bytes | None) -> str | None:
     """Text of one file by its converter; null where it fails, so that the row is skipped."""
     if content is None or kind is None:
         return None
+    if kind == "workbook":
+        try:
+            return workbook_to_markdown(content)
+        except Exception:  # noqa: BLE001  any fault of the file: the row is skipped
+            return None
     if kind == "code":
         try:
             return content.decode("utf-8")

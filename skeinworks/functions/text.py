@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -96,6 +97,25 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
 
 
+def bpe_counts(text: Column, path: str, pattern: str) -> Column:
+    """Tokens of each text by a byte-level vocabulary (a file of base64 tokens and ranks), special tokens read as text."""
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        encoder = _encoder(path, pattern)
+        return pa.array([None if t is None else len(encoder.encode_ordinary(t)) for t in (x.as_py() for x in texts)], pa.int64())
+
+    return run(text)
+
+
+@cache
+def _encoder(path: str, pattern: str):
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+
+
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]|[^.!?\n]+")
 _WORD = re.compile("[^\x20\x09-\x0D]+")
 

@@ -113,9 +113,9 @@ def _(spark, sf_dir):
     return lookups.having(table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey", F.col("o_totalprice") > 300000)
 
 
-@reg("j14_without_connection", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 150000)")
+@reg("j14_without_connection", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 250000)")
 def _(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 150000").withColumnRenamed("o_custkey", "c_custkey")
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 250000").withColumnRenamed("o_custkey", "c_custkey")
     return lookups.lacking(table(spark, sf_dir, "customer").select("c_custkey"), o, "c_custkey")
 
 

@@ -174,7 +174,8 @@ class _Part(InputPartition):
 
 class StubSource(DataSource):
     """Generated entities: options `seed`, `count`, `after` (a cursor), `partitions`, and `table`: entities or
-    memberships (each user in one of ten groups, each group in the one before it).
+    memberships (each user in one of ten groups, each group in the one before it). For tests of slow and broken sources:
+    `rows_per_second` of each partition, and `fail_at`, the number of a row that cannot be read.
 
     A row depends on the seed and its number only, so any slice can be made anywhere and again.
     """
@@ -198,6 +199,7 @@ class _StubReader(DataSourceReader):
     def __init__(self, options):
         self.seed, self.count = int(options.get("seed", "42")), int(options.get("count", "20"))
         self.table = options.get("table", "entities")
+        self.fail_at, self.rate = int(options.get("fail_at", "-1")), float(options.get("rows_per_second", "0"))
         self.after, self.parts = int(options.get("after", "-1")), int(options.get("partitions", "4"))
 
     def partitions(self) -> list[InputPartition]:
@@ -210,6 +212,10 @@ class _StubReader(DataSourceReader):
         import hashlib
 
         for i in range(partition.start, partition.stop):
+            if i == self.fail_at:
+                raise RuntimeError(f"the source fails at row {i}, as asked")
+            if self.rate > 0:
+                time.sleep(1 / self.rate)
             if self.table == "memberships":
                 yield (f"group-{i}", "group", f"group-{i - 1}") if 0 < i < 10 else (f"user-{i}", "user", f"group-{i % 10}")
                 continue

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import cdc
@@ -37,6 +37,30 @@ def apply_changes(rows: DataFrame, read_state: Callable[[], DataFrame], write: C
     return (stream.trigger(availableNow=True) if every is None else stream.trigger(processingTime=every)).start()
 
 
+class Progress(StreamingQueryListener):
+    """Calls `snapshot` with the rows read so far whenever `every` more have come, and at the end of a query."""
+
+    def __init__(self, snapshot: Callable[[int], None], every: int = 50):
+        self.snapshot, self.every, self.rows, self.told = snapshot, every, 0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        if self.rows - self.told >= self.every:
+            self.told = self.rows
+            self.snapshot(self.rows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if self.rows > self.told:
+            self.told = self.rows
+            self.snapshot(self.rows)
+
+
 def running_counts(changes: DataFrame) -> DataFrame:
     """Entities per sync and type from changes with +1 and -1."""
     return changes.groupBy("sync_id", "entity_type").agg(F.greatest(F.sum("delta"), F.lit(0)).alias("n"))

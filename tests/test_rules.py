@@ -11,6 +11,7 @@ from skeinworks import model
 from skeinworks.functions import convert, text
 from skeinworks.operators import access, cdc, embed, filters, metadata, search
 from skeinworks.operators.filters import Condition as C
+from skeinworks.plans import assistant
 from skeinworks.plans import search as plans
 from skeinworks.plans import sync
 from skeinworks.sources import scratch, stores
@@ -278,3 +279,107 @@ def test_tables_made_on_the_way_are_deleted(spark):
         made.remove(paths[0])
         assert gone.count() == 4
     assert kept.count() == 3 and [scratch.exists(spark, p) for p in paths] == [True, False]
+
+
+def test_filters_from_a_question():
+    read = lambda *c, sure=0.9: assistant.interpreted("q", lambda q: (list(c), sure), ["GitHub"])
+    assert read(C("source_name", "equals", "github")) == [[C("source_name", "equals", "GitHub")]]
+    assert read(C("source_name", "in", ["GITHUB", "x"])) == [[C("source_name", "in", ["GitHub", "x"])]]
+    assert read(C("nope", "equals", 1), C("name", "greater_than", "x")) == []
+    assert read(C("name", "equals", "a"), sure=0.6) == []
+
+
+def pages_of(spark, n):
+    return spark.createDataFrame([(f"e{i:03}", f"p{i // 3}", i % 3, "word " * (n - i), None, None, "c") for i in range(n)], "entity_id string, original_entity_id string, chunk_index int, textual_representation string, access_is_public boolean, access_viewers array<string>, collection_id string")
+
+
+def test_answers_keep_to_the_budget(spark):
+    rows = pages_of(spark, 30).withColumn("score", F.length("textual_representation").cast("double"))
+    assert assistant.answer("q", rows, lambda q, t: str(len(t)), budget=59) == "2"
+    assert assistant.answer("q", rows, lambda q, t: str(len(t)), budget=3) == "1"
+
+
+def test_search_in_turns(spark):
+    index = pages_of(spark, 120)
+    plan = plans.SearchPlan("word", strategy="keyword", limit=110)
+    script = [assistant.Act("search", plan), assistant.Act("add", ["e005", "e001", "zzz"]), assistant.Act("return"), assistant.Act("read", ["e004"]), assistant.Act("remove", ["e005"]), assistant.Act("return")]
+    states = []
+
+    def model(query, state):
+        states.append((len(state.seen), list(state.collected), state.questioned))
+        return script[len(states) - 1]
+
+    got = [(r.entity_id, r.rank) for r in assistant.converse(index, model, "q").collect()]
+    assert got == [("e001", 1)] and states[3] == (110, ["e005", "e001"], True) and len(states) == 6
+    silent = []
+    assert assistant.converse(index, lambda q, s: silent.append(s.turns), "q").count() == 0 and silent == [1, 2, 3]
+    turns = []
+    assistant.converse(index.limit(3), lambda q, s: turns.append(s.nudges) or assistant.Act("add", []), "q")
+    assert len(turns) == assistant.MOST_TURNS and turns[4:6] == [1, 2]
+    assert assistant._newest(["a " * 10, "b " * 5, "c " * 4], 9) == ["b " * 5, "c " * 4]
+
+
+def workbook(sheets):
+    import io
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, (n, _) in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>one</t></si><si><r><t>tw</t></r><r><t>o</t></r></si></sst>')
+        for i, (_, cells) in enumerate(sheets):
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{main}"><sheetData><row>{cells}</row></sheetData></worksheet>')
+    return out.getvalue()
+
+
+def test_workbooks_become_tables(spark):
+    table = '<c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c><c r="A3"><v>3.5</v></c><c r="B3"><f>A3*2</f><v>7</v></c><c r="C3" t="b"><v>1</v></c>'
+    book = workbook([("First", table), ("Empty", ""), ("Row", '<c r="B1" t="inlineStr"><is><t>x</t></is></c>')])
+    want = "## Sheet: First\n\n| one |  | two |\n| --- | --- | --- |\n|  |  |  |\n| 3.5 | =A3*2 | True |\n\n## Sheet: Row\n\n- x\n"
+    assert convert.workbook_to_markdown(book) == want
+    files = spark.createDataFrame([("a.xlsx", bytearray(book)), ("b.xlsx", bytearray(b"no zip")), ("c.py", bytearray(b"x = 1")), ("d.zig", bytearray(b"y"))], "path string, content binary")
+    assert {r.path: r.text for r in convert.convert_files(files).collect()} == {"a.xlsx": want, "c.py": "x = 1"}
+    assert [r.path for r in convert.supported_code(files).collect()] == ["c.py"]
+
+
+def test_token_counts(spark):
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    known = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    texts = ["", "two words", "ünï 漢字 <|endoftext|>", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = [r.n for r in rows.select(text.bpe_counts(F.col("t"), path, public_tokenizers.PATTERN).alias("n")).collect()]
+    assert got == [None if t is None else len(known.encode_ordinary(t)) for t in texts]
+
+
+def test_broken_and_slow_sources(spark):
+    stores.register(spark)
+    read = lambda **o: spark.read.format("skein_stub").options(**o).load()
+    with pytest.raises(Exception, match="fails at row 7"):
+        read(count=20, fail_at=7).collect()
+    assert read(count=20, fail_at=7, after=7).count() == 12
+    at = time.time()
+    assert read(count=10, partitions=1, rows_per_second=10).count() == 10 and time.time() - at > 0.9
+
+
+def test_progress_is_told(spark, tmp_path):
+    told = []
+    listener = pipelines.Progress(told.append, 50)
+    spark.streams.addListener(listener)
+    try:
+        for k in range(3):
+            spark.range(40).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 8).parquet(f"{tmp_path}/in/*")
+        stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        for _ in range(50):
+            if told and told[-1] == 120:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told[-1] == 120 and told == sorted(told)
