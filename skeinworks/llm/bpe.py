@@ -4,10 +4,11 @@ A text is cut by the vocabulary's pattern and each piece encoded in linear time:
 over the piece's bytes written as Latin-1, the longest token that starts at each place; the encoder
 takes longest matches and steps back to shorter ones wherever the last token and the next could not
 stand side by side after merging. Whether two tokens can is worked out from the merges that made them
-and kept. The result is that of applying the merges in rank order.
+and kept. The result is that of applying the merges in rank order. That longest matches and steps back suffice is known from
+the open-source crate `bpe` (MIT licence); the code here is its own.
 
 Encoding is a function of one row: one read of the table, nothing shuffled. A worker keeps the ids of up
-to `KEPT_PIECES` pieces, and the tables of the vocabulary.
+to `KEPT_PIECES` pieces and `KEPT_BYTES` bytes, and the tables of the vocabulary.
 
 Defined cases: a null text is empty and has no ids; repeated rows are encoded alike; an empty table gives
 an empty result; further columns of the input are kept by `encode`, clashing names replaced.
@@ -29,8 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import enter, on_leave, read, slices
 
+#: Pieces whose ids a worker keeps, their bytes in all, and the longest that is kept.
 KEPT_PIECES = 400_000
+KEPT_BYTES = 16 << 20
+KEPT_LENGTH = 256
 KEPT_PAIRS = 700_000
+_NEVER = 1 << 62
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -67,6 +72,7 @@ class BytePairs:
         self.automaton = automaton
         self.size = {i: len(t) for i, t in self.tokens.items()}
         self._ids: dict[str, bytes] = {}
+        self._bytes = 0
 
     def _learn(self, i: int) -> None:
         """The two tokens whose merge gives token i; itself twice if no merge does."""
@@ -83,29 +89,29 @@ class BytePairs:
     def size_of(self, i: int) -> int:
         return len(self.tokens[i])
 
-    def _fit(self, a: int, b: int) -> bool:
-        """Whether a and b can be neighbours: no earlier merge across their border would have come first."""
-        limit = 1 << 62
+    def _border(self, i: int, side: int) -> list[tuple[int, int]]:
+        """Tokens that stood at one end of token i while it was put together (side 1: its right end, 0: its left), the
+        latest first, each with the merge that took it up."""
+        out, until = [], _NEVER
         while True:
-            joint = self.merged.get((a, b))
-            if joint is not None and joint < limit:
-                return False
-            if a > b:
-                limit = a
-                a = self.parts[a][1]
-                if a == limit:
-                    limit = b + 1
-                    b = self.parts[b][0]
-                    if b + 1 == limit:
-                        return True
-            else:
-                limit = b + 1
-                b = self.parts[b][0]
-                if b + 1 == limit:
-                    limit = a
-                    a = self.parts[a][1]
-                    if a == limit:
-                        return True
+            out.append((i, until))
+            inner = self.parts[i][side]
+            if inner == i:
+                return out
+            i, until = inner, i
+
+    def _fit(self, a: int, b: int) -> bool:
+        """Whether a and b can be neighbours: while they were put together, nothing across their border could merge first.
+
+        A merge across would have come before both merges that took up its halves; of two of one rank the left one comes first.
+        """
+        right = self._border(b, 0)
+        for x, taken in self._border(a, 1):
+            for y, gone in right:
+                joint = self.merged.get((x, y))
+                if joint is not None and joint < taken and joint <= gone:
+                    return False
+        return True
 
     def neighbours(self, a: int, b: int) -> bool:
         known = self._pairs.get((a, b))
@@ -153,14 +159,18 @@ class BytePairs:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         pieces = pattern.findall(text or "")
         known = self._ids
-        new = set(pieces).difference(known)
-        if new:
-            if len(known) + len(new) > KEPT_PIECES:
-                known.clear()
-                new = set(pieces)
-            for p in new:
-                known[p] = np.array(self.encode_piece(p.encode()), "<u4").tobytes()
-        return b"".join([known[p] for p in pieces])
+        if len(known) > KEPT_PIECES or self._bytes > KEPT_BYTES:
+            known.clear()
+            self._bytes = 0
+        own: dict[str, bytes] = {}
+        for p in set(pieces).difference(known):
+            ids = np.array(self.encode_piece(p.encode()), "<u4").tobytes()
+            if len(p) <= KEPT_LENGTH and len(known) <= KEPT_PIECES:
+                known[p] = ids
+                self._bytes += len(p) + len(ids)
+            else:
+                own[p] = ids
+        return b"".join([known[p] if p in known else own[p] for p in pieces] if own else [known[p] for p in pieces])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
