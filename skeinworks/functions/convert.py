@@ -213,12 +213,17 @@ def convert(kind: str | None, content: bytes | None) -> str | None:
 
 
 def convert_files(files: DataFrame) -> DataFrame:
-    """files (path, content) with `kind` and `text`; unsupported and failing ones are dropped."""
+    """files (path, content) with `kind` and `text`; unsupported and failing ones are dropped.
+
+    Plain text and code in UTF-8 are read natively; only the rest goes through Python.
+    """
 
     @F.pandas_udf("string")
     def run(kinds: pd.Series, contents: pd.Series) -> pd.Series:
         return pd.Series([convert(k, c) for k, c in zip(kinds, contents, strict=True)], dtype=object)
 
-    out = files.withColumn("kind", route(F.col("path"))).where(F.col("kind").isNotNull())
-    return out.withColumn("text", run("kind", "content")).where(F.length(F.trim("text")) > 0)
-
+    known = files.withColumn("kind", route(F.col("path"))).where(F.col("kind").isNotNull() & F.col("content").isNotNull())
+    native = F.col("kind").isin("text", "code") & F.is_valid_utf8(F.col("content").cast("string"))
+    plain = known.where(native).withColumn("text", text_functions.decoded(F.col("content")))
+    others = known.where(~native).withColumn("text", run("kind", "content"))
+    return plain.unionByName(others).where(F.length(F.trim("text")) > 0)
