@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     placed = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     several = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("n").alias("least")).where("c1 < c2")
-    held = placed.join(several.select("key", "least"), "key").groupBy("rep", "n", "component").agg(F.min("least").alias("least"))
+    held = placed.join(stored(several.select("key", "least")), "key").groupBy("rep", "n", "component").agg(F.min("least").alias("least"))
     size = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     held = stored(held.join(size, "component", "left").fillna(1, ["size"]))
     second = _measured(stored(_agreeing(_met_in_prefix(held, own, percent), reps)), own)
