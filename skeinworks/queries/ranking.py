@@ -204,6 +204,16 @@ def _(spark, sf_dir):
     return plans.run(plan, rows, terms=spark.read.parquet(path)).select("entity_id", F.round("score", 6).alias("score"))
 
 
+@reg("s03_federated_page", f"""with {KEYWORD}, a as (select doc_id || '__chunk_0' as entity_id, row_number() over (order by round(keyword, 9) desc, doc_id || '__chunk_0') as rank from kw), b as (select 'b' || item_id as entity_id, row_number() over (order by item_id) as rank from benchmark),
+u as (select * from a where rank <= 14 union all select * from b where rank <= 14), s as (select entity_id, sum(1.0::double / (60 + rank)) as score from u group by entity_id)
+select entity_id, round(score, 8) as score from s order by s.score desc, entity_id limit 10 offset 4""")
+def _(spark, sf_dir):
+    """A query-time source beside the index: both lists are read down to the page's end and fused by rank."""
+    fetch = lambda query, need: table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("entity_id"), (F.col("item_id") + 1).alias("place")).orderBy("place").limit(need)
+    plan = plans.SearchPlan(QUERY, strategy="keyword", limit=10, offset=4)
+    return plans.run(plan, index(spark, sf_dir), [plans.retrying(fetch)], terms(spark, sf_dir)).select("entity_id", F.round("score", 8).alias("score"))
+
+
 @reg("t09_reranked_by_model", f"with {KEYWORD}, c as (select doc_id, text from kw join documents using (doc_id) order by round(keyword, 9) desc, doc_id limit 30), r as (select doc_id, row_number() over (order by length(text), doc_id) as k from c) select doc_id from r order by k limit 10 offset 5")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -54,6 +54,16 @@ def _(spark, sf_dir):
     return stores.read_raw(spark, target, "s1", stores.raw_schema(rows.schema)).select("entity_id", "sync_job_id", "text")
 
 
+@reg("s07_raw_entity", "select min(doc_id)::varchar as entity_id, 'job2' as sync_job_id, arg_min(text, doc_id) as text from documents")
+def _(spark, sf_dir):
+    root = new_folder(spark)
+    rows = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) as entity_id", "text")
+    for job in ("job1", "job2"):
+        stores.write_raw(rows, root, "s1", job)
+    first = table(spark, sf_dir, "documents").agg(F.min("doc_id")).first()[0]
+    return stores.raw_entity(spark, root, "s1", stores.raw_schema(rows.schema), str(first)).select("entity_id", "sync_job_id", "text")
+
+
 @reg("s06_raw_round_trip_all", "select doc_id::varchar as entity_id, case when doc_id % 2 = 0 then 'job2' else 'job1' end as sync_job_id, text from documents")
 def _(spark, sf_dir):
     return _round_trip(spark, table(spark, sf_dir, "documents"))

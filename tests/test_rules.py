@@ -383,3 +383,14 @@ def test_progress_is_told(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert told[-1] == 120 and told == sorted(told)
+
+
+def test_organisations_in_any_order(spark):
+    orgs = spark.createDataFrame([(1, "b", 3), (2, "a", 1), (3, "c", 2)], "org_id int, name string, created_at int")
+    users = spark.createDataFrame([(1, 5), (1, 9), (3, 7)], "org_id int, last_active int")
+    links = spark.createDataFrame([(2,)], "org_id int")
+    usage = spark.createDataFrame([(3, 10), (2, 4)], "org_id int, entities int")
+    order = lambda sort, down: [r.org_id for r in metadata.organisations(orgs, users, links, usage, None, sort, down).collect()]
+    assert order("name", False) == [2, 1, 3] and order("user_count", True) == [1, 3, 2] and order("entity_count", True) == [3, 2, 1]
+    assert order("last_active", True) == [1, 3, 2] and order("last_active", False) == [3, 1, 2]
+    assert order("no such column; drop table", True) == order("created_at", True) == [1, 3, 2]
