@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions import text
 
 UNKNOWN = "Unknown"
 
@@ -73,7 +72,3 @@ def errors_split(rows: DataFrame, value: Column) -> tuple[DataFrame, DataFrame]:
     """(rows whose value could be worked out, rows to skip): an entity's error costs its row only."""
     marked = rows.withColumn("_v", value)
     return marked.where(F.col("_v").isNotNull()).drop("_v"), marked.where(F.col("_v").isNull()).drop("_v")
-
-
-def snippets(rows: DataFrame, column: str = "textual_representation") -> DataFrame:
-    return rows.withColumn("snippet", text.snippet(F.col(column)))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .scratch import exists, stored
@@ -80,6 +83,30 @@ def hashed_files(files: DataFrame) -> DataFrame:
     return files.withColumn("file_hash", F.sha2("content", 256))
 
 
+def fetched(items: DataFrame, key: str, fetch: Callable[[str], bytes], at_once: int = 16, ordered: bool = True) -> DataFrame:
+    """items with `content`, what fetch gives for their key, and `error`, null unless it failed: an item's fault costs its row
+    only. Each task waits for up to `at_once` answers together; rows leave in their order, or as answers come."""
+
+    def one(row: dict) -> dict:
+        try:
+            return row | {"content": fetch(row[key]), "error": None}
+        except Exception as e:  # noqa: BLE001  any fault of the source is the row's
+            return row | {"content": None, "error": f"{type(e).__name__}: {e}"}
+
+    schema = T.StructType([*items.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in it:
+                for a in range(0, batch.num_rows, 8 * at_once):
+                    rows = batch.slice(a, 8 * at_once).to_pylist()
+                    done = pool.map(one, rows) if ordered else (f.result() for f in as_completed([pool.submit(one, r) for r in rows]))
+                    yield pa.RecordBatch.from_pylist(list(done), schema=arrow)
+
+    return items.mapInArrow(run, schema)
+
+
 def unprocessed(rows: DataFrame, done: DataFrame, key: str = "entity_id") -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 

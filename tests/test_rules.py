@@ -394,3 +394,21 @@ def test_organisations_in_any_order(spark):
     assert order("name", False) == [2, 1, 3] and order("user_count", True) == [1, 3, 2] and order("entity_count", True) == [3, 2, 1]
     assert order("last_active", True) == [1, 3, 2] and order("last_active", False) == [3, 1, 2]
     assert order("no such column; drop table", True) == order("created_at", True) == [1, 3, 2]
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_items_are_fetched_together(spark, ordered):
+    def fetch(key):
+        if key == "k7":
+            raise OSError("gone")
+        time.sleep(0.02)
+        return key.encode()
+
+    items = spark.createDataFrame([(f"k{i}", i) for i in range(100)], "key string, n int").coalesce(1)
+    at = time.time()
+    got = stores.fetched(items, "key", fetch, 20, ordered).collect()
+    assert time.time() - at < 60
+    if ordered:
+        assert [r.n for r in got] == list(range(100))
+    assert {r.key: None if r.content is None else bytes(r.content).decode() for r in got} == {f"k{i}": None if i == 7 else f"k{i}" for i in range(100)}
+    assert {r.key: r.error for r in got if r.error} == {"k7": "OSError: gone"}
