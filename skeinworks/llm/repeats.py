@@ -20,7 +20,7 @@ them in between; no group holds more than one row a block (4e7 at 170 TB).
 
 Defined cases: a null or empty text has no words and stays as it is; texts of fewer than n words lose
 nothing; rows with a null id neither lose words nor make others lose any; rows that share an id do not
-repeat each other; very long texts are a block of their own and their passages are cut into pieces; an empty table
+repeat each other; a very long text makes its block as much larger, and its passages are cut into pieces; an empty table
 gives an empty result; all other columns are kept, and `n_words` and `n_removed` are replaced if present.
 """
 
@@ -45,10 +45,11 @@ ANCHOR = 5
 BLOCKS = 1024
 LEAST_BLOCK, MOST_BLOCK = 1 << 20, 4 << 20
 #: Windows in one automaton, and in one passage row; longer passages are cut between windows.
-SHARD_WINDOWS = 50_000
+SHARD_WINDOWS = 25_000
 PASSAGE_WINDOWS = 500
-_FIRST_CODE = 0x100
-_OTHER = "\x01"
+_LOW_CODES = 256
+_LOW_CODE, _HIGH_CODE = 0x100, 0x10000
+_OTHER = "\x01\x01"
 
 
 class Block:
@@ -132,8 +133,15 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.nd
     return sorted_values[at] == x, at
 
 
+def _code(i: int) -> str:
+    """Two characters for the i-th word, of two alphabets that do not meet: a node of the automaton has few children so, and
+    no match begins inside a word."""
+    high, low = divmod(i, _LOW_CODES)
+    return chr(_HIGH_CODE + high) + chr(_LOW_CODE + low)
+
+
 class Shard:
-    """An Aho-Corasick automaton over all windows of some passages, one character a word."""
+    """An Aho-Corasick automaton over all windows of some passages, two characters a word."""
 
     def __init__(self, passages: Iterable[tuple[int, str]], n: int):
         self.n = n
@@ -144,20 +152,24 @@ class Shard:
             line = []
             for w in words.encode().split():
                 if w not in codes:
-                    code = _FIRST_CODE + len(codes)
-                    codes[w] = chr(code if code < 0xD800 else code + 0x800)
+                    codes[w] = _code(len(codes))
                 line.append(codes[w])
             text = "".join(line)
-            for k in range(len(text) - n + 1):
-                self.automaton.add_word(text[k : k + n], owner)
+            for k in range(0, len(text) - 2 * n + 2, 2):
+                self.automaton.add_word(text[k : k + 2 * n], owner)
         self.automaton.make_automaton()
 
     def found(self, words: list[bytes], doc_id: int) -> np.ndarray:
         """Last words of the windows that a smaller document owns, ascending."""
-        text = "".join(map(self.codes.get, words, repeat(_OTHER)))
-        if len(text) - text.count(_OTHER) < self.n or not len(self.automaton):
-            return np.zeros(0, np.int64)
-        return np.array([end for end, owner in self.automaton.iter(text) if owner < doc_id], np.int64)
+        ends: list[int] = []
+        if len(self.automaton):
+            at = 0
+            # Windows lie in runs of words that the passages know.
+            for run in "".join(map(self.codes.get, words, repeat(_OTHER))).split(_OTHER):
+                if len(run) >= 2 * self.n:
+                    ends += [(at + end) // 2 for end, owner in self.automaton.iter(run) if owner < doc_id]
+                at += len(run) + len(_OTHER)
+        return np.array(ends, np.int64)
 
 
 def shards(passages: Iterable[tuple[int, str]], n: int, most: int = SHARD_WINDOWS) -> Iterator[Shard]:
