@@ -21,7 +21,17 @@ from skeinworks.sources.scratch import delete, passing
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Ids that a packing worker keeps: less than by default, as workers also hold what the other stages left in memory.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
+#: Documents in one Arrow batch, instead of the session's default.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of BATCH_ROWS, unless the session has a number of its own: a batch is held by the
+    executor and by its worker at the same time, for each of the stages that share them."""
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
 
 
 def _set_aside(docs: DataFrame, *own: str) -> DataFrame:
@@ -38,6 +48,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     So null and empty texts go. Of equally near languages the first by name counts, which changes no decision.
     """
+    _small_batches(spark)
     model = language_id.learn(docs.select("doc_id", "text", "lang"))
     found = language_id.identify(_set_aside(docs, "text"), model)
     return _restored(found.where((F.col("lang_pred") != "und") & (F.col("score") > language_id.NOISE)), docs, "text")
@@ -48,6 +59,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts have the probability of the intercepts, and stay.
     """
+    _small_batches(spark)
     chain = toxicity.learn(docs, read(spark, sf_dir, "labels"))
     return _restored(toxicity.score_chain(_set_aside(docs, "text"), chain).where(~F.col("is_toxic")), docs, "text")
 
@@ -58,6 +70,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null, empty and wordless texts are duplicates of nothing, and rows without an id are not compared: all stay. A pair at
     exactly 0.8 is linked.
     """
+    _small_batches(spark)
     found = neardup.near_duplicates(docs.select("doc_id", "text"))
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -69,6 +82,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     No document goes: a text of which nothing is left is empty, a null text stays null with null n_chars. Rows with one id do
     not repeat each other; rows without an id stay as they are.
     """
+    _small_batches(spark)
     clean = repeats.remove_repeats(_set_aside(docs, "doc_id", "text", "n_chars"))
     clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return _restored(clean, docs, "doc_id", "text", "n_chars")
@@ -79,6 +93,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts have the end token only. Equal pieces may swap places.
     """
+    _small_batches(spark)
     return packing.packed(docs, VOCABULARY, KEPT_WORDS)
 
 
