@@ -8,6 +8,7 @@ from .neardup import OP8_SQL, op8_minmax_neardup
 from .packing import op9_packing
 from .pages import op10_main_text
 from .repeats import OP5_SQL, op5_repeats
+from .suffixes import OP13_SQL, op13_suffix_array
 from .toxicity import op3_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_minmax_neardup": op8_minmax_neardup,
     "op9_packing": op9_packing,
     "op10_main_text": op10_main_text,
+    "op13_suffix_array": op13_suffix_array,
 }
 
 ORACLE = {
@@ -29,4 +31,5 @@ ORACLE = {
     "op5_repeats": OP5_SQL,
     "op7_line_quality": OP7_SQL,
     "op8_minmax_neardup": OP8_SQL,
+    "op13_suffix_array": OP13_SQL,
 }
