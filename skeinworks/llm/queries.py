@@ -1,6 +1,8 @@
 """Registered queries of the corpus operators and the SQL that some of them equal."""
 
 from .bpe import op6_byte_bpe
+from .centroids import OP11_SQL, op11_annulus_clusters
+from .codes import OP12_SQL, op12_vector_codes
 from .ctph import op2_fingerprint
 from .language_id import op1_language_id
 from .line_quality import OP7_SQL, op7_line_quality
@@ -23,6 +25,8 @@ QUERIES = {
     "op8_minmax_neardup": op8_minmax_neardup,
     "op9_packing": op9_packing,
     "op10_main_text": op10_main_text,
+    "op11_annulus_clusters": op11_annulus_clusters,
+    "op12_vector_codes": op12_vector_codes,
     "op13_suffix_array": op13_suffix_array,
 }
 
@@ -31,5 +35,7 @@ ORACLE = {
     "op5_repeats": OP5_SQL,
     "op7_line_quality": OP7_SQL,
     "op8_minmax_neardup": OP8_SQL,
+    "op11_annulus_clusters": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
     "op13_suffix_array": OP13_SQL,
 }
