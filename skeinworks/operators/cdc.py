@@ -61,9 +61,12 @@ def classified(new: DataFrame, state: DataFrame, keys: Sequence[str] = KEYS, for
     return new.join(old, list(keys), "left").withColumn("action", action).drop("_old", "_known")
 
 
-def orphans(state: DataFrame, seen: DataFrame) -> DataFrame:
-    """Stored rows whose entity id no type brought in this run."""
-    return state.join(seen.select("entity_id").distinct(), "entity_id", "left_anti")
+def orphans(state: DataFrame, seen: DataFrame, syncs: DataFrame | None = None) -> DataFrame:
+    """Stored rows whose entity id no type brought in this run of their sync; only of syncs that ran: those in `syncs` (sync_id), or
+    in `seen`."""
+    ran = (seen if syncs is None else syncs).select("sync_id").distinct()
+    known = seen.select("sync_id", "entity_id").distinct()
+    return state.join(ran, "sync_id", "left_semi").join(known, ["sync_id", "entity_id"], "left_anti")
 
 
 def upserted(state: DataFrame, changes: DataFrame, keys: Sequence[str], keep: Sequence[str] = ("created_at",)) -> DataFrame:

@@ -176,28 +176,55 @@ def _(spark, sf_dir):
     return spark.range(1).select(F.lit(_applied(spark, sf_dir)[1][-1]).cast("long").alias("cursor"))
 
 
-@reg("sync_state_after", f"with {BOTH}, k as (select entity_id from old where entity_id not in (select entity_id from new)) select entity_id, entity_type, hash from new where not gone union all select entity_id, entity_type, hash from old where entity_id not in (select entity_id from new) and entity_id not in (select entity_id from k)")
+#: Three syncs that share entity ids: the second sees a third of the documents and loses some, the third does not run.
+_OF_OLD = {"s1": "true", "s2": "doc_id % 3 = 0", "s3": "doc_id % 2 = 0"}
+_OF_NEW = {"s1": "true", "s2": "doc_id % 3 <> 1 and doc_id % 5 <> 0"}
+
+
+def _several(rows: DataFrame, shares: dict[str, str]) -> DataFrame:
+    """rows, once for each sync that has them."""
+    doc_id = F.col("entity_id").cast("long")
+    mine = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(s)) for s, c in shares.items()]))
+    return rows.drop("sync_id").withColumn("doc_id", doc_id).withColumn("sync_id", F.explode(mine)).drop("doc_id")
+
+
+_H3 = _H2.replace("|sync_id:2:s1|", "|sync_id:2:' || sync_id || '|")
+_VALUES = {k: ", ".join(f"('{s}')" for s in x) for k, x in (("old", _OF_OLD), ("new", _OF_NEW))}
+_WHERE = {k: " or ".join(f"sync_id = '{s}' and {c}" for s, c in x.items()) for k, x in (("old", _OF_OLD), ("new", _OF_NEW))}
+SEVERAL = f"""old0 as (select sync_id, doc_id::varchar as entity_id, source as entity_type, 'Doc ' || doc_id as name, case when doc_id % 7 = 0 then text || ' old' else text end as text from documents, (values {_VALUES["old"]}) v(sync_id) where doc_id % 10 <> 0 and ({_WHERE["old"]})),
+old as (select *, {_H3} as hash from old0),
+new0 as (select sync_id, doc_id::varchar as entity_id, source as entity_type, 'Doc ' || doc_id as name, text, doc_id % 19 = 0 as gone from documents, (values {_VALUES["new"]}) v(sync_id) where doc_id % 11 <> 0 and ({_WHERE["new"]})),
+new as (select *, {_H3} as hash from new0),
+chg as (select new.*, case when gone then 'DELETE' when old.entity_id is null then 'INSERT' when old.hash <> new.hash then 'UPDATE' else 'KEEP' end as action from new left join old using (sync_id, entity_id, entity_type)),
+orphan as (select * from old where sync_id <> 's3' and (sync_id, entity_id) not in (select (sync_id, entity_id) from new))"""
+
+
+@reg("j02_orphans_of_syncs", f"with {SEVERAL} select sync_id, entity_id, entity_type from orphan")
+def _(spark, sf_dir):
+    old, new = _several(old_rows(spark, sf_dir), _OF_OLD), _several(new_rows(spark, sf_dir), _OF_NEW)
+    return cdc.orphans(old, new).select("sync_id", "entity_id", "entity_type")
+
+
+@reg("sync_state_after", f"with {SEVERAL} select sync_id, entity_id, entity_type, hash from new where not gone union all select sync_id, entity_id, entity_type, hash from old where sync_id = 's3'")
 def _(spark, sf_dir):
-    return _synced(spark, sf_dir).state.select("entity_id", "entity_type", "hash")
+    return _synced(spark, sf_dir).state.select("sync_id", "entity_id", "entity_type", "hash")
 
 
-@reg("sync_index_after", f"with {BOTH} select entity_id as original_entity_id, case when action = 'KEEP' then 'old' else 'new' end as written from chg where action <> 'DELETE' and length(trim(text)) > 0 and len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) > 0")
+@reg("sync_index_after", f"with {SEVERAL} select sync_id, entity_id as original_entity_id, case when action = 'KEEP' then 'old' else 'new' end as written from chg where action <> 'DELETE' and length(trim(text)) > 0 and len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) > 0 union all select sync_id, entity_id, 'old' from old where sync_id = 's3'")
 def _(spark, sf_dir):
     """Parents in the index after a run: kept ones with their old chunk, new and updated ones with theirs."""
     found = _synced(spark, sf_dir).index
-    return found.groupBy("original_entity_id").agg(F.max(F.when(F.col("textual_representation") == "old chunk", "old").otherwise("new")).alias("written"))
+    return found.groupBy("sync_id", "original_entity_id").agg(F.max(F.when(F.col("textual_representation") == "old chunk", "old").otherwise("new")).alias("written"))
 
 
 def _synced(spark: SparkSession, sf_dir: str) -> sync.SyncResult:
-    old = _hashed(old_rows(spark, sf_dir)).drop("created_at")
+    old = _hashed(_several(old_rows(spark, sf_dir), _OF_OLD)).drop("created_at")
     before = old.select("sync_id", F.concat("entity_id", F.lit("__chunk_0")).alias("entity_id"), F.col("entity_id").alias("original_entity_id"), "entity_type", "name", F.lit(0).alias("chunk_index"), F.lit("old chunk").alias("textual_representation"))
-    return sync.run(new_rows(spark, sf_dir).drop("created_at"), old.select("sync_id", "entity_id", "entity_type", "hash"), before)
+    new = _several(new_rows(spark, sf_dir), _OF_NEW).drop("created_at")
+    return sync.run(new, old.select("sync_id", "entity_id", "entity_type", "hash"), before)
 
 
-@reg("sync_run", f"with {BOTH}, k as (select entity_id from old where entity_id not in (select entity_id from new)) select * from (select entity_id, action from chg union all select entity_id, 'ORPHAN' from k)")
+@reg("sync_run", f"with {SEVERAL} select sync_id, entity_id, action from chg union all select sync_id, entity_id, 'ORPHAN' from orphan")
 def _(spark, sf_dir):
-    old = _hashed(old_rows(spark, sf_dir)).drop("created_at")
-    new = new_rows(spark, sf_dir).drop("created_at")
-    empty = spark.createDataFrame([], "sync_id string, entity_id string, original_entity_id string, entity_type string, name string, chunk_index int, textual_representation string")
-    found = sync.run(new, old.select("sync_id", "entity_id", "entity_type", "hash"), empty)
-    return found.changes.select("entity_id", "action").unionByName(found.orphans.select("entity_id", F.lit("ORPHAN").alias("action")))
+    found = _synced(spark, sf_dir)
+    return found.changes.select("sync_id", "entity_id", "action").unionByName(found.orphans.select("sync_id", "entity_id", F.lit("ORPHAN").alias("action")))
