@@ -28,9 +28,13 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t.lower() for t in _TERM.findall(query)))
 
 
-def term_table(rows: DataFrame, ident: str, text: str) -> DataFrame:
-    """(ident, term, tf): the inverted table, worth storing partitioned by a hash of the term."""
-    return rows.select(ident, F.explode(terms(F.col(text))).alias("term")).groupBy(ident, "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_table(rows: DataFrame, ident: str, text: str, wanted: Sequence[str] | None = None) -> DataFrame:
+    """(ident, term, tf): the inverted table, worth storing partitioned by a hash of the term; of the `wanted` terms only, if given, so that
+    no other term leaves its row."""
+    found = terms(F.col(text))
+    if wanted is not None:
+        found = F.filter(found, lambda t: t.isin(list(wanted)))
+    return rows.select(ident, F.explode(found).alias("term")).groupBy(ident, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def write_terms(rows: DataFrame, ident: str, text: str, path: str) -> None:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import access, filters, search
+from ..operators import access, filters, postings, search
+from ..operators import vectors as nearby
 
 STRATEGIES = {"hybrid": "hybrid", "semantic": "semantic", "neural": "semantic", "keyword": "keyword"}
 MOST_RESULTS = 1000
@@ -33,6 +34,8 @@ class SearchPlan:
     merge: str = "flat"
     dedupe_by_entity: bool = False
     errors: list[str] = field(default_factory=list)
+    probes: int | None = None
+    exact: bool = False
 
     def check(self) -> None:
         if self.strategy not in STRATEGIES:
@@ -52,23 +55,47 @@ class SearchPlan:
         return max(scoring.RERANK_WINDOW, self.limit + self.offset)
 
 
-def candidates(plan: SearchPlan, index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(entity_id, keyword, semantic) of what either method finds among permitted rows; with a stored table of terms no text
-    is read."""
+@dataclass
+class Stores:
+    """Where the stored indexes of chunks are: a table of terms (`search.write_terms`), postings with BM25 weights (`postings.build`; they
+    come before terms), vectors in lists (`vectors.build`, with the index's columns that filters and access need). What is not named is
+    found by reading the index rows."""
+
+    terms: DataFrame | None = None
+    postings: str | None = None
+    vectors: str | None = None
+
+
+def _keyword(plan: SearchPlan, rows: DataFrame, stores: Stores, most: int) -> DataFrame:
+    if stores.postings is not None:
+        return postings.top(rows.sparkSession, stores.postings, "entity_id", plan.query, most, rows.select("entity_id"))
+    if stores.terms is None:
+        words = search.keyword_scores(rows, "entity_id", "textual_representation", plan.query)
+    else:
+        words = search.stored_scores(stores.terms, "entity_id", plan.query).join(rows.select("entity_id"), "entity_id", "left_semi")
+    return words.orderBy(F.desc("keyword"), "entity_id").limit(most)
+
+
+def _semantic(plan: SearchPlan, rows: DataFrame, stores: Stores, most: int) -> DataFrame:
+    if stores.vectors is None:
+        return scoring.nearest(rows, "dense_embedding", plan.vectors, most, "entity_id")
+    found = nearby.nearest(rows.sparkSession, stores.vectors, "entity_id", "dense_embedding", plan.vectors, most, plan.probes, plan.exact, plan.predicate())
+    return found.groupBy("entity_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "entity_id").limit(most)
+
+
+def candidates(plan: SearchPlan, index: DataFrame, stores: Stores | None = None) -> DataFrame:
+    """(entity_id, keyword, semantic) of what either method finds among permitted rows: the best of each that a page could show, and
+    CANDIDATES of each where both are fused."""
     plan.check()
-    kind = STRATEGIES[plan.strategy]
+    kind, stores = STRATEGIES[plan.strategy], stores or Stores()
+    most = search.CANDIDATES if kind == "hybrid" or plan.dedupe_by_entity else plan.window
     rows = index.where(plan.predicate())
     nothing = rows.select("entity_id", F.lit(0.0).alias("keyword"), F.lit(0.0).alias("semantic")).limit(0)
     parts = []
     if kind in ("hybrid", "keyword"):
-        if terms is None:
-            words = search.keyword_scores(rows, "entity_id", "textual_representation", plan.query)
-        else:
-            words = search.stored_scores(terms, "entity_id", plan.query).join(rows.select("entity_id"), "entity_id", "left_semi")
-        parts.append(words.orderBy(F.desc("keyword"), "entity_id").limit(search.CANDIDATES).select("entity_id", "keyword", F.lit(None).cast("double").alias("semantic")))
+        parts.append(_keyword(plan, rows, stores, most).select("entity_id", "keyword", F.lit(None).cast("double").alias("semantic")))
     if kind in ("hybrid", "semantic") and plan.vectors:
-        near = scoring.nearest(rows, "dense_embedding", plan.vectors, search.CANDIDATES, "entity_id")
-        parts.append(near.select("entity_id", F.lit(None).cast("double").alias("keyword"), F.col("score").alias("semantic")))
+        parts.append(_semantic(plan, rows, stores, most).select("entity_id", F.lit(None).cast("double").alias("keyword"), F.col("score").alias("semantic")))
     if not parts:
         return nothing
     out = parts[0]
@@ -77,9 +104,9 @@ def candidates(plan: SearchPlan, index: DataFrame, terms: DataFrame | None = Non
     return out.groupBy("entity_id").agg(F.coalesce(F.max("keyword"), F.lit(0.0)).alias("keyword"), F.coalesce(F.max("semantic"), F.lit(0.0)).alias("semantic"))
 
 
-def ranked(plan: SearchPlan, index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def ranked(plan: SearchPlan, index: DataFrame, stores: Stores | None = None) -> DataFrame:
     """(entity_id, score) in the strategy's profile."""
-    found = candidates(plan, index, terms)
+    found = candidates(plan, index, stores)
     kind = STRATEGIES[plan.strategy]
     if kind == "hybrid":
         return scoring.hybrid(found, "keyword", "semantic", "entity_id", plan.window).select("entity_id", "score")
@@ -114,14 +141,14 @@ def retrying(fetch: Callable[[str, int], DataFrame], retries: int = 2, wait: flo
     return run
 
 
-def run(plan: SearchPlan, index: DataFrame, federated: Sequence[Callable[[str, int], DataFrame]] = (), terms: DataFrame | None = None) -> DataFrame:
+def run(plan: SearchPlan, index: DataFrame, federated: Sequence[Callable[[str, int], DataFrame]] = (), stores: Stores | None = None) -> DataFrame:
     """A page of results; rows of query-time sources (entity_id, access columns) are fused by reciprocal rank.
 
     With query-time sources all lists are read down to offset + limit before the page is cut; a failure of one
     fails the query.
     """
     need = plan.offset + plan.limit
-    own = ranked(plan, index, terms)
+    own = ranked(plan, index, stores)
     if plan.dedupe_by_entity:
         parents = index.select("entity_id", "original_entity_id")
         own = search.best_per_parent(own.join(parents, "entity_id")).select("entity_id", "score")

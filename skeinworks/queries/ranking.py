@@ -44,8 +44,9 @@ def _(spark, sf_dir):
 
 @reg("j17_sparse_dot", f"with {_TOK}, w as (select doc_id, t, ln(1 + count(*)) as w from tok group by all), q(t, q) as (values ('the', 0.5), ('of', 0.25), ('die', 1.0)) select doc_id, round(sum(w * q), 6) as keyword from w join q using (t) group by doc_id")
 def _(spark, sf_dir):
-    t = search.term_table(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("weight", F.log1p(F.col("tf").cast("double")))
-    q = spark.createDataFrame([("the", 0.5), ("of", 0.25), ("die", 1.0)], "term string, q double")
+    weights = {"the": 0.5, "of": 0.25, "die": 1.0}
+    t = search.term_table(table(spark, sf_dir, "documents"), "doc_id", "text", list(weights)).withColumn("weight", F.log1p(F.col("tf").cast("double")))
+    q = spark.createDataFrame([*weights.items()], "term string, q double")
     return search.sparse_scores(t, q, "doc_id").select("doc_id", F.round("keyword", 6).alias("keyword"))
 
 
@@ -144,7 +145,7 @@ tok as (select entity_id, unnest(regexp_extract_all(lower(textual_representation
 select entity_id, round(sum(ln(1 + n)), 6) as score from tf group by entity_id order by round(sum(ln(1 + n)), 9) desc, entity_id limit 15 offset 5""")
 def _(spark, sf_dir):
     plan = plans.SearchPlan(QUERY, strategy="keyword", limit=15, offset=5, collection_id="en", principals=["user:u3"], groups=[[Condition("chunk_index", "in", [1, 2, 3])]])
-    found = plans.ranked(plan, index(spark, sf_dir), terms(spark, sf_dir))
+    found = plans.ranked(plan, index(spark, sf_dir), plans.Stores(terms(spark, sf_dir)))
     return search.page(found, [F.desc("score"), F.col("entity_id")], 5, 15).select("entity_id", F.round("score", 6).alias("score"))
 
 
@@ -190,7 +191,7 @@ n as (select entity_id, (k - min(k) over ()) / (max(k) over () - min(k) over ())
 select entity_id, round(score, 4) as score from n order by score desc, entity_id limit 12 offset 2""")
 def _(spark, sf_dir):
     plan = plans.SearchPlan(QUERY, vectors=[_vector(spark, sf_dir, 0), _vector(spark, sf_dir, 1)], limit=12, offset=2, groups=_OTHERS)
-    return plans.run(plan, vectors(spark, sf_dir), terms=terms(spark, sf_dir)).select("entity_id", F.round("score", 4).alias("score"))
+    return plans.run(plan, vectors(spark, sf_dir), stores=plans.Stores(terms(spark, sf_dir))).select("entity_id", F.round("score", 4).alias("score"))
 
 
 @reg("search_best_of_parents", f"""with {CHUNKS}, tok as (select entity_id, original_entity_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as t from chunks), tf as (select entity_id, original_entity_id, t, count(*) as n from tok where t in ('the', 'and', 'reerhan') group by all),
@@ -201,7 +202,7 @@ def _(spark, sf_dir):
     path = new_folder(spark)
     search.write_terms(rows, "entity_id", "textual_representation", path)
     plan = plans.SearchPlan(QUERY, strategy="keyword", limit=20, dedupe_by_entity=True)
-    return plans.run(plan, rows, terms=spark.read.parquet(path)).select("entity_id", F.round("score", 6).alias("score"))
+    return plans.run(plan, rows, stores=plans.Stores(spark.read.parquet(path))).select("entity_id", F.round("score", 6).alias("score"))
 
 
 @reg("s03_federated_page", f"""with {KEYWORD}, a as (select doc_id || '__chunk_0' as entity_id, row_number() over (order by round(keyword, 9) desc, doc_id || '__chunk_0') as rank from kw), b as (select 'b' || item_id as entity_id, row_number() over (order by item_id) as rank from benchmark),
@@ -211,7 +212,7 @@ def _(spark, sf_dir):
     """A query-time source beside the index: both lists are read down to the page's end and fused by rank."""
     fetch = lambda query, need: table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("entity_id"), (F.col("item_id") + 1).alias("place")).orderBy("place").limit(need)
     plan = plans.SearchPlan(QUERY, strategy="keyword", limit=10, offset=4)
-    return plans.run(plan, index(spark, sf_dir), [plans.retrying(fetch)], terms(spark, sf_dir)).select("entity_id", F.round("score", 8).alias("score"))
+    return plans.run(plan, index(spark, sf_dir), [plans.retrying(fetch)], plans.Stores(terms(spark, sf_dir))).select("entity_id", F.round("score", 8).alias("score"))
 
 
 @reg("t09_reranked_by_model", f"with {KEYWORD}, c as (select doc_id, text from kw join documents using (doc_id) order by round(keyword, 9) desc, doc_id limit 30), r as (select doc_id, row_number() over (order by length(text), doc_id) as k from c) select doc_id from r order by k limit 10 offset 5")
