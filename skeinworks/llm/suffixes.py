@@ -369,32 +369,35 @@ def _compared(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield settled(some)
 
 
-def repeats_inside(block: Block, pick: np.ndarray) -> list[int]:
-    """Places of the windows of one document that also start earlier in it; `pick` are its stretches whose anchor is there twice, by anchor."""
-    out: list[int] = []
-
-    def compared(some: list[tuple[bytes, int]]) -> None:
-        text, offset, same = equal_windows([t for t, _ in some], block.length)
-        place = np.array([s for _, s in some], np.int64)[text] + offset
-        cut = np.flatnonzero(np.diff(same, prepend=-1))
-        out.extend(place[place > np.minimum.reduceat(place, cut)[same]].tolist())
-
-    group: list[tuple[bytes, int]] = []
+def repeats_inside(block: Block, pick: np.ndarray) -> list[tuple[int, int]]:
+    """Runs (from, to) of places of windows that also start earlier in their document; `pick` are the stretches whose anchor is
+    in their document twice, by document and anchor."""
+    out: list[tuple[int, int]] = []
+
+    def compared(some: list[tuple[bytes, int, int]]) -> None:
+        text, offset, same = equal_windows([t for t, _, _ in some], block.length)
+        doc, place = np.array([d for _, _, d in some], np.int64)[text], np.array([s for _, s, _ in some], np.int64)[text] + offset
+        order = np.lexsort((place, doc, same))
+        again = np.zeros(len(order), bool)
+        again[1:] = (same[order][1:] == same[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (place[order][1:] > place[order][:-1])
+        out.extend((x, x + 1) for x in place[order][again].tolist())
+
+    group: list[tuple[bytes, int, int]] = []
     size, last = 0, None
-    anchors, starts, counts = block.anchor[pick].tolist(), block.start[pick].tolist(), block.count[pick].tolist()
     seen: set[bytes] = set()
-    for k, anchor, start, count in zip(pick.tolist(), anchors, starts, counts, strict=True):
-        if anchor != last:
-            seen, last = set(), anchor
+    columns = (block.doc[pick], block.anchor[pick], block.start[pick], block.count[pick])
+    for doc, anchor, start, count in zip(*(c.tolist() for c in columns), strict=True):
+        if (doc, anchor) != last:
+            seen, last = set(), (doc, anchor)
             if size >= SORTED_BYTES:
                 compared(group)
                 group, size = [], 0
-        segment = block.segment(k)
+        segment = block.raw[start : start + count + block.length - 1]
         if segment in seen:
-            out.extend(range(start, start + count))
+            out.append((start, start + count))
             continue
         seen.add(segment)
-        group.append((segment, start))
+        group.append((segment, start, doc))
         size += len(segment)
     if group:
         compared(group)
@@ -415,32 +418,31 @@ def _column(table: pa.Table, name: str, only: str) -> np.ndarray:
 
 def removed_bytes(block: Block, hot: np.ndarray, told: dict[tuple[int, int], tuple[list[int], list[int]]]) -> np.ndarray:
     """The mask of the block's bytes that go: by what is told of its segments, and by what its documents repeat themselves."""
-    starts: list[int] = []
+    runs: list[tuple[int, int]] = []
     anchors = np.unique(np.array([g for g, _ in told], np.int64).view(np.uint64))
     split = block.alone(np.flatnonzero(_held(hot, block.anchor))) if len(hot) else None
     for part in [block] + [split] * (split is not None):
         pick = np.flatnonzero(_held(anchors, part.anchor))
-        for k, g, doc in zip(pick.tolist(), part.anchor[pick].view(np.int64).tolist(), part.doc[pick].tolist(), strict=True):
-            found = told.get((g, _seal(part.segment(k))))
+        columns = (part.anchor[pick].view(np.int64), part.start[pick], part.count[pick], part.doc[pick])
+        for g, start, count, doc in zip(*(c.tolist() for c in columns), strict=True):
+            found = told.get((g, _seal(block.raw[start : start + count + block.length - 1])))
             if found is None:
                 continue
-            own, start, count = block.ids[doc], int(part.start[k]), int(part.count[k])
+            own = block.ids[doc]
             for a, b, least in zip(found[0], [*found[0][1:], count], found[1], strict=True):
                 if least < own:
-                    starts.extend(range(start + a, start + b))
+                    runs.append((start + a, start + b))
     order = np.lexsort((block.start, block.anchor, block.doc))
     doc, anchor = block.doc[order], block.anchor[order]
     same = (doc[1:] == doc[:-1]) & (anchor[1:] == anchor[:-1])
     twice = np.zeros(len(order), bool)
     twice[1:] |= same
     twice[:-1] |= same
-    order, doc = order[twice], doc[twice]
-    for pick in np.split(order, np.flatnonzero(np.diff(doc)) + 1) if len(order) else []:
-        starts += repeats_inside(block, pick)
+    runs += repeats_inside(block, order[twice])
     steps = np.zeros(len(block.raw) + 1, np.int32)
-    at = np.unique(np.array(starts, np.int64))
-    steps[at] += 1
-    np.add.at(steps, at + block.length, -1)
+    at = np.array(runs, np.int64).reshape(-1, 2)
+    np.add.at(steps, at[:, 0], 1)
+    np.add.at(steps, at[:, 1] - 1 + block.length, -1)
     return np.cumsum(steps[:-1]) > 0
 
 
