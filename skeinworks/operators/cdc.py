@@ -101,13 +101,6 @@ def counts(state: DataFrame) -> DataFrame:
     return state.where(F.col("entity_type").isNotNull()).groupBy("sync_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def counts_after(stored: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Counts with +1 and -1 deltas added; never below zero, rows at zero go."""
-    both = stored.select("sync_id", "entity_type", "n").unionByName(deltas.select("sync_id", "entity_type", F.col("delta").cast("long").alias("n")))
-    total = both.where(F.col("entity_type").isNotNull()).groupBy("sync_id", "entity_type").agg(F.greatest(F.sum("n"), F.lit(0)).alias("n"))
-    return total.where("n > 0")
-
-
 def action_counts(rows: DataFrame) -> DataFrame:
     """One row per type with a column per action."""
     names = ["INSERT", "UPDATE", "KEEP", "DELETE"]

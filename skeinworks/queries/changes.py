@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cdc, lookups
+from ..operators import cdc, counts, lookups
 from ..plans import sync
 from ..sources.scratch import new_folder, stored
 from ..streaming import pipelines
@@ -113,11 +113,34 @@ def _(spark, sf_dir):
     return cdc.counts(index(spark, sf_dir))
 
 
-@reg("a01_counts_after_deltas", "with c as (select doc_id % 10 as s, source as t, count(*) as n from documents group by all), d as (select doc_id % 10 as s, source as t, sum(case when doc_id % 2 = 0 then -2 else 1 end) as n from documents group by all) select 'sync-' || s as sync_id, t as entity_type, (c.n + d.n)::bigint as n from c join d using (s, t) where c.n + d.n > 0")
+@reg("a01_counts_after_deltas", """with c as (select doc_id % 10 as s, source as t, count(*) as n from documents where doc_id % 4 = 3 group by all),
+d as (select doc_id % 10 as s, source as t, doc_id * 2 + o as seq, case when doc_id % 3 = 0 then -1 else 1 end as delta from documents, (values (0), (1)) v(o) where o = 0 or doc_id % 3 = 0),
+l as (select s, t, list(delta order by seq) as steps from d where t is not null group by all)
+select 'sync-' || s as sync_id, t as entity_type, list_reduce([coalesce(n, 0)::bigint] || coalesce(steps, []), lambda x, y: greatest(x + y, 0)) as n
+from (select * from c where t is not null) c full join l using (s, t) where list_reduce([coalesce(n, 0)::bigint] || coalesce(steps, []), lambda x, y: greatest(x + y, 0)) > 0""")
 def _(spark, sf_dir):
+    """Every step is clipped: a third of the documents take two, the others add one, in order of their ids, whatever the order of arrival."""
     rows = index(spark, sf_dir).withColumn("entity_type", F.col("source_name"))
-    deltas = rows.select("sync_id", "entity_type", F.when(F.col("doc_id") % 2 == 0, -2).otherwise(1).alias("delta"))
-    return cdc.counts_after(cdc.counts(rows), deltas)
+    times = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    steps = rows.select("sync_id", "entity_type", "doc_id", F.explode(times).alias("o")).repartition(7, "doc_id")
+    deltas = steps.select("sync_id", "entity_type", (F.col("doc_id") * 2 + F.col("o")).alias("seq"), F.when(F.col("doc_id") % 3 == 0, -1).otherwise(1).cast("long").alias("delta"))
+    return counts.counts_after(cdc.counts(rows.where("doc_id % 4 = 3")), deltas)
+
+
+@reg("a01_counts_of_moves", """with h as (select doc_id, 'INSERT' as op, doc_id % 10 as s, source as t, null as os, null as ot, 0 as k from documents union all select doc_id, 'UPDATE', (doc_id + 1) % 10, case when doc_id % 5 = 0 then null else lang end, doc_id % 10, source, 1 from documents where doc_id % 2 = 0
+union all select doc_id, 'DELETE', null, null, (doc_id + 1) % 10, lang, 2 from documents where doc_id % 6 = 0),
+d as (select s, t, doc_id * 4 + k as seq, 1 as delta from h where op = 'INSERT' and t is not null union all select os, ot, doc_id * 4 + k, -1 from h where op = 'DELETE' and ot is not null
+union all select os, ot, doc_id * 4 + k, -1 from h where op = 'UPDATE' and t is not null and ot is not null and (s <> os or t <> ot) union all select s, t, doc_id * 4 + k, 1 from h where op = 'UPDATE' and t is not null and ot is not null and (s <> os or t <> ot)),
+l as (select s, t, list(delta order by seq, delta) as steps from d group by all)
+select s::bigint as sync_id, t as entity_type, list_reduce([0::bigint] || steps, lambda x, y: greatest(x + y, 0)) as n from l where list_reduce([0::bigint] || steps, lambda x, y: greatest(x + y, 0)) > 0""")
+def _(spark, sf_dir):
+    """Inserts, updates that move a row to another sync and type, and deletions, as a trigger on the table would count them."""
+    d = table(spark, sf_dir, "documents")
+    inserts = d.selectExpr("'INSERT' as op", "doc_id % 10 as sync_id", "source as entity_type", "cast(null as bigint) as old_sync_id", "cast(null as string) as old_entity_type", "doc_id * 4 as seq")
+    moves = d.where("doc_id % 2 = 0").selectExpr("'UPDATE' as op", "(doc_id + 1) % 10 as sync_id", "if(doc_id % 5 = 0, null, lang) as entity_type", "doc_id % 10 as old_sync_id", "source as old_entity_type", "doc_id * 4 + 1 as seq")
+    gone = d.where("doc_id % 6 = 0").selectExpr("'DELETE' as op", "cast(null as bigint) as sync_id", "cast(null as string) as entity_type", "(doc_id + 1) % 10 as old_sync_id", "lang as old_entity_type", "doc_id * 4 + 2 as seq")
+    none = spark.createDataFrame([], "sync_id bigint, entity_type string, n bigint")
+    return counts.counts_after(none, counts.steps_of(inserts.unionByName(moves).unionByName(gone)))
 
 
 @reg("a10_action_counts", f"with {BOTH} select entity_type, count_if(action = 'INSERT') as insert, count_if(action = 'UPDATE') as update, count_if(action = 'KEEP') as keep, count_if(action = 'DELETE') as delete from chg group by entity_type")

@@ -61,11 +61,6 @@ class Progress(StreamingQueryListener):
             self.snapshot(self.rows)
 
 
-def running_counts(changes: DataFrame) -> DataFrame:
-    """Entities per sync and type from changes with +1 and -1."""
-    return changes.groupBy("sync_id", "entity_type").agg(F.greatest(F.sum("delta"), F.lit(0)).alias("n"))
-
-
 def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts and sums by tumbling window and type, with late rows allowed for."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
