@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import chunking, text
 from ..operators import rows as projections
 from .. import model
 from .base import IDX, Register, index, table
@@ -177,3 +177,20 @@ def _(spark, sf_dir):
     base = index(spark, sf_dir).select("entity_id", F.lit("base_entity").alias("schema_name"))
     web = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("entity_id"), F.lit("web_entity").alias("schema_name"), F.col("url").alias("crawl_url"))
     return model.unioned(base, web).groupBy("schema_name").agg(F.count(F.lit(1)).alias("n"), F.count("crawl_url").alias("urls"))
+
+
+@reg("c14_topic_chunks", "select doc_id, sha256(text) as whole_sha256, true as fits, text = '' as none from documents")
+def _(spark, sf_dir):
+    """Every document cut where its topic changes: the chunks joined are the text, and none is over the limit."""
+    chunks = chunking.topic_chunks(F.col("text"), 300, 600)
+    found = table(spark, sf_dir, "documents").select("doc_id", chunks.alias("c"))
+    fits = F.coalesce(F.forall("c", lambda x: F.size(text.tokens(x)) <= 600), F.col("c").isNull().cast("boolean"))
+    return found.select("doc_id", F.sha2(F.array_join("c", ""), 256).alias("whole_sha256"), fits.alias("fits"), (F.size("c") == 0).alias("none"))
+
+
+@reg("c16_structure_chunks", "select page_id, sha256(html) as whole_sha256, true as fits from pages")
+def _(spark, sf_dir):
+    """Every page's source in chunks by its structure, as code of the family with slashes."""
+    found = table(spark, sf_dir, "pages").select("page_id", chunking.structure_chunks(F.col("html"), "html", 200, 400).alias("c"))
+    fits = F.coalesce(F.forall("c", lambda x: F.size(text.tokens(x)) <= 400), F.col("c").isNull().cast("boolean"))
+    return found.select("page_id", F.sha2(F.array_join("c", ""), 256).alias("whole_sha256"), fits.alias("fits"))
