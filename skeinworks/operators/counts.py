@@ -91,7 +91,7 @@ class RunningCounts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n = self.count.get()[0] if self.count.exists() else 0
         parts = [(p["seq"].to_numpy(np.int64), p["delta"].to_numpy(np.int64)) for p in rows]
         seq, delta = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
