@@ -46,17 +46,18 @@ BOILERPLATE = [
 #: Characters that may stand last in a line that ends a sentence: full stops, question and exclamation marks of
 #: Latin, Armenian, Arabic, Indic, Ethiopic, Burmese, Khmer, Thai and East Asian writing, colons, quotation marks and brackets.
 ENDS = ".!?…‼⁇⁈⁉։؟۔।॥။።፧៕๚。！？｡:;؛\"'”’»」』)]）］》〉"
-#: A sentence end inside a long line, for texts without line breaks that were cut at their end.
+#: A sentence end inside a line. A line without an end is finished all the same if sentences fill it but for a tail of less than half of
+#: it: texts without line breaks may be cut at their end.
 INNER_END = "(?:[.!?…‼⁇⁈⁉։؟۔।॥။።፧][\"'”’»)]? |[。！？｡៕])"
-LONG_LINE_CHARS = 300
+_TAIL = f"(?s)^.*{INNER_END}"
 #: Bars, arrows and bullets between entries of a menu: this many make a line a menu.
 MENU = "|»›·•>"
 MENU_MARKS = 3
 MENU_LINE = f"(?:[{MENU}][^{MENU}]*){{{MENU_MARKS}}}"
 #: Guillemets around a quotation are no marks of a menu, in either direction; what they enclose is judged.
 QUOTED = "«([^«»]*)»|»([^«»]*)«|‹([^‹›]*)›|›([^‹›]*)‹"
-#: Lines of LONG_LINE_CHARS or more, which may be whole texts, are judged by share: a menu has a mark for so many
-#: characters at least, and in furniture the phrases are more than one character in so many.
+#: Lines of any length, which may be whole texts, are judged by share: a menu has a mark for so many characters at least, and in
+#: furniture the phrases are more than one character in so many.
 MENU_ENTRY_CHARS = 30
 FURNITURE_PART = 10
 #: Characters that the measure n_symbols counts; a line with more than one in SYMBOL_PART is debris of mark-up.
@@ -73,19 +74,18 @@ def line_fails(line: Column, phrases: Sequence[str] = BOILERPLATE) -> Column:
     """True if any of the rules removes the line; a blank line never fails. phrases: of furniture, in lower case."""
     end = F.rtrim(line, F.lit(SPACES))
     length = F.length(F.ltrim(end, F.lit(SPACES)))
-    unfinished = ~F.contains(F.lit(ENDS), F.right(end, F.lit(1))) & ~((length >= LONG_LINE_CHARS) & end.rlike(INNER_END))
+    unfinished = ~F.contains(F.lit(ENDS), F.right(end, F.lit(1))) & (2 * F.length(F.regexp_replace(end, _TAIL, "")) > length)
     # Most lines have no symbol, and only the first test is made for them.
     debris = end.rlike(f"[{SYMBOLS}]") & (SYMBOL_PART * (F.length(end) - F.length(F.regexp_replace(end, f"[{SYMBOLS}]+", ""))) > length)
-    long = length >= LONG_LINE_CHARS
     bare = F.regexp_replace(end, QUOTED, "$1$2$3$4")
     # Most lines have no three marks, and only the first test is made for them.
-    menu = end.rlike(MENU_LINE) & bare.rlike(MENU_LINE) & (~long | (MENU_ENTRY_CHARS * (F.length(bare) - F.length(F.regexp_replace(bare, f"[{MENU}]+", ""))) > length))
+    menu = end.rlike(MENU_LINE) & bare.rlike(MENU_LINE) & (MENU_ENTRY_CHARS * (F.length(bare) - F.length(F.regexp_replace(bare, f"[{MENU}]+", ""))) > length)
     low = F.lower(line)
     furniture = F.lit(False)
     for phrase in phrases:
         furniture = furniture | low.contains(phrase)
     if phrases:
-        furniture = furniture & (~long | (FURNITURE_PART * (F.length(low) - F.length(F.regexp_replace(low, "|".join(map(re.escape, phrases)), ""))) > length))
+        furniture = furniture & (FURNITURE_PART * (F.length(low) - F.length(F.regexp_replace(low, "|".join(map(re.escape, phrases)), ""))) > length)
     return (end != "") & (unfinished | debris | menu | furniture)
 
 
@@ -140,11 +140,11 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _Q, _INNER = ENDS.replace("'", "''"), INNER_END.replace("'", "''")
 _BARE = f"regexp_replace(b, '{QUOTED}', '\\1\\2\\3\\4', 'g')"
 _FAILS = f"""(b <> '' and (
-  (not contains('{_Q}', right(b, 1)) and not (length(b) >= {LONG_LINE_CHARS} and regexp_matches(b, '{_INNER}')))
+  (not contains('{_Q}', right(b, 1)) and 2 * length(regexp_replace(b, '(?s)^.*{_INNER}', '')) > length(b))
   or {SYMBOL_PART} * (length(b) - length(translate(b, '{SYMBOLS}', ''))) > length(b)
-  or (regexp_matches({_BARE}, '{MENU_LINE}') and (length(b) < {LONG_LINE_CHARS} or {MENU_ENTRY_CHARS} * (length({_BARE}) - length(translate({_BARE}, '{MENU}', ''))) > length(b)))
+  or (regexp_matches({_BARE}, '{MENU_LINE}') and {MENU_ENTRY_CHARS} * (length({_BARE}) - length(translate({_BARE}, '{MENU}', ''))) > length(b))
   or (({" or ".join(f"contains(lower(l), '{x}')" for x in BOILERPLATE)})
-    and (length(b) < {LONG_LINE_CHARS} or {FURNITURE_PART} * (length(lower(l)) - length(regexp_replace(lower(l), '{"|".join(BOILERPLATE)}', '', 'g'))) > length(b)))))"""
+    and {FURNITURE_PART} * (length(lower(l)) - length(regexp_replace(lower(l), '{"|".join(BOILERPLATE)}', '', 'g'))) > length(b))))"""
 
 OP7_SQL = f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),

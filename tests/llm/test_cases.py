@@ -447,6 +447,19 @@ def test_line_cases(spark, docs, wide, empty):
     assert [got[i].n_removed_lines for i in (1, 2, 3, 4, 5)] == [0, 1, 9, 1, 6] and got[2].clean_text == good
 
 
+def test_one_rule_for_lines_of_any_length(spark):
+    """A line's verdict depends on shares, so one more character changes nothing but at the share itself."""
+    def fails(lines):
+        df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, x string")
+        return [r.f for r in df.select("k", line_quality.line_fails(F.col("x")).alias("f")).orderBy("k").collect()]
+
+    for n in (298, 299, 300, 301):
+        sentence = ("words " * 100)[: n - 1].rstrip() + "."
+        assert fails([sentence, sentence[:20] + " privacy policy " + sentence[36:], "a | b | c | " + sentence[12:]]) == [False, False, False]
+    assert fails(["Read our privacy policy.", "a | b | c | d."]) == [True, True]
+    assert fails(["One sentence is here. And a tail", "Short. But a tail that is longer than all before it", "no end"]) == [False, True, True]
+
+
 def test_long_lines_are_judged_by_share(spark):
     body, tail = prose(150, 400) + ".", " " + prose(150, 401) + "."
     menu = " | ".join(f"Entry{i} of menu" for i in range(60)) + "."
