@@ -16,8 +16,9 @@ Work per group stays linear where groups are tight:
    from a common source by edits of their own have short prefixes, or none. Pairs of different components
    that meet in a prefix, and whose places in it leave room for enough others, are confirmed.
 
-So no link between two texts that share a bucket is lost; with 32 bands of four values a pair at the
-threshold of 0.8 shares no bucket with probability (1 - 0.8**4)**32 = 5e-8.
+A link is lost in two ways only, both rare: with 32 bands of four values a pair at the threshold of 0.8 shares no
+bucket with probability (1 - 0.8**4)**32 = 5e-8, and its signatures agree in fewer than LEAST_AGREEING of 128
+values, below which a candidate is not confirmed, with probability 9e-09 (as for independent values).
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; a text of
 fewer words than a shingle is one shingle; a row with a null id is a component of its own with a null
