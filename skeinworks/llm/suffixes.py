@@ -19,7 +19,8 @@ with one anchor travel as one segment of at most 144 bytes, and only if their an
   anchor with very many segments is dealt by the windows themselves.
 - Each task sorts the suffixes of the segments of its anchors and finds the smallest document of every window. (An anchor
   with one segment in the whole corpus has nothing to be compared with: its windows' smallest document is the segment's.)
-- What the segments of a block learn comes back to it. Repeats inside one document are found there, by the same order.
+- What the segments of a block learn comes back to it. Repeats inside one document are found there, by the same order, among windows
+  that have an anchor and a hash in common with another one of their document.
 
 All comparisons that decide are of bytes; a segment meets its answer by two 64-bit hashes at once.
 
@@ -310,16 +311,50 @@ class Block:
     def segment(self, k: int) -> bytes:
         return self.raw[self.start[k] : self.start[k] + self.count[k] + self.length - 1]
 
-    def alone(self, pick: np.ndarray) -> Block:
-        """The windows of some stretches, each as a stretch and its own anchor."""
+    def _with(self, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> Block:
         out = object.__new__(Block)
         out.length, out.ids, out.texts, out.begin, out.raw = self.length, self.ids, self.texts, self.begin, self.raw
+        out.start, out.count, out.anchor, out.doc = start, count, anchor, doc
+        return out
+
+    def recurring(self) -> Block:
+        """The stretches that may repeat something of their own document, by document and anchor: those whose anchor is there twice, and of them
+        the windows whose hash is there twice. Equal windows have equal anchors and hashes, so none is left out."""
+        order = np.lexsort((self.start, self.anchor, self.doc))
+        doc, anchor = self.doc[order], self.anchor[order]
+        pick = order[_doubled((doc[1:] == doc[:-1]) & (anchor[1:] == anchor[:-1]), len(order))]
+        count = self.count[pick]
+        of = np.repeat(np.arange(len(pick)), count)
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + self.start[pick][of]
+        if not len(place):
+            return self._with(place, place, self.anchor[:0], place)
+        raw = as_array(self.raw)
+        whole = np.concatenate([grams(raw[a : a + _STRETCH + self.length - 1], self.length) for a in range(0, len(raw) - self.length + 1, _STRETCH)])
+        key = mix(whole[place] ^ mix(self.doc[pick][of].astype(np.uint64)))
+        by_key = np.argsort(key, kind="stable")
+        again = np.zeros(len(key), bool)
+        again[by_key[_doubled(key[by_key][1:] == key[by_key][:-1], len(key))]] = True
+        place, of = place[again], of[again]
+        first = np.ones(len(place), bool)
+        first[1:] = (np.diff(place) != 1) | (np.diff(of) != 0)
+        at = np.flatnonzero(first)
+        return self._with(place[at], np.diff(np.append(at, len(place))), self.anchor[pick][of[at]], self.doc[pick][of[at]])
+
+    def alone(self, pick: np.ndarray) -> Block:
+        """The windows of some stretches, each as a stretch and its own anchor."""
         count = self.count[pick]
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        out.start, out.doc = np.repeat(self.start[pick], count) + step, np.repeat(self.doc[pick], count)
-        out.count = np.ones(len(step), np.int64)
-        out.anchor = np.array([xxhash.xxh3_64_intdigest(self.raw[s : s + self.length]) for s in out.start.tolist()], np.uint64)
-        return out
+        start = np.repeat(self.start[pick], count) + step
+        anchor = np.array([xxhash.xxh3_64_intdigest(self.raw[s : s + self.length]) for s in start.tolist()], np.uint64)
+        return self._with(start, np.ones(len(step), np.int64), anchor, np.repeat(self.doc[pick], count))
+
+
+def _doubled(same: np.ndarray, n: int) -> np.ndarray:
+    """Which of n sorted values have an equal neighbour; `same` compares each with the one before."""
+    out = np.zeros(n, bool)
+    out[1:] |= same
+    out[:-1] |= same
+    return out
 
 
 def _seal(segment: bytes) -> int:
@@ -369,9 +404,9 @@ def _compared(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield settled(some)
 
 
-def repeats_inside(block: Block, pick: np.ndarray) -> list[tuple[int, int]]:
-    """Runs (from, to) of places of windows that also start earlier in their document; `pick` are the stretches whose anchor is
-    in their document twice, by document and anchor."""
+def repeats_inside(block: Block) -> list[tuple[int, int]]:
+    """Runs (from, to) of places of windows that also start earlier in their document."""
+    block = block.recurring()
     out: list[tuple[int, int]] = []
 
     def compared(some: list[tuple[bytes, int, int]]) -> None:
@@ -383,22 +418,26 @@ def repeats_inside(block: Block, pick: np.ndarray) -> list[tuple[int, int]]:
         out.extend((x, x + 1) for x in place[order][again].tolist())
 
     group: list[tuple[bytes, int, int]] = []
+    own: list[tuple[bytes, int, int]] = []  # of one document and anchor, each segment once
     size, last = 0, None
     seen: set[bytes] = set()
-    columns = (block.doc[pick], block.anchor[pick], block.start[pick], block.count[pick])
+    columns = (block.doc, block.anchor, block.start, block.count)
     for doc, anchor, start, count in zip(*(c.tolist() for c in columns), strict=True):
         if (doc, anchor) != last:
-            seen, last = set(), (doc, anchor)
-            if size >= SORTED_BYTES:
-                compared(group)
-                group, size = [], 0
+            if len(own) > 1:  # one segment has nothing to be compared with
+                group += own
+                size += sum(len(x[0]) for x in own)
+                if size >= SORTED_BYTES:
+                    compared(group)
+                    group, size = [], 0
+            own, seen, last = [], set(), (doc, anchor)
         segment = block.raw[start : start + count + block.length - 1]
         if segment in seen:
             out.append((start, start + count))
             continue
         seen.add(segment)
-        group.append((segment, start, doc))
-        size += len(segment)
+        own.append((segment, start, doc))
+    group += own if len(own) > 1 else []
     if group:
         compared(group)
     return out
@@ -432,13 +471,7 @@ def removed_bytes(block: Block, hot: np.ndarray, told: dict[tuple[int, int], tup
             for a, b, least in zip(found[0], [*found[0][1:], count], found[1], strict=True):
                 if least < own:
                     runs.append((start + a, start + b))
-    order = np.lexsort((block.start, block.anchor, block.doc))
-    doc, anchor = block.doc[order], block.anchor[order]
-    same = (doc[1:] == doc[:-1]) & (anchor[1:] == anchor[:-1])
-    twice = np.zeros(len(order), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    runs += repeats_inside(block, order[twice])
+    runs += repeats_inside(block)
     steps = np.zeros(len(block.raw) + 1, np.int32)
     at = np.array(runs, np.int64).reshape(-1, 2)
     np.add.at(steps, at[:, 0], 1)
