@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,23 +19,25 @@ BATCH_TEXTS = 100
 
 
 def hashing(rows: DataFrame, text: str, dimensions: int = 64) -> DataFrame:
-    """rows with `dense_embedding`: signed hashes of its distinct terms summed by bucket and put to length one, natively.
+    """rows with `dense_embedding`: signed hashes of its distinct terms summed by slot and put to length one.
 
-    A text without terms has a null vector.
+    Terms become signed slots natively; the slots of a batch of texts are summed together. A text without terms has a null vector.
     """
-    found = F.array_distinct(search.terms(F.col(text)))
-    slot = F.transform(found, lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int"))
-    sign = F.transform(found, lambda t: F.when(F.xxhash64(t, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0))
-    pairs = F.zip_with(slot, sign, lambda i, s: F.struct(i.alias("i"), s.alias("s")))
-    zero = F.array_repeat(F.lit(0.0), dimensions)
-
-    def add(acc: Column, p: Column) -> Column:
-        return F.transform(acc, lambda x, i: F.when(i == p["i"], x + p["s"]).otherwise(x))
-
-    raw = F.aggregate(pairs, zero, add)
-    norm = F.sqrt(F.aggregate(F.col("_raw"), F.lit(0.0), lambda s, x: s + x * x))
-    out = rows.withColumn("_raw", raw)
-    return out.withColumn("dense_embedding", F.when(norm > 0, F.transform("_raw", lambda x: x / norm))).drop("_raw")
+
+    def signed(term: Column) -> Column:
+        slot = F.pmod(F.xxhash64(term), F.lit(dimensions)).cast("int") + 1
+        return F.when(F.xxhash64(term, F.lit(1)) % 2 == 0, slot).otherwise(-slot)
+
+    @F.arrow_udf("array<double>")
+    def summed(slots: pa.Array) -> pa.Array:
+        flat = slots.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.repeat(np.arange(len(slots)), pa.compute.list_value_length(slots).fill_null(0).to_numpy(zero_copy_only=False))
+        total = np.zeros((len(slots), dimensions))
+        np.add.at(total, (of, np.abs(flat) - 1), np.sign(flat))
+        norm = np.sqrt((total * total).sum(axis=1))
+        return pa.array([v / n if n > 0 else None for v, n in zip(total, norm, strict=True)], pa.list_(pa.float64()))
+
+    return rows.withColumn("dense_embedding", summed(F.transform(F.array_distinct(search.terms(F.col(text))), signed)))
 
 
 def with_model(rows: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], dimensions: int) -> DataFrame:
