@@ -73,7 +73,7 @@ class Act:
     argument: object = None
 
 
-def converse(index: DataFrame, model: Callable[[str, State], Act | None], query: str, terms: DataFrame | None = None, column: str = "textual_representation") -> DataFrame:
+def converse(index: DataFrame, model: Callable[[str, State], Act | None], query: str, stores: search.Stores | None = None, column: str = "textual_representation") -> DataFrame:
     """(entity_id, rank) of the rows collected in at most MOST_TURNS turns, best scores first.
 
     A model that calls no tool is reminded, and stopped after MOST_NUDGES such turns; one that collects nothing for STAGNATION
@@ -90,7 +90,7 @@ def converse(index: DataFrame, model: Callable[[str, State], Act | None], query:
             continue
         silent, before = 0, len(state.collected)
         if act.tool == "search":
-            found = search.run(act.argument, index, terms=terms).collect()
+            found = search.run(act.argument, index, stores=stores).collect()
             for r in found:
                 state.seen[r["entity_id"]] = max(r["score"], state.seen.get(r["entity_id"], r["score"]))
             state.notes.append("found " + ", ".join(r["entity_id"] for r in found))
