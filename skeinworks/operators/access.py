@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +68,77 @@ def expanded(memberships: DataFrame, most_depth: int | None = None) -> DataFrame
     return reached
 
 
+class ClosureChange(NamedTuple):
+    """What a change of memberships does to stored (member_id, group_id) pairs."""
+
+    removed: DataFrame
+    added: DataFrame
+    examined: int  # pairs in doubt and pairs found, which is what the change cost
+
+
+_PAIR = ["member_id", "group_id"]
+
+
+def _direct(edges: DataFrame) -> DataFrame:
+    return edges.where("member_type = 'user'").select(*_PAIR)
+
+
+def _nested(edges: DataFrame) -> DataFrame:
+    return edges.where("member_type = 'group'").select(F.col("member_id").alias("group_id"), F.col("group_id").alias("parent"))
+
+
+def _up(pairs: DataFrame, nested: DataFrame) -> DataFrame:
+    """Pairs one level above."""
+    return pairs.join(nested, "group_id").select("member_id", F.col("parent").alias("group_id")).distinct()
+
+
+def closure_change(memberships: DataFrame, closure: DataFrame, removed: DataFrame, added: DataFrame) -> ClosureChange:
+    """Pairs that leave and enter the closure of memberships when some rows are removed and others added.
+
+    memberships, removed, added: member_id, member_type, group_id; closure: the pairs of `expanded(memberships)`. A row
+    removed and added stays; one removed that is not there, or added that is, changes nothing. First every pair with a way over a
+    removed row is put in doubt. Then those are found again to which the memberships afterwards still lead, with all that the
+    added rows lead to. Each level moves only what the level before touched: the closure is joined with it, never found
+    anew. Cycles end at what was seen.
+    """
+    keys = ["member_id", "member_type", "group_id"]
+    edges = [df.where("member_id is not null and group_id is not null").select(*keys).distinct() for df in (memberships, removed, added)]
+    before = stored(edges[0])
+    gone = stored(edges[1].join(edges[2], keys, "left_anti").join(before, keys, "left_semi"))
+    new = stored(edges[2].join(before, keys, "left_anti"))
+    after = stored(before.join(gone, keys, "left_anti").unionByName(new))
+    held, nested = closure.select(*_PAIR), _nested(after)
+
+    front = stored(_direct(gone).unionByName(_up(held, _nested(gone))).distinct())
+    doubted, examined = front, (n := front.count())
+    while n:
+        front = stored(_up(front, _nested(before)).join(doubted, _PAIR, "left_anti"))
+        doubted, examined = doubted.unionByName(front), examined + (n := front.count())
+
+    def unsettled(pairs: DataFrame) -> DataFrame:
+        """Those that are not held beyond doubt."""
+        return pairs.join(held, _PAIR, "left_anti").unionByName(pairs.join(doubted, _PAIR, "left_semi"))
+
+    # Ways to a pair in doubt from outside: a direct membership, or a group inside that group that its user holds beyond doubt.
+    inside = doubted.join(nested.select(F.col("group_id").alias("child"), F.col("parent").alias("group_id")), "group_id")
+    inside = inside.select("member_id", F.col("child").alias("group_id"), F.col("group_id").alias("parent"))
+    kept = inside.join(held, _PAIR, "left_semi").join(doubted, _PAIR, "left_anti").select("member_id", F.col("parent").alias("group_id"))
+    again = kept.unionByName(doubted.join(_direct(after), _PAIR, "left_semi"))
+    sources = held.join(_nested(new).select("group_id").distinct(), "group_id", "left_semi").select(*_PAIR).join(doubted, _PAIR, "left_anti")
+    reached = _direct(new).unionByName(_up(sources, _nested(new)))
+    front = stored(unsettled(again.unionByName(reached).distinct()))
+    found, examined = front, examined + (n := front.count())
+    while n:
+        front = stored(unsettled(_up(front, nested)).join(found, _PAIR, "left_anti"))
+        found, examined = found.unionByName(front), examined + (n := front.count())
+    return ClosureChange(doubted.join(found, _PAIR, "left_anti"), found.join(doubted, _PAIR, "left_anti"), examined)
+
+
+def closure_after(closure: DataFrame, change: ClosureChange) -> DataFrame:
+    """The pairs of the closure after a change."""
+    return closure.select(*_PAIR).join(change.removed, _PAIR, "left_anti").unionByName(change.added)
+
+
 def principals(groups: DataFrame) -> DataFrame:
     """(member_id, principals): `user:x` and one `group:y` for each group."""
     out = groups.groupBy("member_id").agg(F.collect_set(F.concat(F.lit("group:"), "group_id")).alias("g"))
