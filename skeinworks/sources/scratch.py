@@ -59,3 +59,23 @@ def delete(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a pattern of the file system; none is no error."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path)
+    return [str(x.getPath()) for x in found or []]
+
+
+def create_text(spark: SparkSession, path: str, value: str) -> None:
+    """A small file with value, unless there is one already: it comes whole under its name, and the first writer's stays."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    target, draft = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    if fs.exists(target):
+        return
+    out = fs.create(draft)
+    out.write(bytearray(value.encode()))
+    out.close()
+    if not fs.rename(draft, target):
+        fs.delete(draft, False)

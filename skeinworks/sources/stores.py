@@ -13,36 +13,62 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .scratch import exists, stored
+from .scratch import create_text, exists, matching, stored
+
+
+# Raw store: JSON rows under raw/<sync>/entities, a folder a job and, inside it, a folder a bucket of entity ids. Nothing is changed in
+# place: a row written later replaces earlier ones of its entity, and a deletion is a row of its own, until `compact_raw` writes the
+# newest rows anew. raw/<sync>/buckets holds the number of buckets, which is settled by the first write.
+RAW_BUCKETS = 32
 
 
-# Raw store: JSON rows under raw/<sync>/entities, a folder a job. Nothing is changed in place: a row written later replaces
-# earlier ones of its entity, and a deletion is a row of its own, until `compact_raw` writes the newest rows anew.
 def _now() -> Column:
     """Microseconds since 1970: one time for all rows of a write."""
     return F.unix_micros(F.current_timestamp())
 
 
-def write_raw(rows: DataFrame, root: str, sync_id: str, job_id: str) -> None:
-    """Rows become the newest versions of their entities."""
+def raw_buckets(spark: SparkSession, root: str, sync_id: str, wanted: int | None = None) -> int:
+    """Number of buckets of a sync's raw store; wanted settles it where nothing is stored yet (of two first writers, one does)."""
+    path = f"{root}/raw/{sync_id}/buckets"
+    if wanted is not None:
+        create_text(spark, path, str(wanted))
+    return int(spark.read.text(path).first()[0])
+
+
+def _bucket(entity_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(entity_id), F.lit(buckets)).cast("int")
+
+
+def _append_raw(rows: DataFrame, root: str, sync_id: str, job_id: str, buckets: int) -> None:
+    """A bucket goes to as few files as its size allows."""
+    buckets = raw_buckets(rows.sparkSession, root, sync_id, buckets)
+    dealt = rows.withColumn("bucket", _bucket(F.col("entity_id"), buckets)).hint("rebalance", "bucket")
+    dealt.write.mode("append").partitionBy("bucket").json(f"{root}/raw/{sync_id}/entities/job={job_id}")
+
+
+def write_raw(rows: DataFrame, root: str, sync_id: str, job_id: str, buckets: int = RAW_BUCKETS) -> None:
+    """Rows become the newest versions of their entities. buckets matters to the first write of a sync only."""
     stamped = rows.withColumns({"sync_job_id": F.lit(job_id), "stored_at": _now(), "deleted": F.lit(False)})
-    stamped.write.mode("append").json(f"{root}/raw/{sync_id}/entities/job={job_id}")
+    _append_raw(stamped, root, sync_id, job_id, buckets)
 
 
-def delete_raw(ids: DataFrame, root: str, sync_id: str, job_id: str) -> None:
+def delete_raw(ids: DataFrame, root: str, sync_id: str, job_id: str, buckets: int = RAW_BUCKETS) -> None:
     """The entities (entity_id) are gone from now on; a later write brings one back."""
     stamped = ids.select("entity_id").distinct().withColumns({"sync_job_id": F.lit(job_id), "stored_at": _now(), "deleted": F.lit(True)})
-    stamped.write.mode("append").json(f"{root}/raw/{sync_id}/entities/job={job_id}")
+    _append_raw(stamped, root, sync_id, job_id, buckets)
 
 
-def read_raw(spark: SparkSession, root: str, sync_id: str, schema: T.StructType) -> DataFrame:
-    """Newest version of each stored entity that is not deleted; of versions of one moment, that of the larger job id."""
-    rows = spark.read.schema(schema).json(f"{root}/raw/{sync_id}/entities")
-    rest = [c for c in rows.columns if c != "entity_id"]
+def _newest(rows: DataFrame) -> DataFrame:
+    rest = [c for c in rows.columns if c not in ("entity_id", "job", "bucket")]
     newest = rows.groupBy("entity_id").agg(F.max_by(F.struct(*rest), F.struct("stored_at", "deleted", "sync_job_id")).alias("_r"))
     return newest.select("entity_id", "_r.*").where(~F.coalesce("deleted", F.lit(False))).drop("deleted")
 
 
+def read_raw(spark: SparkSession, root: str, sync_id: str, schema: T.StructType) -> DataFrame:
+    """Newest version of each stored entity that is not deleted; of versions of one moment, that of the larger job id."""
+    return _newest(spark.read.schema(schema).json(f"{root}/raw/{sync_id}/entities"))
+
+
 def raw_schema(schema: T.StructType) -> T.StructType:
     """Schema of stored rows: the entity's, its job, when it was stored, and whether the row is a deletion."""
     have = {f.name for f in schema.fields}
@@ -50,14 +76,25 @@ def raw_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, *more])
 
 
-def compact_raw(spark: SparkSession, root: str, sync_id: str, schema: T.StructType, target: str) -> None:
-    """The raw store of a sync with the newest versions only, under another root."""
-    read_raw(spark, root, sync_id, schema).withColumn("deleted", F.lit(False)).write.json(f"{target}/raw/{sync_id}/entities/job=compacted")
+def compact_raw(spark: SparkSession, root: str, sync_id: str, schema: T.StructType, target: str, buckets: int | None = None) -> None:
+    """The raw store of a sync with the newest versions only, under another root; buckets may change on the way."""
+    rows = read_raw(spark, root, sync_id, schema).withColumn("deleted", F.lit(False))
+    _append_raw(rows, target, sync_id, "compacted", buckets or raw_buckets(spark, root, sync_id))
+
+
+def raw_rows_of(spark: SparkSession, root: str, sync_id: str, schema: T.StructType, entity_id: str) -> DataFrame:
+    """All stored versions of one entity; only the files of its bucket are listed and opened."""
+    bucket = spark.range(1).select(_bucket(F.lit(entity_id), raw_buckets(spark, root, sync_id))).first()[0]
+    folder = f"{root}/raw/{sync_id}/entities"
+    # A bucket that no job has written has no folder, and the store may hold no job at all.
+    paths = matching(spark, f"{folder}/job=*/bucket={bucket}")
+    rows = spark.read.schema(schema).option("basePath", folder).json(paths) if paths else spark.createDataFrame([], schema)
+    return rows.where(F.col("entity_id") == entity_id)
 
 
 def raw_entity(spark: SparkSession, root: str, sync_id: str, schema: T.StructType, entity_id: str) -> DataFrame:
     """One entity, or no row if it is not stored."""
-    return read_raw(spark, root, sync_id, schema).where(F.col("entity_id") == entity_id)
+    return _newest(raw_rows_of(spark, root, sync_id, schema, entity_id))
 
 
 def snapshot(rows: DataFrame, prefix: str = "snapshot:") -> DataFrame:

@@ -32,6 +32,25 @@ def test_newest_raw_version_is_the_last_written(spark, tmp_path):
     assert stores.raw_entity(spark, str(tmp_path), "s", schema, "a").first().text == "back"
 
 
+def test_one_raw_entity_opens_its_bucket_only(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.range(400).selectExpr("concat('e', id) as entity_id", "concat('old ', id) as text")
+    schema = stores.raw_schema(rows.schema)
+    stores.write_raw(rows, root, "s", "job1", buckets=8)
+    stores.write_raw(rows.where("entity_id like '%7'").withColumn("text", F.lit("new")), root, "s", "job2", buckets=99)
+    stores.delete_raw(rows.where("entity_id = 'e17'"), root, "s", "job3")
+    assert stores.raw_buckets(spark, root, "s") == 8
+    whole = {r.entity_id: r.text for r in stores.read_raw(spark, root, "s", schema).collect()}
+    for one in ("e7", "e8", "e17", "e399", "absent"):
+        assert {r.entity_id: r.text for r in stores.raw_entity(spark, root, "s", schema, one).collect()} == {k: v for k, v in whole.items() if k == one}
+    every = scratch.matching(spark, f"{root}/raw/s/entities/job=*/bucket=*/*.json")
+    opened = stores.raw_rows_of(spark, root, "s", schema, "e7").inputFiles()
+    assert len({f.split("bucket=")[1].split("/")[0] for f in opened}) == 1 and 0 < len(opened) <= len(every) / 4
+    target = str(tmp_path / "compact")
+    stores.compact_raw(spark, root, "s", schema, target, buckets=4)
+    assert stores.raw_buckets(spark, target, "s") == 4 and stores.raw_entity(spark, target, "s", schema, "e7").first().text == "new"
+
+
 def test_index_refuses_rows_without_an_id_and_counts_what_arrives(spark, tmp_path):
     rows = spark.createDataFrame([("c", "s", "e1"), ("c", "s", None)], "collection_id string, schema_name string, entity_id string")
     with pytest.raises(ValueError):
