@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import convert, scoring, text
+from ..functions import charset, convert, scoring, text
 from ..operators import embed, lookups, metadata, search
 from ..operators import rows as projections
 from ..sources import stores
@@ -142,6 +143,34 @@ def _decoded(d):
     return convert.convert_files(d).select("doc_id", "text")
 
 
+#: Charsets that hold all letters of the documents.
+_WRITTEN = ("cp1252", "cp850", "mac_roman", "utf_16_le", "utf_16_be", "utf_8", "iso8859_15", "gb18030")
+
+
+def written_in(texts, charsets=_WRITTEN):
+    """(doc_id, charset, content): each text in a charset by its id; in UTF-8 where that one lacks a character."""
+
+    @F.pandas_udf("binary")
+    def encode(found: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for t, name in zip(found, names, strict=True):
+            try:
+                out.append(t.encode(name))
+            except UnicodeEncodeError:
+                out.append(t.encode())
+        return pd.Series(out, dtype=object)
+
+    name = F.element_at(F.array(*map(F.lit, charsets)), (F.col("doc_id") % len(charsets) + 1).cast("int"))
+    return texts.where("text is not null").select("doc_id", encode("text", name).alias("content"))
+
+
+@reg("c07_charsets", "select doc_id, text from documents where text is not null")
+def _(spark, sf_dir):
+    """All texts, written in eight charsets, come back by what the corpus's pairs of characters are."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return charset.decoded(written_in(texts), charset.learn(texts)).select("doc_id", "text")
+
+
 @reg("c08_json_fenced", "select event_id, '```json' || chr(10) || '{' || chr(10) || '  \"k\": ' || (props->>'$.k') || chr(10) || '}' || chr(10) || '```' as text from events where props is not null")
 def _(spark, sf_dir):
     return _fenced(table(spark, sf_dir, "events"))
