@@ -37,9 +37,9 @@ class Pairs(NamedTuple):
 
 
 def _folded(codes: np.ndarray) -> np.ndarray:
-    """Code points with A-Z lower-cased and all other ASCII but letters as a space."""
-    out = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
-    return np.where((codes < 128) & ((out < 97) | (out > 122)), 32, out)
+    """Code points with all ASCII but letters as a space. Case stays: between capitals a small letter is unlikely."""
+    lower = codes | 32
+    return np.where((codes < 128) & ((lower < 97) | (lower > 122)), 32, codes)
 
 
 def pair_counts(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -53,8 +53,7 @@ def pair_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     known = texts.where(F.col(column).isNotNull()).select(padded.alias("padded"))
     inside = known.select(F.explode(F.regexp_extract_all("padded", F.lit(run), F.lit(0))).alias("run")).select(F.explode(into).alias("p"))
     pairs = inside.unionByName(known.select(F.explode(F.regexp_extract_all("padded", F.lit(end), F.lit(0))).alias("p")))
-    lower = F.translate("p", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    folded = F.regexp_replace(lower, r"[\x00-`{-\x7F]", " ")
+    folded = F.regexp_replace("p", r"[\x00-@\[-`{-\x7F]", " ")
     counted = pairs.groupBy(folded.alias("p")).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.substr("p", F.lit(1), F.lit(1)).alias("a"), F.substr("p", F.lit(2), F.lit(1)).alias("b"), "n")
 
