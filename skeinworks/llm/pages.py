@@ -12,7 +12,7 @@ used. The model is small and goes out with the tasks; extraction is a function o
 
 Defined cases: a null or empty page, or one without main text, gives an empty text; broken or cut mark-up is
 read as far as it goes; a tag with an unclosed quote ends at its next `>`, one that the page breaks off in is no text; long
-mark-up of any kind is read in linear time; a head without its end tag ends where its content ends, an unclosed button, select,
+mark-up of any kind is read in linear time, its nodes take about 1 kB each while their page is read; a head without its end tag ends where its content ends, an unclosed button, select,
 object or svg at the next block; mark-up inside scripts, styles and comments is no text; repeated rows are read
 alike; an empty table gives an empty result; further columns are kept by `extract`, clashing names
 replaced.
@@ -24,11 +24,13 @@ import html as html_lib
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,9 @@ BUCKETS = 96
 #: Attribute values, tags and rows of them that a worker keeps, and the longest values kept; others are read anew.
 KEPT_VALUES = 10_000
 KEPT_VALUE_CHARS = 500
+#: Bytes of pages whose nodes are held together, and nodes whose features go through the trees at once.
+HELD_CHARS = 1 << 20
+NODES_AT_ONCE = 4096
 
 #: A tag whose quotes all close as values do, or what else begins with a bracket; never goes back over what it has read.
 _OPEN = re.compile(r"""<(/?[a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"(?=[ \t\n\r\f/>])|'[^']*+'(?=[ \t\n\r\f/>]))*+)>|<(?=[!?]|/?[a-zA-Z])""")
@@ -235,14 +240,14 @@ def _parsed(source: str, left_open: frozenset[int]) -> tuple[Page, frozenset[int
 
 @lru_cache(maxsize=KEPT_VALUES)
 def _tag_row(tag: str) -> np.ndarray:
-    return np.array([tag in g for g in _GROUPS], np.float32)
+    return np.array([tag in g for g in _GROUPS], bool)
 
 
 @lru_cache(maxsize=KEPT_VALUES)
 def _token_row(tokens: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(BUCKETS, np.float32)
+    out = np.zeros(BUCKETS, bool)
     for t in tokens:
-        out[zlib.crc32(t.encode()) % BUCKETS] = 1
+        out[zlib.crc32(t.encode()) % BUCKETS] = True
     return out
 
 
@@ -254,8 +259,26 @@ def _forget() -> None:
 on_leave("pages", _forget)
 
 
+@dataclass
+class Nodes:
+    """What the trees see of a page's nodes: yes or no in a byte each, numbers, and the characters of each node's own text."""
+
+    flags: list[np.ndarray]
+    numbers: np.ndarray
+    own: np.ndarray
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """A row of features for each of some nodes."""
+        return np.concatenate([*(x[at] for x in self.flags), self.numbers[at]], axis=1)
+
+
 def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     """(a row per node, characters of each node's own text)."""
+    nodes = described(page)
+    return nodes.rows(np.arange(len(nodes.own))), nodes.own
+
+
+def described(page: Page) -> Nodes:
     n = len(page.tags)
     parent = np.array(page.parents)
     end = np.array(page.ends)
@@ -301,8 +324,11 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     whole = max(chars[0], 1)
     siblings = np.maximum(kids[up], 1)
     parent_chars = np.maximum(chars[up], 1)
-    numbers = np.stack([np.log1p(own[:n]), np.log1p(chars), link_chars / np.maximum(chars, 1), size / np.maximum(chars, 1), marks_in / np.maximum(chars, 1), depth, first / siblings, np.log1p(siblings), alike / siblings, chars / parent_chars, chars / whole, link_chars[up] / parent_chars, kids, in_link.astype(float), sums[at] / whole], axis=1)
-    return np.concatenate([groups, above, marks, above_marks, numbers], axis=1).astype(np.float32), own[:n]
+    columns = (np.log1p(own[:n]), np.log1p(chars), link_chars / np.maximum(chars, 1), size / np.maximum(chars, 1), marks_in / np.maximum(chars, 1), depth, first / siblings, np.log1p(siblings), alike / siblings, chars / parent_chars, chars / whole, link_chars[up] / parent_chars, kids, in_link.astype(float), sums[at] / whole)
+    numbers = np.empty((n, len(columns)), np.float32)
+    for k, column in enumerate(columns):
+        numbers[:, k] = column
+    return Nodes([groups, above, marks, above_marks], numbers, own[:n])
 
 
 class Trees:
@@ -504,23 +530,62 @@ def render(page: Page, keep: np.ndarray) -> str:
     return "\n\n".join(x for x in clean if x)
 
 
+def odds_of(pages: list[Nodes], trees: Trees) -> list[np.ndarray]:
+    """Odds of all nodes that have text, those of small pages together and of large ones in parts; others have 0."""
+    out = [np.zeros(len(p.own)) for p in pages]
+    waiting: list[tuple[int, np.ndarray]] = []
+
+    def judge() -> None:
+        odds = trees.odds(np.concatenate([pages[k].rows(at) for k, at in waiting])) if waiting else []
+        begin = 0
+        for k, at in waiting:
+            out[k][at] = odds[begin : begin + len(at)]
+            begin += len(at)
+        waiting.clear()
+
+    for k, p in enumerate(pages):
+        with_text = np.flatnonzero(p.own > 0)
+        for a in range(0, len(with_text), NODES_AT_ONCE):
+            waiting.append((k, with_text[a : a + NODES_AT_ONCE]))
+            if sum(len(at) for _, at in waiting) >= NODES_AT_ONCE:
+                judge()
+    judge()
+    return out
+
+
+def main_texts(sources: list[str | None], trees: Trees) -> list[str]:
+    read_ = [parse(s) for s in sources]
+    nodes = [described(p) for p in read_]
+    return [render(p, chosen(p, x.own, odds)) for p, x, odds in zip(read_, nodes, odds_of(nodes, trees), strict=True)]
+
+
+def _held_together(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows that are at work at once: at most `HELD_CHARS` in all, but for a page that is longer by itself."""
+    begin, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and total + size > HELD_CHARS:
+            yield begin, i
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def extract(pages: DataFrame, model: Trees) -> DataFrame:
-    """pages with `text`, the main text of the whole html, and `n_chars`."""
+    """pages with `text`, the main text of the whole html, and `n_chars`.
+
+    A worker holds the nodes of `HELD_CHARS` of pages, or of one longer page, at a time.
+    """
     held = pages.sparkSession.sparkContext.broadcast((model.base, model.feature, model.cut, model.leaf))
 
-    @F.pandas_udf("string")
-    def run(sources: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(sources: pa.Array) -> pa.Array:
         enter("pages")
         trees, out = Trees(*held.value), []
-        for a in range(0, len(sources), 64):
-            read_ = [parse(s) for s in sources.iloc[a : a + 64]]
-            rows = [features(p) for p in read_]
-            odds = trees.odds(np.concatenate([x for x, _ in rows])) if rows else np.zeros(0)
-            at = 0
-            for page, (x, own) in zip(read_, rows, strict=True):
-                out.append(render(page, chosen(page, own, odds[at : at + len(x)])))
-                at += len(x)
-        return pd.Series(out, dtype=object)
+        sizes = pc.fill_null(pc.binary_length(sources), 0).to_numpy(zero_copy_only=False)
+        for a, b in _held_together(sizes):
+            out.append(pa.array(main_texts(sources.slice(a, b - a).to_pylist(), trees), pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return pages.drop("text", "n_chars").withColumn("text", run("html")).withColumn("n_chars", F.length("text").cast("long"))
 
