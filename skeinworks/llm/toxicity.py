@@ -7,7 +7,8 @@ them has not seen the row. The supplied labels hold one toxicity category; the r
 goes along with it, before it.
 
 Learning takes a bounded sample: at most `per_class` labelled documents with and as many without the last
-category, chosen by a hash of their id; the driver holds the numbers of their distinct words only. Prediction reads
+category, chosen by a hash of their id, with at most `SAMPLE_BYTES` of features (the numbers of distinct words) a class; very
+long labelled texts, of more than a 64th of that, are not learned from. Prediction reads
 every document once, holds nothing but the model, and shuffles nothing.
 
 Defined cases: a null or wordless text has the intercepts' probabilities; a document without a label of a category is
@@ -27,12 +28,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import enter, read, slices
 
 PER_CLASS = 2500
+#: Most bytes of packed features that are learned from in a class: 8 a distinct feature of a document.
+SAMPLE_BYTES = 128 << 20
 FOLDS = 3
 MIN_DOCUMENTS = 3
 THRESHOLD = 0.3
@@ -206,8 +209,12 @@ def quality_and_toxicity(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (1 - F.col("quality")).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, chain: Sequence[str], per_class: int) -> pd.DataFrame:
-    """Features and labels of the sampled documents, one row an id; at most 2 * per_class rows reach the driver."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, chain: Sequence[str], per_class: int, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
+    """Features and labels of the sampled documents, one row an id; at most 2 * per_class rows and 2 * most_bytes of features reach the driver.
+
+    Within a class, documents are taken in the order of a hash of their id while their features fit; those whose features
+    alone take over a 64th of most_bytes are passed over in learning, so at least 64 documents of a class fit.
+    """
     order = F.xxhash64(F.col("doc_id"), F.lit(3))
     sides = [labels.where(F.col(chain[-1]) == v).orderBy(order, "doc_id").limit(per_class) for v in (0, 1)]
     picked = F.broadcast(sides[0].unionByName(sides[1]))
@@ -222,7 +229,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, chain: Sequence[str], pe
     joined = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", *[F.col(c).cast("double").alias(c) for c in chain])
     # Rows that share an id count once, by the least of their features.
     one = joined.mapInPandas(counted, schema).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in chain], F.min("features").alias("features"))
-    return one.toPandas()
+    size = F.length("features")
+    small = one.where(size <= most_bytes // 64).withColumn("_order", order)
+    # At most per_class rows a window.
+    running = F.sum(size).over(Window.partitionBy(chain[-1]).orderBy("_order", "doc_id"))
+    return small.withColumn("_bytes", running).where(F.col("_bytes") <= most_bytes).drop("_order", "_bytes").toPandas()
 
 
 def learn(docs: DataFrame, labels: DataFrame, chain: Sequence[str] | None = None, per_class: int = PER_CLASS) -> Chain:
