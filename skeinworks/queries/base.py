@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them: a pattern may name either, a plain path only a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}[.]parquet")
+
+
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index rows of `documents`, with nulls and empty lists in regular places."""
     d = table(spark, sf_dir, "documents")

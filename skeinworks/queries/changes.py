@@ -9,7 +9,7 @@ from ..operators import cdc, counts, lookups
 from ..plans import sync
 from ..sources.scratch import new_folder, stored
 from ..streaming import pipelines
-from .base import Register, index, table
+from .base import Register, index, stream, table
 
 reg = Register()
 
@@ -178,9 +178,7 @@ def _applied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
     """What a stream of the new rows, in batches, gives against the stored state, and the cursors that it saved."""
     out, saved = new_folder(spark), []
     state = stored(_hashed(old_rows(spark, sf_dir)).select(*cdc.KEYS, "hash"))
-    documents = table(spark, sf_dir, "documents")
-    stream = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir).where("doc_id % 11 <> 0")
-    rows = stream.selectExpr("'s1' as sync_id", "cast(doc_id as string) as entity_id", "source as entity_type", "concat('Doc ', doc_id) as name", "text", "doc_id as seq", "if(doc_id % 19 = 0, 'removed', null) as deletion_status")
+    rows = stream(spark, sf_dir, "documents").where("doc_id % 11 <> 0").selectExpr("'s1' as sync_id", "cast(doc_id as string) as entity_id", "source as entity_type", "concat('Doc ', doc_id) as name", "text", "doc_id as seq", "if(doc_id % 19 = 0, 'removed', null) as deletion_status")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.select("entity_id", "action").write.mode("overwrite").parquet(f"{out}/batch={number}")
