@@ -13,16 +13,11 @@ from ..operators import counts
 from ..sources import cursors, sinks
 from ..sources.scratch import new_folder
 from ..streaming import pipelines, usage
-from .base import Register, table
+from .base import Register, stream, table
 
 reg = Register()
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = table(spark, sf_dir, name)
-    return spark.readStream.schema(rows.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-
-
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -77,26 +72,26 @@ def _read_through(stream: DataFrame, rows: int) -> DataFrame:
 
 @reg("st04_first_of_run", "select count(*) as n from (select distinct user_id, event_type from events)")
 def _(spark, sf_dir):
-    return _drained(pipelines.first_of_run(_stream(spark, sf_dir, "events").select("user_id", "event_type"), ["user_id", "event_type"]), "append").agg(F.count(F.lit(1)).alias("n"))
+    return _drained(pipelines.first_of_run(stream(spark, sf_dir, "events").select("user_id", "event_type"), ["user_id", "event_type"]), "append").agg(F.count(F.lit(1)).alias("n"))
 
 
 @reg("st_running_counts", "with l as (select user_id % 5 as s, event_type as t, list(case when event_id % 4 < 2 then -1 else 1 end order by event_id) as steps from events where event_type is not null group by all) select s as sync_id, t as entity_type, list_reduce([0::bigint] || steps, lambda x, y: greatest(x + y, 0)) as n from l")
 def _(spark, sf_dir):
-    steps = _stream(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("sync_id"), F.col("event_type").alias("entity_type"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 < 2, -1).otherwise(1).cast("long").alias("delta"))
+    steps = stream(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("sync_id"), F.col("event_type").alias("entity_type"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 < 2, -1).otherwise(1).cast("long").alias("delta"))
     with state_store(spark):
         return _drained(counts.running_counts(steps), "update", ["sync_id", "entity_type"])
 
 
 @reg("st_windowed", "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
 def _(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = _drained(pipelines.windowed(events), "complete")
     return out.withColumns({"total": F.round("total", 4), "start": F.col("start").cast("timestamp_ntz")})
 
 
 @reg("st12_sliding_limit")
 def _(spark, sf_dir):
-    calls = _stream(spark, sf_dir, "events").select("user_id", "event_id", F.unix_timestamp("ts").cast("double").alias("at"))
+    calls = stream(spark, sf_dir, "events").select("user_id", "event_id", F.unix_timestamp("ts").cast("double").alias("at"))
     with state_store(spark):
         return _drained(pipelines.limited(calls, 3, 3600.0), "append")
 
@@ -125,8 +120,8 @@ def _sunk(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     path = new_folder(spark)
     rows = lambda d: d.selectExpr("cast(doc_id as string) as entity_id", "lang as collection_id", "source as schema_name", "text")
     rows(table(spark, sf_dir, "documents").where("doc_id % 2 = 0")).write.format("skein_index").mode("append").option("path", path).save()
-    stream = rows(_stream(spark, sf_dir, "documents").where("doc_id % 2 = 1")).writeStream.format("skein_index").option("path", path)
-    stream.option("checkpointLocation", new_folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    rest = rows(stream(spark, sf_dir, "documents").where("doc_id % 2 = 1")).writeStream.format("skein_index").option("path", path)
+    rest.option("checkpointLocation", new_folder(spark)).trigger(availableNow=True).start().awaitTermination()
     return path, rows(table(spark, sf_dir, "documents"))
 
 
@@ -147,7 +142,7 @@ f as (select user_id, list_reduce([[0::bigint, 0::bigint]] || steps, lambda a, b
 select user_id as organization_id, s[2] as amount from f where s[2] > 0""")
 def _(spark, sf_dir):
     """What a stream of records has written out because enough had gathered; the rest waits for its timer."""
-    records = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("organization_id"), F.lit("queries").alias("action"), (F.col("event_id") % 7).alias("amount"), F.col("event_id").alias("seq"))
+    records = stream(spark, sf_dir, "events").select(F.col("user_id").alias("organization_id"), F.lit("queries").alias("action"), (F.col("event_id") % 7).alias("amount"), F.col("event_id").alias("seq"))
     with state_store(spark):
         out = _read_through(usage.flushed(records, wait=3600.0), table(spark, sf_dir, "events").count())
     return out.where("cause = 'threshold'").groupBy("organization_id").agg(F.sum("amount").alias("amount"))

@@ -17,3 +17,8 @@ def folders(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["st07_stream_of_changes", "st08_cursor"])
 def test_streams_read_folders(spark, folders, name):
     same(QUERIES[name](spark, folders), ORACLE[name], folders)
+
+
+@pytest.mark.parametrize("name", ["k01_committed_writes", "k02_counts_by_schema", "st04_first_of_run", "st_windowed"])
+def test_streamed_halves_come_from_folders(spark, folders, name):
+    same(QUERIES[name](spark, folders), ORACLE[name], folders)
