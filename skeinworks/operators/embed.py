@@ -21,7 +21,8 @@ BATCH_TEXTS = 100
 def hashing(rows: DataFrame, text: str, dimensions: int = 64) -> DataFrame:
     """rows with `dense_embedding`: signed hashes of its distinct terms summed by slot and put to length one.
 
-    Terms become signed slots natively; the slots of a batch of texts are summed together. A text without terms has a null vector.
+    Terms become signed slots natively; the slots of a batch of texts are summed together. A text without terms, or whose
+    terms cancel, has a null vector.
     """
 
     def signed(term: Column) -> Column:
@@ -77,8 +78,9 @@ def embedded(rows: DataFrame, text: str, name: str = "hashing", model: Callable[
 
 
 def checked(rows: DataFrame, column: str, dimensions: int) -> DataFrame:
-    """rows, failing at run time on a vector of another length."""
-    return rows.withColumn(column, F.when(F.assert_true(F.size(column) == dimensions).isNull(), F.col(column)))
+    """rows, failing at run time on a vector of another length; a text without terms, or whose terms cancel, has none."""
+    fits = F.col(column).isNull() | (F.size(column) == dimensions)
+    return rows.withColumn(column, F.when(F.assert_true(fits).isNull(), F.col(column)))
 
 
 def variants(query: str, most: int = 4) -> list[str]:

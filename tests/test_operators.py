@@ -155,3 +155,14 @@ def test_filter_reaches_the_scan(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("source", "source_name")
     plan = df.where(filters.condition(C("source_name", "in", ["src1"]))).select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan
+
+
+def test_texts_whose_terms_cancel_have_no_vector(spark):
+    from skeinworks.operators import embed
+
+    texts = [(None,), ("",), ("...",), *((f"a{i} b{i}",) for i in range(2000))]
+    rows = embed.checked(embed.hashing(spark.createDataFrame(texts, "text string"), "text"), "dense_embedding", 64).collect()
+    none = [r for r in rows if r.dense_embedding is None]
+    assert len(rows) == 2003 and 3 < len(none) < 100
+    with pytest.raises(Exception, match="not true"):
+        embed.checked(spark.createDataFrame([([1.0],)], "dense_embedding array<double>"), "dense_embedding", 64).collect()
