@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.text import bound
 
 CANDIDATES = 5000
 #: Folders of a stored table of terms: part of its format.
@@ -28,13 +29,25 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t.lower() for t in _TERM.findall(query)))
 
 
+def term_counts(found: Column) -> Column:
+    """(term, tf) of each distinct term of an array, null without any: sorted, and told apart where neighbours differ, inside the row."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+        return bound(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf"))))
+
+    return bound(F.sort_array(found), lambda s: F.when(F.size(s) > 0, runs(s)))
+
+
 def term_table(rows: DataFrame, ident: str, text: str, wanted: Sequence[str] | None = None) -> DataFrame:
     """(ident, term, tf): the inverted table, worth storing partitioned by a hash of the term; of the `wanted` terms only, if given, so that
-    no other term leaves its row."""
-    found = terms(F.col(text))
+    no other term leaves its row. Else texts are moved once, to those of their id, and counted there: their terms are many times as large."""
     if wanted is not None:
-        found = F.filter(found, lambda t: t.isin(list(wanted)))
-    return rows.select(ident, F.explode(found).alias("term")).groupBy(ident, "term").agg(F.count(F.lit(1)).alias("tf"))
+        found = F.filter(terms(F.col(text)), lambda t: t.isin(list(wanted)))
+        return rows.select(ident, F.explode(found).alias("term")).groupBy(ident, "term").agg(F.count(F.lit(1)).alias("tf"))
+    whole = rows.groupBy(ident).agg(F.collect_list(text).alias("_t"))
+    found = whole.select(ident, F.inline(term_counts(F.flatten(F.transform("_t", terms)))))
+    return found.withColumn("tf", F.col("tf").cast("long"))
 
 
 def write_terms(rows: DataFrame, ident: str, text: str, path: str) -> None:
