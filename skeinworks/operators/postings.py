@@ -7,7 +7,7 @@ a query adds the weights of its terms, each times ln(1 + (N - df + 0.5) / (df +
 Layout under a path: chunks are put in order of language or collection (`cluster`) and length and cut into blocks of `size` chunks;
 `postings/bucket=<n>` has a row for each term and block, with the entries (chunk, tf, length) and what bounds their weights: greatest
 tf and least length. That bound holds for any mean length, so stored rows stay right as chunks come and go. `totals` has chunks and
-terms of each write, `deleted` keys with `deleted_at`; a reader adds up the former and subtracts the latter. Counts of chunks and of a
+terms of each write, `chunks` the block of each chunk with a term, `deleted` keys with `deleted_at`; a reader adds up the former and subtracts the latter. Counts of chunks and of a
 term's chunks include deleted ones until `compacted` writes the rest anew.
 
 A page of k (`top`): the bounds of a block's terms add up to the most that a chunk in it can score. Blocks are scored by falling sums, four
@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from ..sources.scratch import exists, stored
 from . import search
 
@@ -31,6 +32,8 @@ K1, B = 1.2, 0.75
 BLOCK = 128
 #: Folders of the stored postings: part of the format.
 BUCKETS = 64
+#: Entries of a task that puts blocks together.
+PART_ENTRIES = 1 << 20
 #: Blocks that are scored first; at most so many numbers of blocks go into a filter, beyond it they are joined.
 FIRST_BLOCKS, LISTED_BLOCKS = 4, 10_000
 #: Fields of a chunk that say where it comes from, not what it holds.
@@ -48,10 +51,33 @@ def token_id(term: Column) -> Column:
 
 
 def counted(rows: DataFrame, ident: str, text: Column, *others: str) -> DataFrame:
-    """(ident, others, token, term, tf, length): how often each term is in a text, and how many terms that has."""
-    each = rows.select(ident, *others, search.terms(text).alias("_t")).select(ident, *others, F.size("_t").alias("length"), F.explode("_t").alias("term"))
-    found = each.groupBy(ident, *others, "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return found.withColumn("token", token_id(F.col("term")))
+    """(ident, others, token, tf, length): how often each term is in the texts of an id, and how many terms these have. A text is moved once,
+    to those of its id; its terms are counted there."""
+    whole = rows.groupBy(ident, *others).agg(F.collect_list(text).alias("_t"))
+    found = whole.select(ident, *others, _tokens(F.flatten(F.transform("_t", search.terms))).alias("_c"))
+    found = found.select(ident, *others, _length(F.col("_c")).alias("length"), _merged(F.col("_c")).alias("_c"))
+    return found.select(ident, *others, "length", F.inline("_c"))
+
+
+def _tokens(terms: Column) -> Column:
+    """(token, tf) of the distinct terms of an array, null without any."""
+    return F.transform(search.term_counts(terms), lambda x: F.struct(token_id(x["term"]).alias("token"), x["tf"].alias("tf")))
+
+
+def _length(tokens: Column) -> Column:
+    return F.coalesce(F.aggregate(tokens, F.lit(0), lambda n, x: n + x["tf"]), F.lit(0))
+
+
+def _merged(tokens: Column) -> Column:
+    """Terms with one id are one, with the sum of their counts; few texts have such."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i)["token"].eqNullSafe(F.get(s, i - 1)["token"]))
+        own = lambda at, i, k: F.slice(s, i + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - i)
+        return bound(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i)["token"].alias("token"), F.aggregate(own(at, i, k), F.lit(0), lambda n, x: n + x["tf"]).alias("tf"))))
+
+    distinct = lambda found: F.size(F.array_distinct(F.transform(found, lambda x: x["token"])))
+    return bound(tokens, lambda found: F.when(distinct(found) < F.size(found), bound(F.sort_array(found), runs)).otherwise(found))
 
 
 def weight(tf: Column, length: Column, mean: Column | float, k1: float = K1, b: float = B) -> Column:
@@ -70,22 +96,29 @@ def build(rows: DataFrame, ident: str, text: Column, path: str, cluster: Sequenc
     """Adds chunks to the index at `path`, which need not be there yet. `cluster`: columns by which chunks are put together, so that
     a term is in few blocks."""
     at = int(time.time() * 1e6)
-    sized = rows.select(ident, *cluster, search.terms(text).alias("_t")).withColumn("_n", F.size("_t"))
+    sized = rows.select(ident, *cluster, _tokens(search.terms(text)).alias("_c")).withColumn("_n", _length(F.col("_c")))
     order = [*cluster, "_n", ident]
     # Stored, so that a chunk's block is settled once.
     placed = stored(sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    chunks, terms, entries = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.size("_c")), F.lit(0))).first()
     block = F.floor(F.col("_at") / size).cast("long")
-    each = placed.select(ident, block.alias("block"), F.col("_n").alias("length"), F.explode("_t").alias("term"))
-    found = each.groupBy("block", ident, "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).withColumn("token", token_id(F.col("term")))
+    own = placed.select(ident, block.alias("block"), F.col("_n").alias("length"), "_c")
+    # Blocks are dealt to tasks with their chunks' counts, before these become rows; all of a block's entries are then in one task.
+    each = own.repartition(-(-entries // PART_ENTRIES) or 1, "block").select(ident, "block", "length", F.inline("_c"))
     # Terms with one id are one; a chunk that has both has their sum.
-    found = found.groupBy("token", "block", ident, "length").agg(F.sum("tf").cast("int").alias("tf"))
+    found = each.groupBy("token", "block", ident, "length").agg(F.sum("tf").cast("int").alias("tf"))
     out = found.groupBy("token", "block").agg(
         F.sort_array(F.collect_list(F.struct(F.col(ident).alias("id"), "tf", "length"))).alias("entries"),  # at most `size`
         F.max("tf").alias("most"), F.min("length").alias("least"), F.count(F.lit(1)).cast("int").alias("n"),
     )
     _write(out.withColumn("written_at", F.lit(at)), path)
-    totals = placed.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("_n"), F.lit(0)).alias("terms"))
-    totals.withColumn("written_at", F.lit(at)).coalesce(1).write.mode("append").parquet(f"{path}/totals")
+    own.where("length > 0").select(F.col(ident).alias("id"), "block", "length", F.lit(at).alias("written_at")).write.mode("append").parquet(f"{path}/chunks")
+    _write_totals(rows.sparkSession, path, chunks, terms, at)
+
+
+def _write_totals(spark: SparkSession, path: str, chunks: int, terms: int, at: int) -> None:
+    totals = spark.createDataFrame([(chunks, terms, at)], "chunks long, terms long, written_at long")
+    totals.coalesce(1).write.mode("append").parquet(f"{path}/totals")
 
 
 def _write(rows: DataFrame, path: str) -> None:
@@ -129,20 +162,23 @@ def _entries(rows: DataFrame, ident: str, path: str) -> DataFrame:
 def compacted(spark: SparkSession, path: str, ident: str, target: str) -> None:
     """The index without deleted chunks, at another path; blocks stay as they are, but for what left them."""
     at = int(time.time() * 1e6)
-    rows = _read(spark, path)
+    key, rows, held = ["block", "written_at"], _read(spark, path), spark.read.parquet(f"{path}/chunks")
     gone = _deleted(spark, path, ident)
-    each = rows.select("token", "block", "written_at", F.explode("entries").alias("e"))
     if gone is not None:
-        gone = gone.withColumnRenamed(ident, "_id")
-        each = each.join(gone, F.col("e.id") == F.col("_id"), "left").where(F.col("_gone").isNull() | (F.col("written_at") > F.col("_gone")))
-    each = stored(each.select("token", "block", "written_at", "e"))
-    out = each.groupBy("token", "block", F.col("written_at").alias("_w")).agg(
-        F.sort_array(F.collect_list("e")).alias("entries"), F.max("e.tf").alias("most"), F.min("e.length").alias("least"), F.count(F.lit(1)).cast("int").alias("n"),
-    )
+        lost = held.join(gone.withColumnRenamed(ident, "id"), "id").where(F.col("written_at") <= F.col("_gone"))
+        held = held.join(lost.select("id", *key).distinct(), ["id", *key], "left_anti")
+        rows = rows.join(lost.groupBy(*key).agg(F.collect_set("id").alias("_lost")), key, "left")
+        left = F.when(F.col("_lost").isNull(), F.col("entries")).otherwise(F.filter("entries", lambda e: ~F.array_contains(F.col("_lost"), e["id"])))
+        rows = rows.withColumn("entries", left).where(F.size("entries") > 0).withColumns(
+            {"most": F.array_max(F.transform("entries", lambda e: e["tf"])), "least": F.array_min(F.transform("entries", lambda e: e["length"])), "n": F.size("entries")}
+        )
     # Blocks of several writes keep apart.
-    _write(out.withColumns({"block": F.pmod(F.xxhash64("block", "_w"), F.lit(1 << 62)), "written_at": F.lit(at)}).drop("_w"), target)
-    totals = each.select("e.id", "e.length", "written_at").distinct().agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms"))
-    totals.withColumn("written_at", F.lit(at)).coalesce(1).write.parquet(f"{target}/totals")
+    renewed = {"block": F.pmod(F.xxhash64(*key), F.lit(1 << 62)), "written_at": F.lit(at)}
+    _write(rows.select("token", *key, "entries", "most", "least", "n").withColumns(renewed), target)
+    held = held.distinct()
+    held.withColumns(renewed).write.parquet(f"{target}/chunks")
+    chunks, terms = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    _write_totals(spark, target, chunks, terms, at)
 
 
 def _query(spark: SparkSession, path: str, query: str) -> tuple[DataFrame | None, dict[int, float], float]:

@@ -47,7 +47,7 @@ _BM = f"{IDX}, {_bm25('idx')}"
 @reg("r11_bm25_weights", f"with {_BM} select entity_id, token, round(weight, 6) as weight from w")
 def _(spark, sf_dir):
     rows = index(spark, sf_dir)
-    found = postings.counted(rows, "entity_id", postings.whole_json(rows, ["doc_id"])).groupBy("entity_id", "token", "length").agg(F.sum("tf").alias("tf"))
+    found = postings.counted(rows, "entity_id", postings.whole_json(rows, ["doc_id"]))
     mean = rows.select(F.avg(F.size(postings.search.terms(postings.whole_json(rows, ["doc_id"]))))).first()[0]
     return found.select("entity_id", "token", F.round(postings.weight(F.col("tf"), F.col("length"), mean or 1.0), 6).alias("weight"))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinworks.operators import postings, vectors
+from skeinworks.operators import postings, search, vectors
 from skeinworks.plans import search as plans
 from skeinworks.plans import sync
 
@@ -173,3 +173,27 @@ def test_syncs_stay_apart(spark):
     both = sync.run(new, state, spark.createDataFrame(chunks, kinds), syncs=spark.createDataFrame([("a",), ("b",), ("c",)], "sync_id string"))
     assert {(r.sync_id, r.entity_id) for r in both.state.collect()} == {("a", "1"), ("b", "1")}
     assert {(r.sync_id, r.entity_id) for r in both.orphans.collect()} == {("a", "2"), ("b", "2"), ("c", "1")}
+
+
+def test_texts_are_moved_instead_of_their_terms(spark):
+    """Below the rows of terms there is the only exchange, and equal ids and colliding terms still have one row."""
+    rows = spark.createDataFrame([("a", "x y x"), ("b", None), ("c", "..."), ("a", "y z")], "entity_id string, text string")
+    for found in (search.term_table(rows, "entity_id", "text"), postings.counted(rows, "entity_id", F.col("text"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("Generate") < plan.index("Exchange") and plan.count("Exchange") == 1
+    assert {tuple(r) for r in search.term_table(rows, "entity_id", "text").collect()} == {("a", "x", 2), ("a", "y", 2), ("a", "z", 1)}
+    assert sorted(r.tf for r in postings.counted(rows, "entity_id", F.col("text")).where("length = 5").collect()) == [1, 2, 2]
+    pairs = spark.createDataFrame([([(7, 1), (5, 2), (7, 3)],), ([(9, 4)],), (None,)], "c array<struct<token: bigint, tf: int>>")
+    assert [r[0] for r in pairs.select(postings._merged(F.col("c"))).collect()] == [[(5, 2), (7, 4)], [(9, 4)], None]
+
+
+def test_compaction_moves_no_entries_by_themselves(spark, tmp_path):
+    rows = spark.range(300).selectExpr("cast(id as string) as entity_id", "concat('common word', id % 7) as text")
+    path, target = f"{tmp_path}/old", f"{tmp_path}/new"
+    postings.build(rows, "entity_id", F.col("text"), path)
+    postings.remove(rows.where("entity_id % 3 = 0"), "entity_id", path)
+    postings.build(rows.where("entity_id % 6 = 0"), "entity_id", F.col("text"), path)
+    postings.compacted(spark, path, "entity_id", target)
+    assert spark.read.parquet(f"{target}/chunks").count() == 250
+    assert spark.read.parquet(f"{target}/totals").first()[:2] == (250, 500)
+    assert {r.entity_id for r in postings.scores(spark, target, "entity_id", "common").collect()} == {str(i) for i in range(300) if i % 3 or i % 6 == 0}
