@@ -431,3 +431,12 @@ def test_items_are_fetched_together(spark, ordered):
         assert [r.n for r in got] == list(range(100))
     assert {r.key: None if r.content is None else bytes(r.content).decode() for r in got} == {f"k{i}": None if i == 7 else f"k{i}" for i in range(100)}
     assert {r.key: r.error for r in got if r.error} == {"k7": "OSError: gone"}
+
+
+def test_sanitizing_looks_at_common_characters_first(spark):
+    """The quick look ahead removes what the class alone does."""
+    assert text._UNWANTED.startswith("(?!")
+    codes = [*range(0xD800), *range(0xE000, 0x10000), *(plane * 0x10000 + x for plane in range(1, 17) for x in range(0xFFF0, 0x10000))]
+    chars = spark.createDataFrame([(i, chr(i)) for i in codes], "id long, c string")
+    gone = {r.id for r in chars.where(text.sanitized(F.col("c")) == "").select("id").collect()}
+    assert gone == {*range(9), 0xB, 0xC, *range(0xE, 0x20), *range(0xFDD0, 0xFDF0), *(plane * 0x10000 + x for plane in range(17) for x in (0xFFFE, 0xFFFF))}
