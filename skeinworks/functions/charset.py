@@ -5,6 +5,9 @@ ones the likeliest is taken: its text's pairs of neighbours, at least one of the
 of known texts has them. Confidence is the likeliest charset's share of all possible ones' likelihood (charsets that give the
 same text are one), times the share of its pairs that the corpus has; so binary data, for which every reading is strange, stays below
 `LEAST_CONFIDENCE` even if one reading is less strange than others.
+
+A file with few such pairs may be left open by them: it has another reading nearly as likely, or a pair that the corpus lacks. Its likely readings are then
+compared by the longer contexts that the corpus has, words and their surroundings (`contexts`), in a join.
 """
 
 from __future__ import annotations
@@ -18,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from . import text as text_functions
 
 #: Charsets tried, by the names of Python's codecs; of several that give the same text the first is named.
 CHARSETS = ("cp1252", "iso8859_15", "iso8859_2", "cp1250", "cp1251", "koi8_r", "cp850", "cp852", "cp866", "mac_roman", "utf_16_le", "utf_16_be", "shift_jis", "euc_jp", "gb18030", "big5", "euc_kr")
 LEAST_CONFIDENCE = 0.7
+#: Readings less likely than the best one by this (a logarithm) are no rivals of it.
+RIVAL_GAP = 14.0
 #: Most pairs that a model holds: the commonest.
 MOST_PAIRS = 1 << 17
 _PAIR_BASE = 1 << 21
@@ -111,9 +117,18 @@ def weight(found: str, pairs: Pairs) -> tuple[float, float]:
     return total, known / seen if seen else 1.0
 
 
-def detected(content: bytes, pairs: Pairs, charsets: Sequence[str] = CHARSETS) -> tuple[str | None, float, str | None]:
-    """(charset, confidence, text) of a content; null, 0, null if no charset is possible."""
-    weights: dict[bytes, float] = {}
+class Found(NamedTuple):
+    """What pairs of characters say of a content; rivals are (charset, text) of the likely readings, if they leave it open."""
+
+    charset: str | None
+    confidence: float
+    text: str | None
+    rivals: list[tuple[str, str]]
+
+
+def weighed(content: bytes, pairs: Pairs, charsets: Sequence[str] = CHARSETS) -> Found:
+    """The likeliest reading of a content and its rivals; no charset if none is possible."""
+    weights: dict[bytes, tuple[float, str]] = {}
     best: tuple[float, float, str, str] | None = None
     for charset in charsets:
         found = reading(content, charset)
@@ -122,37 +137,86 @@ def detected(content: bytes, pairs: Pairs, charsets: Sequence[str] = CHARSETS) -
         same = hashlib.blake2b(found.encode()).digest()
         if same in weights:
             continue
-        weights[same], known = weight(found, pairs)
-        if best is None or weights[same] > best[0]:
-            best = weights[same], known, charset, found
+        w, known = weight(found, pairs)
+        weights[same] = w, charset
+        if best is None or w > best[0]:
+            best = w, known, charset, found
     if best is None:
-        return None, 0.0, None
-    share = 1 / sum(np.exp(max(w - best[0], -700.0)) for w in weights.values())
-    return best[2], float(share * best[1]), best[3]
+        return Found(None, 0.0, None, [])
+    near = [charset for w, charset in weights.values() if best[0] - w < RIVAL_GAP]
+    confidence = float(1 / sum(np.exp(max(w - best[0], -700.0)) for w, _ in weights.values()) * best[1])
+    open_yet = len(near) > 1 or confidence <= LEAST_CONFIDENCE
+    return Found(best[2], confidence, best[3], [(c, best[3] if c == best[2] else reading(content, c)) for c in near] if open_yet else [])
+
+
+def detected(content: bytes, pairs: Pairs, charsets: Sequence[str] = CHARSETS) -> tuple[str | None, float, str | None]:
+    """(charset, confidence, text) of a content by pairs; null, 0, null if no charset is possible."""
+    return weighed(content, pairs, charsets)[:3]
+
+
+#: Characters of a wide context on each side.
+_WIDE = 12
 
 
-def decoded(files: DataFrame, pairs: Pairs, content: str = "content", charsets: Sequence[str] = CHARSETS) -> DataFrame:
+def _contexts(column: Column) -> Column:
+    """Words that have a character outside ASCII, after `w`, and such characters with what is around them, after `c`."""
+    padded = F.concat(F.lit(" "), column, F.lit(" "))
+    words = F.regexp_extract_all(padded, F.lit(r"(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7F][A-Za-z[^\x00-\x7F]]*+"), F.lit(0))
+    wide = F.regexp_extract_all(padded, F.lit(rf"[\x00-\x7F]{{0,{_WIDE}}}+[^\x00-\x7F]++[\x00-\x7F]{{0,{_WIDE}}}+"), F.lit(0))
+    marked = F.concat(F.transform(words, lambda x: F.concat(F.lit("w"), x)), F.transform(wide, lambda x: F.concat(F.lit("c"), x)))
+    return F.array_distinct(marked)
+
+
+def contexts(texts: DataFrame, column: str = "text") -> DataFrame:
+    """(context): those of known texts, not yet each once; texts in plain ASCII have none."""
+    some = texts.where(F.octet_length(column) > F.char_length(column))
+    return some.select(F.explode(_contexts(F.col(column))).alias("context"))
+
+
+def _settled(rivals: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, settled: charset, confidence, text) of files that known contexts settle, from rivals (key, charset, text).
+
+    A reading's share is that of its contexts that are known. Wide contexts decide where the best share, times its part of all
+    readings' shares, is over `LEAST_CONFIDENCE`; else words, by the same rule; else the file is not settled.
+    """
+    each = stored(rivals.select("key", "charset", F.explode(_contexts(F.col("text"))).alias("context")))
+    had = known.join(each.select("context").distinct(), "context", "left_semi").distinct().withColumn("had", F.lit(1))
+    seen = each.join(had, "context", "left").groupBy("key", "charset", F.substr("context", F.lit(1), F.lit(1)).alias("level"))
+    shares = seen.agg((F.count("had") / F.count(F.lit(1))).alias("share"))
+    levels = shares.groupBy("key", "level").agg(F.max_by("charset", F.struct("share", "charset")).alias("charset"), F.max("share").alias("best"), F.sum("share").alias("all"))
+    sure = levels.withColumn("confidence", F.when(F.col("all") > 0, F.col("best") * F.col("best") / F.col("all"))).where(F.col("confidence") > LEAST_CONFIDENCE)
+    chosen = sure.groupBy("key").agg(F.min_by(F.struct("charset", "confidence"), "level").alias("c")).select("key", "c.*")
+    return rivals.join(chosen, ["key", "charset"]).select("key", F.struct("charset", "confidence", "text").alias("settled"))
+
+
+def decoded(files: DataFrame, pairs: Pairs, content: str = "content", charsets: Sequence[str] = CHARSETS, known: DataFrame | None = None) -> DataFrame:
     """files with `charset`, `confidence` and `text`.
 
     UTF-8 without zero bytes is told and read natively, with confidence 1 (empty contents too). The rest has the likeliest charset if its confidence is over
     `LEAST_CONFIDENCE`, else UTF-8 with replacements and confidence 0, and a null text if these are too many. A null content gives nulls.
+    With known (`contexts` of a corpus), files that pairs leave open are compared by them first; what pairs find is stored for it.
     """
     held = files.sparkSession.sparkContext.broadcast(tuple(pairs))
-    kind = "struct<charset: string, confidence: double, text: string>"
+    kind = "struct<charset: string, confidence: double, text: string, rivals: array<struct<charset: string, text: string>>>"
+    rival = pa.list_(pa.struct([("charset", pa.string()), ("text", pa.string())]))
+    compared = known is not None
 
     @F.arrow_udf(kind)
     def detect(contents: pa.Array) -> pa.Array:
         model, sure = Pairs(*held.value), []
         for c in contents:
-            found = detected(c.as_py(), model, charsets) if c.is_valid else (None, 0.0, None)
-            sure.append(found if found[1] > LEAST_CONFIDENCE else (None, 0.0, None))
-        columns = [pa.array([x[k] for x in sure], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string()))]
-        return pa.StructArray.from_arrays(columns, ["charset", "confidence", "text"])
+            found = weighed(c.as_py(), model, charsets) if c.is_valid else Found(None, 0.0, None, [])
+            rivals = [{"charset": n, "text": t} for n, t in found.rivals] if compared and found.rivals else None
+            sure.append((*(found[:3] if found.confidence > LEAST_CONFIDENCE else (None, 0.0, None)), rivals))
+        columns = [pa.array([x[k] for x in sure], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string(), rival))]
+        return pa.StructArray.from_arrays(columns, ["charset", "confidence", "text", "rivals"])
 
     rows = files.drop("charset", "confidence", "text", "_native", "_found")
     # Bytes of zero are valid UTF-8, but texts have none: UTF-16 does.
     plain = F.is_valid_utf8(F.col(content).cast("string")) & ~F.contains(F.col(content), F.lit(b"\x00"))
     marked = rows.withColumn("_native", plain).withColumn("_found", detect(F.when(~F.col("_native"), F.col(content))))
+    if compared:
+        marked = _compared(marked, content, known)
     replaced = F.make_valid_utf8(F.col(content).cast("string"))
     text: Column = F.when(F.col("_native"), F.col(content).cast("string")).otherwise(F.coalesce("_found.text", F.when(text_functions.readable(replaced), replaced)))
     return marked.withColumns(
@@ -162,3 +226,15 @@ def decoded(files: DataFrame, pairs: Pairs, content: str = "content", charsets:
             "text": text,
         }
     ).drop("_native", "_found")
+
+
+def _compared(marked: DataFrame, content: str, known: DataFrame) -> DataFrame:
+    """marked with `_found` of known contexts, where they settle what pairs left open. Only files left open move."""
+    marked = stored(marked)
+    left_open = F.col("_found.rivals").isNotNull()
+    rest = marked.where(~left_open).withColumn("_found", F.struct("_found.charset", "_found.confidence", "_found.text"))
+    some = marked.where(left_open).withColumn("_key", F.sha2(content, 256))
+    rivals = stored(some.dropDuplicates(["_key"]).select(F.col("_key").alias("key"), F.inline("_found.rivals").alias("charset", "text")))
+    some = some.join(_settled(rivals, known), F.col("_key") == F.col("key"), "left")
+    some = some.withColumn("_found", F.coalesce("settled", F.struct("_found.charset", "_found.confidence", "_found.text"))).drop("_key", "key", "settled")
+    return rest.unionByName(some)

@@ -166,9 +166,9 @@ def written_in(texts, charsets=_WRITTEN):
 
 @reg("c07_charsets", "select doc_id, text from documents where text is not null")
 def _(spark, sf_dir):
-    """All texts, written in eight charsets, come back by what the corpus's pairs of characters are."""
+    """All texts, written in eight charsets, come back by what the corpus's pairs of characters are, and its words where these leave a text open."""
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return charset.decoded(written_in(texts), charset.learn(texts)).select("doc_id", "text")
+    return charset.decoded(written_in(texts), charset.learn(texts), known=charset.contexts(texts)).select("doc_id", "text")
 
 
 @reg("c08_json_fenced", "select event_id, '```json' || chr(10) || '{' || chr(10) || '  \"k\": ' || (props->>'$.k') || chr(10) || '}' || chr(10) || '```' as text from events where props is not null")

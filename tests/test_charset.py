@@ -55,3 +55,18 @@ def test_rules_of_a_table(spark, pairs):
     assert got[5].text is None and got[5].confidence == 0
     assert (got[6].charset, got[6].text) == ("utf_16_le", "plain")
     assert got[7].text.startswith("mostly plain text ")
+
+
+def test_words_settle_what_pairs_leave_open(spark):
+    """A letter whose pairs fit another charset better is told by its word, and by what is around it where both words are known."""
+    odd = ["all the beäver here", "and some Äen there"]
+    texts = [*(["crèe the èven beèv mère"] * 40), "een éen x", *(["où éenne, éet éen"] * 30), *odd, "plain"]
+    table = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    model, known = charset.learn(table), charset.contexts(table)
+    rows = [(0, odd[0].encode("mac_roman")), (1, odd[1].encode("cp850")), (2, odd[0].encode("mac_roman")), (3, b"plain"), (4, None), (5, bytes(np.random.default_rng(1).integers(128, 256, 4000, dtype=np.uint8)))]
+    files = spark.createDataFrame(rows, "id int, content binary")
+    assert charset.detected(rows[0][1], model)[2] != odd[0] and charset.detected(rows[1][1], model)[2] != odd[1]
+    got = {r.id: r for r in charset.decoded(files, model, known=known).collect()}
+    assert [got[i].text for i in range(5)] == [odd[0], odd[1], odd[0], "plain", None] and len(got) == 6
+    assert got[0].charset == "mac_roman" and got[0].confidence > charset.LEAST_CONFIDENCE
+    assert got[5].text is None and got[5].confidence == 0
