@@ -50,22 +50,38 @@ def default_access(supports_acl: Column) -> Column:
 def expanded(memberships: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(member_id, group_id, depth): groups of each user, over groups that are members of groups.
 
-    memberships: member_id, member_type (user or group), group_id. Cycles end at what was seen. Each level is one join of what
-    the level before found, and is stored, so the work grows with the levels and not with their combinations. All levels
-    are followed unless most_depth limits them.
+    memberships: member_id, member_type (user or group), group_id. Cycles end at what was seen. Ways between groups are found
+    first, by doubling their length, and joined with the direct groups of users once, so what moves follows the ways and the pairs found and not
+    their number times the levels. All levels are followed unless most_depth limits them.
     """
     edges = memberships.where("member_id is not null and group_id is not null").select("member_id", "member_type", "group_id").distinct()
-    nested = stored(edges.where("member_type = 'group'").select(F.col("member_id").alias("group_id"), F.col("group_id").alias("parent")))
-    front = stored(edges.where("member_type = 'user'").select("member_id", "group_id", F.lit(1).alias("depth")))
-    reached, depth = front, 1
-    while most_depth is None or depth < most_depth:
-        depth += 1
-        step = front.join(nested, "group_id").select("member_id", F.col("parent").alias("group_id")).distinct()
-        front = stored(step.join(reached.select("member_id", "group_id"), ["member_id", "group_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
-        reached = reached.unionByName(front)
-    return reached
+    direct = stored(_direct(edges))
+    ways = _ways(_nested(edges), direct, None if most_depth is None else most_depth - 1)
+    over = direct.join(ways, "group_id").select("member_id", F.col("parent").alias("group_id"), (F.col("steps") + 1).alias("depth"))
+    pairs = direct.withColumn("depth", F.lit(1)).unionByName(over)
+    return stored(pairs.groupBy(*_PAIR).agg(F.min("depth").alias("depth")))
+
+
+def _ways(nested: DataFrame, starts: DataFrame, most: int | None) -> DataFrame:
+    """(group_id, parent, steps): the shortest ways of at most `most` steps from groups to those they are in.
+
+    Starts (group_id) are the groups with users: edges from groups with neither users nor groups in them are left out. Each round joins the
+    longest ways, of n steps, with all that begin where they end; a way of up to 2 n steps has such a point, so rounds are few.
+    """
+    edges = nested.where("group_id <> parent")
+    begun = starts.select("group_id").unionByName(edges.select(F.col("parent").alias("group_id"))).distinct()
+    found = stored(edges.join(begun, "group_id", "left_semi").select("group_id", "parent", F.lit(1).alias("steps")))
+    ways, longest, n = found, found, 1
+    while (most is None or n < most) and not longest.isEmpty():
+        ends = stored(longest.select("parent").distinct())
+        more = ways.select(F.col("group_id").alias("middle"), F.col("parent").alias("end"), F.col("steps").alias("more"))
+        more = more.join(ends.select(F.col("parent").alias("middle")), "middle", "left_semi")
+        step = longest.join(more, F.col("parent") == F.col("middle")).where("group_id <> end")
+        step = step.groupBy("group_id", F.col("end").alias("parent")).agg(F.min(F.col("steps") + F.col("more")).alias("steps"))
+        found = stored(step.join(ways.select("group_id", "parent"), ["group_id", "parent"], "left_anti"))
+        n *= 2
+        ways, longest = ways.unionByName(found), found.where(F.col("steps") == n)
+    return ways if most is None else ways.where(F.col("steps") <= most)
 
 
 class ClosureChange(NamedTuple):
@@ -88,8 +104,20 @@ def _nested(edges: DataFrame) -> DataFrame:
 
 
 def _up(pairs: DataFrame, nested: DataFrame) -> DataFrame:
-    """Pairs one level above."""
-    return pairs.join(nested, "group_id").select("member_id", F.col("parent").alias("group_id")).distinct()
+    """Pairs one level above, not yet each once."""
+    return pairs.join(nested, "group_id").select("member_id", F.col("parent").alias("group_id"))
+
+
+def _above(pairs: DataFrame, nested: DataFrame) -> DataFrame:
+    """Stored pairs with all pairs above them: levels are followed for their groups only, and joined with the members once."""
+    front = stored(pairs.select("group_id").distinct().join(nested, "group_id").distinct())
+    found = front
+    while not front.isEmpty():
+        step = front.select(F.col("group_id").alias("start"), F.col("parent").alias("group_id")).join(nested, "group_id")
+        step = step.select(F.col("start").alias("group_id"), "parent").distinct()
+        front = stored(step.join(found, ["group_id", "parent"], "left_anti"))
+        found = found.unionByName(front)
+    return pairs.unionByName(_up(pairs, found)).distinct()
 
 
 def closure_change(memberships: DataFrame, closure: DataFrame, removed: DataFrame, added: DataFrame) -> ClosureChange:
@@ -98,8 +126,8 @@ def closure_change(memberships: DataFrame, closure: DataFrame, removed: DataFram
     memberships, removed, added: member_id, member_type, group_id; closure: the pairs of `expanded(memberships)`. A row
     removed and added stays; one removed that is not there, or added that is, changes nothing. First every pair with a way over a
     removed row is put in doubt. Then those are found again to which the memberships afterwards still lead, with all that the
-    added rows lead to. Each level moves only what the level before touched: the closure is joined with it, never found
-    anew. Cycles end at what was seen.
+    added rows lead to. Levels are followed between the groups that the change touches; the closure is joined a fixed number of
+    times, whatever the levels, and never found anew. Cycles end at what was seen.
     """
     keys = ["member_id", "member_type", "group_id"]
     edges = [df.where("member_id is not null and group_id is not null").select(*keys).distinct() for df in (memberships, removed, added)]
@@ -109,29 +137,19 @@ def closure_change(memberships: DataFrame, closure: DataFrame, removed: DataFram
     after = stored(before.join(gone, keys, "left_anti").unionByName(new))
     held, nested = closure.select(*_PAIR), _nested(after)
 
-    front = stored(_direct(gone).unionByName(_up(held, _nested(gone))).distinct())
-    doubted, examined = front, (n := front.count())
-    while n:
-        front = stored(_up(front, _nested(before)).join(doubted, _PAIR, "left_anti"))
-        doubted, examined = doubted.unionByName(front), examined + (n := front.count())
-
-    def unsettled(pairs: DataFrame) -> DataFrame:
-        """Those that are not held beyond doubt."""
-        return pairs.join(held, _PAIR, "left_anti").unionByName(pairs.join(doubted, _PAIR, "left_semi"))
-
-    # Ways to a pair in doubt from outside: a direct membership, or a group inside that group that its user holds beyond doubt.
-    inside = doubted.join(nested.select(F.col("group_id").alias("child"), F.col("parent").alias("group_id")), "group_id")
-    inside = inside.select("member_id", F.col("child").alias("group_id"), F.col("group_id").alias("parent"))
-    kept = inside.join(held, _PAIR, "left_semi").join(doubted, _PAIR, "left_anti").select("member_id", F.col("parent").alias("group_id"))
-    again = kept.unionByName(doubted.join(_direct(after), _PAIR, "left_semi"))
-    sources = held.join(_nested(new).select("group_id").distinct(), "group_id", "left_semi").select(*_PAIR).join(doubted, _PAIR, "left_anti")
-    reached = _direct(new).unionByName(_up(sources, _nested(new)))
-    front = stored(unsettled(again.unionByName(reached).distinct()))
-    found, examined = front, examined + (n := front.count())
-    while n:
-        front = stored(unsettled(_up(front, nested)).join(found, _PAIR, "left_anti"))
-        found, examined = found.unionByName(front), examined + (n := front.count())
-    return ClosureChange(doubted.join(found, _PAIR, "left_anti"), found.join(doubted, _PAIR, "left_anti"), examined)
+    begun = stored(_direct(gone).unionByName(_up(held, _nested(gone))).distinct())
+    doubted = stored(_above(begun, _nested(before)))
+    sure = stored(held.join(doubted, _PAIR, "left_anti"))
+
+    # Ways to a pair in doubt: a direct membership, or a group inside that group that its user holds beyond doubt. They are looked for from
+    # what is sure upwards: a group may have any number of groups inside it, of which its user holds few.
+    into = stored(nested.join(doubted.select(F.col("group_id").alias("parent")).distinct(), "parent", "left_semi").select("group_id", "parent"))
+    again = _up(sure, into).unionByName(_direct(after)).join(doubted, _PAIR, "left_semi")
+    reached = _direct(new).unionByName(_up(sure, _nested(new)))
+    # Only those that are not held beyond doubt are followed and found.
+    begun = stored(again.unionByName(reached.join(sure, _PAIR, "left_anti")).distinct())
+    found = stored(_above(begun, nested).join(sure, _PAIR, "left_anti"))
+    return ClosureChange(doubted.join(found, _PAIR, "left_anti"), found.join(doubted, _PAIR, "left_anti"), doubted.count() + found.count())
 
 
 def closure_after(closure: DataFrame, change: ClosureChange) -> DataFrame:

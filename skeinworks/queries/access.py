@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import access, lookups
-from ..sources.scratch import stored
 from .base import IDX, Register, index, table
 
 reg = Register()
@@ -58,7 +57,7 @@ n as (select member_id, group_id from a where member_type = 'user' union select
 
 def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, access.ClosureChange]:
     rows, gone, new = layers(spark, sf_dir)
-    closure = stored(access.expanded(rows))
+    closure = access.expanded(rows)
     return closure, access.closure_change(rows, closure, gone, new)
 
 
