@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor, as_completed
 
@@ -18,7 +19,8 @@ from .scratch import create_text, exists, matching, stored
 
 # Raw store: JSON rows under raw/<sync>/entities, a folder a job and, inside it, a folder a bucket of entity ids. Nothing is changed in
 # place: a row written later replaces earlier ones of its entity, and a deletion is a row of its own, until `compact_raw` writes the
-# newest rows anew. raw/<sync>/buckets holds the number of buckets, which is settled by the first write.
+# newest rows anew. raw/<sync>/buckets holds the number of buckets, which is settled by the first write. raw/<sync>/compacted names the
+# folder of a compaction, in which each entity is once: while no other folder stands beside it, readers compare no versions.
 RAW_BUCKETS = 32
 
 
@@ -66,7 +68,13 @@ def _newest(rows: DataFrame) -> DataFrame:
 
 def read_raw(spark: SparkSession, root: str, sync_id: str, schema: T.StructType) -> DataFrame:
     """Newest version of each stored entity that is not deleted; of versions of one moment, that of the larger job id."""
-    return _newest(spark.read.schema(schema).json(f"{root}/raw/{sync_id}/entities"))
+    folder, path = f"{root}/raw/{sync_id}/entities", f"{root}/raw/{sync_id}/compacted"
+    jobs = [x.rsplit("/", 1)[-1] for x in matching(spark, f"{folder}/job=*")]
+    if len(jobs) == 1 and exists(spark, path) and jobs == [f"job={spark.read.text(path).first()[0]}"]:
+        # The folder alone is read, so that a write meanwhile adds no second version.
+        rows = spark.read.schema(schema).json(f"{folder}/{jobs[0]}")
+        return rows.select("entity_id", *(c for c in rows.columns if c not in ("entity_id", "deleted", "job", "bucket")))
+    return _newest(spark.read.schema(schema).json(folder))
 
 
 def raw_schema(schema: T.StructType) -> T.StructType:
@@ -79,7 +87,9 @@ def raw_schema(schema: T.StructType) -> T.StructType:
 def compact_raw(spark: SparkSession, root: str, sync_id: str, schema: T.StructType, target: str, buckets: int | None = None) -> None:
     """The raw store of a sync with the newest versions only, under another root; buckets may change on the way."""
     rows = read_raw(spark, root, sync_id, schema).withColumn("deleted", F.lit(False))
-    _append_raw(rows, target, sync_id, "compacted", buckets or raw_buckets(spark, root, sync_id))
+    job_id = f"compacted-{uuid.uuid4().hex}"
+    _append_raw(rows, target, sync_id, job_id, buckets or raw_buckets(spark, root, sync_id))
+    create_text(spark, f"{target}/raw/{sync_id}/compacted", job_id)
 
 
 def raw_rows_of(spark: SparkSession, root: str, sync_id: str, schema: T.StructType, entity_id: str) -> DataFrame:

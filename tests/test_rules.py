@@ -51,6 +51,27 @@ def test_one_raw_entity_opens_its_bucket_only(spark, tmp_path):
     assert stores.raw_buckets(spark, target, "s") == 4 and stores.raw_entity(spark, target, "s", schema, "e7").first().text == "new"
 
 
+def test_a_compacted_raw_store_is_read_without_moving_rows(spark, tmp_path):
+    root, target = str(tmp_path / "a"), str(tmp_path / "b")
+    rows = spark.range(50).selectExpr("concat('e', id) as entity_id", "concat('old ', id) as text")
+    schema = stores.raw_schema(rows.schema)
+    for job in ("job1", "job2"):
+        stores.write_raw(rows, root, "s", job)
+    stores.delete_raw(rows.where("entity_id = 'e3'"), root, "s", "job3")
+    stores.compact_raw(spark, root, "s", schema, target)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    whole, compact = stores.read_raw(spark, root, "s", schema), stores.read_raw(spark, target, "s", schema)
+    assert whole.columns == compact.columns and sorted(whole.collect()) == sorted(compact.collect()) and compact.count() == 49
+    assert "Exchange" in plan(whole) and "Exchange" not in plan(compact)
+    # What is written beside it, by a job or by a second compaction, is compared again.
+    stores.write_raw(rows.where("entity_id = 'e5'").withColumn("text", F.lit("new")), target, "s", "job4")
+    read = {r.entity_id: r.text for r in stores.read_raw(spark, target, "s", schema).collect()}
+    assert len(read) == 49 and read["e5"] == "new"
+    stores.compact_raw(spark, root, "s", schema, target)
+    again = stores.read_raw(spark, target, "s", schema)
+    assert again.count() == 49 and {r.entity_id: r.text for r in again.collect()} == read
+
+
 def test_index_refuses_rows_without_an_id_and_counts_what_arrives(spark, tmp_path):
     rows = spark.createDataFrame([("c", "s", "e1"), ("c", "s", None)], "collection_id string, schema_name string, entity_id string")
     with pytest.raises(ValueError):
