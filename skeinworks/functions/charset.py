@@ -6,8 +6,9 @@ of known texts has them. Confidence is the likeliest charset's share of all poss
 same text are one), times the share of its pairs that the corpus has; so binary data, for which every reading is strange, stays below
 `LEAST_CONFIDENCE` even if one reading is less strange than others.
 
-A file with few such pairs may be left open by them: it has another reading nearly as likely, or a pair that the corpus lacks. Its likely readings are then
-compared by the longer contexts that the corpus has, words and their surroundings (`contexts`), in a join.
+Pairs may leave a file open: it has few of them, or one odd word that it repeats, so that another reading would be likelier but for a few odd pairs, each
+weighed once however often it is repeated (`ODD_PAIRS`); or its confidence is too low. Its likely readings are then compared by the longer contexts that the corpus
+has, words and their surroundings (`contexts`), in a join.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from . import text as text_functions
 #: Charsets tried, by the names of Python's codecs; of several that give the same text the first is named.
 CHARSETS = ("cp1252", "iso8859_15", "iso8859_2", "cp1250", "cp1251", "koi8_r", "cp850", "cp852", "cp866", "mac_roman", "utf_16_le", "utf_16_be", "shift_jis", "euc_jp", "gb18030", "big5", "euc_kr")
 LEAST_CONFIDENCE = 0.7
-#: Readings less likely than the best one by this (a logarithm) are no rivals of it.
-RIVAL_GAP = 14.0
+#: A reading is a rival of the best one if it is likelier but for so many pairs that the corpus lacks: two stand around one odd letter.
+ODD_PAIRS = 2
+#: How much less likely a reading is for each context that the corpus lacks.
+CONTEXT_ODDS = 20.0
 #: Most pairs that a model holds: the commonest.
 MOST_PAIRS = 1 << 17
 _PAIR_BASE = 1 << 21
@@ -102,19 +105,33 @@ def reading(content: bytes, charset: str) -> str | None:
     return None if any(_strange(codes) for codes in _segments(found)) else found
 
 
-def weight(found: str, pairs: Pairs) -> tuple[float, float]:
-    """Log-likelihood of a text's pairs, and the share of them that the model has (1 where there are none)."""
-    total, known, seen = 0.0, 0, 0
+class Weight(NamedTuple):
+    """Log-likelihood of a text's pairs, the share of them that the model has (1 where there are none), and the log-likelihood of its distinct pairs."""
+
+    total: float
+    known: float
+    once: float
+
+
+def weight(found: str, pairs: Pairs) -> Weight:
+    total, known, seen, distinct = 0.0, 0, 0, np.array([], np.int64)
     for codes in _segments(found):
         codes = _folded(codes)
         a, b = codes[:-1], codes[1:]
         some = (a > 127) | (b > 127)
-        keys = a[some] * _PAIR_BASE + b[some]
-        at = np.searchsorted(pairs.keys, keys)
-        inside = np.append(pairs.keys, -1)[at] == keys
-        total += float(np.where(inside, np.append(pairs.logs, 0.0)[at], pairs.rest).sum())
-        known, seen = known + int(inside.sum()), seen + len(keys)
-    return total, known / seen if seen else 1.0
+        keys, n = np.unique(a[some] * _PAIR_BASE + b[some], return_counts=True)
+        logs, inside = _logs(keys, pairs)
+        total += float((logs * n).sum())
+        known, seen = known + int(n[inside].sum()), seen + int(n.sum())
+        distinct = np.union1d(distinct, keys) if len(distinct) else keys
+    return Weight(total, known / seen if seen else 1.0, float(_logs(distinct, pairs)[0].sum()))
+
+
+def _logs(keys: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood of each pair, and whether the model has it."""
+    at = np.searchsorted(pairs.keys, keys)
+    inside = np.append(pairs.keys, -1)[at] == keys
+    return np.where(inside, np.append(pairs.logs, 0.0)[at], pairs.rest), inside
 
 
 class Found(NamedTuple):
@@ -128,8 +145,8 @@ class Found(NamedTuple):
 
 def weighed(content: bytes, pairs: Pairs, charsets: Sequence[str] = CHARSETS) -> Found:
     """The likeliest reading of a content and its rivals; no charset if none is possible."""
-    weights: dict[bytes, tuple[float, str]] = {}
-    best: tuple[float, float, str, str] | None = None
+    weights: dict[bytes, tuple[Weight, str]] = {}
+    best: tuple[Weight, str, str] | None = None
     for charset in charsets:
         found = reading(content, charset)
         if found is None:
@@ -137,16 +154,17 @@ def weighed(content: bytes, pairs: Pairs, charsets: Sequence[str] = CHARSETS) ->
         same = hashlib.blake2b(found.encode()).digest()
         if same in weights:
             continue
-        w, known = weight(found, pairs)
+        w = weight(found, pairs)
         weights[same] = w, charset
-        if best is None or w > best[0]:
-            best = w, known, charset, found
+        if best is None or w.total > best[0].total:
+            best = w, charset, found
     if best is None:
         return Found(None, 0.0, None, [])
-    near = [charset for w, charset in weights.values() if best[0] - w < RIVAL_GAP]
-    confidence = float(1 / sum(np.exp(max(w - best[0], -700.0)) for w, _ in weights.values()) * best[1])
+    top, gap = best[0], -ODD_PAIRS * pairs.rest
+    near = [charset for w, charset in weights.values() if min(top.total - w.total, top.once - w.once) < gap]
+    confidence = float(1 / sum(np.exp(max(w.total - top.total, -700.0)) for w, _ in weights.values()) * top.known)
     open_yet = len(near) > 1 or confidence <= LEAST_CONFIDENCE
-    return Found(best[2], confidence, best[3], [(c, best[3] if c == best[2] else reading(content, c)) for c in near] if open_yet else [])
+    return Found(best[1], confidence, best[2], [(c, best[2] if c == best[1] else reading(content, c)) for c in near] if open_yet else [])
 
 
 def detected(content: bytes, pairs: Pairs, charsets: Sequence[str] = CHARSETS) -> tuple[str | None, float, str | None]:
@@ -176,15 +194,18 @@ def contexts(texts: DataFrame, column: str = "text") -> DataFrame:
 def _settled(rivals: DataFrame, known: DataFrame) -> DataFrame:
     """(key, settled: charset, confidence, text) of files that known contexts settle, from rivals (key, charset, text).
 
-    A reading's share is that of its contexts that are known. Wide contexts decide where the best share, times its part of all
-    readings' shares, is over `LEAST_CONFIDENCE`; else words, by the same rule; else the file is not settled.
+    A reading's share is that of its contexts that are known. The best reading's confidence is its share, times its part of all readings' likelihood: a share
+    that is less by a context is less likely by `CONTEXT_ODDS`. Wide contexts decide where that is over `LEAST_CONFIDENCE`; else words, by the same rule; else the
+    file is not settled.
     """
     each = stored(rivals.select("key", "charset", F.explode(_contexts(F.col("text"))).alias("context")))
     had = known.join(each.select("context").distinct(), "context", "left_semi").distinct().withColumn("had", F.lit(1))
     seen = each.join(had, "context", "left").groupBy("key", "charset", F.substr("context", F.lit(1), F.lit(1)).alias("level"))
-    shares = seen.agg((F.count("had") / F.count(F.lit(1))).alias("share"))
-    levels = shares.groupBy("key", "level").agg(F.max_by("charset", F.struct("share", "charset")).alias("charset"), F.max("share").alias("best"), F.sum("share").alias("all"))
-    sure = levels.withColumn("confidence", F.when(F.col("all") > 0, F.col("best") * F.col("best") / F.col("all"))).where(F.col("confidence") > LEAST_CONFIDENCE)
+    shares = seen.agg((F.count("had") / F.count(F.lit(1))).alias("share"), F.count(F.lit(1)).alias("n"))
+    levels = shares.groupBy("key", "level").agg(F.max(F.struct("share", "charset")).alias("best"), F.max("n").alias("n"), F.collect_list("share").alias("shares"))
+    likely = lambda x: x * F.pow(F.lit(CONTEXT_ODDS), (x - F.col("best.share")) * F.col("n"))
+    part = F.col("best.share") / F.aggregate("shares", F.lit(0.0), lambda total, x: total + likely(x))
+    sure = levels.where("best.share > 0").select("key", "level", "best.charset", (F.col("best.share") * part).alias("confidence")).where(F.col("confidence") > LEAST_CONFIDENCE)
     chosen = sure.groupBy("key").agg(F.min_by(F.struct("charset", "confidence"), "level").alias("c")).select("key", "c.*")
     return rivals.join(chosen, ["key", "charset"]).select("key", F.struct("charset", "confidence", "text").alias("settled"))
 

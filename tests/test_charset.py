@@ -70,3 +70,15 @@ def test_words_settle_what_pairs_leave_open(spark):
     assert [got[i].text for i in range(5)] == [odd[0], odd[1], odd[0], "plain", None] and len(got) == 6
     assert got[0].charset == "mac_roman" and got[0].confidence > charset.LEAST_CONFIDENCE
     assert got[5].text is None and got[5].confidence == 0
+
+
+def test_an_odd_word_leaves_a_file_open_however_often_it_is_repeated(spark):
+    """Pairs of a rare word are as odd a hundred times as once; and two odd pairs are little where there are no others."""
+    odd = ["Äau " * 100, "all of it, Öch there"]
+    texts = [*(["éau bec, un éau là où éch och"] * 400), *(["Ödem Öl, Äther"] * 3), *odd]
+    table = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    model, known = charset.learn(table), charset.contexts(table)
+    files = spark.createDataFrame([(i, t.encode(c)) for i, (t, c) in enumerate((t, c) for t in odd for c in ("cp850", "mac_roman"))], "id int, content binary")
+    assert any(charset.detected(t.encode(c), model)[2] != t for t in odd for c in ("cp850", "mac_roman"))
+    got = {r.id: r.text for r in charset.decoded(files, model, known=known).collect()}
+    assert [got[i] for i in range(4)] == [t for t in odd for _ in range(2)]
