@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,43 @@ def test_compaction_moves_no_entries_by_themselves(spark, tmp_path):
     assert spark.read.parquet(f"{target}/chunks").count() == 250
     assert spark.read.parquet(f"{target}/totals").first()[:2] == (250, 500)
     assert {r.entity_id for r in postings.scores(spark, target, "entity_id", "common").collect()} == {str(i) for i in range(300) if i % 3 or i % 6 == 0}
+
+
+def moved(spark):
+    """Bytes shuffled and spilled to disk by all stages so far."""
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).diskBytesSpilled() for i in range(stages.size()))
+
+
+def test_a_build_moves_little_more_than_its_texts(spark, tmp_path):
+    """Neither ids nor rows of single terms and blocks move, and no posting has an id."""
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(f"a-long-id-of-an-entity-{i}", " ".join(r.choice(words) for _ in range(r.randint(1, 120)))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "entity_id string, text string").repartition(3).persist()
+    chars = df.agg(F.sum(F.length("text"))).first()[0]
+    before = moved(spark)
+    postings.build(df, "entity_id", F.col("text"), f"{tmp_path}/index", size=8)
+    assert moved(spark) - before < 2 * chars
+    assert set(spark.read.parquet(f"{tmp_path}/index/postings").columns) == {"token", "block", "pos", "tf", "most", "n", "written_at", "bucket"}
+    got = {r.entity_id: round(r.keyword, 6) for r in postings.scores(spark, f"{tmp_path}/index", "entity_id", "w1 w7").collect()}
+    want = bm25(rows, "w1 w7")
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in got)
+    df.unpersist()
+
+
+@pytest.mark.parametrize("size, most", [(8, 1 << 20), (10, 50), (128, 7), (5000, 1 << 20)])
+def test_places_of_terms_are_those_of_the_chunks(monkeypatch, size, most):
+    """By terms and spans and back to blocks, in pieces or not, over the ends of spans and batches."""
+    monkeypatch.setattr(postings, "PART_ENTRIES", most)
+    r = random.Random(9)
+    chunks = [(at, sorted(r.sample(range(-(2**31), 2**31, 2**28), r.randint(1, 9)))) for at in [*range(4090, 4130), *range((3 << 33) - 5, (3 << 33) + 5)]]
+    kinds = pa.schema([("at", pa.int64()), ("tokens", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32()))])
+    whole = pa.RecordBatch.from_pydict({"at": [c[0] for c in chunks], "tokens": [c[1] for c in chunks], "tfs": [[at % 7 + 1] * len(t) for at, t in chunks]}, kinds)
+    by_terms = list(postings._by_terms(iter([whole.slice(0, 20), whole.slice(20, 0), whole.slice(20)])))
+    found = [row for b in postings._by_blocks(size)(iter(by_terms)) for row in b.to_pylist()]
+    got = sorted((x["block"] * size + p, x["token"] - 2**31, tf) for x in found for p, tf in zip(x["pos"], x["tf"], strict=True))
+    assert got == sorted((at, t, at % 7 + 1) for at, ts in chunks for t in ts)
+    assert all(0 <= p < size for x in found for p in x["pos"]) and all((x["most"], x["n"]) == (max(x["tf"]), len(x["tf"])) for x in found)
