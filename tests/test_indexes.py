@@ -238,3 +238,22 @@ def test_places_of_terms_are_those_of_the_chunks(monkeypatch, size, most):
     got = sorted((x["block"] * size + p, x["token"] - 2**31, tf) for x in found for p, tf in zip(x["pos"], x["tf"], strict=True))
     assert got == sorted((at, t, at % 7 + 1) for at, ts in chunks for t in ts)
     assert all(0 <= p < size for x in found for p in x["pos"]) and all((x["most"], x["n"]) == (max(x["tf"]), len(x["tf"])) for x in found)
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_a_compaction_leaves_postings_where_they_are(spark, tmp_path, monkeypatch, most):
+    """What moves of it is keys of chunks; with more blocks to join than may go out, the result is the same."""
+    monkeypatch.setattr(postings, "BROADCAST_BLOCKS", most)
+    r = random.Random(10)
+    rows = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(120))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "entity_id long, text string")
+    postings.build(df, "entity_id", F.col("text"), f"{tmp_path}/old")
+    postings.remove(df.where("entity_id % 3 = 0"), "entity_id", f"{tmp_path}/old")
+    entries = spark.read.parquet(f"{tmp_path}/old/postings").agg(F.sum("n")).first()[0]
+    before = moved(spark)
+    postings.compacted(spark, f"{tmp_path}/old", "entity_id", f"{tmp_path}/new")
+    if most:
+        assert entries > 200_000 and moved(spark) - before < entries
+    got = {r.entity_id: round(r.keyword, 6) for r in postings.scores(spark, f"{tmp_path}/new", "entity_id", "w1 w7").collect()}
+    want = bm25([(i, t) for i, t in rows if i % 3], "w1 w7")
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in got)
