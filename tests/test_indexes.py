@@ -257,3 +257,13 @@ def test_a_compaction_leaves_postings_where_they_are(spark, tmp_path, monkeypatc
     got = {r.entity_id: round(r.keyword, 6) for r in postings.scores(spark, f"{tmp_path}/new", "entity_id", "w1 w7").collect()}
     want = bm25([(i, t) for i, t in rows if i % 3], "w1 w7")
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in got)
+
+
+def test_a_page_over_small_blocks_moves_its_texts_once(spark, tmp_path):
+    from skeinworks.queries import QUERIES
+
+    (tmp_path / "tables").symlink_to("/root/testdata/sf0.001")
+    chars = spark.read.parquet(f"{tmp_path}/tables/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+    before = moved(spark)
+    assert QUERIES["r10_blocks_left_out"](spark, f"{tmp_path}/tables").first()[0]
+    assert moved(spark) - before < 2 * chars
